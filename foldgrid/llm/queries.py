@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import mixing, quality, tokens
+from . import lines, mixing, quality, tokens
 from .shared import table
 
 
@@ -26,10 +26,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op6_token_counts": op6_token_counts,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": lines.ORACLE,
+}
