@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import lines, mixing, quality, tokens
+from . import jaccard, lines, mixing, quality, tokens
 from .shared import table
 
 
@@ -31,11 +31,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op6_token_counts": op6_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
