@@ -380,7 +380,9 @@ def _links(filed: DataFrame, sets: DataFrame, labels: DataFrame | None, percent:
     else:
         rows = filed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
         mixed = rows.groupBy(*file).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select(*file)
-        rows = rows.join(mixed, file, "left_semi")
+        # written: else the planner takes the join's partitioning for the one below, and a join that turns into a
+        # broadcast at run time no longer has it
+        rows = materialize(rows.join(mixed, file, "left_semi"))
     rows = rows.repartition(n_buckets(filed.sparkSession), *file).sortWithinPartitions(*file)
     pairs = rows.mapInArrow(_candidates(percent, labels is None), "a long, b long").distinct()
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
