@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, jaccard, lines, mixing, quality, tokens
+from . import decontaminate, jaccard, lines, mixing, pii, quality, tokens
 from .shared import table
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +45,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_personal_data": op3_personal_data,
     "op4_source_mixing": op4_source_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,

@@ -50,21 +50,21 @@ class VoteModel:
 
 
 def fit(
-    votes: np.ndarray, counts: np.ndarray, share: float = 0.85, weight: float = 0.02, rounds: int = 300
+    votes: np.ndarray, counts: np.ndarray, share: float = 0.85, weight: float = 0.02, rounds: int = 300, start: np.ndarray = START
 ) -> VoteModel:
-    """Expectation-maximisation from `share` and START, which also count as votes of a `weight` share of the rows.
+    """Expectation-maximisation from `share` and `start`, which also count as votes of a `weight` share of the rows.
 
     When a rule abstains says something too, as rules that look for one defect abstain on most bad rows. A negative
     vote never counts for the positive class and a positive vote never against it, which keeps the classes' names.
     No rows: the starting values.
     """
-    model = VoteModel(share, np.repeat(START[None], votes.shape[1], axis=0))
+    model = VoteModel(share, np.repeat(start[None], votes.shape[1], axis=0))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # patterns x rules x outcomes
     seen = weight * counts.sum()
     for _ in range(rounds if len(counts) else 0):
         p = model.posterior(votes)
         odds = np.stack(
-            [np.tensordot(counts * x, hot, axes=(0, 0)) + seen * prior for x, prior in zip((1 - p, p), START, strict=True)],
+            [np.tensordot(counts * x, hot, axes=(0, 0)) + seen * prior for x, prior in zip((1 - p, p), start, strict=True)],
             axis=1,
         )
         odds /= odds.sum(axis=2, keepdims=True)
