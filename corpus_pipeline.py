@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldgrid.llm import quality
+from foldgrid.llm import decontaminate, jaccard, lines, mixing, quality
 from foldgrid.llm.shared import materialize, table
 
 
@@ -13,7 +14,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that repeat an earlier run go, and with them documents that consist of nothing else."""
+    return lines.dedup_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group that five-word shingles at a Jaccard similarity of 0.8 or more link."""
+    return jaccard.keep_one(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with `size` in words and the words `taken`, repeats counted."""
+    mixed = mixing.mix(docs, F.array("source")).where("taken > 0")
+    return mixed.select("row.*", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mixing),
+]
 
 #: Expectation-maximisation, fingerprints and flows aren't SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
