@@ -27,10 +27,10 @@ from .shared import mix, n_buckets, text_chunks, window_hashes, word_hashes
 
 _BITS, _LOW = 58, 40
 _ALL = np.uint64((1 << _BITS) - 1)  # stands for "any word": its count is the number of words
-_ASK = "bucket int, block int, grams binary, parts binary, counts binary"
-_ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("parts", pa.binary()), ("counts", pa.binary())])
-_TOLD = "block int, bucket int, totals binary"
-_TOLD_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
+_ASK = "bucket int, level int, block int, grams binary, parts binary, counts binary"
+_ASK_ARROW = pa.schema([("bucket", pa.int32()), ("level", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("parts", pa.binary()), ("counts", pa.binary())])
+_TOLD = "block int, level int, bucket int, totals binary"
+_TOLD_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
 _SCORES = "doc_id long, n_words long, log_score double"
 _SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
@@ -68,22 +68,37 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return grams, place, first
 
 
-def _asked(grams: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([*grams, np.full(len(grams[0]), _ALL)])
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte a count; those of 255 and more follow in eight bytes each."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
+    return out
+
+
+def _by_bucket(every: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    bucket = (every % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    return [(int(bucket[at[0]]), at) for at in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(at)]
 
 
 def _ask(order: int, buckets: int):  # noqa: ANN202
-    """The distinct n-grams of a block and their counts, by bucket."""
+    """The distinct n-grams of a block and their counts, by order and bucket; among the words, one that stands for all."""
 
     def run(table: pa.Table) -> pa.Table:
-        every, counts = np.unique(_asked(_grams(table, order)[0]), return_counts=True)
-        bucket = (every % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
+        grams, place, _ = _grams(table, order)
         rows: dict[str, list] = {c: [] for c in _ASK_ARROW.names}
-        for at in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
-            low, parts = pack(every[at] // np.uint64(buckets))
-            for c, x in zip(rows, (int(bucket[at[0]]), table["block"][0].as_py(), low, parts, counts[at].astype("<u4").tobytes()), strict=True):
-                rows[c].append(x)
+        for k in range(order):
+            every, counts = np.unique(grams[k], return_counts=True)
+            if k == 0:
+                every, counts = np.append(every, _ALL), np.append(counts, len(place))
+            for b, at in _by_bucket(every, buckets):
+                low, parts = pack(every[at] // np.uint64(buckets))
+                for c, x in zip(rows, (b, k, table["block"][0].as_py(), low, parts, pack_counts(counts[at])), strict=True):
+                    rows[c].append(x)
         return pa.table(rows, schema=_ASK_ARROW)
 
     return run
@@ -92,19 +107,11 @@ def _ask(order: int, buckets: int):  # noqa: ANN202
 def _tell(table: pa.Table) -> pa.Table:
     """For one bucket of the count table: the totals of what each block asked for, in the order asked."""
     asked = [unpack(a, b) for a, b in zip(table["grams"].to_pylist(), table["parts"].to_pylist(), strict=True)]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()])
+    counts = np.concatenate([unpack_counts(c, len(a)) for c, a in zip(table["counts"].to_pylist(), asked, strict=True)])
+    cuts = np.cumsum([len(a) for a in asked])[:-1]
     _, at = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(at, counts)[at].astype("<u8" if counts.sum(dtype=np.int64) >= 1 << 32 else "<u4")
-    wide = totals.dtype.itemsize == 8
-    cuts = np.split(totals, np.cumsum([len(a) for a in asked])[:-1])
-    # eight-byte totals are sent with their high halves behind the low ones
-    halves = [b"".join((x.view("<u4")[::2].tobytes(), x.view("<u4")[1::2].tobytes())) if wide else x.tobytes() for x in cuts]
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": halves}, schema=_TOLD_ARROW)
-
-
-def _totals(raw: bytes, n: int) -> np.ndarray:
-    halves = np.frombuffer(raw, "<u4").astype(np.uint64)
-    return halves if len(halves) == n else halves[:n] + (halves[n:] << np.uint64(32))
+    totals = np.bincount(at, counts)[at]
+    return pa.table({"block": table["block"], "level": table["level"], "bucket": table["bucket"], "totals": [pack_counts(x) for x in np.split(totals, cuts)]}, schema=_TOLD_ARROW)
 
 
 def _score(order: int, buckets: int, alpha: float, min_count: int):  # noqa: ANN202
@@ -112,22 +119,25 @@ def _score(order: int, buckets: int, alpha: float, min_count: int):  # noqa: ANN
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         grams, place, first = _grams(docs, order)
-        every, at = np.unique(_asked(grams), return_inverse=True)
-        bucket = (every % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        got = dict(zip(told["bucket"].to_pylist(), told["totals"].to_pylist(), strict=True))
-        total = np.zeros(len(every))
-        for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
-            total[own] = _totals(got[int(bucket[own[0]])], len(own))
-        n = len(place)
-        count = [total[at[k * n : (k + 1) * n]] for k in range(order)]
-        words = total[-1] if n else 1.0
-        score = np.log(count[0] / words)
-        for k in range(1, order):
-            known, shorter = place >= k, np.concatenate(([1.0], count[k - 1][:-1]))[:n]
-            seen = known & (count[k] >= min_count)
-            score = np.where(seen, np.log(np.where(seen, count[k] / np.maximum(shorter, 1), 1)), score + np.where(known, np.log(alpha), 0.0))
-        # numbers as they are, not differences of running sums: a document's score doesn't depend on its neighbours
+        got = {(k, b): t for k, b, t in zip(*(told[c].to_pylist() for c in ("level", "bucket", "totals")), strict=True)}
+        score, shorter, n = np.zeros(len(place)), None, len(place)
+        for k in range(order if n else 0):
+            every, at = np.unique(grams[k], return_inverse=True)
+            grams[k] = None
+            if k == 0:
+                every = np.append(every, _ALL)
+            total = np.zeros(len(every))
+            for b, own in _by_bucket(every, buckets):
+                total[own] = unpack_counts(got[k, b], len(own))
+            count = total[at]
+            if k == 0:
+                score = np.log(count / total[-1])
+            else:
+                known, before = place >= k, np.concatenate(([1.0], shorter[:-1]))
+                seen = known & (count >= min_count)
+                score = np.where(seen, np.log(np.where(seen, count / np.maximum(before, 1), 1)), score + np.where(known, np.log(alpha), 0.0))
+            shorter = count
+        # each document's own sum, not a difference of running sums: it doesn't depend on the documents beside it
         sums = np.array([score[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)], float)
         return pa.table({"doc_id": docs["doc_id"], "n_words": np.diff(first), "log_score": sums}, schema=_SCORES_ARROW)
 
