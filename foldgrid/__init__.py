@@ -1,0 +1 @@
+"""Protein-structure similarity data jobs on Spark DataFrames."""
