@@ -1,6 +1,925 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries: operators on the given tables (or stand-ins drawn from them), with the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import standins as S
+from .functions import chemistry, facts, ids, vectors
+from .operators import energies, filters, hits, images, joins, maps, metrics, reports, sampling, search
+from .operators.common import scratch_dir
+from .plans import jobs
+from .sources import results, structures, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    """Register a query and, where SQL can say it, its SQL."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _hits(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
+    return search.search_all(S.embeddings(spark, d), k)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- search and evaluation
+
+_QM = (
+    S.LABELS_SQL
+    + ", "
+    + S.HITS_SQL
+    + """,
+levels AS (SELECT unnest(['class', 'fold', 'superfamily', 'family']) AS level),
+lv AS (SELECT id, level, CASE level WHEN 'class' THEN class WHEN 'fold' THEN fold WHEN 'superfamily' THEN superfamily ELSE family END AS value FROM labels, levels),
+r AS (SELECT level, value, greatest(count(*) - 1, 0) AS r FROM lv GROUP BY 1, 2),
+m AS (
+  SELECT h.query, q.level, q.value, CAST(q.value = t.value AS INTEGER) AS m, row_number() OVER (PARTITION BY h.query, q.level ORDER BY h.rank) AS k
+  FROM {hits} h JOIN lv q ON q.id = h.query JOIN lv t ON t.id = h.target AND t.level = q.level WHERE h.query != h.target),
+n AS (SELECT *, sum(m) OVER (PARTITION BY query, level ORDER BY k) AS tp FROM m WHERE k <= 5),
+qm AS (
+  SELECT n.query, n.level, n.value, CAST(sum(m) AS INTEGER) AS tp, CAST(count(*) AS INTEGER) AS valid, CAST(any_value(r.r) AS INTEGER) AS r,
+         CASE WHEN any_value(r.r) > 0 THEN sum(m) / 5.0 ELSE 0 END AS patk,
+         CASE WHEN any_value(r.r) > 0 THEN sum(m * tp / k) / least(any_value(r.r), 5) ELSE 0 END AS apk,
+         CASE WHEN any_value(r.r) > 0 THEN sum(m) / any_value(r.r) ELSE 0 END AS ratk
+  FROM n JOIN r ON r.level = n.level AND r.value = n.value GROUP BY 1, 2, 3)"""
+)
+_COS = _QM.replace("{hits}", "hits")
+_MEAN = "SELECT level, round(avg(patk), 6) AS patk, round(avg(apk), 6) AS mapk, round(avg(ratk), 6) AS ratk, count(*) AS scored, count(*) FILTER (WHERE r = 0) AS without_relevant FROM qm GROUP BY level"
+
+
+@query("search_evaluation", f"WITH {_COS} {_MEAN}")
+def search_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: all-pairs cosine search and its mean precision, average precision and recall at 5 by level."""
+    return _rounded(jobs.evaluate_search(S.embeddings(spark, d), S.labels(spark, d), 5), "patk", "mapk", "ratk")
+
+
+@query("cosine_top_k", f"WITH {S.HITS_SQL} SELECT query, target, round(score, 6) AS score, rank FROM hits")
+def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_hits(spark, d), "score").select("query", "target", "score", "rank")
+
+
+@query(
+    "cosine_one_query",
+    f"WITH {S.HITS_SQL.split('hits AS')[0].rstrip().rstrip(',')} SELECT '7' AS query, id AS target, round(round(list_cosine_similarity(v, (SELECT v FROM e WHERE id = '7')), 9), 6) AS score FROM e",
+)
+def cosine_one_query(spark: SparkSession, d: str) -> DataFrame:
+    emb = S.embeddings(spark, d)
+    return _rounded(search.cosine_query(emb, emb.where("item_id = '7'")), "score")
+
+
+@query("search_one", f"WITH {S.HITS_SQL} SELECT query, target, round(score, 6) AS score, rank - 1 AS rank FROM hits WHERE query = '7' AND target != query AND rank <= 6")
+def search_one(spark: SparkSession, d: str) -> DataFrame:
+    emb = S.embeddings(spark, d)
+    return _rounded(search.search_one(emb, emb.where("item_id = '7'"), 5), "score")
+
+
+@query("query_metrics", f"WITH {_COS} SELECT query, level, tp, valid, r, round(patk, 6) AS patk, round(apk, 6) AS apk, round(ratk, 6) AS ratk FROM qm")
+def query_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.query_metrics(_hits(spark, d), S.labels(spark, d), 5).drop("value"), "patk", "apk", "ratk")
+
+
+@query(
+    "query_metrics_v1",
+    f"""WITH {S.LABELS_SQL}, {S.NEAR_SQL},
+h AS (SELECT n.query, n.rank, q.class = t.class AS c, q.fold = t.fold AS f, q.superfamily = t.superfamily AS s, q.family = t.family AS y
+      FROM near n JOIN labels q ON q.id = n.query LEFT JOIN labels t ON t.id = n.target),
+l AS (SELECT query, rank, unnest(['class', 'fold', 'superfamily', 'family']) AS level, unnest([c, f, s, y]) AS m FROM h),
+m AS (SELECT query, rank, level, CAST(coalesce(m, false) AS INTEGER) AS m FROM l),
+t AS (SELECT *, sum(m) OVER (PARTITION BY query, level ORDER BY rank) AS tp FROM m)
+SELECT query, level, CAST(sum(m) AS INTEGER) AS tp, round(sum(m) / 5.0, 6) AS patk, round(CASE WHEN sum(m) > 0 THEN sum(m * tp / rank) / sum(m) END, 6) AS apk
+FROM t GROUP BY 1, 2""",
+)
+def query_metrics_v1(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.query_metrics_v1(S.near_hits(spark, d), S.labels(spark, d), 5), "patk", "apk")
+
+
+@query(
+    "compare_methods",
+    f"""WITH {_COS}, {S.NEAR_SQL}, nm AS (SELECT * FROM ({_MEAN})),
+{_QM.split("levels AS")[1].split("m AS (", 1)[1].join(["m2 AS (", ""]).replace("{hits}", "near").replace("FROM m WHERE", "FROM m2 WHERE").replace("n AS (SELECT", "n2 AS (SELECT").replace("FROM n JOIN", "FROM n2 n JOIN").replace("qm AS (", "qm2 AS (")},
+a AS (SELECT 'cosine' AS method, * FROM nm UNION ALL SELECT 'near', * FROM ({_MEAN.replace("FROM qm", "FROM qm2")})),
+u AS (SELECT method, level, unnest(['patk', 'mapk', 'ratk']) AS metric, unnest([patk, mapk, ratk]) AS score FROM a)
+SELECT metric, method, max(score) FILTER (WHERE level = 'class') AS class, max(score) FILTER (WHERE level = 'fold') AS fold,
+       max(score) FILTER (WHERE level = 'superfamily') AS superfamily, max(score) FILTER (WHERE level = 'family') AS family FROM u GROUP BY 1, 2""",
+)
+def compare_methods(spark: SparkSession, d: str) -> DataFrame:
+    labels = S.labels(spark, d)
+    both = hits.all_methods({"cosine": _hits(spark, d), "near": S.near_hits(spark, d)})
+    mean = lambda name: metrics.mean_metrics(metrics.query_metrics(both.where(F.col("method") == name), labels, 5))
+    return _rounded(metrics.compare_methods({n: mean(n) for n in ("cosine", "near")}), *metrics.LEVELS)
+
+
+@query("triage_queries", f"WITH {_COS} SELECT query, value, CASE WHEN tp / valid <= 0.2 THEN 'bad' ELSE 'good' END AS verdict FROM qm WHERE level = 'superfamily' AND (tp / valid <= 0.2 OR tp = valid)")
+def triage_queries(spark: SparkSession, d: str) -> DataFrame:
+    return filters.triage_queries(metrics.query_metrics(_hits(spark, d), S.labels(spark, d), 5)).select("query", "value", "verdict")
+
+
+@query("relevant_counts", f"WITH {_COS} SELECT level, value, r FROM r")
+def relevant_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.relevant_counts(S.labels(spark, d))
+
+
+@query("skipped_queries", f"WITH {S.LABELS_SQL}, {S.NEAR_SQL} SELECT DISTINCT query FROM near WHERE query NOT IN (SELECT n.query FROM near n JOIN labels l ON l.id = n.target)")
+def skipped_queries(spark: SparkSession, d: str) -> DataFrame:
+    near = S.near_hits(spark, d)
+    return metrics.skipped_queries(near, metrics.query_metrics(near, S.labels(spark, d), 5))
+
+
+@query("distinct_per_column", f"WITH {S.LABELS_SQL} SELECT count(DISTINCT id) AS id, count(DISTINCT class) AS class, count(DISTINCT fold) AS fold, count(DISTINCT superfamily) AS superfamily, count(DISTINCT family) AS family FROM labels")
+def distinct_per_column(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.distinct_per_column(S.labels(spark, d).drop("sccs"))
+
+
+@query(
+    "running_precision",
+    f"""WITH {S.LABELS_SQL}, {S.NEAR_SQL},
+m AS (SELECT n.query, n.target, row_number() OVER o AS k, CAST(q.fold = t.fold AS INTEGER) AS m FROM near n JOIN labels q ON q.id = n.query JOIN labels t ON t.id = n.target
+      WINDOW o AS (PARTITION BY n.query ORDER BY n.rank))
+SELECT query, target, CAST(k AS INTEGER) AS k, m, CAST(sum(m) OVER (PARTITION BY query ORDER BY k) AS BIGINT) AS tp FROM m""",
+)
+def running_precision(spark: SparkSession, d: str) -> DataFrame:
+    rows = metrics.running_precision(joins.attach_labels(S.near_hits(spark, d), S.labels(spark, d)), ("fold",))
+    return rows.select("query", "target", "k", F.col("m_fold").alias("m"), F.col("tp_fold").alias("tp"))
+
+
+@query("same_query_set", f"WITH {S.NEAR_SQL} SELECT query, target, rank FROM near WHERE CAST(query AS BIGINT) % 3 = 0")
+def same_query_set(spark: SparkSession, d: str) -> DataFrame:
+    near = S.near_hits(spark, d)
+    return joins.same_query_set(near, near.where("cast(query as long) % 3 = 0").select("query")).select("query", "target", "rank")
+
+
+@query("target_coverage", f"WITH {S.LABELS_SQL}, {S.NEAR_SQL} SELECT count(*) AS targets, count(l.id) AS labelled, round(100.0 * count(l.id) / count(*), 6) AS percent FROM (SELECT DISTINCT target FROM near) n LEFT JOIN labels l ON l.id = n.target")
+def target_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(hits.target_coverage(S.near_hits(spark, d), S.labels(spark, d)), "percent")
+
+
+@query("score_profile", "SELECT count(*) AS n, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean, count(*) FILTER (WHERE value = 0) AS zeros FROM events WHERE event_type != 'error' AND value IS NOT NULL")
+def score_profile(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return _rounded(hits.score_profile(S.table(spark, d, "events").select(raw.alias("score"))), "mean")
+
+
+@query("unknown_names", "SELECT 'Brand#0' AS brand UNION ALL SELECT 'none'")
+def unknown_names(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.unknown_names(["Brand#0", "none", "Brand#2", "Brand#2"], S.domains(spark, d), "brand")
+
+
+@query("unseen_classes", "SELECT DISTINCT l_linenumber AS n FROM lineitem WHERE l_linenumber NOT IN (SELECT l_linenumber FROM lineitem WHERE l_quantity < 3 AND l_returnflag = 'A')")
+def unseen_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.table(spark, d, "lineitem").withColumnRenamed("l_linenumber", "n")
+    return metrics.unseen_classes(rows, rows.where("l_quantity < 3 AND l_returnflag = 'A'"), "n")
+
+
+# --- results, aligners
+
+
+@query("wide_results_round_trip", f"WITH {S.HITS_SQL} SELECT query, target, round(score, 6) AS score, rank FROM hits WHERE rank <= 5")
+def wide_results_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/results/{uuid.uuid4().hex}"
+    results.write_search_results(_hits(spark, d), path, 5)
+    return _rounded(results.read_search_results(spark, path), "score").select("query", "target", "score", "rank")
+
+
+@query("similarity_report", f"""WITH {S.NEAR_SQL} SELECT query, '{{"' || query || '":[["' || min_by(target, rank) || '",1.0]' AS head, count(*) AS n FROM near GROUP BY query""")
+def similarity_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = results.similarity_report(S.near_hits(spark, d))
+    return rows.select(F.regexp_extract("value", r'^\{"([^"]*)"', 1).alias("query"), F.regexp_extract("value", r"^[^\]]*\]", 0).alias("head"), (F.regexp_count("value", F.lit(r"\],")) + 1).cast("long").alias("n"))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier and part of each line as a pair of domains, scores from tax and discount."""
+    rows = S.table(spark, d, "lineitem")
+    name = lambda c, m: F.concat(F.lit("x/d"), F.lpad((F.col(c) % m).cast("string"), 6, "0"), F.lit(".ent"))
+    return rows.select(name("l_suppkey", 50).alias("a"), name("l_partkey", 60).alias("b"), (F.col("l_tax") * 10).alias("s1"), (F.col("l_discount") * 10).alias("s2"), F.col("l_quantity").alias("n"))
+
+
+_ALIGNED_SQL = """al AS (
+  SELECT 'd' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 6, '0') AS a, 'd' || lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS b, l_tax * 10 AS s1, l_discount * 10 AS s2, l_quantity AS n FROM lineitem)"""
+
+
+@query(
+    "foldseek_top_k",
+    f"""WITH {_ALIGNED_SQL}, g AS (SELECT a AS query, b AS target, max(s1) AS score, min(n) AS line_no FROM al GROUP BY 1, 2)
+SELECT query, round(score, 6) AS score, rank FROM (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, line_no) AS rank FROM g WHERE query != target) WHERE rank <= 5""",
+)
+def foldseek_top_k(spark: SparkSession, d: str) -> DataFrame:
+    rows = _aligned(spark, d).select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("s1").cast("string").alias("score"), F.col("n").alias("line_no"))
+    return _rounded(results.foldseek_hits(rows, 5), "score").select("query", "score", "rank")
+
+
+@query(
+    "usalign_top_k",
+    f"""WITH {_ALIGNED_SQL}, u AS (
+  SELECT a, b, max(s1) AS tm1, max(s2) AS tm2 FROM al WHERE a < b GROUP BY 1, 2),
+g AS (SELECT a AS query, b AS target, tm1 AS score FROM u UNION ALL SELECT b, a, tm2 FROM u)
+SELECT query, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC) AS rank FROM g) WHERE rank <= 5""",
+)
+def usalign_top_k(spark: SparkSession, d: str) -> DataFrame:
+    once = _aligned(spark, d).where("a < b").groupBy("a", "b").agg(F.max("s1").alias("tm1"), F.max("s2").alias("tm2"))
+    pairs = once.select(F.concat("a", F.lit(":A")).alias("#PDBchain1"), F.concat("b", F.lit(":B")).alias("PDBchain2"), F.col("tm1").alias("TM1"), F.col("tm2").alias("TM2"))
+    path = f"{scratch_dir(spark)}/usalign/{uuid.uuid4().hex}"
+    pairs.write.csv(path, sep="\t", header=True)
+    return _rounded(results.read_usalign(spark, path, 5), "score").select("query", "score", "rank")
+
+
+@query(
+    "usalign_v1_list",
+    f"""WITH {_ALIGNED_SQL}, g AS (SELECT a AS query, max(s1) AS score, b AS target FROM al GROUP BY 1, 3),
+k AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC) + 1 AS rank FROM g)
+SELECT query, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5 UNION ALL SELECT DISTINCT a, CAST(NULL AS DOUBLE), 1 FROM al""",
+)
+def usalign_v1_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = _aligned(spark, d).select(ids.stem(F.col("a")).alias("query"), ids.stem(F.col("b")).alias("target"), F.col("s1").alias("score"), F.col("n").alias("line_no"))
+    return _rounded(hits.usalign_v1_list(hits.best_score(rows), 5), "score").select("query", "score", "rank")
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """A rank report for each supplier: its parts of one line, ranked by key, some lines without a domain id."""
+    rows = S.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    rows = rows.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("p"))
+    line = F.transform(
+        "p", lambda p, i: F.concat(F.format_string("%6d ", i + 1), F.when(p % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("dir/d"), F.lpad(p.cast("string"), 6, "0"), F.lit(".ent"))), F.lit(" Chn:A"))
+    )
+    body = F.concat(F.array(F.lit("header"), F.lit("")), line)
+    return rows.select(F.concat(F.lit("out/d"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".ent.out")).alias("path"), F.posexplode(body).alias("line_no", "line"))
+
+
+_REPORT_SQL = """rp AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)),
+rn AS (SELECT 'd' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS sup, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'd' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') END AS target, n FROM rp)"""
+
+
+@query("gtalign_hits", f"WITH {_REPORT_SQL} SELECT sup AS query, CAST(n - 1 AS INTEGER) AS rank, target FROM rn WHERE n BETWEEN 2 AND 6")
+def gtalign_hits(spark: SparkSession, d: str) -> DataFrame:
+    return results.parse_gtalign(_reports(spark, d), 5).select("query", "rank", "target")
+
+
+@query(
+    "gtalign_v1_hits",
+    f"""WITH {_REPORT_SQL} SELECT upper(substr(sup, 2, 4)) || '_' || upper(substr(sup, 6, 1)) AS query, CAST(n AS INTEGER) AS rank,
+CASE WHEN target = '' THEN '' ELSE upper(substr(target, 2, 4)) || '_' || upper(substr(target, 6, 1)) END AS target FROM rn WHERE n <= 5""",
+)
+def gtalign_v1_hits(spark: SparkSession, d: str) -> DataFrame:
+    return results.parse_gtalign_v1(_reports(spark, d), 5)
+
+
+@query("embeddings_round_trip", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def embeddings_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/embeddings/{uuid.uuid4().hex}"
+    results.write_embeddings(S.embeddings(spark, d), path)
+    rows = results.read_embeddings(spark, path, "given")
+    return rows.select(F.col("item_id").cast("long").alias("vec_id"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+# --- ids, lists, filters
+
+
+@query(
+    "id_parts",
+    f"""WITH {S.DOMAINS_SQL} SELECT sid, upper(substr(sid, 2, 4)) AS pdb, upper(substr(sid, 6, 1)) AS chain, upper(substr(sid, 2, 4)) || '_' || upper(substr(sid, 6, 1)) AS pdb_chain,
+upper(substr(sid, 2, 4)) || '_' || upper(substr(sid, 6, 1)) || '.jpg' AS image, sid AS stem, regexp_matches(upper(sid), '^.{{5}}[A-Z]') AS letter, sid AS foldseek, sid AS gtalign, sid AS usalign FROM domains""",
+)
+def id_parts(spark: SparkSession, d: str) -> DataFrame:
+    sid = F.col("sid")
+    path = lambda tail: F.concat(F.lit("a/b.c/"), sid, F.lit(tail))
+    return S.domains(spark, d).select(
+        sid, ids.pdb_id(sid).alias("pdb"), ids.chain_id(sid).alias("chain"), ids.pdb_chain(sid).alias("pdb_chain"), ids.pdb_chain_image(sid).alias("image"), ids.stem(path(".ent")).alias("stem"),
+        ids.has_letter_chain(sid).alias("letter"), ids.foldseek_id(path("A.ent")).alias("foldseek"), ids.gtalign_query_id(path(".ent.out")).alias("gtalign"), ids.usalign_id(path(".ent:A")).alias("usalign"),
+    )
+
+
+@query("letter_chains", f"WITH {S.DOMAINS_SQL} SELECT sid FROM domains WHERE p_partkey % 28 < 26")
+def letter_chains(spark: SparkSession, d: str) -> DataFrame:
+    return filters.letter_chains(S.domains(spark, d)).select("sid")
+
+
+@query("with_levels", f"WITH {S.DOMAINS_SQL}, s AS (SELECT *, string_split(sccs, '.') AS p FROM domains) SELECT sid, p[1] AS class, p[1] || '.' || p[2] AS fold, p[1] || '.' || p[2] || '.' || p[3] AS superfamily, sccs AS family FROM s")
+def with_levels(spark: SparkSession, d: str) -> DataFrame:
+    return filters.with_levels(S.domains(spark, d)).select("sid", *filters.LEVELS)
+
+
+@query("exclude_classes", f"WITH {S.DOMAINS_SQL} SELECT sid, brand FROM domains WHERE brand NOT IN ('Brand#2', 'Brand#3', 'none')")
+def exclude_classes(spark: SparkSession, d: str) -> DataFrame:
+    return filters.exclude_classes(S.domains(spark, d), "brand", ["Brand#2", "Brand#3", "none"]).select("sid", "brand")
+
+
+@query("excluded_counts", "SELECT n.name, count(p.p_partkey) AS removed FROM (SELECT unnest(['Brand#2', 'Brand#3', 'none']) AS name) n LEFT JOIN part p ON p.p_brand = n.name GROUP BY 1")
+def excluded_counts(spark: SparkSession, d: str) -> DataFrame:
+    return filters.excluded_counts(S.domains(spark, d), "brand", ["Brand#2", "Brand#3", "none"])
+
+
+@query("exclude_items_by_class", f"WITH {S.DOMAINS_SQL} SELECT sid FROM domains WHERE sid NOT IN (SELECT sid FROM domains WHERE sccs[1:1] IN ('a', 'c') AND p_partkey % 2 = 0)")
+def exclude_items_by_class(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d)
+    return filters.exclude_items_by_class(rows, rows.where("p_partkey % 2 = 0"), ["a", "c"]).select("sid")
+
+
+@query("id_list", f"WITH {S.DOMAINS_SQL} SELECT sid AS id FROM domains")
+def id_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d).select(F.concat(F.lit("  set/"), "sid", F.when(F.col("p_partkey") % 2 == 0, ".ent extra").otherwise("")).alias("value"))
+    return text.read_id_list(spark, S.text_files(rows.union(spark.createDataFrame([("   ",)], "value string"))))
+
+
+@query("classification_list", f"WITH {S.DOMAINS_SQL} SELECT sid, sccs FROM domains WHERE p_partkey % 3 != 0")
+def classification_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d).withColumn("k", F.col("p_partkey") % 3)
+    full = F.concat_ws("\t", "sid", ids.pdb_id(F.col("sid")), F.lit("A:"), "sccs", F.lit("rest"))
+    line = F.when(F.col("k") == 1, full).when(F.col("k") == 2, F.concat(F.lit("  "), full)).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("#"), full)).otherwise(F.concat_ws(" ", "sid", F.lit("x"), "sccs"))
+    return text.read_classification(spark, S.text_files(rows.select(line.alias("value"))))
+
+
+@query("cluster_list", f"WITH {S.DOMAINS_SQL} SELECT sid AS id FROM domains WHERE p_partkey % 2 = 0")
+def cluster_list(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(">"), "sid", F.lit(":A\t99"))).otherwise(F.lit("MKV"))
+    return text.read_cluster_list(spark, S.text_files(S.domains(spark, d).select(line.alias("value"))))
+
+
+@query("length_gate", f"WITH {S.RESIDUES_SQL} SELECT structure_id, n FROM sizes WHERE n BETWEEN 30 AND 50")
+def length_gate(spark: SparkSession, d: str) -> DataFrame:
+    return filters.filter_length(_sizes(spark, d), "n", 30, 50)
+
+
+@query("length_report", f"WITH {S.RESIDUES_SQL} SELECT count(*) FILTER (WHERE n >= 30 AND n < 50) AS kept, count(*) FILTER (WHERE n < 30 OR n >= 50) AS out_of_range FROM sizes")
+def length_report(spark: SparkSession, d: str) -> DataFrame:
+    return filters.length_report(_sizes(spark, d), "n", 30, 50, inclusive=False)
+
+
+@query("limit_to", f"WITH {S.DOMAINS_SQL} SELECT sid AS id FROM domains WHERE sid IN (SELECT sid FROM domains WHERE p_partkey % 4 = 0)")
+def limit_to(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d)
+    listed = rows.where("p_partkey % 4 = 0").select(F.concat("sid", F.when(F.col("p_partkey") % 8 == 0, ".ent").otherwise("")).alias("id"))
+    return joins.limit_to(rows.select(F.col("sid").alias("id")), listed)
+
+
+@query("pending", f"WITH {S.DOMAINS_SQL} SELECT sid AS id FROM domains WHERE sid NOT IN (SELECT sid FROM domains WHERE p_partkey % 4 = 0)")
+def pending(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d).select(F.col("sid").alias("id"), "p_partkey")
+    return joins.pending(rows, rows.where("p_partkey % 4 = 0")).select("id")
+
+
+@query("exclude_eval", f"WITH {S.DOMAINS_SQL} SELECT sid AS id FROM domains WHERE substr(sid, 1, 7) NOT IN (SELECT substr(sid, 1, 7) FROM domains WHERE p_partkey % 5 = 0)")
+def exclude_eval(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d).select(F.col("sid").alias("id"), "p_partkey")
+    return joins.exclude_eval(rows, rows.where("p_partkey % 5 = 0").withColumn("id", F.concat("id", F.lit("_x")))).select("id")
+
+
+@query(
+    "restrict_to_train_labels",
+    "WITH i AS (SELECT p_brand AS label, dense_rank() OVER (ORDER BY p_brand) - 1 AS label_idx FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#2')) SELECT p_partkey, label, CAST(label_idx AS INTEGER) AS label_idx FROM part JOIN i ON label = p_brand",
+)
+def restrict_to_train_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d).select("p_partkey", F.col("brand").alias("label"))
+    return joins.restrict_to_train_labels(rows, sampling.label_index(rows.where("label < 'Brand#2'"))).select("p_partkey", "label", "label_idx")
+
+
+@query("in_classification", f"WITH {S.DOMAINS_SQL} SELECT 'f/' || sid || '.ent' AS path FROM domains WHERE sid IN (SELECT sid FROM domains WHERE upper(substr(sid, 2, 4)) IN (SELECT upper(substr(sid, 2, 4)) FROM domains WHERE p_partkey % 6 = 0))")
+def in_classification(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d)
+    described = rows.select("sid", F.concat(F.lower(ids.pdb_id(F.col("sid"))), F.lit(" a: thing")).alias("description"))
+    files = rows.select(F.concat(F.lit("f/"), "sid", F.lit(".ent")).alias("path"))
+    return joins.in_classification(rows.where("p_partkey % 6 = 0").select(ids.pdb_id(F.col("sid")).alias("pdb_id")), described, files)
+
+
+@query(
+    "match_prefix",
+    f"WITH {S.DOMAINS_SQL}, p AS (SELECT DISTINCT substr(sid, 1, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 4 END) AS prefix FROM domains WHERE p_partkey % 10 < 2) SELECT 'f/' || d.sid AS path, p.prefix FROM domains d JOIN p ON starts_with(d.sid, p.prefix)",
+)
+def match_prefix(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d)
+    prefixes = rows.where("p_partkey % 10 < 2").select(F.expr("substring(sid, 1, if(p_partkey % 2 = 0, 3, 4))").alias("prefix"))
+    return joins.match_prefix(rows.select(F.concat(F.lit("f/"), "sid").alias("path")), prefixes).select("path", "prefix")
+
+
+@query("unmatched_prefixes", f"WITH {S.DOMAINS_SQL} SELECT DISTINCT 'q' || substr(sid, 2, 2) AS prefix FROM domains WHERE p_partkey % 10 < 2")
+def unmatched_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.domains(spark, d)
+    some = rows.where("p_partkey % 10 < 2")
+    prefixes = some.select(F.substring("sid", 1, 3).alias("prefix")).union(some.select(F.concat(F.lit("q"), F.substring("sid", 2, 2))))
+    return joins.unmatched_prefixes(joins.match_prefix(rows.select(F.col("sid").alias("path")), prefixes), prefixes)
+
+
+@query(
+    "resolve_assets",
+    f"""WITH {S.NEAR_SQL}, f AS (SELECT CAST(vec_id AS VARCHAR) AS n, CASE WHEN vec_id % 3 = 0 THEN 'i/' || vec_id || '.png' ELSE 'i/' || vec_id || '.jpg' END AS asset FROM embeddings WHERE vec_id % 4 != 0)
+SELECT query, target, asset FROM near LEFT JOIN f ON n = target""",
+)
+def resolve_assets(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.table(spark, d, "embeddings").where("vec_id % 4 != 0")
+    name = F.concat(F.lit("i/"), F.col("vec_id").cast("string"))
+    files = rows.select(F.concat(name, F.lit(".jpg")).alias("path")).union(rows.where("vec_id % 3 = 0").select(F.concat(name, F.lit(".png"))))
+    return joins.resolve_assets(S.near_hits(spark, d), files).select("query", "target", "asset")
+
+
+@query("image_labels", f"WITH {S.LABELS_SQL} SELECT 'p/' || id || '.png' AS path, fold AS label FROM labels WHERE CAST(id AS BIGINT) % 3 != 0")
+def image_labels(spark: SparkSession, d: str) -> DataFrame:
+    labels = S.labels(spark, d)
+    pictures = labels.select(F.concat(F.lit("p/"), "id", F.lit(".png")).alias("path"))
+    annotations = labels.where("cast(id as long) % 3 != 0").select(F.col("id").alias("SCOPeID"), "fold")
+    return joins.matched_only(joins.image_labels(pictures, annotations.union(annotations), "fold")).select("path", "label")
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of the domains, with entry facts and regions as JSON for some of them."""
+    rows = S.domains(spark, d)
+    own = rows.select("p_partkey", "sid", F.concat(F.lit("s/"), "sid", F.lit(".ent")).alias("path"), F.concat("sid", F.lit(".jpg")).alias("image"), F.repeat(F.lit("MK"), (F.col("p_partkey") % 9 + 1).cast("int")).alias("sequence"))
+    by_pdb = rows.groupBy(ids.pdb_id(F.col("sid")).alias("pdb_id")).agg(F.min("p_partkey").alias("k"))
+    entry = by_pdb.where("k % 3 != 0").select(
+        "pdb_id",
+        F.format_string(
+            '{"rcsb_accession_info":{"deposit_date":"2020-01-01"},"rcsb_entry_info":{"experimental_method":"X-ray"%s,"disulfide_bond_count":%d,"polymer_entity_count_protein":1}}',
+            F.when(F.col("k") % 3 == 1, F.lit(',"molecular_weight":1.5')).otherwise(""), F.col("k"),
+        ).alias("json"),
+    )
+    uniprot = by_pdb.where("k % 2 = 0").select("pdb_id", F.format_string('{"entries":[{"rcsb_uniprot_feature":[%s{"type":"OTHER"}]},{"rcsb_uniprot_feature":[{"type":"TRANSMEMBRANE_REGION"}]}]}', F.repeat(F.lit('{"type":"TRANSMEMBRANE_REGION"},'), (F.col("k") % 3).cast("int"))).alias("json"))
+    go = by_pdb.where("k % 5 = 0").select("pdb_id", F.lit("{}").alias("body"))
+    return joins.annotate(own, rows.select("sid", "sccs"), entry, go, uniprot)
+
+
+_ANNOTATED_SQL = f"""{S.DOMAINS_SQL}, g AS (SELECT upper(substr(sid, 2, 4)) AS pdb, min(p_partkey) AS k FROM domains GROUP BY 1),
+ls AS (SELECT sid, min(sccs) AS sccs FROM domains GROUP BY 1),
+an AS (SELECT d.sid AS "SCOPeID", g.pdb AS "PDBId", string_split(ls.sccs, '.')[1] AS "SCOPeClass", ls.sccs AS "SCOPeFamily", CAST(2 * (p_partkey % 9 + 1) AS INTEGER) AS "PDBSequenceLength",
+  CASE WHEN k % 3 = 1 THEN '2020-01-01' END AS "PDBDepositDate", CASE WHEN k % 3 = 1 THEN CAST(k AS INTEGER) END AS "PDBDisulfideBond", CASE WHEN k % 2 = 0 THEN CAST(k % 3 AS INTEGER) END AS "PDBTransmembraneRegionCounts",
+  CASE WHEN k % 2 = 0 THEN k % 3 > 0 END AS "PDBIsTransmembrane", CASE WHEN k % 5 = 0 THEN '{{}}' ELSE '' END AS "PDBeGOAnnotation", d.brand, d.p_partkey, repeat('MK', CAST(p_partkey % 9 + 1 AS INTEGER)) AS seq
+  FROM domains d JOIN g ON g.pdb = upper(substr(d.sid, 2, 4)) JOIN ls ON ls.sid = d.sid)"""
+_ANNOTATED_COLUMNS = ["SCOPeID", "PDBId", "SCOPeClass", "SCOPeFamily", "PDBSequenceLength", "PDBDepositDate", "PDBDisulfideBond", "PDBTransmembraneRegionCounts", "PDBIsTransmembrane", "PDBeGOAnnotation"]
+_QUOTED = ", ".join(f'"{c}"' for c in _ANNOTATED_COLUMNS)
+
+
+@query("annotate", f"WITH {_ANNOTATED_SQL} SELECT {_QUOTED} FROM an")
+def annotate(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, d).select(*_ANNOTATED_COLUMNS)
+
+
+@query("annotations_round_trip", f"""WITH {_ANNOTATED_SQL} SELECT "SCOPeID", "SCOPeFamily", "PDBSequenceLength", "PDBDisulfideBond", "PDBIsTransmembrane" FROM an""")
+def annotations_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/annotations/{uuid.uuid4().hex}"
+    text.write_annotations(_annotated(spark, d), path)
+    return text.read_annotations(spark, path, "SCOPeFamily").select("SCOPeID", "SCOPeFamily", "PDBSequenceLength", "PDBDisulfideBond", "PDBIsTransmembrane")
+
+
+@query("fasta", f"""WITH {_ANNOTATED_SQL} SELECT '>' || "PDBId" || '_' || upper(substr("SCOPeID", 6, 1)) || '|' || "SCOPeID" || '|' || "SCOPeFamily" AS header, max(seq) AS sequence FROM an GROUP BY 1""")
+def fasta(spark: SparkSession, d: str) -> DataFrame:
+    rows = text.fasta(_annotated(spark, d))
+    return rows.select(F.substring_index("value", "\n", 1).alias("header"), F.substring_index("value", "\n", -1).alias("sequence"))
+
+
+@query("entry_facts", """SELECT event_id, CASE WHEN event_id % 3 != 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS disulfide_bonds, CASE WHEN event_id % 3 != 0 THEN 'EM' END AS experimental_method FROM events""")
+def entry_facts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    date = F.when(F.col("event_id") % 3 != 0, F.lit('"deposit_date":"2021-02-03"')).otherwise("")
+    json = F.concat(F.lit('{"rcsb_accession_info":{'), date, F.lit('},"rcsb_entry_info":{"experimental_method":"EM","molecular_weight":2.5,"polymer_entity_count_protein":2,"disulfide_bond_count":'), k, F.lit("}}"))
+    return S.table(spark, d, "events").select("event_id", facts.entry_facts(json).alias("f")).select("event_id", "f.disulfide_bonds", "f.experimental_method")
+
+
+# --- splits and samples
+
+_BRANDS = "SELECT p_partkey AS id, p_brand AS label, row_number() OVER (PARTITION BY p_brand ORDER BY {order}) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part"
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    return S.domains(spark, d).select(F.col("p_partkey").alias("id"), F.col("brand").alias("label"))
+
+
+@query("ordered_split", f"SELECT id, label, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM ({_BRANDS.format(order='p_partkey')})")
+def ordered_split(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.ordered_split(_brands(spark, d), "label")
+
+
+@query("eval_sample", f"SELECT id, label FROM ({_BRANDS.format(order="md5(p_partkey || '|0'), p_partkey")}) WHERE r <= greatest(1, floor(n * 0.05))")
+def eval_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.eval_sample(_brands(spark, d), "label", share=0.05)
+
+
+@query("balanced_sample", f"SELECT id, label FROM ({_BRANDS.format(order="md5(p_partkey || '|42'), p_partkey")} WHERE p_partkey % 3 != 0) WHERE r <= 20")
+def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = _brands(spark, d)
+    return sampling.balanced_sample(rows.where("id % 3 != 0").select("id"), rows, "label", 20)
+
+
+@query("short_classes", f"SELECT label, count(*) AS n FROM ({_BRANDS.format(order='p_partkey')} WHERE p_partkey % 3 != 0) GROUP BY 1 HAVING count(*) < 55")
+def short_classes(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.short_classes(_brands(spark, d).where("id % 3 != 0"), "label", 55)
+
+
+@query("stratified_split", f"SELECT id, label, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'eval' ELSE 'train' END AS split FROM ({_BRANDS.format(order="md5(p_partkey || '|42'), p_partkey")})")
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified_split(_brands(spark, d), "label", 0.2)
+
+
+@query("chunk", "SELECT id, CAST(floor((r - 1) / ceil(n / 7)) + 1 AS INTEGER) AS part FROM (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS n FROM part)")
+def chunk(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.chunk(_brands(spark, d).select("id"), 7)
+
+
+@query("random_split", "SELECT id, CASE WHEN r <= greatest(1, floor(n * 0.3)) THEN 'test' ELSE 'train' END AS split FROM (SELECT p_partkey AS id, row_number() OVER (ORDER BY md5(p_partkey || '|0'), p_partkey) AS r, count(*) OVER () AS n FROM part)")
+def random_split(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.random_split(_brands(spark, d).select("id"), 0.3, names=("train", "test"))
+
+
+@query("label_index", "SELECT p_brand AS label, CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT p_brand FROM part)")
+def label_index(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.label_index(_brands(spark, d))
+
+
+@query(
+    "class_summary",
+    f"WITH s AS (SELECT label, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'eval' ELSE 'train' END AS split FROM ({_BRANDS.format(order="md5(p_partkey || '|42'), p_partkey")})) "
+    "SELECT coalesce(label, 'ALL') AS class, count(*) AS total, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'eval') AS eval FROM s GROUP BY ROLLUP (label)",
+)
+def class_summary(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.class_summary(sampling.stratified_split(_brands(spark, d), "label", 0.2))
+
+
+@query("drop_small_classes", f"SELECT id, label FROM ({_BRANDS.format(order='p_partkey')}) WHERE n >= 80")
+def drop_small_classes(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.drop_small_classes(_brands(spark, d), "label", 80)
+
+
+@query("drop_half_empty_labels", "SELECT p_partkey AS id, p_brand AS label, CASE WHEN p_partkey < 40 THEN 'train' ELSE 'val' END AS split FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey < 40) AND p_brand IN (SELECT p_brand FROM part WHERE p_partkey >= 40)")
+def drop_half_empty_labels(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.drop_half_empty_labels(_brands(spark, d).withColumn("split", F.when(F.col("id") < 40, "train").otherwise("val")), "label")
+
+
+@query("class_weights", "SELECT p_partkey AS id, p_brand AS label, round(1.0 / count(*) OVER (PARTITION BY p_brand), 6) AS weight FROM part")
+def class_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sampling.with_weights(_brands(spark, d)), "weight")
+
+
+@query("resample_balanced")
+def resample_balanced(spark: SparkSession, d: str) -> DataFrame:
+    rows = _brands(spark, d)
+    return sampling.resample_balanced(rows, rows.count() // 2)
+
+
+@query("split_lists_round_trip", f"WITH s AS (SELECT id, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'eval' ELSE 'train' END AS split FROM ({_BRANDS.format(order="md5(p_partkey || '|42'), p_partkey")})), c AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY id) AS k, count(*) OVER (PARTITION BY split) AS m FROM s) SELECT CAST(id AS VARCHAR) AS id, split, CAST(floor((k - 1) / ceil(m / 3)) + 1 AS INTEGER) AS part FROM c")
+def split_lists_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/lists/{uuid.uuid4().hex}"
+    text.write_split_lists(sampling.stratified_split(_brands(spark, d), "label", 0.2), path, 3)
+    return spark.read.schema("value string, split string, part int").text(path).select(F.col("value").alias("id"), "split", "part")
+
+
+@query("labelled_layout_round_trip", f"SELECT id, label, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM ({_BRANDS.format(order='p_partkey')})")
+def labelled_layout_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/layout/{uuid.uuid4().hex}"
+    text.write_labelled_layout(sampling.ordered_split(_brands(spark, d), "label"), path)
+    return spark.read.schema("id long, split string, label string").parquet(path)
+
+
+@query("training_lists", f"WITH a AS ({_BRANDS.format(order="md5(p_partkey || '|42'), p_partkey")} WHERE p_brand NOT IN ('Brand#1') AND p_partkey % 2 = 0), s AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42'), id) AS k, count(*) OVER (PARTITION BY label) AS m FROM a WHERE r <= 15) SELECT id, label, CASE WHEN k <= greatest(1, floor(m * 0.2)) THEN 'eval' ELSE 'train' END AS split FROM s")
+def training_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = _brands(spark, d)
+    return jobs.training_lists(rows.where("id % 2 = 0").select("id"), rows, "label", 15, 0.2, ["Brand#1"])
+
+
+# --- structures and maps
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return S.residues(spark, d).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return maps.residue_pairs(S.residues(spark, d))
+
+
+def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """Residues of the stand-in as lines of structure files (nitrogen, alpha carbon, carbon), parsed."""
+    rows = S.residues(spark, d).where("structure_id % 10 = 0").withColumn("res", chemistry.to_three_letter(F.col("aa")))
+    line = lambda name, k: F.format_string(f"ATOM  %5d  {name:<3s} %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("res_idx") * 3 + k, "res", F.when(F.col("structure_id") % 20 == 0, "A").otherwise("B"), F.col("res_idx"), F.col("x") + k, "y", "z", F.lit(1.0), F.lit(0.0))
+    atoms = F.array(*[F.struct((F.col("res_idx") * 3 + k).cast("long").alias("line_no"), line(n, k).alias("line")) for k, n in enumerate(("N", "CA", "C"))])
+    lines = rows.select(F.concat(F.lit("in/d"), F.col("structure_id").cast("string"), F.lit(".ent")).alias("path"), F.inline(atoms))
+    return structures.parse_atoms(lines)
+
+
+@query(
+    "parse_structures",
+    f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, res_idx, aa, round(x + 1, 3) AS x, round(z, 3) AS z FROM residues WHERE structure_id % 10 = 0",
+)
+def parse_structures(spark: SparkSession, d: str) -> DataFrame:
+    rows = maps.residue_index(filters.select_chain(_pdb_atoms(spark, d)))
+    return rows.select("structure_id", "res_idx", "aa", F.round("x", 3).alias("x"), F.round("z", 3).alias("z"))
+
+
+@query("sequences", f"WITH {S.RESIDUES_SQL} SELECT structure_id, string_agg(aa, '' ORDER BY res_idx) AS sequence, CAST(count(*) AS INTEGER) AS n FROM residues GROUP BY 1")
+def sequences(spark: SparkSession, d: str) -> DataFrame:
+    return maps.sequence(S.residues(spark, d))
+
+
+@query("select_chain", f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, 3 * count(*) AS atoms FROM residues WHERE structure_id % 20 = 0 GROUP BY 1")
+def select_chain(spark: SparkSession, d: str) -> DataFrame:
+    return filters.select_chain(_pdb_atoms(spark, d), "A").groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"))
+
+
+@query("peptide_sequence")
+def peptide_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return maps.peptide_sequence(_pdb_atoms(spark, d), 20.0)
+
+
+@query("extract_listed_chains", f"WITH {S.RESIDUES_SQL} SELECT 'x' || structure_id AS structure_id, 3 * count(*) AS atoms FROM residues WHERE structure_id % 40 = 0 GROUP BY 1")
+def extract_listed_chains(spark: SparkSession, d: str) -> DataFrame:
+    atoms = _pdb_atoms(spark, d)
+    number = F.substring("structure_id", 2, 20)
+    listed = atoms.where(number.cast("long") % 40 == 0).select(F.col("structure_id").alias("pdb_id"), F.lit("A").alias("chain"), F.concat(F.lit("x"), number).alias("sid"))
+    return joins.extract_listed_chains(listed, atoms).groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"))
+
+
+@query("residue_codes", f"SELECT p_partkey, substr('{S.AA}', CAST(p_partkey % 20 + 1 AS INTEGER), 1) AS one, substr('{S.AA}', CAST(p_partkey % 20 + 1 AS INTEGER), 1) AS back, CASE WHEN p_partkey % 2 = 0 THEN 'M' END AS modified, CASE WHEN p_partkey % 2 = 0 THEN 'SD' ELSE 'SE' END AS atom FROM part")
+def residue_codes(spark: SparkSession, d: str) -> DataFrame:
+    one = F.substring(F.lit(S.AA), (F.col("p_partkey") % 20 + 1).cast("int"), F.lit(1))
+    odd = F.when(F.col("p_partkey") % 2 == 0, "MSE").otherwise("XYZ")
+    return S.table(spark, d, "part").select("p_partkey", one.alias("one"), chemistry.to_one_letter(chemistry.to_three_letter(one)).alias("back"), chemistry.to_one_letter(odd).alias("modified"), chemistry.standard_atom(odd, F.lit("SE")).alias("atom"))
+
+
+@query("residue_pairs", f"WITH {S.PAIRS_SQL} SELECT structure_id, i, j, round(dist, 6) AS dist FROM pairs")
+def residue_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_pairs(spark, d), "dist").select("structure_id", "i", "j", "dist")
+
+
+_HYDRO_SQL = "h AS (SELECT unnest(string_split('F,I,W,L,V,M,Y,C,A,T,H,G,S,Q,R,K,N,E,P,D', ',')) AS aa, unnest([100, 99, 97, 97, 76, 74, 63, 49, 41, 13, 8, 0, -5, -20, -14, -23, -28, -31, -46, -55]) AS h)"
+_CHEM_SQL = f"""{S.PAIRS_SQL}, {_HYDRO_SQL},
+chem AS (SELECT p.*, CASE WHEN dist < 10 THEN abs(abs(a.h) - abs(b.h)) ELSE 0 END::DOUBLE AS hydro FROM pairs p JOIN h a ON a.aa = aa_i JOIN h b ON b.aa = aa_j)"""
+
+
+@query("hydrophobicity", f"WITH {_CHEM_SQL} SELECT structure_id, i, j, hydro FROM chem WHERE hydro > 0")
+def hydrophobicity(spark: SparkSession, d: str) -> DataFrame:
+    return maps.with_hydrophobicity(_pairs(spark, d)).where("hydro > 0").select("structure_id", "i", "j", "hydro")
+
+
+_V1_SQL = f"""{S.PAIRS_SQL}, {_HYDRO_SQL},
+v1 AS (
+  SELECT p.structure_id, p.i, p.j, p.dist, CASE WHEN least(p.dist, t.dist) < 15 THEN abs(abs(a.h) - abs(b.h)) ELSE 0 END::DOUBLE AS hydro,
+    CASE WHEN least(p.dist, t.dist) < 15 AND (instr('RHK', p.aa_i) > 0 AND instr('DE', p.aa_j) > 0 OR instr('DE', p.aa_i) > 0 AND instr('RHK', p.aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS charge,
+    CASE WHEN least(p.dist, t.dist) < 15 AND (instr('RNDQEHKSTY', p.aa_i) > 0) = (instr('RNDQEHKSTY', p.aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS polarity
+  FROM pairs p JOIN sizes s ON s.structure_id = p.structure_id JOIN pairs t ON t.structure_id = p.structure_id AND t.i = s.n - 1 - p.j AND t.j = s.n - 1 - p.i
+  JOIN h a ON a.aa = p.aa_i JOIN h b ON b.aa = p.aa_j)"""
+
+
+@query("contact_maps_v1", f"WITH {_V1_SQL} SELECT structure_id, i, j, hydro, charge, polarity FROM v1")
+def contact_maps_v1(spark: SparkSession, d: str) -> DataFrame:
+    return maps.contact_maps_v1(_pairs(spark, d), _sizes(spark, d)).select("structure_id", "i", "j", "hydro", "charge", "polarity")
+
+
+@query(
+    "normalize_maps",
+    f"""WITH {_CHEM_SQL}, g AS (SELECT structure_id, least(min(dist), 0) AS a, greatest(max(dist), 0) AS b, least(min(hydro), 0) AS c, greatest(max(hydro), 0) AS e FROM chem GROUP BY 1)
+SELECT structure_id, i, j, CASE WHEN b > a THEN CAST(floor((dist - a) * (1 / (b - a) * 255)) AS INTEGER) ELSE 0 END AS dist, CASE WHEN e > c THEN CAST(floor((hydro - c) * (1 / (e - c) * 255)) AS INTEGER) ELSE 0 END AS hydro FROM chem JOIN g USING (structure_id)""",
+)
+def normalize_maps(spark: SparkSession, d: str) -> DataFrame:
+    return maps.normalize_maps(maps.with_hydrophobicity(_pairs(spark, d)), ("dist", "hydro")).select("structure_id", "i", "j", "dist", "hydro")
+
+
+@query("normalize_maps_v1", f"WITH {_CHEM_SQL}, g AS (SELECT structure_id, greatest(max(dist), 0) - least(min(dist), 0) AS a, greatest(max(hydro), 0) - least(min(hydro), 0) AS b FROM chem GROUP BY 1) SELECT structure_id, i, j, round(dist / a, 6) AS dist, round(CASE WHEN b = 0 THEN hydro ELSE hydro / b END, 6) AS hydro FROM chem JOIN g USING (structure_id)")
+def normalize_maps_v1(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(maps.normalize_maps_v1(maps.with_hydrophobicity(_pairs(spark, d))), "dist", "hydro").select("structure_id", "i", "j", "dist", "hydro")
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of every tenth structure; the energy channels are made of the distances by fixed rules."""
+    res = S.residues(spark, d).where("structure_id % 10 = 0")
+    pairs = maps.with_hydrophobicity(maps.residue_pairs(res))
+    pairs = pairs.withColumns({"vdw_att": -F.col("dist"), "vdw_rep": F.col("dist") * 2 - 9, "es_att": -F.col("hydro"), "es_rep": F.col("dist") - F.col("hydro")})
+    sizes = res.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return maps.assemble_map(maps.normalize_maps(pairs), sizes)
+
+
+_PIXELS_SQL = f"""{_CHEM_SQL},
+ch AS (SELECT structure_id, i, j, dist, hydro, -dist AS va, dist * 2 - 9 AS vr, -hydro AS ea, dist - hydro AS er FROM chem WHERE structure_id % 10 = 0),
+lg AS (SELECT structure_id, i, j, unnest(['va', 'vr', 'dist', 'ea', 'er', 'hydro']) AS c, unnest([va, vr, dist, ea, er, hydro]) AS v FROM ch),
+rg AS (SELECT structure_id, c, least(min(v), 0) AS lo, greatest(max(v), 0) AS hi FROM lg GROUP BY 1, 2),
+grid AS (SELECT structure_id, n, r, unnest(range(0, n)) AS k FROM (SELECT structure_id, n, unnest(range(0, n)) AS r FROM sizes WHERE structure_id % 10 = 0)),
+full_ AS (SELECT grid.structure_id, n, r, k, rg.c, CASE WHEN hi > lo THEN CAST(floor((coalesce(v, 0) - lo) * (1 / (hi - lo) * 255)) AS INTEGER) ELSE 0 END AS b
+  FROM grid JOIN rg USING (structure_id) LEFT JOIN lg ON lg.structure_id = grid.structure_id AND lg.i = r AND lg.j = k AND lg.c = rg.c),
+px AS (SELECT a.structure_id AS image_id, a.r AS row, a.k AS col,
+    CAST(sum(CASE WHEN a.c IN ('va', 'ea') THEN a.b END) % 256 AS INTEGER) AS r, CAST(sum(CASE WHEN a.c IN ('vr', 'er') THEN a.b END) % 256 AS INTEGER) AS g, CAST(sum(CASE WHEN a.c IN ('dist', 'hydro') THEN a.b END) % 256 AS INTEGER) AS b
+  FROM (SELECT structure_id, r, k, c, b FROM full_ WHERE c IN ('va', 'vr', 'dist') UNION ALL SELECT structure_id, n - 1 - r, n - 1 - k, c, b FROM full_ WHERE c IN ('ea', 'er', 'hydro')) a GROUP BY 1, 2, 3)"""
+
+
+@query("assemble_map", f"WITH {_PIXELS_SQL} SELECT * FROM px")
+def assemble_map(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d)
+
+
+@query("assemble_map_v1", f"WITH {_V1_SQL} SELECT structure_id AS image_id, j AS row, i AS col, round(dist, 6) AS dist, hydro, charge FROM v1 UNION ALL SELECT v.structure_id, v.i, v.j, round(t.dist, 6), v.hydro, v.charge FROM v1 v JOIN sizes s ON s.structure_id = v.structure_id JOIN v1 t ON t.structure_id = v.structure_id AND t.i = s.n - 1 - v.j AND t.j = s.n - 1 - v.i")
+def assemble_map_v1(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d)
+    return _rounded(maps.assemble_map_v1(maps.contact_maps_v1(_pairs(spark, d), sizes), sizes), "dist").select("image_id", "row", "col", "dist", "hydro", "charge")
+
+
+@query("channel_means", f"WITH {_PIXELS_SQL} SELECT round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM px")
+def channel_means(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(images.channel_means(_pixels(spark, d)), "r", "g", "b")
+
+
+@query(
+    "ablate",
+    f"""WITH {_PIXELS_SQL}, m AS (SELECT CAST(round_even(avg(r), 0) AS INTEGER) AS r, CAST(round_even(avg(g), 0) AS INTEGER) AS g, CAST(round_even(avg(b), 0) AS INTEGER) AS b FROM px),
+k AS (SELECT unnest(['upper', 'upper', 'upper', 'lower', 'lower', 'lower']) AS t, unnest(['r', 'g', 'b', 'r', 'g', 'b']) AS c, unnest(['vdw_attractive', 'vdw_repulsive', 'distance', 'es_attractive', 'es_repulsive', 'hydrophobicity']) AS feature),
+x AS (SELECT px.*, k.*, CASE WHEN t = 'upper' THEN col > row ELSE col < row END AS inside, m.r AS mr, m.g AS mg, m.b AS mb FROM px, k, m)
+SELECT image_id, feature, row, col, CASE WHEN inside AND c = 'r' THEN r ELSE mr END AS r, CASE WHEN inside AND c = 'g' THEN g ELSE mg END AS g, CASE WHEN inside AND c = 'b' THEN b ELSE mb END AS b FROM x""",
+)
+def ablate(spark: SparkSession, d: str) -> DataFrame:
+    pixels = _pixels(spark, d)
+    return images.ablate(pixels, images.channel_means(pixels))
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    packed = maps.pack_pixels(_pixels(spark, d))
+    kind = F.struct("height", "width", F.lit(3).alias("nChannels"), "data")
+    return packed.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), kind.alias("image"))
+
+
+@query("filter_min_image", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, n AS side FROM sizes WHERE structure_id % 10 = 0 AND n >= 40")
+def filter_min_image(spark: SparkSession, d: str) -> DataFrame:
+    return filters.filter_min_image(_pictures(spark, d), 40).select("path", F.col("image.width").cast("long").alias("side"))
+
+
+@query("pad_to_size", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, 48 AS height, 48 AS width, 48 * 48 * 3 AS bytes FROM sizes WHERE structure_id % 10 = 0")
+def pad_to_size(spark: SparkSession, d: str) -> DataFrame:
+    return images.pad_to_size(_pictures(spark, d), 48).select("path", "height", "width", F.octet_length("data").alias("bytes"))
+
+
+@query("image_channel_means", f"WITH {_PIXELS_SQL} SELECT round(avg(r), 6) AS b, round(avg(g), 6) AS g, round(avg(b), 6) AS r FROM px")
+def image_channel_means(spark: SparkSession, d: str) -> DataFrame:
+    """The packed pictures hold red first where the image source has blue: the outer channels come out swapped."""
+    return _rounded(images.image_channel_means(_pictures(spark, d)), "r", "g", "b")
+
+
+@query("image_pixels", f"WITH {_PIXELS_SQL} SELECT image_id || '.png' AS image_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, b AS r, g, r AS b FROM px")
+def image_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return images.to_pixels(_pictures(spark, d))
+
+
+@query("embed_images")
+def embed_images(spark: SparkSession, d: str) -> DataFrame:
+    emb = search.embed(_pictures(spark, d), lambda x: x.reshape(len(x), 3, 8, -1).mean(axis=3).reshape(len(x), -1), "channel bands", 64)
+    return emb.select("item_id", "model", F.round(vectors.norm("vec"), 4).alias("norm"))
+
+
+# --- trajectories
+
+
+def _atom_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return energies.atom_pair_energies(S.frame_atoms(spark, d))
+
+
+_TERMS = ", ".join(f"round({t}, 6) AS {t}" for t in energies.TERMS)
+
+
+@query(
+    "atom_pair_energies",
+    f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, count(*) AS pairs, round(sum(vdw_att), 4) AS vdw_att, round(sum(CASE WHEN es > 0 THEN es ELSE 0 END), 4) AS es_rep FROM ap WHERE other = 'protein' AND r >= 0.1 GROUP BY 1, 2",
+)
+def atom_pair_energies(spark: SparkSession, d: str) -> DataFrame:
+    return _atom_pairs(spark, d).groupBy("structure_id", "frame").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("vdw_att"), 4).alias("vdw_att"), F.round(F.sum("es_rep"), 4).alias("es_rep"))
+
+
+@query("residue_pair_energy", f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, i, j, {_TERMS} FROM pe")
+def residue_pair_energy(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(energies.residue_pair_energy(_atom_pairs(spark, d), S.frame_atoms(spark, d)), *energies.TERMS)
+
+
+@query("residue_solvent_energies", f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, res_idx, round(vdw_solv, 6) AS vdw_solv, round(es_solv, 6) AS es_solv FROM so")
+def residue_solvent_energies(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(energies.residue_solvent_energies(S.frame_atoms(spark, d)), "vdw_solv", "es_solv")
+
+
+@query("subtract_solvent", f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, i, j, {_TERMS} FROM pn")
+def subtract_solvent(spark: SparkSession, d: str) -> DataFrame:
+    atoms = S.frame_atoms(spark, d)
+    pairs = energies.residue_pair_energy(energies.atom_pair_energies(atoms), atoms)
+    return _rounded(energies.subtract_solvent(pairs, energies.residue_solvent_energies(atoms)), *energies.TERMS)
+
+
+@query("frame_energies", f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, i, j, {_TERMS} FROM pn")
+def frame_energies(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(energies.frame_energies(S.frame_atoms(spark, d)), *energies.TERMS)
+
+
+@query("frame_average", f"WITH {S.ATOMS_SQL} SELECT structure_id, i, j, {', '.join(f'round(sum({t}) / 3, 6) AS {t}' for t in energies.TERMS)} FROM pn GROUP BY 1, 2, 3")
+def frame_average(spark: SparkSession, d: str) -> DataFrame:
+    atoms = S.frame_atoms(spark, d)
+    return _rounded(energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms)), *energies.TERMS)
+
+
+@query("build_maps")
+def build_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job from residues and frames to pixels."""
+    return jobs.build_maps(S.residues(spark, d), S.frame_atoms(spark, d))
+
+
+@query("sample_frames", f"WITH {S.LOG_SQL} SELECT run_id, stage, step FROM log WHERE step % 3 = 0")
+def sample_frames(spark: SparkSession, d: str) -> DataFrame:
+    return filters.sample_frames(S.energy_log(spark, d), 3).select("run_id", "stage", "step")
+
+
+@query("atom_kinds", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'protein' WHEN l_returnflag = 'R' THEN 'ion' ELSE 'solvent' END AS kind FROM lineitem WHERE l_returnflag = 'A' OR l_linestatus = 'O'")
+def atom_kinds(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("l_returnflag") == "A", "ALA").when(F.col("l_returnflag") == "R", "MG2+").otherwise("TIP4")
+    rows = S.table(spark, d, "lineitem").withColumn("kind", filters.atom_kind(name, F.col("l_returnflag") == "A"))
+    named = rows.withColumn("res_name", F.when(F.col("l_returnflag") == "A", "ALA").when(F.col("l_linestatus") == "O", "LIG").otherwise(" hoh"))
+    return filters.strip_solvent(named).select("l_orderkey", "l_linenumber", "kind")
+
+
+@query("finite_positions", "SELECT l_suppkey AS structure_id, 0 AS frame, bool_and(l_quantity != 7) AS finite FROM lineitem GROUP BY 1")
+def finite_positions(spark: SparkSession, d: str) -> DataFrame:
+    x = F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    rows = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("structure_id"), F.lit(0).alias("frame"), x.alias("x"), F.col("l_tax").alias("y"), F.col("l_discount").alias("z"))
+    return filters.finite_positions(rows)
+
+
+@query(
+    "energy_stats",
+    f"WITH {S.LOG_SQL}, s AS (SELECT run_id, stage, min_by(energy_kj, step) AS initial, max_by(energy_kj, step) AS final, avg(energy_kj) AS mean, stddev_pop(energy_kj) AS std, min(energy_kj) AS least, max(energy_kj) AS greatest FROM log GROUP BY 1, 2) "
+    "SELECT run_id, stage, round(initial, 6) AS initial, round(final, 6) AS final, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(greatest, 6) AS greatest, round(mean / 100, 6) AS mean_per_atom, std > abs(mean) * 0.05 AS unsteady FROM s",
+)
+def energy_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(energies.energy_stats(S.energy_log(spark, d)), "initial", "final", "mean", "std", "least", "greatest", "mean_per_atom")
+
+
+@query(
+    "energy_checks",
+    f"""WITH {S.LOG_SQL}, p AS (SELECT *, lag(energy_kj) OVER (PARTITION BY run_id, stage ORDER BY step) AS prev FROM log),
+b AS (SELECT *, CASE WHEN stage = 'nvt' OR (stage = 'npt' AND step <= 2) THEN NULL ELSE prev END AS before FROM p WHERE stage != 'production' OR step % 10 = 0)
+SELECT run_id, stage, step, round(energy_kj, 6) AS energy_kj, energy_kj > 0 AS positive, coalesce(before < 0 AND energy_kj - before > abs(before) * 0.1, false) AS rise, coalesce(abs(energy_kj - before) > 100000, false) AS jump,
+       energy_kj / n_atoms > 0 AS positive_per_atom, energy_kj / n_atoms < -50 AS low_per_atom FROM b""",
+)
+def energy_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(energies.energy_checks(S.energy_log(spark, d)), "energy_kj")
+
+
+@query("npt_trend", f"WITH {S.LOG_SQL} SELECT run_id, max_by(energy_kj, step) > min_by(energy_kj, step) AS rose, max_by(energy_kj, step) / 100 > 100 AS exploded FROM log WHERE stage = 'npt' GROUP BY 1")
+def npt_trend(spark: SparkSession, d: str) -> DataFrame:
+    return energies.npt_trend(S.energy_log(spark, d)).select("run_id", "rose", "exploded")
+
+
+@query(
+    "stage_timeline",
+    f"""WITH {S.LOG_SQL}, st AS (SELECT unnest(['npt', 'nvt', 'production']) AS stage, unnest([1, 2, 3]) AS place),
+e AS (SELECT run_id, stage, place, max_by(time_ps, step) AS took, count(*) AS points, max_by(energy_kj, step) - min_by(energy_kj, step) AS change FROM log JOIN st USING (stage) GROUP BY 1, 2, 3),
+o AS (SELECT *, coalesce(sum(CASE WHEN points > 1 THEN took ELSE 0 END) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM e)
+SELECT log.run_id, log.stage, step, round(time_ps + off, 6) AS total_ps, round(change, 6) AS change FROM log JOIN o ON o.run_id = log.run_id AND o.stage = log.stage""",
+)
+def stage_timeline(spark: SparkSession, d: str) -> DataFrame:
+    rows = energies.stage_timeline(S.energy_log(spark, d), ["npt", "nvt", "production"])
+    return _rounded(rows, "total_ps", "change").select("run_id", "stage", "step", "total_ps", "change")
+
+
+# --- reports
+
+
+@query("confusion", f"WITH {S.PREDICTIONS_SQL} SELECT label, CAST(pred AS INTEGER) AS pred, count(*) AS n FROM c GROUP BY 1, 2")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return reports.confusion(S.predictions(spark, d))
+
+
+_REPORT = f"""{S.PREDICTIONS_SQL}, k AS (SELECT label AS class FROM c UNION SELECT pred FROM c),
+t AS (SELECT class, count(*) FILTER (WHERE label = class) AS support, count(*) FILTER (WHERE label = class AND pred = class) AS tp, count(*) FILTER (WHERE pred = class) AS predicted FROM k, c GROUP BY 1),
+u AS (SELECT class, support, tp, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM t),
+v AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM u),
+w AS (SELECT CAST(class AS VARCHAR) AS class, precision, recall, f1, support FROM v
+  UNION ALL SELECT 'macro', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM v
+  UNION ALL SELECT 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM v
+  UNION ALL SELECT 'accuracy', NULL, sum(tp) / sum(support), NULL, CAST(sum(support) AS BIGINT) FROM v)"""
+
+
+@query("classification_report", f"WITH {_REPORT} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM w")
+def classification_report(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(reports.classification_report(S.predictions(spark, d)), "precision", "recall", "f1")
+
+
+_AUC_SQL = f"""{S.PREDICTIONS_SQL}, s AS (SELECT label, unnest(range(0, 10)) AS class, unnest(probs) AS score FROM p),
+rk AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS r FROM s),
+au AS (SELECT class, count(*) FILTER (WHERE label = class) AS pos, count(*) AS n, sum(r) FILTER (WHERE label = class) AS rs FROM rk GROUP BY 1),
+av AS (SELECT CAST(class AS INTEGER) AS class, CASE WHEN pos > 0 AND pos < n THEN (rs - pos * (pos + 1) / 2) / (pos * (n - pos)) END AS auc, pos AS support FROM au)"""
+
+
+@query("auc_ovr", f"WITH {_AUC_SQL} SELECT class, round(auc, 5) AS auc, support FROM av")
+def auc_ovr(spark: SparkSession, d: str) -> DataFrame:
+    return reports.auc_ovr(S.predictions(spark, d)).withColumn("auc", F.round("auc", 5))
+
+
+@query("auc_means", f"WITH {_AUC_SQL} SELECT round(avg(auc), 5) AS macro, round(sum(auc * support) / sum(support), 5) AS weighted FROM av WHERE auc IS NOT NULL")
+def auc_means(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports.auc_means(reports.auc_ovr(S.predictions(spark, d)))
+    return rows.select(F.round("macro", 5).alias("macro"), F.round("weighted", 5).alias("weighted"))
+
+
+@query("cluster")
+def cluster(spark: SparkSession, d: str) -> DataFrame:
+    return reports.cluster(S.embeddings(spark, d), 10)[0]
