@@ -35,17 +35,31 @@ _SCORES = "doc_id long, n_words long, log_score double"
 _SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
 
-def pack(rest: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted integers as their low five bytes, and how many share each higher part."""
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte a count; those of 255 and more follow in eight bytes each."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
+    return out
+
+
+def pack(rest: np.ndarray, parts: int) -> tuple[bytes, bytes]:
+    """Sorted integers as their low five bytes, and how many share each of the `parts` higher parts."""
     low = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8])
-    return low.tobytes(), np.bincount((rest >> np.uint64(_LOW)).astype(np.int64)).astype("<u4").tobytes()
+    return low.tobytes(), pack_counts(np.bincount((rest >> np.uint64(_LOW)).astype(np.int64), minlength=parts))
 
 
-def unpack(low: bytes, parts: bytes) -> np.ndarray:
-    parts = np.frombuffer(parts, "<u4")
+def unpack(low: bytes, packed: bytes, parts: int) -> np.ndarray:
     out = np.zeros((len(low) * 8 // _LOW, 8), np.uint8)
     out[:, : _LOW // 8] = np.frombuffer(low, np.uint8).reshape(-1, _LOW // 8)
-    return out.view("<u8").ravel() + (np.repeat(np.arange(len(parts), dtype=np.uint64), parts) << np.uint64(_LOW))
+    return out.view("<u8").ravel() + (np.repeat(np.arange(parts, dtype=np.uint64), unpack_counts(packed, parts).astype(np.int64)) << np.uint64(_LOW))
+
+
+def n_parts(buckets: int) -> int:
+    return (((1 << _BITS) - 1) // buckets >> _LOW) + 1
 
 
 def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -68,17 +82,6 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return grams, place, first
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte a count; those of 255 and more follow in eight bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
-
-
-def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
-    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
-    return out
-
-
 def _by_bucket(every: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     bucket = (every % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
@@ -96,7 +99,7 @@ def _ask(order: int, buckets: int):  # noqa: ANN202
             if k == 0:
                 every, counts = np.append(every, _ALL), np.append(counts, len(place))
             for b, at in _by_bucket(every, buckets):
-                low, parts = pack(every[at] // np.uint64(buckets))
+                low, parts = pack(every[at] // np.uint64(buckets), n_parts(buckets))
                 for c, x in zip(rows, (b, k, table["block"][0].as_py(), low, parts, pack_counts(counts[at])), strict=True):
                     rows[c].append(x)
         return pa.table(rows, schema=_ASK_ARROW)
@@ -104,14 +107,19 @@ def _ask(order: int, buckets: int):  # noqa: ANN202
     return run
 
 
-def _tell(table: pa.Table) -> pa.Table:
+def _tell(buckets: int):  # noqa: ANN202
     """For one bucket of the count table: the totals of what each block asked for, in the order asked."""
-    asked = [unpack(a, b) for a, b in zip(table["grams"].to_pylist(), table["parts"].to_pylist(), strict=True)]
-    counts = np.concatenate([unpack_counts(c, len(a)) for c, a in zip(table["counts"].to_pylist(), asked, strict=True)])
-    cuts = np.cumsum([len(a) for a in asked])[:-1]
-    _, at = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(at, counts)[at]
-    return pa.table({"block": table["block"], "level": table["level"], "bucket": table["bucket"], "totals": [pack_counts(x) for x in np.split(totals, cuts)]}, schema=_TOLD_ARROW)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = n_parts(buckets)
+        asked = [unpack(a, b, parts) for a, b in zip(table["grams"].to_pylist(), table["parts"].to_pylist(), strict=True)]
+        counts = np.concatenate([unpack_counts(c, len(a)) for c, a in zip(table["counts"].to_pylist(), asked, strict=True)])
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = np.split(np.bincount(at, counts)[at], cuts)
+        return pa.table({"block": table["block"], "level": table["level"], "bucket": table["bucket"], "totals": [pack_counts(x) for x in totals]}, schema=_TOLD_ARROW)
+
+    return run
 
 
 def _score(order: int, buckets: int, alpha: float, min_count: int):  # noqa: ANN202
@@ -150,7 +158,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
     asked = blocks.groupBy("block").applyInArrow(_ask(order, n), _ASK)
-    told = asked.groupBy("bucket").applyInArrow(_tell, _TOLD)
+    told = asked.groupBy("bucket").applyInArrow(_tell(n), _TOLD)
     scores = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, n, alpha, min_count), _SCORES)
     return scores.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 

@@ -135,7 +135,7 @@ def test_language_model(spark, corpus):
 def test_language_model_packing():
     rnd = np.random.default_rng(0)
     x = np.unique(rnd.integers(0, 1 << 52, 5000, dtype=np.uint64))
-    assert (language_model.unpack(*language_model.pack(x)) == x).all()
+    assert (language_model.unpack(*language_model.pack(x, 1 << 12), 1 << 12) == x).all()
     c = np.array([0, 1, 254, 255, 256, 1 << 40], np.uint64)
     assert (language_model.unpack_counts(language_model.pack_counts(c), len(c)) == c).all()
     assert (language_model.unpack_counts(language_model.pack_counts(c[:2]), 2) == c[:2]).all()
