@@ -18,6 +18,8 @@ empty result. A very long text is one document of one block.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +38,12 @@ _SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("lo
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte a count; those of 255 and more follow in eight bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """One byte a count; those of 255 and more follow in eight bytes each. Most counts are small, so deflation pays."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes(), 1)
 
 
-def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
     out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
     out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
     return out
