@@ -86,11 +86,12 @@ def _chunk_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         values = {
             "symbols": symbols / n_words,
             "repeats": repeated / n_words,
-            "dup_lines": np.where(lines_n > 1, dup / lines_n, np.nan),
+            "dup_lines": np.where(lines_n > 3, dup / lines_n, np.nan),
             "length": n_words.astype(float),
             "word_length": chars / n_words,
             "variety": variety,
-            "letters": np.where(n_words >= 30, letters / chars, np.nan),
+            # one address or number weighs much in a short text: there the rule asks for less and never votes against it
+            "letters": np.where(n_words >= 30, letters / chars, np.where(letters >= 0.75 * chars, 1.0, 0.8)),
             "closed_lines": np.where(n_words >= 10, closed / lines_n, np.nan),
         }
         votes = np.stack(
