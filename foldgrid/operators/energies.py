@@ -6,9 +6,12 @@ frame_atoms(structure_id, frame, kind, res_idx, atom_idx, x, y, z, q, sigma, eps
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import chemistry as C
 from ..functions import constants as K
@@ -80,53 +83,78 @@ def frame_counts(frame_atoms: DataFrame) -> DataFrame:
     return frame_atoms.groupBy("structure_id").agg(F.count_distinct("frame").alias("n_frames"))
 
 
-def _one_frame(subtract: bool):  # noqa: ANN202
-    def terms(a: dict, b: dict, strict: bool):  # noqa: ANN202
-        d = [a[c][:, None] - b[c][None, :] for c in "xyz"]
-        r = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        ok = r > K.CLOSEST if strict else r >= K.CLOSEST
-        r = np.where(ok, r, 1.0)
-        s6 = ((a["sigma"][:, None] + b["sigma"][None, :]) / 2 / r) ** 6
-        deep = np.where(ok & (r <= K.LJ_CUTOFF), 4 * np.sqrt(a["epsilon"][:, None] * b["epsilon"][None, :]), 0.0)
-        return -deep * s6, deep * s6 * s6, np.where(ok, K.COULOMB * a["q"][:, None] * b["q"][None, :] / r, 0.0)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["res_idx", "atom_idx"])
-        fields = ("x", "y", "z", "q", "sigma", "epsilon")
-        protein, solvent = pdf[pdf["kind"] == "protein"], pdf[pdf["kind"] != "protein"]
-        all_b = {c: protein[c].to_numpy() for c in fields}
-        water = {c: solvent[c].to_numpy() for c in fields}
-        residues, first, size = np.unique(protein["res_idx"].to_numpy(), return_index=True, return_counts=True)
-        rows, vdw, es = [], np.zeros(len(residues)), np.zeros(len(residues))
-        for k in range(len(residues)):  # one residue against all others: memory is its atoms times the frame's
-            a = {c: v[first[k] : first[k] + size[k]] for c, v in all_b.items()}
-            att, rep, e = terms(a, all_b, False)
-            sums = [np.add.reduceat(x.sum(axis=0), first)[k + 1 :] for x in (att, rep, np.minimum(e, 0), np.maximum(e, 0))]
-            near = np.add.reduceat(((np.hypot(np.hypot(*[a[c][:, None] - all_b[c][None, :] for c in "xy"]), a["z"][:, None] - all_b["z"][None, :])) >= K.CLOSEST).sum(axis=0), first)[k + 1 :]
-            norm = size[k] * size[k + 1 :]
-            rows += [(residues[k], j, *v) for j, n, *v in zip(residues[k + 1 :], near, *[s / norm for s in sums], strict=True) if n]
-            if subtract and len(solvent):
-                att, rep, e = terms(a, water, True)
-                vdw[k], es[k] = (att + rep).sum() / size[k], e.sum() / size[k]
-        out = pd.DataFrame(rows, columns=["i", "j", *TERMS])
-        if subtract and len(out):
-            i, j = np.searchsorted(residues, out["i"]), np.searchsorted(residues, out["j"])
-            out["vdw_att"] -= (vdw[i] + vdw[j]) / 2
-            out["es_att"] -= (es[i] + es[j]) / 2
-        out.insert(0, "frame", key[1])
-        out.insert(0, "structure_id", key[0])
-        return out
+#: Atom pairs that a task holds at once.
+CELLS = 1_000_000
+_FIELDS = ("x", "y", "z", "q", "sigma", "epsilon")
+
+
+def _terms(a: dict, b: dict, strict: bool) -> tuple[np.ndarray, ...]:
+    """Attractive, repulsive and Coulomb terms of every atom of a with every atom of b, 0 where they are too close; and
+    whether they count."""
+    d = [a[c][:, None] - b[c][None, :] for c in "xyz"]
+    r = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    ok = r > K.CLOSEST if strict else r >= K.CLOSEST
+    r = np.where(ok, r, 1.0)
+    s2 = ((a["sigma"][:, None] + b["sigma"][None, :]) / 2 / r) ** 2
+    s6 = s2 * s2 * s2
+    deep = np.where(ok & (r <= K.LJ_CUTOFF), 4 * np.sqrt(a["epsilon"][:, None] * b["epsilon"][None, :]), 0.0)
+    return -deep * s6, deep * s6 * s6, np.where(ok, K.COULOMB * a["q"][:, None] * b["q"][None, :] / r, 0.0), ok
+
+
+def _stretches(size: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Runs of residues whose atoms times `width` stay within CELLS (one residue at least)."""
+    out, first, held = [], 0, 0
+    for k, n in enumerate(size):
+        if held and (held + n) * width > CELLS:
+            out.append((first, k))
+            first, held = k, 0
+        held += n
+    return [*out, (first, len(size))] if len(size) else out
+
+
+def _one_frame(subtract: bool, schema: pa.Schema):  # noqa: ANN202
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        col = {c: table[c].to_numpy() for c in ("res_idx", "atom_idx", *_FIELDS)}
+        protein = pc.equal(table["kind"], "protein").to_numpy()
+        order = np.flatnonzero(protein)[np.lexsort((col["atom_idx"][protein], col["res_idx"][protein]))]
+        atoms, water = {c: col[c][order] for c in _FIELDS}, {c: col[c][~protein] for c in _FIELDS}
+        residues, first, size = np.unique(col["res_idx"][order], return_index=True, return_counts=True)
+        n = len(residues)
+        solvent, found = np.zeros((2, n)), []
+        for lo, hi in _stretches(size, max(len(order), len(water["x"]))):
+            own = {c: v[first[lo] : first[hi - 1] + size[hi - 1]] for c, v in atoms.items()}
+            starts = first[lo:hi] - first[lo]
+            add = lambda m: np.add.reduceat(np.add.reduceat(m, starts, axis=0), first, axis=1)  # noqa: E731, B023
+            att, rep, es, ok = _terms(own, atoms, False)
+            sums = [add(x) for x in (att, rep, np.minimum(es, 0), np.maximum(es, 0))]
+            i, j = np.nonzero(np.triu(add(ok.astype(np.int64)), lo + 1))
+            found.append((i + lo, j, *(m[i, j] / (size[i + lo] * size[j]) for m in sums)))
+            if subtract and len(water["x"]):
+                att, rep, es, _ = _terms(own, water, True)
+                for k, m in enumerate((att + rep, es)):
+                    solvent[k, lo:hi] = np.add.reduceat(m.sum(axis=1), starts) / size[lo:hi]
+        i, j, *values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
+        for k, at in ((0, 0), (2, 1)):
+            values[k] = values[k] - (solvent[at, i] + solvent[at, j]) / 2
+        columns = [residues[i] if n else i, residues[j] if n else j, *values]
+        same = [pa.array([x.as_py()] * len(i), f.type) for x, f in zip(key, schema, strict=False)]
+        return pa.Table.from_arrays([*same, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     return run
 
 
 def frame_energies(frame_atoms: DataFrame, subtract: bool = True) -> DataFrame:
     """Residue-pair energies of each frame by array arithmetic: what atom_pair_energies(), residue_pair_energy(),
-    residue_solvent_energies() and subtract_solvent() give together. One frame is one group."""
+    residue_solvent_energies() and subtract_solvent() give together.
+
+    One frame is one group: its atoms must fit a task, its atom pairs needn't, as they are taken in stretches.
+    """
     kinds = dict(frame_atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame {kinds['frame']}, i int, j int, " + ", ".join(f"{t} double" for t in TERMS)
     columns = ["structure_id", "frame", "kind", "res_idx", "atom_idx", "x", "y", "z", "q", "sigma", "epsilon"]
-    return frame_atoms.select(*columns).groupBy("structure_id", "frame").applyInPandas(_one_frame(subtract), schema)
+    chosen = frame_atoms.select(*[F.col(c).cast("double") if c in _FIELDS else F.col(c) for c in columns])
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    return chosen.groupBy("structure_id", "frame").applyInArrow(_one_frame(subtract, types), schema)
 
 
 def energy_stats(log: DataFrame, unsteady: float = 0.05) -> DataFrame:
