@@ -23,6 +23,16 @@ from pyspark.sql import functions as F
 from .shared import WORD, materialize
 
 
+#: Bits of a document's draw, and of the slices of the draws in which a pattern's words are totalled first.
+DRAW_BITS, SLICE_BITS = 60, 12
+
+
+def seeded_draw(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number of DRAW_BITS bits by seed, id and text: the same on every run and in any SQL engine."""
+    mixed = F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(mixed), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -113,8 +123,7 @@ def mix(
         F.to_json(F.array_sort(F.array_distinct(sources))).alias("member"),
         n_words(F.col("text")).alias("size"),
     )
-    draw = F.xxhash64(F.lit(seed), *([F.col("row.doc_id")] if "doc_id" in docs.columns else []), F.col("row.text"))
-    rows = rows.withColumn("draw", F.shiftrightunsigned(draw, 1))
+    rows = rows.withColumn("draw", seeded_draw(seed, F.col("row.doc_id") if "doc_id" in docs.columns else F.lit(""), F.col("row.text")))
     slim = materialize(rows.select("member", "size", "draw"))
 
     totals = slim.groupBy("member").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
@@ -145,7 +154,7 @@ def _last_draws(planned: DataFrame) -> DataFrame:
 
     Words are totalled by slice of the hash range first, so only the documents of one slice are put in order.
     """
-    open_ = planned.where("rest > 0").withColumn("slice", F.shiftright("draw", 51))
+    open_ = planned.where("rest > 0").withColumn("slice", F.shiftright("draw", DRAW_BITS - SLICE_BITS))
     ahead = Window.partitionBy("member").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = open_.groupBy("member", "slice", "rest").agg(F.sum("size").alias("words"))
     slices = slices.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
@@ -155,5 +164,35 @@ def _last_draws(planned: DataFrame) -> DataFrame:
     # the document at the border goes in when that comes nearer to the words asked for
     fits = F.col("upto") - F.col("size") / 2 <= F.col("rest")
     got = inside.groupBy("member").agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.min("slice").alias("slice"))
-    below = F.shiftleft(F.col("slice"), 51) - 1
+    below = F.shiftleft(F.col("slice"), DRAW_BITS - SLICE_BITS) - 1
     return materialize(got.select("member", F.coalesce("last", below).alias("last")))
+
+
+#: For documents of one source each, where the cheapest flow is the smaller of quota and twice the source's words.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS draw
+  FROM documents),
+s AS (
+  SELECT source, sum(size) AS size, 2.0::DOUBLE * sum(size) AS cap,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT cap / w AS ratio, sum(cap) OVER p AS caps, (SELECT sum(w) FROM s) - sum(w) OVER p AS w_left, lead(cap / w) OVER p AS next
+  FROM s WINDOW p AS (ORDER BY cap / w, source)
+  UNION ALL SELECT 0, 0, sum(w), min(cap / w) FROM s),
+u AS (
+  SELECT min(unit) AS unit
+  FROM (SELECT ratio, next, ((SELECT 1.5::DOUBLE * sum(size) FROM s) - caps) / w_left AS unit FROM o WHERE w_left > 0)
+  WHERE unit >= ratio AND unit <= next),
+t AS (SELECT source, size, least(cap, unit * w) AS target, CAST(least(round_even(least(cap, unit * w), 0), cap) AS BIGINT) AS flow FROM s, u),
+f AS (
+  SELECT d.*, t.size AS source_size, t.target, CASE WHEN t.size > 0 THEN flow // t.size ELSE 0 END AS rounds, CASE WHEN t.size > 0 THEN flow % t.size ELSE 0 END AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY draw RANGE UNBOUNDED PRECEDING) - d.size / 2 AS middle
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+l AS (SELECT source, max(draw) AS last FROM f WHERE rest > 0 AND middle <= rest GROUP BY source)
+SELECT f.doc_id, CAST(f.size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
+       CAST(rounds * f.size + CASE WHEN f.draw <= l.last THEN f.size ELSE 0 END AS BIGINT) AS taken
+FROM f LEFT JOIN l ON l.source IS NOT DISTINCT FROM f.source
+"""
