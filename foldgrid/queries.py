@@ -600,7 +600,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Residues of the stand-in as lines of structure files (nitrogen, alpha carbon, carbon), parsed."""
-    rows = S.residues(spark, d).where("structure_id % 10 = 0").withColumn("res", chemistry.to_three_letter(F.col("aa")))
+    rows = S.residues(spark, d).withColumn("res", chemistry.to_three_letter(F.col("aa")))
     line = lambda name, k: F.format_string(f"ATOM  %5d  {name:<3s} %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("res_idx") * 3 + k, "res", F.when(F.col("structure_id") % 20 == 0, "A").otherwise("B"), F.col("res_idx"), F.col("x") + k, "y", "z", F.lit(1.0), F.lit(0.0))
     atoms = F.array(*[F.struct((F.col("res_idx") * 3 + k).cast("long").alias("line_no"), line(n, k).alias("line")) for k, n in enumerate(("N", "CA", "C"))])
     lines = rows.select(F.concat(F.lit("in/d"), F.col("structure_id").cast("string"), F.lit(".ent")).alias("path"), F.inline(atoms))
@@ -690,8 +690,8 @@ def normalize_maps_v1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels of every tenth structure; the energy channels are made of the distances by fixed rules."""
-    res = S.residues(spark, d).where("structure_id % 10 = 0")
+    """Pixels of all structures; the energy channels are made of the distances by fixed rules."""
+    res = S.residues(spark, d)
     pairs = maps.with_hydrophobicity(maps.residue_pairs(res))
     pairs = pairs.withColumns({"vdw_att": -F.col("dist"), "vdw_rep": F.col("dist") * 2 - 9, "es_att": -F.col("hydro"), "es_rep": F.col("dist") - F.col("hydro")})
     sizes = res.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
