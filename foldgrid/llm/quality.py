@@ -1,6 +1,8 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation estimates how reliable each is,
 and the posterior probability of good quality decides, instead of a demand that every rule passes.
 
+The variety of words is judged by stretches of 1000 words, so that it doesn't fall with the length of a text.
+
 Null texts count as empty: no words, base_failed, not kept. Rows are judged one by one by their text, so null or
 repeated ids, repeated rows and extra columns change nothing. An empty table gives an empty result.
 """
@@ -17,6 +19,7 @@ from .shared import materialize, text_chunks, window_hashes, word_hashes
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes long"
 WINDOW = 5
+STRETCH = 1000
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -51,6 +54,17 @@ def repeat_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
+def variety_of(hashes: np.ndarray) -> float:
+    """Mean share of distinct words in stretches of STRETCH words (shorter texts are one stretch). The words left at the
+    end are judged in the text's last STRETCH words and weigh by their own number, so all stretches are equally long."""
+    n = len(hashes)
+    size = min(n, STRETCH)
+    whole = n // size
+    stretches = np.sort(np.vstack([hashes[: whole * size].reshape(whole, size), hashes[None, n - size :]]), axis=1)
+    share = (1 + (stretches[:, 1:] != stretches[:, :-1]).sum(axis=1)) / size
+    return float((size * share[:-1].sum() + (n - whole * size) * share[-1]) / n)
+
+
 def _between(x: np.ndarray, ends: tuple[float, float]) -> np.ndarray:
     return (x >= ends[0]) & (x <= ends[1])
 
@@ -80,8 +94,8 @@ def _chunk_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             own = np.sort(windows[a : b - WINDOW + 1])
             if (own[1:] == own[:-1]).any():  # equal windows have equal hashes: only then can there be any
                 repeated[i] = repeat_words(text.split())
-        if 20 <= b - a <= 1000:
-            variety[i] = len(np.unique(hashes[a:b])) / (b - a)
+        if b - a >= 20:
+            variety[i] = variety_of(hashes[a:b])
     with np.errstate(divide="ignore", invalid="ignore"):
         values = {
             "symbols": symbols / n_words,

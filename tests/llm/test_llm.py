@@ -101,6 +101,29 @@ def test_quality_finds_junk_and_keeps_prose(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == 300
 
 
+def test_quality_variety_of_long_texts(spark):
+    rnd = random.Random(8)
+    at = [k for k, _, _ in quality.RULES].index("variety")
+    salads = [prose(rnd, n, 120) for n in (1000, 1001, 1500, 30_000)]
+    long = [". ".join(prose(rnd, 12, 5000).capitalize() for _ in range(n)) + "." for n in (80, 84, 2500)]
+    codes = np.array(quality.stats_of(pa.array(salads + long)).field("votes").to_pylist())
+    assert weak.decode(codes, len(quality.RULES))[:, at].tolist() == [-1] * 4 + [0] * 3
+    good = [". ".join(prose(rnd, 12, 5000).capitalize() for _ in range(8)) + "." for _ in range(200)]
+    r = quality.score(docs_of(spark, good + long + salads[:3])).collect()
+    assert all(x.kept == (x.doc_id < 203) for x in r)
+
+
+def test_quality_variety_by_stretches():
+    rnd = np.random.default_rng(6)
+    for n in (20, 999, 1000, 1001, 2000, 3456):
+        words = rnd.integers(0, 300, n)
+        size = min(n, 1000)
+        ends = [*range(size, n + 1, size), *([n] if n % size else [])]
+        own = [size] * (n // size) + [n % size] * (n % size > 0)
+        want = sum(w * len(set(words[e - size : e].tolist())) / size for e, w in zip(ends, own, strict=True)) / n
+        assert quality.variety_of(words) == pytest.approx(want)
+
+
 def test_vote_model_recovers_reliabilities():
     rnd = np.random.default_rng(3)
     y = rnd.random(20_000) < 0.8
