@@ -1,9 +1,10 @@
 """Personal data by weak supervision.
 
-Fixed patterns give the base spans (email, ip, card, phone), which always stay. Beside them, tokens with digits that no
-pattern knows are candidates: labelers by pattern, gazetteer and context vote on each, expectation-maximisation
-estimates how reliable the labelers are, and a logistic classifier of the span's own shape and surroundings, trained
-on the posteriors, decides which candidates are secrets. Votes and features have few values, so what is estimated
+Fixed patterns give the base spans (email, ip, card, phone), which always stay. Beside them, tokens that no pattern knows
+are candidates if they are long and have a digit, or follow an announcing word or an assignment: labelers by pattern,
+gazetteer and context vote on each, expectation-maximisation estimates how reliable the labelers are (those of exact
+forms have stated odds), and a logistic classifier of the span's own shape, formats and surroundings, trained on the
+posteriors, decides which candidates are secrets. Votes and features have few values, so what is estimated
 over all candidates of all texts are counts of their combinations; texts and spans never go to the driver.
 
 Null texts count as empty. Each row is judged by its text (and the corpus-wide estimates), so null or repeated ids and
@@ -39,10 +40,25 @@ _ASSIGNED = re.compile(r"[=:]\s{0,2}[\"'`]?$")
 _ANNOUNCED = re.compile(r"(?i)(?:" + "|".join(ANNOUNCE) + r")\W{0,6}(?:is\W{1,3})?$")
 _PART = re.compile(r"[0-9]+")
 _OUTSIDE = re.compile(r"[^A-Za-z0-9_+/-]")
+_TOKEN = re.compile(r"[A-Za-z0-9_+/-]+")
+_WORDY = re.compile(r"[A-Za-z0-9]")
+_OPENS = re.compile(r"(?i)" + "|".join((*ANNOUNCE, "=", ":")))
+#: Of tokens that nothing announces. After an opening, a token starts within REACH characters: what _ANNOUNCED and _ASSIGNED allow.
 SHORTEST = 9
-
-LABELERS = ("key_format", "national_format", "announced", "assigned", "mixture", "harmless")
-FEATURES = ("digits_third", "long", "upper_only", "lower_only", "letters", "many_switches", "assigned", "announced", "quoted", "dashes")
+REACH = 11
+
+LABELERS = ("key_format", "national_format", "announced", "assigned", "mixture", "harmless", "announced_value")
+#: Outcome shares to start from. Those of the labelers in EXACT stay: few candidates have these forms, and among many dates
+#: or assignments, estimates would take them for chance. A national format hardly ever occurs by chance, so that it needs
+#: no announcement.
+START = np.array([[[0.30, 0.65, 0.05], [0.03, 0.55, 0.42]]] * len(LABELERS))
+EXACT = tuple(LABELERS.index(x) for x in ("national_format", "announced_value"))
+START[EXACT[0]] = [[0.001, 0.99899, 0.00001], [0.001, 0.579, 0.42]]
+START[EXACT[1]] = [[0.001, 0.994, 0.005], [0.001, 0.579, 0.42]]
+FEATURES = (
+    "digits_third", "long", "upper_only", "lower_only", "letters", "many_switches", "assigned", "announced", "quoted", "dashes",
+    "key_format", "national_format", "digit", "announced_value",
+)
 _SCHEMA = "struct<base:array<struct<k:int,s:int,e:int>>,more:array<struct<s:int,e:int,votes:long,shape:int>>>"
 _SPAN = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 _MORE = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("votes", pa.int64()), ("shape", pa.int32())])
@@ -73,9 +89,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _openings(text: str) -> list[int]:
+    """Ends of announcing words and assignment signs."""
+    low = text.lower()
+    if len(low) != len(text):  # some capitals become two characters: places would shift
+        return [m.end() for m in _OPENS.finditer(text)]
+    out = []
+    for word in (*ANNOUNCE, "=", ":"):
+        at = low.find(word)
+        while at >= 0:
+            out.append(at + len(word))
+            at = low.find(word, at + 1)
+    return out
+
+
+def _led(text: str) -> set[tuple[int, int]]:
+    """Tokens of any length that follow an announcing word or an assignment; the "is" between them is none."""
+    out = set()
+    for end in _openings(text):
+        for m in _TOKEN.finditer(text, end):
+            a, b = m.span()
+            if a > end + REACH:
+                break
+            if a == end and not _OUTSIDE.match(text[a - 1]) or not _WORDY.search(m[0]):
+                continue  # the rest of a longer token, or signs only
+            before = text[max(0, a - 32) : a]
+            announced = _ANNOUNCED.search(before)
+            if announced and m[0].lower() == "is":
+                continue
+            if announced or _ASSIGNED.search(before):
+                out.add((a, b))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of SHORTEST or more letters, digits, _ + / - with a digit, apart from the base spans."""
-    taken, out, last = [(s, e) for _, s, e in base], [], 0
+    """Tokens of letters, digits, _ + / - apart from the base spans: those of SHORTEST or more with a digit, and all that
+    an announcing word or an assignment leads to."""
+    taken, last = [(s, e) for _, s, e in base], 0
+    out = {(a, b) for a, b in _led(text) if not any(s < b and a < e for s, e in taken)}
     for m in _PART.finditer(text):
         if m.start() < last:
             continue
@@ -85,8 +136,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         end = _OUTSIDE.search(text, m.end())
         last = end.start() if end else len(text)
         if last - a >= SHORTEST and not any(s < last and a < e for s, e in taken):
-            out.append((a, last))
-    return out
+            out.add((a, last))
+    return sorted(out)
 
 
 def judge(text: str, a: int, b: int) -> tuple[list[int], int]:
@@ -97,17 +148,20 @@ def judge(text: str, a: int, b: int) -> tuple[list[int], int]:
     switches = sum(x.isdigit() != y.isdigit() for x, y in zip(span, span[1:], strict=False))
     assigned, announced = bool(_ASSIGNED.search(before)), bool(_ANNOUNCED.search(before))
     low = span.lower()
+    key, national = bool(_KEY.fullmatch(span) and letters), bool(_NATIONAL.fullmatch(span))
     votes = [
-        1 if _KEY.fullmatch(span) and letters else 0,
-        1 if _NATIONAL.fullmatch(span) else 0,
+        1 if key else 0,
+        1 if national else 0,
         1 if announced else 0,
         1 if assigned else 0,
-        1 if digits >= 3 and letters >= 3 and switches >= 4 else -1 if switches <= 1 else 0,
+        1 if digits >= 3 and letters >= 3 and switches >= 4 else -1 if switches <= 1 and digits and len(span) >= SHORTEST else 0,
         -1 if low.startswith(HARMLESS) or span.count("/") + span.count("-") + span.count("_") > 3 else 0,
+        1 if assigned and announced else 0,
     ]
     shape = (
         3 * digits >= len(span), len(span) >= 16, letters > 0 and span.upper() == span, letters > 0 and low == span, letters > 0,
         switches >= 4, assigned, announced, text[max(0, a - 1) : a] in ('"', "'", "`"), "-" in span or "/" in span,
+        key, national, digits > 0, assigned and announced,
     )
     return votes, sum(1 << k for k, x in enumerate(shape) if x)
 
@@ -125,10 +179,13 @@ def _scan(col: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(base, pa.list_(_SPAN)), pa.array(more, pa.list_(_MORE))], ["base", "more"])
 
 
-def train(shapes: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on feature bits and a constant, against soft labels, by Newton steps on weighted combinations."""
+def train(shapes: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Logistic regression on feature bits and a constant, against soft labels, by Newton steps on weighted combinations.
+
+    The ridge weighs as much as so many candidates, so that rare features count in large inputs, too.
+    """
     x = np.column_stack([np.ones(len(shapes)), (shapes[:, None] >> np.arange(len(FEATURES))) & 1])
-    w, share = np.zeros(x.shape[1]), weight / weight.sum()
+    w, share, ridge = np.zeros(x.shape[1]), weight / weight.sum(), ridge / weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (soft - p)) - ridge * w)
@@ -141,7 +198,7 @@ def train(shapes: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float
 def secret_shapes(scanned: DataFrame) -> list[int]:
     """The feature combinations that the trained classifier takes for secrets, from counts over all candidates.
 
-    At most 3**6 * 2**10 combinations of votes and features can occur, whatever the number of texts.
+    At most 3**7 * 2**14 combinations of votes and features can occur, whatever the number of texts.
     """
     seen = scanned.select(F.inline("scan.more")).groupBy("votes", "shape").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "shape").collect()
     if not seen:
@@ -149,8 +206,7 @@ def secret_shapes(scanned: DataFrame) -> list[int]:
     codes, shapes, n = (np.array([r[k] for r in seen], np.int64) for k in range(3))
     patterns, at = np.unique(codes, return_inverse=True)
     votes = weak.decode(patterns, len(LABELERS))
-    start = np.array([[0.30, 0.65, 0.05], [0.03, 0.55, 0.42]])
-    model = weak.fit(votes, np.bincount(at, n), share=0.5, start=start)
+    model = weak.fit(votes, np.bincount(at, n), share=0.5, start=START, known=EXACT)
     w = train(shapes, model.posterior(votes)[at], n.astype(float))
     every = np.unique(shapes)
     bits = (every[:, None] >> np.arange(len(FEATURES))) & 1

@@ -50,21 +50,23 @@ class VoteModel:
 
 
 def fit(
-    votes: np.ndarray, counts: np.ndarray, share: float = 0.85, weight: float = 0.02, rounds: int = 300, start: np.ndarray = START
-) -> VoteModel:
+    votes: np.ndarray, counts: np.ndarray, share: float = 0.85, weight: float = 0.02, rounds: int = 300, start: np.ndarray = START,
+    known: tuple[int, ...] = (),
+) -> VoteModel:
     """Expectation-maximisation from `share` and `start`, which also count as votes of a `weight` share of the rows.
 
     When a rule abstains says something too, as rules that look for one defect abstain on most bad rows. A negative
     vote never counts for the positive class and a positive vote never against it, which keeps the classes' names.
-    No rows: the starting values.
+    No rows: the starting values. start: of all rules, or of each; that of the rules in `known` stays as it is.
     """
-    model = VoteModel(share, np.repeat(start[None], votes.shape[1], axis=0))
+    start = np.broadcast_to(start, (votes.shape[1], 2, 3))
+    model = VoteModel(share, start)
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # patterns x rules x outcomes
     seen = weight * counts.sum()
     for _ in range(rounds if len(counts) else 0):
         p = model.posterior(votes)
         odds = np.stack(
-            [np.tensordot(counts * x, hot, axes=(0, 0)) + seen * prior for x, prior in zip((1 - p, p), start, strict=True)],
+            [np.tensordot(counts * x, hot, axes=(0, 0)) + seen * prior for x, prior in zip((1 - p, p), (start[:, 0], start[:, 1]), strict=True)],
             axis=1,
         )
         odds /= odds.sum(axis=2, keepdims=True)
@@ -72,6 +74,7 @@ def fit(
         up = np.minimum(odds[:, 0, 2], odds[:, 1, 2])
         odds[:, 0] = np.stack([down, np.maximum(1e-6, 1 - down - up), up], axis=1)
         odds /= odds.sum(axis=2, keepdims=True)
+        odds[list(known)] = start[list(known)]
         new = float(np.clip((counts @ p + seen * share) / (counts.sum() + seen), 1e-6, 1 - 1e-6))
         moved = np.abs(odds - model.odds).max() + abs(new - model.share)
         model = VoteModel(new, odds)

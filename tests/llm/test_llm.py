@@ -200,6 +200,38 @@ def test_personal_data(spark, corpus):
     assert all("secret" in got[len(corpus) + 6 + k].spans for k in range(40))
 
 
+def test_personal_data_candidates():
+    def of(text):
+        return [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))]
+
+    assert of("the password: hunter2, and pwd=correcthorse") == ["hunter2", "correcthorse"]
+    assert of("passport C1234567 or Passwort C1234567") == ["C1234567"]
+    assert of('my secret is "abc" so') == ["abc"]
+    assert of("keyboard passwords token a.b@c.de") == [] and of("plain words 2024-01-15 here") == ["2024-01-15"]
+    assert of("İ password: hunter2") == ["hunter2"] and of("token =") == of("key: -") == []
+
+
+@pytest.mark.parametrize("dates", [100, 3000])
+def test_personal_data_short_and_national(spark, dates):
+    rnd = random.Random(7)
+    digits = lambda n: "".join(rnd.choices("0123456789", k=n))
+    planted = [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(20)]
+    texts = [f"{prose(rnd, 6)} {x} {prose(rnd, 4)}" for x in planted]
+    for name, value in (("password: ", lambda: f"hunter{digits(1)}"), ("pwd = ", lambda: "correcthorse"), ("passport: ", lambda: f"C{digits(7)}"), ("ssn: ", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}")):
+        for _ in range(10):
+            planted.append(value())
+            texts.append(f"{prose(rnd, 5)} {name}{planted[-1]} {prose(rnd, 5)}")
+    texts += [f'{prose(rnd, 3)} token = "{rnd.getrandbits(160):040x}" {prose(rnd, 4)}' for _ in range(40)]
+    clean = len(texts)
+    texts += [f"{prose(rnd, 5)} {rnd.randrange(1990, 2030)}-0{digits(1)}-1{digits(1)} {prose(rnd, 5)}" for _ in range(dates)]
+    texts += [f"note: the {prose(rnd, 5)}, a key matter at 10:{rnd.randrange(10, 60)}" for _ in range(100)]
+    for r in pii.find(docs_of(spark, texts)).collect():
+        got = [texts[r.doc_id][int(a) : int(b)] for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "secret"]
+        if r.doc_id < len(planted):
+            assert got == [planted[r.doc_id]]
+        assert bool(got) == (r.doc_id < clean)
+
+
 # --- mixing
 
 
