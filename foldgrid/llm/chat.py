@@ -29,7 +29,10 @@ _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + "\n
 
 @dataclass(frozen=True)
 class Layout:
-    """Where a record keeps its turns. fields: (role, path) in order; or each: a path of a list, with role and text keys."""
+    """Where a record keeps its turns. fields: (role, path) in order; or each: a path of a list, with role and text keys.
+
+    joined: after the text at a path, and an empty line, comes the text at another path, unless that is empty.
+    """
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
@@ -38,6 +41,7 @@ class Layout:
     text: str = ""
     roles: dict[str, str] = field(default_factory=dict, hash=False)
     optional: tuple[str, ...] = ()
+    joined: dict[str, str] = field(default_factory=dict, hash=False)
 
     def path_sets(self) -> list[frozenset[str]]:
         """The sets of paths under which this layout is known: with and without each optional path."""
@@ -55,7 +59,7 @@ LAYOUTS = (
     Layout("shares", each="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}, optional=("id", "conversations[].weight")),
     Layout("prompt", fields=(("user", "prompt"), ("assistant", "response")), optional=("id",)),
     Layout("completion", fields=(("user", "prompt"), ("assistant", "completion")), optional=("id",)),
-    Layout("instruction", fields=(("system", "system"), ("user", "instruction"), ("assistant", "output")), optional=("id",)),
+    Layout("instruction", fields=(("system", "system"), ("user", "instruction"), ("assistant", "output")), optional=("id", "system", "input"), joined={"instruction": "input"}),
     Layout("question", fields=(("user", "question"), ("assistant", "answer")), optional=("id", "context.source")),
 )
 
@@ -85,6 +89,12 @@ def _at(record: object, path: str) -> object:
     return record
 
 
+def _has(record: dict, path: str) -> bool:
+    above, _, key = path.rpartition(".")
+    owner = _at(record, above) if above else record
+    return isinstance(owner, dict) and key in owner
+
+
 def _text(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
@@ -93,7 +103,12 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
     if layout.each:
         rows = _at(record, layout.each) or []
         return [(layout.roles.get(r := _text(_at(x, layout.role)), r), _text(_at(x, layout.text))) for x in rows]
-    return [(role, _text(_at(record, p))) for role, p in layout.fields if p not in layout.optional or _at(record, p) is not None]
+    out = []
+    for role, p in layout.fields:
+        if p not in layout.optional or _has(record, p):
+            more = _text(_at(record, layout.joined[p])) if p in layout.joined else ""
+            out.append((role, _text(_at(record, p)) + (f"\n\n{more}" if more else "")))
+    return out
 
 
 def escape(text: str) -> str:
@@ -165,8 +180,8 @@ def digest(formatted: Column, mask: Column) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """conv_id and a JSON record for each conversation of rows (conv_id, turn, role, text), in the layout of its kind:
-    prompt and response, system with instruction and output, or a list of messages.
+    """conv_id and a JSON record for each conversation of rows (conv_id, turn, role, text). The layout goes by the roles,
+    and by the number of the conversation among those that suit them, so that all of LAYOUTS occur.
 
     A conversation is one record, however long; turns of equal number go by role, then text.
     """
@@ -174,12 +189,30 @@ def records(rows: DataFrame) -> DataFrame:
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     roles = F.array_join(F.transform("t", lambda x: F.regexp_replace(x["role"], ",", ";")), ",")
     text = lambda k: F.get(F.col("t"), F.lit(k))["text"]
+    kind = lambda n, k: F.pmod(F.coalesce(F.expr("try_cast(conv_id AS bigint)"), F.lit(0)), F.lit(n)) == k
+    json_of = lambda **columns: F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+    def instruction(user: Column, answer: Column, **first: Column) -> Column:
+        """What follows the first empty line of the user's text is the input."""
+        at = F.locate("\n\n", user)
+        split = json_of(**first, instruction=F.substring(user, F.lit(1), at - 1), input=F.substring(user, at + 2, F.length(user)), output=answer)
+        return F.when((at > 0) & (F.length(user) > at + 1), split).otherwise(json_of(**first, instruction=user, output=answer))
+
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    shares = F.transform("t", lambda x: F.struct(name(x["role"]).alias("from"), x["text"].alias("value")))
+    plain = ~F.exists("t", lambda x: x["role"].isin("human", "gpt"))  # names that shares give to other roles
+    pair = roles == "user,assistant"
     return turns.select(
         "conv_id",
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
-        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+        F.when(pair & kind(4, 1), json_of(prompt=text(0), response=text(1)))
+        .when(pair & kind(4, 2), json_of(prompt=text(0), completion=text(1)))
+        .when(pair & kind(4, 3), json_of(question=text(0), answer=text(1)))
+        .when(pair, instruction(text(0), text(1)))
+        .when(roles == "system,user,assistant", instruction(text(1), text(2), system=text(0)))
+        .when(kind(3, 1), json_of(data=F.struct(messages.alias("messages"))))
+        .when(kind(3, 2) & plain, json_of(conversations=shares))
+        .otherwise(json_of(messages=messages))
         .alias("record"),
     )
 

@@ -366,6 +366,31 @@ def test_chat_rows(spark):
     assert all(r.layout is None and r.formatted is None for r in bad)
 
 
+def test_chat_instruction_layouts():
+    known = chat.registry()
+    both = [("user", "add\n\n1 2"), ("assistant", "3")]
+    cases = [
+        ({"instruction": "add", "output": "3"}, [("user", "add"), ("assistant", "3")]),
+        ({"instruction": "add", "input": "1 2", "output": "3"}, both),
+        ({"id": 1, "instruction": "add", "input": "", "output": "3"}, [("user", "add"), ("assistant", "3")]),
+        ({"system": "s", "instruction": "add", "input": "1 2", "output": "3"}, [("system", "s"), *both]),
+        ({"system": None, "instruction": "add", "output": None}, [("system", ""), ("user", "add"), ("assistant", "")]),
+    ]
+    for record, turns in cases:
+        layout = known[chat.fingerprint(chat.paths(record))]
+        assert layout.name == "instruction" and chat.turns_of(record, layout) == turns
+
+
+def test_chat_records_draw_on_all_layouts(spark):
+    kinds = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["human", "gpt", "user"], ["tool"]]
+    texts = ["a", "", "a\n\nb", "\n\nb", "a\n\n", "a\n\n\nb\n\n", "<|im_end|>"]
+    want = {n: [(r, texts[(n + k) % 7]) for k, r in enumerate(kinds[n % 5])] for n in range(-3, 420)}
+    data = [(n, k, r, t) for n, turns in want.items() for k, (r, t) in enumerate(turns)]
+    got = chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id: chat.read(r.formatted) for r in got} == want
+    assert {r.layout for r in got} == {x.name for x in chat.LAYOUTS}
+
+
 # --- urls
 
 
