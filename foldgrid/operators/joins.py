@@ -60,10 +60,11 @@ def in_classification(listed: DataFrame, domains: DataFrame, files: DataFrame) -
 
 def match_prefix(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(path, prefix) of every file whose name starts with a prefix: one equi-join on the beginnings of the lengths that
-    prefixes have (a few dozen at most, as names are short), so no pair of names is compared."""
-    lengths = prefixes.select(F.length("prefix").alias("n")).where("n > 0").distinct().limit(256)
-    sizes = lengths.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    prefixes have, up to the longest name's, so no pair of names is compared."""
     name = ids.basename(F.col("path"))
+    longest = files.agg(F.max(F.length(name)).alias("longest"))
+    lengths = prefixes.select(F.length("prefix").alias("n")).where("n > 0").distinct()
+    sizes = lengths.join(F.broadcast(longest), F.col("n") <= F.col("longest")).agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     begun = files.crossJoin(F.broadcast(sizes)).select("path", name.alias("name"), F.explode("sizes").alias("n")).where(F.length("name") >= F.col("n"))
     begun = begun.select("path", F.expr("substring(name, 1, n)").alias("prefix"))
     return begun.join(prefixes.select("prefix").distinct(), "prefix")

@@ -154,6 +154,15 @@ def test_prefixes(spark):
     assert [r.prefix for r in joins.unmatched_prefixes(got, prefixes).collect()] == ["zz"]
 
 
+def test_prefixes_of_many_lengths(spark):
+    name = "a" * 300
+    files = spark.createDataFrame([(f"x/{name}",), ("x/ab",)], "path string")
+    prefixes = spark.createDataFrame([(name[:n],) for n in range(1, 301)] + [("a" * 301,)], "prefix string")
+    got = joins.match_prefix(files, prefixes)
+    assert sorted((r.path, r.prefix) for r in got.collect()) == sorted([("x/ab", "a")] + [(f"x/{name}", name[:n]) for n in range(1, 301)])
+    assert [r.prefix for r in joins.unmatched_prefixes(got, prefixes).collect()] == ["a" * 301]
+
+
 def test_first_label_and_images(spark):
     annotations = spark.createDataFrame([("d1", "b", 0), ("d1", "a", 1)], "SCOPeID string, fold string, line int")
     pictures = spark.createDataFrame([("p/d1.png",), ("p/d2.png",)], "path string")
