@@ -6,7 +6,8 @@ that differ by at most `e`. So q-gram hits are counted in overlapping diagonal b
 verified by a banded alignment of the whole item against the text around.
 
 The items are the small side: their characters are counted first, and beyond `MAX_CHARS` they are taken in several
-passes, none of which sends more than that to the executors. Texts are read whole and never shuffled.
+passes, none of which holds more than that on the driver or sends it to the executors: with several passes, each one's
+result is written before the next pass's items are collected. Texts are read whole and never shuffled.
 
 Null and empty texts hold no item; items that are null or have no letter or digit are found nowhere. Equal items are
 all reported. Rows are judged one by one by their text, so null or repeated ids, repeated rows and extra columns
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, text_chunks
+from .shared import materialize, mix, text_chunks
 
 #: Folded characters of items in one pass.
 MAX_CHARS = 8_000_000
@@ -93,13 +94,17 @@ class Items:
             step = self.edits[it] + 1
             shift = int(self.size.max()) + 1  # diagonals may start before the text
             band = (diagonal + shift) // step
-            key = np.concatenate([((where * len(self.chars) + it) << 32) + band, ((where * len(self.chars) + it) << 32) + band - 1])
-            key, n = np.unique(key, return_counts=True)
-            it = (key >> 32) % len(self.chars)
+            where, it, band = np.tile(where, 2), np.tile(it, 2), np.concatenate([band, band - 1])
+            order = np.lexsort((band, it, where))  # three arrays: packed in one number they could overflow
+            where, it, band = where[order], it[order], band[order]
+            new = np.ones(len(band), bool)
+            new[1:] = (where[1:] != where[:-1]) | (it[1:] != it[:-1]) | (band[1:] != band[:-1])
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(band)))
+            where, it, band = where[start], it[start], band[start]
             enough = n >= self.need[it]
-            key, it = key[enough], it[enough]
-            low = (key & 0xFFFFFFFF) * (self.edits[it] + 1) - shift
-            out.append(np.stack([(key >> 32) // len(self.chars), it, low], axis=1))
+            where, it, band = where[enough], it[enough], band[enough]
+            out.append(np.stack([where, it, band * (self.edits[it] + 1) - shift], axis=1))
         return out
 
     def align(self, jobs: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int]]:
@@ -180,28 +185,37 @@ def _finder(texts: list[str | None], rate: float, q: int):  # noqa: ANN202
     return F.arrow_udf(find, _HITS).asNondeterministic()
 
 
-def _passes(items: DataFrame, max_chars: int) -> list[list[tuple]]:
-    """(id, text) of the items in passes of at most about `max_chars` characters (one item at least)."""
+def _passes(items: DataFrame, max_chars: int) -> list[DataFrame]:
+    """The items in passes of about `max_chars` characters at most (one item at least)."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // max_chars) or 1
     part = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [[tuple(r) for r in items.where(part == k).select("item_id", "text").orderBy("item_id", "text").collect()] for k in range(parts)]
+    return [items.where(part == k) for k in range(parts)]
+
+
+def _collected(items: DataFrame) -> list[tuple]:
+    """(id, text) of the items of one pass."""
+    return [tuple(r) for r in items.select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
 def hits(docs: DataFrame, items: DataFrame, rate: float = 0.1, q: int = 8, max_chars: int = MAX_CHARS) -> DataFrame:
     """doc_id, item_id, start (in the folded text, about), edits: every document with every item that it holds."""
-    out = None
-    for chunk in _passes(items, max_chars):
+    out, passes = None, _passes(items, max_chars)
+    for some in passes:
+        chunk = _collected(some)
         found = docs.select("doc_id", F.explode(_finder([t for _, t in chunk], rate, q)(F.col("text"))).alias("h"))
         ids = F.array(*[F.lit(i).cast("long") for i, _ in chunk]) if chunk else F.array().cast("array<long>")
         part = found.select("doc_id", F.get(ids, F.col("h.item")).alias("item_id"), F.col("h.start").cast("long").alias("start"), F.col("h.edits").cast("long").alias("edits"))
+        part = materialize(part) if len(passes) > 1 else part
         out = part if out is None else out.union(part)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, q: int = 8, max_chars: int = MAX_CHARS) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    for chunk in _passes(items, max_chars):
-        found: Column = F.size(_finder([t for _, t in chunk], rate, q)(F.col("text")))
+    passes = _passes(items, max_chars)
+    for some in passes:
+        found: Column = F.size(_finder([t for _, t in _collected(some)], rate, q)(F.col("text")))
         docs = docs.select(F.struct("*").alias("row"), found.alias("n")).where("n = 0").select("row.*")
+        docs = materialize(docs) if len(passes) > 1 else docs
     return docs

@@ -312,6 +312,27 @@ def test_decontamination(spark):
     assert decontaminate.hits(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_bands_of_many_documents_and_items():
+    items = decontaminate.Items(["the quick brown fox jumps", "over the lazy dog again", "and once more from here"], 0.1, 8)
+    chars = np.concatenate([items.chars[1], items.chars[2]])
+    for d in (0, 1 << 30, 1 << 40):
+        doc = np.repeat([d, d + 1], [len(items.chars[1]), len(items.chars[2])])
+        assert {(int(a), int(b)) for a, b, _ in np.concatenate(items.bands(chars, doc))} == {(d, 1), (d + 1, 2)}
+
+
+def test_decontamination_holds_one_pass(spark, monkeypatch):
+    rnd, log = random.Random(12), []
+    item = [prose(rnd, 25) for _ in range(8)]
+    bench = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
+    docs = docs_of(spark, [*item[:4], prose(rnd, 40)])
+    collected, write = decontaminate._collected, decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "_collected", lambda x: log.append("collect") or collected(x))
+    monkeypatch.setattr(decontaminate, "materialize", lambda x: log.append("write") or write(x))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench, max_chars=400).collect()} == {(k, k) for k in range(4)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench, max_chars=400).collect()] == [4]
+    assert len(log) > 4 and log == ["collect", "write"] * (len(log) // 2)
+
+
 # --- tokens
 
 
