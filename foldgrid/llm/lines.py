@@ -1,8 +1,8 @@
-"""Deletion of runs of lines that repeat an earlier run, by winnowing over line hashes. DataFrame functions only.
+"""Deletion of runs of lines that repeat an earlier run, by hashes of all windows of lines. DataFrame functions only.
 
 A run is `min_lines` or more consecutive lines, or one line of `min_words` words or more. Every window of `min_lines`
-line hashes is represented by its smallest hash, the fingerprint: two equal runs have equal windows and so share
-fingerprints at the same places. Windows meet by fingerprint and content; the first place of each stays, and later
+line hashes is kept (none is left out by winnowing; its smallest hash is only a second key): two equal runs have equal
+windows. Windows meet by that key and content; the first place of each stays, and later
 places that follow one another in a document extend to maximal runs in both directions, which are deleted.
 
 Earlier means a smaller doc_id (nulls last), then a smaller hash of the text, then a smaller line number; a run may
