@@ -609,7 +609,7 @@ def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "parse_structures",
-    f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, res_idx, aa, round(x + 1, 3) AS x, round(z, 3) AS z FROM residues WHERE structure_id % 10 = 0",
+    f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, res_idx, aa, round(x + 1, 3) AS x, round(z, 3) AS z FROM residues",
 )
 def parse_structures(spark: SparkSession, d: str) -> DataFrame:
     rows = maps.residue_index(filters.select_chain(_pdb_atoms(spark, d)))
@@ -662,12 +662,16 @@ def hydrophobicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 _V1_SQL = f"""{S.PAIRS_SQL}, {_HYDRO_SQL},
+sides AS MATERIALIZED (SELECT p.*, s.n - 1 - p.i AS far_i, s.n - 1 - p.j AS far_j FROM pairs p JOIN sizes s ON s.structure_id = p.structure_id),
+half AS MATERIALIZED (SELECT p.*, c.x, c.y, c.z FROM sides p JOIN residues c ON c.structure_id = p.structure_id AND c.res_idx = p.far_j),
+turns AS MATERIALIZED (
+  SELECT p.*, sqrt((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y) + (p.z - e.z) * (p.z - e.z)) AS turned
+  FROM half p JOIN residues e ON e.structure_id = p.structure_id AND e.res_idx = p.far_i),
 v1 AS (
-  SELECT p.structure_id, p.i, p.j, p.dist, CASE WHEN least(p.dist, t.dist) < 15 THEN abs(abs(a.h) - abs(b.h)) ELSE 0 END::DOUBLE AS hydro,
-    CASE WHEN least(p.dist, t.dist) < 15 AND (instr('RHK', p.aa_i) > 0 AND instr('DE', p.aa_j) > 0 OR instr('DE', p.aa_i) > 0 AND instr('RHK', p.aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS charge,
-    CASE WHEN least(p.dist, t.dist) < 15 AND (instr('RNDQEHKSTY', p.aa_i) > 0) = (instr('RNDQEHKSTY', p.aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS polarity
-  FROM pairs p JOIN sizes s ON s.structure_id = p.structure_id JOIN pairs t ON t.structure_id = p.structure_id AND t.i = s.n - 1 - p.j AND t.j = s.n - 1 - p.i
-  JOIN h a ON a.aa = p.aa_i JOIN h b ON b.aa = p.aa_j)"""
+  SELECT structure_id, i, j, dist, turned, CASE WHEN least(dist, turned) < 15 THEN abs(abs(a.h) - abs(b.h)) ELSE 0 END::DOUBLE AS hydro,
+    CASE WHEN least(dist, turned) < 15 AND (instr('RHK', aa_i) > 0 AND instr('DE', aa_j) > 0 OR instr('DE', aa_i) > 0 AND instr('RHK', aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS charge,
+    CASE WHEN least(dist, turned) < 15 AND (instr('RNDQEHKSTY', aa_i) > 0) = (instr('RNDQEHKSTY', aa_j) > 0) THEN 1 ELSE 0 END::DOUBLE AS polarity
+  FROM turns JOIN h a ON a.aa = aa_i JOIN h b ON b.aa = aa_j)"""
 
 
 @query("contact_maps_v1", f"WITH {_V1_SQL} SELECT structure_id, i, j, hydro, charge, polarity FROM v1")
@@ -699,10 +703,10 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PIXELS_SQL = f"""{_CHEM_SQL},
-ch AS (SELECT structure_id, i, j, dist, hydro, -dist AS va, dist * 2 - 9 AS vr, -hydro AS ea, dist - hydro AS er FROM chem WHERE structure_id % 10 = 0),
+ch AS (SELECT structure_id, i, j, dist, hydro, -dist AS va, dist * 2 - 9 AS vr, -hydro AS ea, dist - hydro AS er FROM chem),
 lg AS (SELECT structure_id, i, j, unnest(['va', 'vr', 'dist', 'ea', 'er', 'hydro']) AS c, unnest([va, vr, dist, ea, er, hydro]) AS v FROM ch),
 rg AS (SELECT structure_id, c, least(min(v), 0) AS lo, greatest(max(v), 0) AS hi FROM lg GROUP BY 1, 2),
-grid AS (SELECT structure_id, n, r, unnest(range(0, n)) AS k FROM (SELECT structure_id, n, unnest(range(0, n)) AS r FROM sizes WHERE structure_id % 10 = 0)),
+grid AS (SELECT structure_id, n, r, unnest(range(0, n)) AS k FROM (SELECT structure_id, n, unnest(range(0, n)) AS r FROM sizes)),
 full_ AS (SELECT grid.structure_id, n, r, k, rg.c, CASE WHEN hi > lo THEN CAST(floor((coalesce(v, 0) - lo) * (1 / (hi - lo) * 255)) AS INTEGER) ELSE 0 END AS b
   FROM grid JOIN rg USING (structure_id) LEFT JOIN lg ON lg.structure_id = grid.structure_id AND lg.i = r AND lg.j = k AND lg.c = rg.c),
 px AS (SELECT a.structure_id AS image_id, a.r AS row, a.k AS col,
@@ -715,7 +719,7 @@ def assemble_map(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d)
 
 
-@query("assemble_map_v1", f"WITH {_V1_SQL} SELECT structure_id AS image_id, j AS row, i AS col, round(dist, 6) AS dist, hydro, charge FROM v1 UNION ALL SELECT v.structure_id, v.i, v.j, round(t.dist, 6), v.hydro, v.charge FROM v1 v JOIN sizes s ON s.structure_id = v.structure_id JOIN v1 t ON t.structure_id = v.structure_id AND t.i = s.n - 1 - v.j AND t.j = s.n - 1 - v.i")
+@query("assemble_map_v1", f"WITH {_V1_SQL} SELECT structure_id AS image_id, j AS row, i AS col, round(dist, 6) AS dist, hydro, charge FROM v1 UNION ALL SELECT structure_id, i, j, round(turned, 6), hydro, charge FROM v1")
 def assemble_map_v1(spark: SparkSession, d: str) -> DataFrame:
     sizes = _sizes(spark, d)
     return _rounded(maps.assemble_map_v1(maps.contact_maps_v1(_pairs(spark, d), sizes), sizes), "dist").select("image_id", "row", "col", "dist", "hydro", "charge")
@@ -730,12 +734,17 @@ def channel_means(spark: SparkSession, d: str) -> DataFrame:
     "ablate",
     f"""WITH {_PIXELS_SQL}, m AS (SELECT CAST(round_even(avg(r), 0) AS INTEGER) AS r, CAST(round_even(avg(g), 0) AS INTEGER) AS g, CAST(round_even(avg(b), 0) AS INTEGER) AS b FROM px),
 k AS (SELECT unnest(['upper', 'upper', 'upper', 'lower', 'lower', 'lower']) AS t, unnest(['r', 'g', 'b', 'r', 'g', 'b']) AS c, unnest(['vdw_attractive', 'vdw_repulsive', 'distance', 'es_attractive', 'es_repulsive', 'hydrophobicity']) AS feature),
-x AS (SELECT px.*, k.*, CASE WHEN t = 'upper' THEN col > row ELSE col < row END AS inside, m.r AS mr, m.g AS mg, m.b AS mb FROM px, k, m)
-SELECT image_id, feature, row, col, CASE WHEN inside AND c = 'r' THEN r ELSE mr END AS r, CASE WHEN inside AND c = 'g' THEN g ELSE mg END AS g, CASE WHEN inside AND c = 'b' THEN b ELSE mb END AS b FROM x""",
+x AS (SELECT px.*, k.*, CASE WHEN t = 'upper' THEN col > row ELSE col < row END AS inside, m.r AS mr, m.g AS mg, m.b AS mb FROM px, k, m),
+y AS (SELECT image_id, feature, row, col, CASE WHEN inside AND c = 'r' THEN r ELSE mr END AS r, CASE WHEN inside AND c = 'g' THEN g ELSE mg END AS g, CASE WHEN inside AND c = 'b' THEN b ELSE mb END AS b FROM x)
+SELECT image_id, feature, count(*) AS n, md5(string_agg(r || ',' || g || ',' || b, ';' ORDER BY row, col)) AS rgb FROM y GROUP BY 1, 2""",
 )
 def ablate(spark: SparkSession, d: str) -> DataFrame:
+    """All pixels of every variant, as one digest a variant."""
     pixels = _pixels(spark, d)
-    return images.ablate(pixels, images.channel_means(pixels))
+    variants = images.ablate(pixels, images.channel_means(pixels))
+    placed = F.array_sort(F.collect_list(F.struct("row", "col", F.concat_ws(",", "r", "g", "b").alias("rgb"))))
+    joined = F.md5(F.array_join(F.transform("p", lambda x: x["rgb"]), ";"))
+    return variants.groupBy("image_id", "feature").agg(placed.alias("p")).select("image_id", "feature", F.size("p").cast("long").alias("n"), joined.alias("rgb"))
 
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
@@ -744,12 +753,12 @@ def _pictures(spark: SparkSession, d: str) -> DataFrame:
     return packed.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), kind.alias("image"))
 
 
-@query("filter_min_image", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, n AS side FROM sizes WHERE structure_id % 10 = 0 AND n >= 40")
+@query("filter_min_image", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, n AS side FROM sizes WHERE n >= 40")
 def filter_min_image(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_min_image(_pictures(spark, d), 40).select("path", F.col("image.width").cast("long").alias("side"))
 
 
-@query("pad_to_size", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, 48 AS height, 48 AS width, 48 * 48 * 3 AS bytes FROM sizes WHERE structure_id % 10 = 0")
+@query("pad_to_size", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, 48 AS height, 48 AS width, 48 * 48 * 3 AS bytes FROM sizes")
 def pad_to_size(spark: SparkSession, d: str) -> DataFrame:
     return images.pad_to_size(_pictures(spark, d), 48).select("path", "height", "width", F.octet_length("data").alias("bytes"))
 

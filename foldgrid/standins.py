@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.common import scratch_dir
-from .operators.filters import LEVELS, with_levels
+from .operators.filters import LEVELS as LEVELS
+from .operators.filters import with_levels
 
 STAGES = ["click", "view", "purchase", "error", "login"]
 AA = "ARNDCQEGHILKMFPSTWYV"
@@ -69,7 +70,7 @@ def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RESIDUES_SQL = f"""residues AS (
+RESIDUES_SQL = f"""residues AS MATERIALIZED (
   SELECT l_orderkey // 10 AS structure_id,
          row_number() OVER (PARTITION BY l_orderkey // 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS res_idx,
          substr('{AA}', CAST(l_partkey % 20 + 1 AS INTEGER), 1) AS aa, l_quantity AS x, l_extendedprice / 2000 AS y, l_discount * 100 AS z
@@ -77,10 +78,10 @@ RESIDUES_SQL = f"""residues AS (
 sizes AS (SELECT structure_id, count(*) AS n FROM residues GROUP BY 1)"""
 
 PAIRS_SQL = RESIDUES_SQL + """,
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a.structure_id, a.res_idx AS i, b.res_idx AS j, a.aa AS aa_i, b.aa AS aa_j,
          sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist
-  FROM residues a JOIN residues b ON a.structure_id = b.structure_id AND a.res_idx < b.res_idx)"""
+  FROM residues a JOIN residues b ON a.structure_id = b.structure_id WHERE b.res_idx - a.res_idx > 0)"""
 
 
 def frame_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,5 +187,3 @@ def text_files(lines: DataFrame, column: str = "value") -> str:
     lines.select(F.col(column).alias("value")).write.text(path)
     return path
 
-
-__all__ = [n for n in dir() if n[0] != "_"] + ["LEVELS"]
