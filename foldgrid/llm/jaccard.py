@@ -4,11 +4,13 @@
 2. Hash buckets of the n-grams count in how many sets each occurs. An n-gram of one set alone links nothing, so a set
    goes on with the n-grams that it shares, and goes no further when its unshared ones alone rule out every link.
 3. A set is filed under its rarest n-grams, as many as any link must touch (sorted by number of sets, then hash).
-4. The sets under one n-gram form a signature tree: leaves and inner nodes hold the OR of their sets' bitmaps and their
-   size ranges. A dual traversal drops node pairs whose largest possible overlap is too small, or that are already
-   of one component. Files with more sets than `LARGE` are dealt out as pairs of blocks.
-5. What remains is compared exactly. The first pass takes only a spanning choice of candidates from each tree, so large
-   groups of near copies give few pairs; the second takes every candidate that would still join two components.
+4. The sets under one n-gram form a signature tree: sets of like min-hashes share leaves; leaves and inner nodes hold the
+   OR of their sets' bitmaps and their size ranges. A dual traversal drops node pairs whose largest possible overlap is
+   too small. Files with more sets than `LARGE` are dealt out as pairs of blocks.
+5. The first pass takes a spanning choice of candidates from each tree, the likeliest first, and compares them exactly, so
+   large groups of near copies give few pairs. The second pass takes only the files in which components still meet: their
+   sets' n-grams go to the files once a bucket, every pair that the tree leaves is compared there, and only links that
+   join two components leave the task. So neither pass emits more pairs than it reads rows.
 
 Two sets are taken for equal, and two n-grams, when their 64-bit hashes are. Null and empty texts, and texts without a
 word, have an empty set and link with nothing. Rows with a null id link like others; they count in no minimum, and a
@@ -180,16 +182,25 @@ def _gather(percent: int):  # noqa: ANN202
     return run
 
 
-def signature(toks: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WIDTH, np.uint8)
-    bits[toks % np.uint64(WIDTH)] = 1
+def signature(toks: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[toks % np.uint64(width)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
-_FILED = "token long, block int, other int, own int, key long, n long, m long, bits binary"
+_FILED = "token long, block int, other int, own int, key long, n long, m long, like long, bits binary"
 _FILED_ARROW = pa.schema(
-    [("token", pa.int64()), ("block", pa.int32()), ("other", pa.int32()), ("own", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("bits", pa.binary())]
-)
+    [
+        ("token", pa.int64()), ("block", pa.int32()), ("other", pa.int32()), ("own", pa.int32()), ("key", pa.int64()),
+        ("n", pa.int64()), ("m", pa.int64()), ("like", pa.int64()), ("bits", pa.binary()),
+    ]
+)
+_SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 4, dtype=np.uint64)
+
+
+def likeness(toks: np.ndarray) -> int:
+    """Four short min-hashes in one number: sets that share most n-grams mostly share the first, so sorting brings them together."""
+    return int.from_bytes(b"".join(int(mix(toks ^ seed).min() >> np.uint64(48)).to_bytes(2, "big") for seed in _SEEDS), "big", signed=True)
 
 
 def _file(large: int):  # noqa: ANN202
@@ -199,12 +210,12 @@ def _file(large: int):  # noqa: ANN202
         out: dict[str, list] = {c: [] for c in _FILED_ARROW.names}
         for key, n, prefix, toks, dfs in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             toks, dfs = np.frombuffer(toks, np.uint64), np.frombuffer(dfs, np.uint32)
-            bits = signature(toks).tobytes()
+            bits, like = signature(toks).tobytes(), likeness(toks)
             for tok, df in zip(toks[:prefix].view(np.int64).tolist(), dfs[:prefix].tolist(), strict=True):
                 blocks = 1 if df <= large else -(-2 * df // large)
                 own = key % blocks
                 for other in range(blocks):
-                    for name, x in zip(out, (tok, min(own, other), max(own, other), own, key, n, len(toks), bits), strict=True):
+                    for name, x in zip(out, (tok, min(own, other), max(own, other), own, key, n, len(toks), like, bits), strict=True):
                         out[name].append(x)
         yield _batch(_FILED_ARROW, out)
 
@@ -212,7 +223,7 @@ def _file(large: int):  # noqa: ANN202
 
 
 class Tree:
-    """Sets of one file by size, in leaves of LEAF and inner nodes of FAN: OR of the bitmaps, ranges of sizes."""
+    """Sets of one file in the order given, in leaves of LEAF and inner nodes of FAN: OR of the bitmaps, ranges of sizes."""
 
     def __init__(self, n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> None:
         self.n, self.m, self.bits, self.pop = n, m, bits, np.bitwise_count(bits).sum(axis=1).astype(np.int64)
@@ -242,10 +253,6 @@ class Tree:
         fits = (100 * x["high"][a] >= percent * x["low"][b]) & (100 * x["high"][b] >= percent * x["low"][a])
         return fits & ((100 + percent) * over >= percent * (x["low"][a] + x["low"][b]))
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Which of the pairs of sets may link."""
-        return may_link(self.n[i], self.n[j], self.m[i], self.m[j], self.bits[i], self.bits[j], percent)
-
     def leaf_pairs(self, percent: int) -> Iterator[tuple[int, int]]:
         """Dual traversal: pairs of leaves (a <= b) that the bounds leave."""
         a = b = np.zeros(1, np.int64)
@@ -260,52 +267,56 @@ class Tree:
         yield from zip(a.tolist(), b.tolist(), strict=True)
 
 
-def may_link(n1, n2, m1, m2, bits1, bits2, percent: int) -> np.ndarray:  # noqa: ANN001
-    """By sizes, and by n-grams whose bit the other set lacks."""
+def slack(n1, n2, m1, m2, bits1, bits2, percent: int) -> np.ndarray:  # noqa: ANN001
+    """By how much the largest possible overlap, by sizes and by n-grams whose bit the other set lacks, passes a link's; below
+    0 there is none. Divided by the sizes."""
     only1 = np.bitwise_count(bits1 & ~bits2).sum(axis=1).astype(np.int64)
     only2 = np.bitwise_count(bits2 & ~bits1).sum(axis=1).astype(np.int64)
     over = np.minimum(m1 - only1, m2 - only2)
-    return (100 + percent) * over >= percent * (n1 + n2)
+    return ((100 + percent) * over - percent * (n1 + n2)) / (n1 + n2)
 
 
-def _group_pairs(n, m, bits, part, label, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Candidate pairs of one file, by its tree. part: the block of each set (pairs of one block are for another task).
+def _leaf_rows(a: int, b: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of the sets of two leaves."""
+    i, j = np.arange(a * LEAF, min((a + 1) * LEAF, n)), np.arange(b * LEAF, min((b + 1) * LEAF, n))
+    i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+    return i[i < j], j[i < j]
 
-    spanning: only as many as connect what all candidates would; else all whose labels differ.
-    """
-    order = np.argsort(n, kind="stable")
+
+def _group_pairs(n, m, bits, part, label, like, percent: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Candidate pairs of one file, by its tree: as many as connect what all candidates would, the likeliest of each two
+    leaves first. part: the block of each set (pairs of one block are for another task)."""
+    order = np.lexsort((n, like))
     n, m, bits, part, label = n[order], m[order], bits[order], part[order], label[order].copy()
-    across = part.min() != part.max()
+    across, left = part.min() != part.max(), len(np.unique(label))
     tree, found = Tree(n, m, bits), []
-    for a, b in tree.leaf_pairs(percent):
-        i, j = np.arange(a * LEAF, min((a + 1) * LEAF, len(n))), np.arange(b * LEAF, min((b + 1) * LEAF, len(n)))
-        i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-        ok = (i < j) & (label[i] != label[j]) & ((part[i] != part[j]) | (not across))
+    for a, b in tree.leaf_pairs(percent) if left > 1 else ():
+        i, j = _leaf_rows(a, b, len(n))
+        ok = (label[i] != label[j]) & ((part[i] != part[j]) | (not across))
         i, j = i[ok], j[ok]
-        ok = tree.pairs(i, j, percent)
-        i, j = i[ok], j[ok]
-        if not spanning:
-            found.append((i, j))
-            continue
+        room = slack(n[i], n[j], m[i], m[j], bits[i], bits[j], percent)
+        best = np.argsort(-room, kind="stable")[: int((room >= 0).sum())]
+        i, j = i[best], j[best]
         while len(i):  # one pair for each two labels that meet, then those labels are one
-            x, y = int(i[0]), int(j[0])
-            found.append((i[:1], j[:1]))
-            label[label == label[y]] = label[x]
+            found.append((int(i[0]), int(j[0])))
+            label[label == label[j[0]]] = label[i[0]]
+            left -= 1
             ok = label[i] != label[j]
             i, j = i[ok], j[ok]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return order[np.concatenate([x for x, _ in found])], order[np.concatenate([y for _, y in found])]
+        if left == 1:
+            break
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return order[pairs[:, 0]], order[pairs[:, 1]]
 
 
 _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(percent: int, spanning: bool):  # noqa: ANN202
+def _candidates(percent: int):  # noqa: ANN202
     """Over rows sorted by file: small files of all of a batch at once, larger ones by their trees."""
 
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n, m, bits, part, label, group = cols
+        keys, n, m, bits, part, like, group = cols
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(starts[1:], len(group))
         sizes = np.repeat(ends - starts, ends - starts)
@@ -313,13 +324,13 @@ def _candidates(percent: int, spanning: bool):  # noqa: ANN202
         for step in range(1, 8):  # files of up to 8 sets: a tree of one leaf, so all their pairs against the bounds
             i = np.flatnonzero(sizes[: len(group) - step] <= 8) if step < len(group) else np.zeros(0, np.int64)
             j = i + step
-            ok = (group[i] == group[j]) & (label[i] != label[j])
+            ok = (group[i] == group[j]) & (keys[i] != keys[j])
             i, j = i[ok], j[ok]
-            ok = may_link(n[i], n[j], m[i], m[j], bits[i], bits[j], percent)
+            ok = slack(n[i], n[j], m[i], m[j], bits[i], bits[j], percent) >= 0
             pairs.append((i[ok], j[ok]))
         for a, b in zip(starts, ends, strict=True):
             if b - a > 8:
-                i, j = _group_pairs(n[a:b], m[a:b], bits[a:b], part[a:b], label[a:b], percent, spanning)
+                i, j = _group_pairs(n[a:b], m[a:b], bits[a:b], part[a:b], keys[a:b], like[a:b], percent)
                 pairs.append((i + a, j + a))
         i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         lo, hi = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
@@ -330,12 +341,12 @@ def _candidates(percent: int, spanning: bool):  # noqa: ANN202
     def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         col = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
         bits = np.frombuffer(b"".join(col["bits"].to_pylist()), np.uint64).reshape(-1, WIDTH // 64)
-        ints = {c: col[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "m", "own", "label", "token", "block", "other")}
+        ints = {c: col[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "m", "own", "like", "token", "block", "other")}
         change = np.zeros(len(bits), bool)
         for c in ("token", "block", "other"):
             change[1:] |= ints[c][1:] != ints[c][:-1]
         file = (int(ints["token"][0]), int(ints["block"][0]), int(ints["other"][0])), (int(ints["token"][-1]), int(ints["block"][-1]), int(ints["other"][-1]))
-        return [ints["key"], ints["n"], ints["m"], bits, ints["own"], ints["label"], np.cumsum(change)], file
+        return [ints["key"], ints["n"], ints["m"], bits, ints["own"], ints["like"], np.cumsum(change)], file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -372,25 +383,118 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def _links(filed: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Exactly verified links among the candidates of all files; with labels, those between components only."""
+def _overlaps(toks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common n-grams of each pair of sets, counted exactly: a product of 0/1 rows where many pairs meet, else one by one."""
+    own, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    total = sum(len(toks[k]) for k in own)
+    if len(i) > 8 and len(own) * total <= 1 << 24:
+        values, place = np.unique(np.concatenate([toks[k] for k in own]), return_inverse=True)
+        rows = np.zeros((len(own), len(values)), np.float32)
+        rows[np.repeat(np.arange(len(own)), [len(toks[k]) for k in own]), place] = 1
+        return np.rint(rows @ rows.T)[at[: len(i)], at[len(i) :]].astype(np.int64)
+    out = np.zeros(len(i), np.int64)
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        spot = np.searchsorted(toks[y], toks[x])
+        spot[spot == len(toks[y])] = 0
+        out[k] = (toks[y][spot] == toks[x]).sum()
+    return out
+
+
+def _exact_links(percent: int):  # noqa: ANN202
+    """Over one partition of (key, n, label, files, toks): links between different labels in each file, and as many of them as
+    connect what all would."""
+
+    def signatures(toks: list[np.ndarray]) -> np.ndarray:
+        width = int(min(1 << 14, max(WIDTH, 1 << (4 * int(np.median([len(t) for t in toks]))).bit_length())))
+        return np.stack([signature(t, width) for t in toks])
+
+    def in_file(keys: np.ndarray, n: np.ndarray, label: np.ndarray, toks: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        order = np.lexsort((n, np.array([likeness(t) for t in toks])))
+        keys, n, label, toks = keys[order], n[order], label[order].copy(), [toks[k] for k in order]
+        left, m, bits = len(np.unique(label)), np.array([len(t) for t in toks]), signatures(toks)
+        for a, b in Tree(n, m, bits).leaf_pairs(percent):
+            i, j = _leaf_rows(a, b, len(n))
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            ok = slack(n[i], n[j], m[i], m[j], bits[i], bits[j], percent) >= 0
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            over = _overlaps(toks, i, j)
+            ok = 100 * over >= percent * (n[i] + n[j] - over)
+            i, j = i[ok], j[ok]
+            while len(i):
+                yield keys[i[0]], keys[j[0]]
+                label[label == label[j[0]]] = label[i[0]]
+                left -= 1
+                ok = label[i] != label[j]
+                i, j = i[ok], j[ok]
+            if left == 1:
+                break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys, n, label = (table[c].to_numpy() for c in ("key", "n", "label"))
+        toks = [np.sort(np.frombuffer(t.as_buffer(), np.uint64)) for t in table["toks"]]
+        lists = table["files"].combine_chunks()
+        own, file = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        root: dict[int, int] = {}  # labels that links of earlier files of this task made one
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        order = np.lexsort((keys[own], file))
+        for at in np.split(own[order], np.flatnonzero(np.diff(file[order])) + 1):
+            now = np.array([find(x) for x in label[at].tolist()], np.int64)
+            if len(at) < 2 or now.min() == now.max():
+                continue
+            known = dict(zip(keys[at].tolist(), now.tolist(), strict=True))
+            links = list(in_file(keys[at], n[at], now, [toks[k] for k in at]))
+            for a, b in links:
+                root[find(known[b])] = find(known[a])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], schema=_PAIRS_ARROW)
+
+    return run
+
+
+#: Shares into which the rows of a file are dealt where files are looked up by name.
+SALTS = 8
+
+
+def _first_links(filed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exactly verified links among a spanning choice of the candidates of all files."""
     file = ["token", "block", "other"]
-    if labels is None:
-        rows = filed.withColumn("label", F.col("key"))
-    else:
-        rows = filed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-        mixed = rows.groupBy(*file).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select(*file)
-        # written: else the planner takes the join's partitioning for the one below, and a join that turns into a
-        # broadcast at run time no longer has it
-        rows = materialize(rows.join(mixed, file, "left_semi"))
-    rows = rows.repartition(n_buckets(filed.sparkSession), *file).sortWithinPartitions(*file)
-    pairs = rows.mapInArrow(_candidates(percent, labels is None), "a long, b long").distinct()
+    rows = filed.repartition(n_buckets(filed.sparkSession), *file).sortWithinPartitions(*file)
+    pairs = rows.mapInArrow(_candidates(percent), "a long, b long").distinct()
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
     return materialize(map_arrow(both, _verify(percent), "a long, b long"))
 
 
+def _more_links(filed: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that the labels name, from the files in which several of them meet."""
+    buckets = n_buckets(filed.sparkSession)
+    file = F.xxhash64("token", "block", "other").alias("file")  # were two equal, their sets would be compared together
+    rows = filed.select("key", file).join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "file", F.coalesce("root", "key").alias("label"))
+    rows = materialize(rows)
+    mixed = rows.groupBy("file").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("file")
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
+    met = salted.join(mixed, ["file", "salt"]).groupBy("key", "label").agg(F.collect_list("file").alias("files"))
+    asked = met.join(sets.select("key", "n", "toks"), "key")
+    bucket = F.explode(F.array_distinct(F.transform("files", lambda f: F.pmod(f, F.lit(buckets)))))
+    dealt = asked.withColumn("bucket", bucket).withColumn("files", F.filter("files", lambda f: F.pmod(f, F.lit(buckets)) == F.col("bucket")))
+    dealt = dealt.repartition(buckets, "bucket").select("key", "n", "label", "files", "toks")
+    return materialize(dealt.mapInArrow(_exact_links(percent), "a long, b long"))
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(rows, roots) for docs(doc_id, text): rows has doc_id, text_hash, n and the set's key; roots maps linked keys to a root.
 
@@ -405,8 +509,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, large: int = LARG
     rows = found.where("toks IS NULL").select("doc_id", "text_hash", "n", "key")
     sets = found.where("toks IS NOT NULL").select("key", "n", "prefix", "toks", "dfs")
     filed = materialize(map_arrow(sets, _file(large), _FILED))
-    links = _links(filed, sets, None, percent)
-    more = _links(filed, sets, components(links), percent)
+    links = _first_links(filed, sets, percent)
+    more = _more_links(filed, sets, components(links), percent)
     return rows, components(links.union(more))
 
 
@@ -424,23 +528,23 @@ def join_components(docs: DataFrame, size: int = 4, percent: int = 85, large: in
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, large: int = LARGE) -> DataFrame:
     """The documents less all but one of each class: the one of smallest doc_id (nulls last), then text hash, stays.
 
-    Rows of equal doc_id and text are one document; where its class keeps it, one of them stays.
+    Rows of equal doc_id and text are one document; where its class keeps it, one of them stays: the one whose columns
+    together have the smallest hash.
     """
     rows, roots = classes(docs.select("doc_id", "text"), size, percent, large)
     rows = rows.where("n > 0").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
-    rows = rows.withColumn("place", place)
+    rows = materialize(rows.withColumn("place", place).select("root", "place"))
     best = rows.groupBy("root").agg(F.min("place").alias("best"))
-    gone = materialize(rows.join(best, "root").where("place != best").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash"))
-    kept = docs.join(gone, same, "left_anti")
-    twice = materialize(
-        rows.where("place IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
-    )
+    gone = rows.join(best, "root").where("place != best").select("place").distinct()
+    whole = docs.select(F.struct("*").alias("row"))
+    own = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").cast("long").alias("d"), F.xxhash64("row.text").alias("t"))
+    kept = whole.withColumn("place", own).join(gone, "place", "left_anti")
+    twice = materialize(rows.groupBy("place").count().where("count > 1").select("place"))
     if twice.isEmpty():
-        return kept
-    again = kept["doc_id"].cast("long").eqNullSafe(F.col("twice_id")) & (F.xxhash64(kept["text"]) == F.col("twice_hash"))
-    return kept.join(twice, again, "left_anti").union(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select("row.*")
+    first = kept.join(twice, "place", "left_semi").groupBy("place").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.join(twice, "place", "left_anti").select("row.*").union(first.select("row.*"))
 
 
 #: join_components() with 4 words and 85 percent.
