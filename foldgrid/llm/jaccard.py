@@ -8,9 +8,10 @@
    OR of their sets' bitmaps and their size ranges. A dual traversal drops node pairs whose largest possible overlap is
    too small. Files with more sets than `LARGE` are dealt out as pairs of blocks.
 5. The first pass takes a spanning choice of candidates from each tree, the likeliest first, and compares them exactly, so
-   large groups of near copies give few pairs. The second pass takes only the files in which components still meet: their
-   sets' n-grams go to the files once a bucket, every pair that the tree leaves is compared there, and only links that
-   join two components leave the task. So neither pass emits more pairs than it reads rows.
+   large groups of near copies give few pairs. Within what such a choice spans (three sets or more) other candidates were
+   passed over; where the links found leave several components in it, the second pass sends its sets' n-grams there, once
+   a bucket, compares every pair that the tree leaves, and only links that join two components leave the task. So neither
+   pass emits more rows than a few for each that it reads.
 
 Two sets are taken for equal, and two n-grams, when their 64-bit hashes are. Null and empty texts, and texts without a
 word, have an empty set and link with nothing. Rows with a null id link like others; they count in no minimum, and a
@@ -283,9 +284,10 @@ def _leaf_rows(a: int, b: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return i[i < j], j[i < j]
 
 
-def _group_pairs(n, m, bits, part, label, like, percent: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+def _group_pairs(n, m, bits, part, label, like, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
     """Candidate pairs of one file, by its tree: as many as connect what all candidates would, the likeliest of each two
-    leaves first. part: the block of each set (pairs of one block are for another task)."""
+    leaves first. part: the block of each set (pairs of one block are for another task). Last, the label that each set has
+    after the pairs: candidates passed over have equal ones."""
     order = np.lexsort((n, like))
     n, m, bits, part, label = n[order], m[order], bits[order], part[order], label[order].copy()
     across, left = part.min() != part.max(), len(np.unique(label))
@@ -305,22 +307,26 @@ def _group_pairs(n, m, bits, part, label, like, percent: int) -> tuple[np.ndarra
             i, j = i[ok], j[ok]
         if left == 1:
             break
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return order[pairs[:, 0]], order[pairs[:, 1]]
+    pairs, spanned = np.array(found, np.int64).reshape(-1, 2), np.empty_like(label)
+    spanned[order] = label
+    return order[pairs[:, 0]], order[pairs[:, 1]], spanned
 
 
 _PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CHOSEN = "a long, b long, span long"
+_CHOSEN_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("span", pa.int64())])
 
 
 def _candidates(percent: int):  # noqa: ANN202
-    """Over rows sorted by file: small files of all of a batch at once, larger ones by their trees."""
+    """Over rows sorted by file: all pairs of small files, for a batch at once, and spanning ones of larger files by their trees.
+    Rows without b: a set, and the number of what a choice spans in a file, where other candidates were passed over."""
 
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n, m, bits, part, like, group = cols
+        keys, n, m, bits, part, like, name, group = cols
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(starts[1:], len(group))
         sizes = np.repeat(ends - starts, ends - starts)
-        pairs = []
+        pairs, spans = [], []
         for step in range(1, 8):  # files of up to 8 sets: a tree of one leaf, so all their pairs against the bounds
             i = np.flatnonzero(sizes[: len(group) - step] <= 8) if step < len(group) else np.zeros(0, np.int64)
             j = i + step
@@ -330,13 +336,19 @@ def _candidates(percent: int):  # noqa: ANN202
             pairs.append((i[ok], j[ok]))
         for a, b in zip(starts, ends, strict=True):
             if b - a > 8:
-                i, j = _group_pairs(n[a:b], m[a:b], bits[a:b], part[a:b], keys[a:b], like[a:b], percent)
+                i, j, label = _group_pairs(n[a:b], m[a:b], bits[a:b], part[a:b], keys[a:b], like[a:b], percent)
                 pairs.append((i + a, j + a))
+                _, at, count = np.unique(label, return_inverse=True, return_counts=True)
+                more = count[at] > 2
+                spans.append((keys[a:b][more], mix(name[a:b][more] ^ mix(label[more].view(np.uint64))).view(np.int64)))
         i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         lo, hi = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
         if len(lo):
             both = np.unique(np.stack([lo, hi], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIRS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], schema=_CHOSEN_ARROW)
+        for some, span in spans:
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(span)], schema=_CHOSEN_ARROW)
 
     def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         col = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
@@ -346,7 +358,8 @@ def _candidates(percent: int):  # noqa: ANN202
         for c in ("token", "block", "other"):
             change[1:] |= ints[c][1:] != ints[c][:-1]
         file = (int(ints["token"][0]), int(ints["block"][0]), int(ints["other"][0])), (int(ints["token"][-1]), int(ints["block"][-1]), int(ints["other"][-1]))
-        return [ints["key"], ints["n"], ints["m"], bits, ints["own"], ints["like"], np.cumsum(change)], file
+        name = mix(ints["token"].view(np.uint64) ^ mix((ints["block"].astype(np.uint64) << np.uint64(32)) | ints["other"].astype(np.uint64)))
+        return [ints["key"], ints["n"], ints["m"], bits, ints["own"], ints["like"], name, np.cumsum(change)], file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -356,9 +369,9 @@ def _candidates(percent: int):  # noqa: ANN202
                 continue
             cols, (first, last) = arrays(batch)
             if held is not None:
-                cols[6] = cols[6] + held[6][-1] + (first != open_file)
+                cols[7] = cols[7] + held[7][-1] + (first != open_file)
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = int(np.searchsorted(cols[6], cols[6][-1]))  # the last file may go on in the next batch
+            cut = int(np.searchsorted(cols[7], cols[7][-1]))  # the last file may go on in the next batch
             if cut:
                 yield from emit([x[:cut] for x in cols])
             held, open_file = [x[cut:] for x in cols], last
@@ -401,7 +414,7 @@ def _overlaps(toks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 
 def _exact_links(percent: int):  # noqa: ANN202
-    """Over one partition of (key, n, label, files, toks): links between different labels in each file, and as many of them as
+    """Over one partition of (key, n, label, spans, toks): links between different labels in each span, and as many of them as
     connect what all would."""
 
     def signatures(toks: list[np.ndarray]) -> np.ndarray:
@@ -439,17 +452,17 @@ def _exact_links(percent: int):  # noqa: ANN202
         table = pa.Table.from_batches(held).combine_chunks()
         keys, n, label = (table[c].to_numpy() for c in ("key", "n", "label"))
         toks = [np.sort(np.frombuffer(t.as_buffer(), np.uint64)) for t in table["toks"]]
-        lists = table["files"].combine_chunks()
-        own, file = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-        root: dict[int, int] = {}  # labels that links of earlier files of this task made one
+        lists = table["spans"].combine_chunks()
+        own, span = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        root: dict[int, int] = {}  # labels that links in earlier spans of this task made one
 
         def find(x: int) -> int:
             while (y := root.get(x, x)) != x:
                 root[x] = x = root.get(y, y)
             return x
 
-        order = np.lexsort((keys[own], file))
-        for at in np.split(own[order], np.flatnonzero(np.diff(file[order])) + 1):
+        order = np.lexsort((keys[own], span))
+        for at in np.split(own[order], np.flatnonzero(np.diff(span[order])) + 1):
             now = np.array([find(x) for x in label[at].tolist()], np.int64)
             if len(at) < 2 or now.min() == now.max():
                 continue
@@ -463,35 +476,37 @@ def _exact_links(percent: int):  # noqa: ANN202
     return run
 
 
-#: Shares into which the rows of a file are dealt where files are looked up by name.
+#: Shares into which the rows of a span are dealt where spans are looked up by number.
 SALTS = 8
 
 
-def _first_links(filed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exactly verified links among a spanning choice of the candidates of all files."""
+def _first_links(filed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Exactly verified links among a spanning choice of the candidates of all files; and (key, span) of the sets between which
+    candidates were passed over."""
     file = ["token", "block", "other"]
     rows = filed.repartition(n_buckets(filed.sparkSession), *file).sortWithinPartitions(*file)
-    pairs = rows.mapInArrow(_candidates(percent), "a long, b long").distinct()
+    chosen = materialize(rows.mapInArrow(_candidates(percent), _CHOSEN))
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    pairs = chosen.where("b IS NOT NULL").select("a", "b").distinct()
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return materialize(map_arrow(both, _verify(percent), "a long, b long"))
+    links = materialize(map_arrow(both, _verify(percent), "a long, b long"))
+    return links, chosen.where("b IS NULL").select(F.col("a").alias("key"), "span")
 
 
-def _more_links(filed: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that the labels name, from the files in which several of them meet."""
-    buckets = n_buckets(filed.sparkSession)
-    file = F.xxhash64("token", "block", "other").alias("file")  # were two equal, their sets would be compared together
-    rows = filed.select("key", file).join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "file", F.coalesce("root", "key").alias("label"))
+def _more_links(spans: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that the labels name, from the spans in which several of them meet."""
+    buckets = n_buckets(spans.sparkSession)
+    rows = spans.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "span", F.coalesce("root", "key").alias("label"))
     rows = materialize(rows)
-    mixed = rows.groupBy("file").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("file")
+    mixed = rows.groupBy("span").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("span")
     mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
-    met = salted.join(mixed, ["file", "salt"]).groupBy("key", "label").agg(F.collect_list("file").alias("files"))
+    met = salted.join(mixed, ["span", "salt"]).groupBy("key", "label").agg(F.collect_list("span").alias("spans"))
     asked = met.join(sets.select("key", "n", "toks"), "key")
-    bucket = F.explode(F.array_distinct(F.transform("files", lambda f: F.pmod(f, F.lit(buckets)))))
-    dealt = asked.withColumn("bucket", bucket).withColumn("files", F.filter("files", lambda f: F.pmod(f, F.lit(buckets)) == F.col("bucket")))
-    dealt = dealt.repartition(buckets, "bucket").select("key", "n", "label", "files", "toks")
+    bucket = F.explode(F.array_distinct(F.transform("spans", lambda f: F.pmod(f, F.lit(buckets)))))
+    dealt = asked.withColumn("bucket", bucket).withColumn("spans", F.filter("spans", lambda f: F.pmod(f, F.lit(buckets)) == F.col("bucket")))
+    dealt = dealt.repartition(buckets, "bucket").select("key", "n", "label", "spans", "toks")
     return materialize(dealt.mapInArrow(_exact_links(percent), "a long, b long"))
 
 
@@ -509,8 +524,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, large: int = LARG
     rows = found.where("toks IS NULL").select("doc_id", "text_hash", "n", "key")
     sets = found.where("toks IS NOT NULL").select("key", "n", "prefix", "toks", "dfs")
     filed = materialize(map_arrow(sets, _file(large), _FILED))
-    links = _first_links(filed, sets, percent)
-    more = _more_links(filed, sets, components(links), percent)
+    links, spans = _first_links(filed, sets, percent)
+    more = _more_links(spans, sets, components(links), percent)
     return rows, components(links.union(more))
 
 
