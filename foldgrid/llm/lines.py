@@ -1,9 +1,11 @@
-"""Deletion of runs of lines that repeat an earlier run, by hashes of all windows of lines. DataFrame functions only.
+"""Deletion of runs of lines that repeat an earlier run, by winnowing over line hashes. DataFrame functions only.
 
-A run is `min_lines` or more consecutive lines, or one line of `min_words` words or more. Every window of `min_lines`
-line hashes is kept (none is left out by winnowing; its smallest hash is only a second key): two equal runs have equal
-windows. Windows meet by that key and content; the first place of each stays, and later
-places that follow one another in a document extend to maximal runs in both directions, which are deleted.
+A run is `min_lines` or more consecutive lines, or one line of `min_words` words or more. Of every window of `min_lines`
+line hashes the smallest (the last of equal ones) is a fingerprint, so equal runs share one at the same place; a line that
+is the smallest of several windows is one position. Only positions leave the texts, with the lines up to `min_lines` - 1
+before and after. Those whose fingerprint occurs once go no further; the others are joined to their fingerprint and
+extended to both sides, by comparing lines, to the windows that they stand for. The first place of each window stays;
+later places that overlap or follow one another in a document make one maximal run, which is deleted.
 
 Earlier means a smaller doc_id (nulls last), then a smaller hash of the text, then a smaller line number; a run may
 repeat one of its own document. Lines without a word are passed over when runs are compared, stay when they stand
@@ -17,57 +19,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, materialize
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(text: Column, min_lines: int, min_words: int) -> Column:
-    """array<struct<fingerprint, content, first, last, k>>: all windows of a text, from line `first` to line `last`."""
-    shortest = 2 * min_words - 1  # characters of min_words words
-    words = F.regexp_count  # counted only where the line is long enough to matter
+def _kept(text: Column, min_words: int) -> Column:
+    """array<struct<at, h, long>>: place and hash of every line that has a word, and whether it is a run of its own."""
+    shortest = 2 * min_words - 1  # characters of min_words words: words are counted only where the line is long enough
 
     def line(x: Column, i: Column) -> Column:
-        long_ = F.when(F.length(x) >= shortest, words(x, F.lit(WORD)) >= min_words).otherwise(False)
+        long_ = F.when(F.length(x) >= shortest, F.regexp_count(x, F.lit(WORD)) >= min_words).otherwise(False)
         return F.struct(i.alias("at"), F.when(x.rlike(WORD), F.xxhash64(x)).alias("h"), long_.alias("long"))
 
-    kept = F.filter(F.transform(_lines(text), line), lambda s: s["h"].isNotNull())
+    return F.filter(F.transform(_lines(text), line), lambda s: s["h"].isNotNull())
 
-    def several(s: Column, k: Column) -> Column:
-        hashes = F.transform(F.slice(F.col("kept"), k + 1, F.lit(min_lines)), lambda x: x["h"])
-        end = F.get(F.col("kept"), k + (min_lines - 1))["at"]
-        return F.struct(
-            F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes).alias("content"), s["at"].alias("first"), end.alias("last"), k.alias("k")
-        )
 
-    def single(s: Column, k: Column) -> Column:
-        return F.struct(
-            s["h"].alias("fingerprint"), F.xxhash64(F.lit("line"), s["h"]).alias("content"), s["at"].alias("first"), s["at"].alias("last"), k.alias("k")
-        )
+def positions(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """doc_id, text_hash, k, h, long, lead, near: the lines that are the smallest of a window, and the long ones. k: their
+    number among the lines with a word; near: the lines about them, of which `lead` come before."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _kept(F.col("text"), min_words).alias("kept"))
+    rows = rows.withColumn("ranked", F.transform("kept", lambda s, k: F.struct(s["h"].alias("h"), (-k).alias("back"))))
+    n, w = F.size("kept"), min_lines
+    starts = F.when(n >= w, F.sequence(F.lit(0), n - w)).otherwise(F.array().cast("array<int>"))
+    least = F.transform(starts, lambda s: -F.array_min(F.slice("ranked", s + 1, F.lit(w)))["back"])
+    long_ = F.filter(F.transform("kept", lambda s, k: F.when(s["long"], k)), lambda k: k.isNotNull())
+    rows = rows.select("doc_id", "text_hash", "kept", F.explode(F.array_distinct(F.concat(least, long_))).alias("k"))
+    own, first = F.get("kept", F.col("k")), F.greatest(F.col("k") - (w - 1), F.lit(0))
+    near = F.slice("kept", first + 1, F.col("k") + w - first)
+    return rows.select("doc_id", "text_hash", "k", own["h"].alias("h"), own["long"].alias("long"), (F.col("k") - first).alias("lead"), F.transform(near, lambda s: F.struct(s["at"], s["h"])).alias("near"))
 
-    singles = F.filter(F.transform(F.col("kept"), lambda s, k: F.when(s["long"], single(s, k))), lambda s: s.isNotNull())
-    windows = F.filter(F.transform(F.col("kept"), several), lambda s: s["last"].isNotNull())
-    return kept, F.concat(windows, singles)
+
+def _extended(min_lines: int) -> Column:
+    """array<struct<content, first, last, start>>: the windows in which a position is the smallest line, from line `first` to
+    line `last`; and the position's own line if it is long."""
+    w = min_lines
+
+    def window(o: Column) -> Column:
+        part = F.slice("near", o + 1, F.lit(w))
+        at = lambda k: F.get("near", k)["at"]
+        return F.struct(F.transform(part, lambda s: s["h"]).alias("content"), at(o).alias("first"), at(o + (w - 1)).alias("last"), (F.col("k") - F.col("lead") + o).alias("start"))
+
+    n = F.size("near")
+    windows = F.transform(F.when(n >= w, F.sequence(F.lit(0), n - w)).otherwise(F.array().cast("array<int>")), window)
+    own = F.get("near", F.col("lead"))["at"]
+    single = F.struct(F.array("h").alias("content"), own.alias("first"), own.alias("last"), F.col("k").alias("start"))
+    return F.concat(F.filter(windows, lambda s: F.array_min(s["content"]) == F.col("h")), F.when(F.col("long"), F.array(single)).otherwise(F.slice(F.array(single), 1, 0)))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """doc_id, text_hash, runs: for each document with later runs, their maximal extents as array<struct<first, last>>."""
-    kept, windows = _windows(F.col("text"), min_lines, min_words)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), kept.alias("kept"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("k"))
-    rows = rows.select("doc_id", "text_hash", F.inline(windows)).withColumn("place", place)
-    # partial minima before the shuffle: a window that fills a third of all lines arrives as one row a task
-    first = rows.groupBy("fingerprint", "content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(first.drop("n"), ["fingerprint", "content"]).where("place != earliest")
+    found = materialize(positions(docs, min_lines, min_words))
+    # counted before the shuffle: a line that is a third of all arrives as one row a task. Written, so that both sides of the
+    # joins below come straight from exchanges and Spark's adaptive skew join can split a common fingerprint or window
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("start").alias("k"))
+    rows = materialize(found.join(often, "h").select("doc_id", "text_hash", F.inline(_extended(min_lines))).withColumn("place", place))
+    earliest = rows.groupBy("content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(materialize(earliest.drop("n")), "content").where("place != earliest")
     # the windows of one document, in order: those that touch or overlap make one run
     order = Window.partitionBy("doc_id", "text_hash").orderBy("first", "last")
     seen = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.select("doc_id", "text_hash", "first", "last").distinct().withColumn("new", (seen.isNull() | (F.col("first") > seen + 1)).cast("int"))
     numbered = marked.withColumn("run", F.sum("new").over(order))
     runs = numbered.groupBy("doc_id", "text_hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return materialize(runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")))
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:

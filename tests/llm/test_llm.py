@@ -459,8 +459,11 @@ def test_line_dedup(spark, corpus):
     got = {r.row.doc_id: r for r in lines.dedup(docs).collect()}
     want = brute_lines(texts)
     assert [got[i].kept_text for i in range(len(texts))] == want
-    three = {r.row.doc_id: r.kept_text for r in lines.dedup(docs, 3, 1000).collect()}
-    assert [three[i] for i in range(len(texts))] == brute_lines(texts, 3, 1000)
+    for w, n in ((3, 1000), (4, 60), (1, 1_000_000)):
+        wide = {r.row.doc_id: r.kept_text for r in lines.dedup(docs, w, n).collect()}
+        assert [wide[i] for i in range(len(texts))] == brute_lines(texts, w, n)
+    worded = sum(bool(WORD.search(x)) for t in texts for x in (t or "").split("\n"))
+    assert lines.positions(docs, 3, 1000).count() < lines.positions(docs, 2, 1000).count() < worded
     kept = lines.dedup_documents(docs)
     assert kept.columns == docs.columns and lines.dedup(docs.limit(0)).count() == 0
     for r in kept.collect():
