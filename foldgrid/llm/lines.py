@@ -73,19 +73,20 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> D
     """doc_id, text_hash, runs: for each document with later runs, their maximal extents as array<struct<first, last>>."""
     found = materialize(positions(docs, min_lines, min_words))
     # counted before the shuffle: a line that is a third of all arrives as one row a task. Written, so that both sides of the
-    # joins below come straight from exchanges and Spark's adaptive skew join can split a common fingerprint or window
+    # joins below come straight from exchanges and Spark's adaptive skew join can split a common fingerprint or window;
+    # merged, not broadcast, as both sides grow with the texts
     often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("start").alias("k"))
-    rows = materialize(found.join(often, "h").select("doc_id", "text_hash", F.inline(_extended(min_lines))).withColumn("place", place))
+    rows = materialize(found.join(often.hint("merge"), "h").select("doc_id", "text_hash", F.inline(_extended(min_lines))).withColumn("place", place))
     earliest = rows.groupBy("content").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(materialize(earliest.drop("n")), "content").where("place != earliest")
+    later = rows.join(materialize(earliest.drop("n")).hint("merge"), "content").where("place != earliest")
     # the windows of one document, in order: those that touch or overlap make one run
     order = Window.partitionBy("doc_id", "text_hash").orderBy("first", "last")
     seen = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.select("doc_id", "text_hash", "first", "last").distinct().withColumn("new", (seen.isNull() | (F.col("first") > seen + 1)).cast("int"))
     numbered = marked.withColumn("run", F.sum("new").over(order))
     runs = numbered.groupBy("doc_id", "text_hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return materialize(runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")))
+    return runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def dedup(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
