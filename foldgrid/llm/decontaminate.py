@@ -27,8 +27,8 @@ from .shared import materialize, mix, text_chunks
 
 #: Folded characters of items in one pass.
 MAX_CHARS = 8_000_000
-_HITS = "array<struct<item:int,start:int,edits:int>>"
-_HITS_ARROW = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("edits", pa.int32())]))
+_HITS = "array<struct<item:int,start:int,stop:int,edits:int>>"
+_HITS_ARROW = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FILTER = 1 << 22
 
@@ -107,11 +107,13 @@ class Items:
             out.append(np.stack([where, it, band * (self.edits[it] + 1) - shift], axis=1))
         return out
 
-    def align(self, jobs: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int]]:
-        """Fewest edits that turn each item into some part of the text beside it, and where that part ends, by banded
-        alignment of many at once. A job: item, characters from `low - edits` of its band on, zeros before the text.
+    def align(self, jobs: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int, int]]:
+        """Fewest edits that turn each item into some part of the text beside it, and where that part starts and stops, by banded
+        alignment of many at once. Of equally good parts, the one that starts first, then stops first. A job: item, characters
+        from `low - edits` of its band on, zeros before the text.
 
-        Row i of the table holds the costs of the item's first i characters on each diagonal of the band.
+        Row i of the table holds, for each diagonal of the band, the cost of the item's first i characters in its high bits and
+        the place where their part of the text starts in the low ones, so both are minimised together.
         """
         items = np.array([j[0] for j in jobs])
         size, edits = self.size[items], self.edits[items]
@@ -121,28 +123,30 @@ class Items:
         for r, (item, chars, _) in enumerate(jobs):
             pattern[r, : self.size[item]] = self.chars[item]
             text[r, : min(len(chars), rows + width)] = chars[: rows + width]
-        steps = np.arange(width, dtype=np.int32)
-        cost = np.zeros((len(jobs), width), np.int32)
-        best, end = np.full(len(jobs), 1 << 30), np.zeros(len(jobs), np.int64)
+        outside = (text <= 1).astype(np.int64)  # dearer than leaving a character of the item out, so no part lies outside
+        one = np.int64(1 << 32)
+        steps = np.arange(width, dtype=np.int64)
+        cost = np.tile(steps, (len(jobs), 1))
+        best, end = np.full(len(jobs), 1 << 62), np.zeros(len(jobs), np.int64)
         for i in range(rows):
-            new = cost + (text[:, i : i + width] != pattern[:, i : i + 1])
-            np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
-            cost = np.minimum.accumulate(new - steps, axis=1) + steps
+            new = cost + ((text[:, i : i + width] != pattern[:, i : i + 1]) + outside[:, i : i + width]) * one
+            np.minimum(new[:, :-1], cost[:, 1:] + one, out=new[:, :-1])
+            cost = np.minimum.accumulate(new - steps * one, axis=1) + steps * one
             done = np.flatnonzero(size == i + 1)
             if len(done):
-                inside = np.where(steps < (4 * edits[done] + 3)[:, None], cost[done], 1 << 30)
-                end[done] = inside.argmin(axis=1)
+                inside = np.where(steps < (4 * edits[done] + 3)[:, None], cost[done], 1 << 62)
+                end[done] = inside.argmin(axis=1) + i + 1
                 best[done] = inside.min(axis=1)
-        return list(zip(best.tolist(), end.tolist(), strict=True))
+        return list(zip((best >> 32).tolist(), (best & 0xFFFFFFFF).tolist(), end.tolist(), strict=True))
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
-        """For each text, the items found: their number, where they start in the folded text, and the edits."""
-        hits: list[dict[int, dict]] = [{} for _ in range(len(offsets) - 1)]
+        """For each text, the items found: their number, the code points of the text from which to which, and the edits."""
+        hits: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(offsets) - 1)]
         points = (data & 0xC0) != 0x80
-        upto = np.concatenate(([0], np.cumsum(points)))[offsets]
+        first = np.concatenate(([0], np.cumsum(points)))[offsets]
         chars = fold(data.tobytes())
         keep = chars > 0
-        upto = np.concatenate(([0], np.cumsum(keep)))[upto]
+        upto, place = np.concatenate(([0], np.cumsum(keep)))[first], np.flatnonzero(keep)
         chars = chars[keep]
         if not len(chars) or not self.index:
             return [[] for _ in hits]
@@ -154,11 +158,15 @@ class Items:
                 a, b, lead = upto[d], upto[d + 1], low - int(self.edits[item])
                 stretch = chars[max(a, lead) : max(a, min(b, low + 3 * int(self.edits[item]) + 3 + int(self.size[item])))]
                 before = np.zeros(max(0, a - lead), np.uint32)
-                jobs.append((item, np.concatenate((before, stretch)), lead - int(a)))
-            for (item, _, lead), (edits, _), (d, _, _) in zip(jobs, self.align(jobs), bands[part : part + 256].tolist(), strict=True):
-                if edits <= self.edits[item] and edits < hits[d].get(item, {"edits": 1 << 30})["edits"]:
-                    hits[d][item] = {"item": item, "start": max(0, lead + int(self.edits[item])), "edits": edits}
-        return [sorted(h.values(), key=lambda x: x["item"]) for h in hits]
+                jobs.append((item, np.concatenate((before, stretch)), lead))
+            for (item, _, lead), (edits, start, stop), (d, _, _) in zip(jobs, self.align(jobs), bands[part : part + 256].tolist(), strict=True):
+                if edits <= self.edits[item]:
+                    hits[d][item] = min(hits[d].get(item, (edits, lead + start, lead + stop)), (edits, lead + start, lead + stop))
+        spot = lambda d, a, b: (int(place[a] - first[d]), int(place[b - 1] + 1 - first[d]))
+        return [
+            [{"item": item, "start": at[0], "stop": at[1], "edits": e} for item, (e, a, b) in sorted(h.items()) for at in [spot(d, a, b)]]
+            for d, h in enumerate(hits)
+        ]
 
 
 class _Lazy:
@@ -189,7 +197,7 @@ def _passes(items: DataFrame, max_chars: int) -> list[DataFrame]:
     """The items in passes of about `max_chars` characters at most (one item at least)."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // max_chars) or 1
-    part = F.pmod(F.xxhash64("text"), F.lit(parts))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     return [items.where(part == k) for k in range(parts)]
 
 
@@ -199,13 +207,14 @@ def _collected(items: DataFrame) -> list[tuple]:
 
 
 def hits(docs: DataFrame, items: DataFrame, rate: float = 0.1, q: int = 8, max_chars: int = MAX_CHARS) -> DataFrame:
-    """doc_id, item_id, start (in the folded text, about), edits: every document with every item that it holds."""
+    """doc_id, item_id, start, stop (code points of the text, end exclusive), edits: every document with every item that it
+    holds, at the place of the fewest edits (the first of several)."""
     out, passes = None, _passes(items, max_chars)
     for some in passes:
         chunk = _collected(some)
         found = docs.select("doc_id", F.explode(_finder([t for _, t in chunk], rate, q)(F.col("text"))).alias("h"))
         ids = F.array(*[F.lit(i).cast("long") for i, _ in chunk]) if chunk else F.array().cast("array<long>")
-        part = found.select("doc_id", F.get(ids, F.col("h.item")).alias("item_id"), F.col("h.start").cast("long").alias("start"), F.col("h.edits").cast("long").alias("edits"))
+        part = found.select("doc_id", F.get(ids, F.col("h.item")).alias("item_id"), F.col("h.start").cast("long").alias("start"), F.col("h.stop").cast("long").alias("stop"), F.col("h.edits").cast("long").alias("edits"))
         part = materialize(part) if len(passes) > 1 else part
         out = part if out is None else out.union(part)
     return out

@@ -1,21 +1,22 @@
 """Mixing sources to target weights by a min-cost flow over groups of documents.
 
-Documents that belong to the same sources form a pattern. The flow sends words from patterns to source quotas; a
-pattern's words cost nothing the first time they are taken and more each further time, so fresh words go first and
-a source may draw on documents that it shares with others. What the flow takes of a pattern is then filled with
-documents in a seeded order. Only totals by pattern reach the driver: one row for each set of sources that occurs,
-refused beyond `max_patterns`.
+Documents that belong to the same sources form a pattern: by default, the sources in which a document's text occurs, so
+copies of one text in several sources belong to all of them. The flow sends words from patterns to source quotas; a
+pattern's words cost nothing the first time they are taken and more each further time, so fresh words go first and a
+source draws on texts that it shares with others only as far as its own don't do. What the flow takes of a pattern is then
+filled with documents in a seeded order. Only totals by pattern reach the driver: one row for each set of sources that
+occurs, refused beyond `max_patterns`.
 
 Null texts count as empty (0 words): nothing is taken of them. A null source is a source of its own, last in order.
-Rows are taken as they come: repeated rows are documents of their own; those of equal hash are taken in the order of
-their columns, and rows that are the same in every way are interchangeable. An empty table gives an empty result.
+Rows are taken as they come: repeated rows are documents of their own. Rows of equal doc_id and text have the same draw and
+are taken all or none, whichever comes nearer to the words asked for. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,143 +57,188 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], share: float, mos
     return targets
 
 
-def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int], costs: Sequence[int]) -> list[int]:
-    """Words taken of each pattern: (its sources, its words) against the sources' quotas.
+def _levels(words: int, most: int) -> Iterator[tuple[int, int]]:
+    """(words, cost) of each taking: the first is free, the second costs 1, the next two 2, the next four 3 and so on, up to
+    `most` words in all. Costs rise with repetition, so they are convex."""
+    step, cost, left = words, 0, most
+    while words and left > 0:
+        yield min(step, left), cost
+        left -= step
+        step, cost = step * (2 if cost else 1), cost + 1
 
-    Costs are convex: the r-th taking of a pattern's words costs costs[r] each. Successive cheapest augmenting paths
-    with node potentials; the graph has one node for each pattern and source.
+
+def min_cost_flow(patterns: Sequence[tuple[int, dict[int, int]]], quotas: Sequence[int], caps: Sequence[int] | None = None) -> list[dict[int, int]]:
+    """Words that each source gets of each pattern. A pattern: its words, and the most that each of its sources may take.
+    caps: the most that is taken of each pattern in all.
+
+    As much as the quotas and patterns allow, at the least cost by _levels(). Potentials by shortest paths, then blocking
+    flows over the arcs without reduced cost: as many rounds as there are path costs, not one for each path.
     """
     source, sink = len(patterns) + len(quotas), len(patterns) + len(quotas) + 1
-    graph: list[list[list[int]]] = [[] for _ in range(sink + 1)]  # to, capacity, cost, index of the arc back
+    head, room, price, out = [], [], [], [[] for _ in range(sink + 1)]  # arc k and its way back k ^ 1
 
     def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        graph[a].append([b, capacity, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, (members, size) in enumerate(patterns):
-        for cost in costs:
-            arc(source, p, size, cost)
-        for s in sorted(members):
-            arc(p, len(patterns) + s, size * len(costs), 0)
+        for x, y, c, p in ((a, b, capacity, cost), (b, a, 0, -cost)):
+            out[x].append(len(head))
+            head.append(y)
+            room.append(c)
+            price.append(p)
+
+    for p, (words, most) in enumerate(patterns):
+        for capacity, cost in _levels(words, caps[p] if caps else sum(most.values())):
+            arc(source, p, capacity, cost)
+        for s in sorted(most):
+            arc(p, len(patterns) + s, most[s], 0)
     for s, quota in enumerate(quotas):
         arc(len(patterns) + s, sink, quota, 0)
-    height = [0] * len(graph)
+    height = [0] * (sink + 1)
     while True:
-        far: list[float] = [float("inf")] * len(graph)
-        back: list[tuple[int, int]] = [(-1, -1)] * len(graph)
-        far[source], heap = 0, [(0, source)]
+        far, heap = [float("inf")] * (sink + 1), [(0, source)]
+        far[source] = 0
         while heap:
             d, a = heapq.heappop(heap)
             if d > far[a]:
                 continue
-            for k, (b, capacity, cost, _) in enumerate(graph[a]):
-                if capacity and (e := d + cost + height[a] - height[b]) < far[b]:
-                    far[b], back[b] = e, (a, k)
-                    heapq.heappush(heap, (e, b))
+            for k in out[a]:
+                if room[k] and (e := d + price[k] + height[a] - height[head[k]]) < far[head[k]]:
+                    far[head[k]] = e
+                    heapq.heappush(heap, (e, head[k]))
         if far[sink] == float("inf"):
             break
         height = [h + int(min(d, far[sink])) for h, d in zip(height, far, strict=True)]
-        path, node = [], sink
-        while node != source:
-            a, k = back[node]
-            path.append(graph[a][k])
-            node = a
-        flow = min(x[1] for x in path)
-        for x in path:
-            x[1] -= flow
-            graph[x[0]][x[3]][1] += flow
-    return [sum(back for b, back, _, _ in graph[p] if b == source) for p in range(len(patterns))]
+        while True:  # blocking flows along the fewest arcs
+            level, front = [-1] * (sink + 1), [source]
+            level[source] = 0
+            while front and level[sink] < 0:
+                after = []
+                for a in front:
+                    for k in out[a]:
+                        b = head[k]
+                        if level[b] < 0 and room[k] and price[k] + height[a] == height[b]:
+                            level[b] = level[a] + 1
+                            after.append(b)
+                front = after
+            if level[sink] < 0:
+                break
+            at, path, a = [0] * (sink + 1), [], source
+            while True:
+                if a == sink:
+                    flow = min(room[k] for k in path)
+                    for k in path:
+                        room[k] -= flow
+                        room[k ^ 1] += flow
+                    path, a = [], source
+                    continue
+                while at[a] < len(out[a]):
+                    k = out[a][at[a]]
+                    if room[k] and level[head[k]] == level[a] + 1 and price[k] + height[a] == height[head[k]]:
+                        break
+                    at[a] += 1
+                else:
+                    if a == source:
+                        break
+                    k = path.pop()  # a dead end
+                    a = head[k ^ 1]
+                    at[a] += 1
+                    continue
+                path.append(k)
+                a = head[k]
+    return [{head[k] - len(patterns): room[k ^ 1] for k in out[p] if not k % 2} for p in range(len(patterns))]
+
+
+def _patterns(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slim with `member`, one row for each distinct text with member and size): the sources in which each text occurs."""
+    once = slim.groupBy("text", "own").agg(F.max("size").alias("size"))  # copies meet before the shuffle
+    texts = once.groupBy("text").agg(F.array_sort(F.collect_list("own")).alias("of"), F.max("size").alias("size"))
+    texts = materialize(texts.select("text", "size", F.array_join("of", "\n").alias("member"), (F.size("of") > 1).alias("shared")))
+    shared = texts.where("shared").select("text", "member")
+    return slim.join(shared, "text", "left").withColumn("member", F.coalesce("member", "own")), texts
 
 
 def mix(
     docs: DataFrame,
-    sources: Column,
+    sources: Column | None = None,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     most: int = 2,
     seed: int = 17,
     max_patterns: int = 100_000,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows with size, source_size, target (both of the first of a row's sources) and taken: the words the mix takes.
+    """The rows with size, source_size, target (both of a row's own source) and taken: the words the mix takes.
 
-    `sources` is an array of the sources to which a document belongs; `weights` repeat over the sources in code-point
-    order, null last. A document is taken whole, 0 to `most` times. The columns of docs come under the struct `row`.
+    Without `sources`, a document's own source is its column `source`, and its pattern the sources in which its text occurs. Or
+    `sources` is an array of the sources to which a document belongs, the first of which, in order, is its own. `weights`
+    repeat over the sources in code-point order, null last. A document is taken whole, 0 to `most` times. The columns of
+    docs (or those in `columns`) come under the struct `row`. Writes small tables and collects the totals by pattern.
     """
+    single = lambda s: F.to_json(F.array(s))
+    own = single(F.col("source").cast("string")) if sources is None else F.lit("")
     rows = docs.select(
-        F.struct("*").alias("row"),
-        F.to_json(F.array_sort(F.array_distinct(sources))).alias("member"),
+        F.struct(*(columns or docs.columns)).alias("row"),
+        own.alias("own"),
+        (F.lit("") if sources is None else F.to_json(F.array_sort(F.array_distinct(sources)))).alias("member"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"),
         n_words(F.col("text")).alias("size"),
+        seeded_draw(seed, F.col("doc_id") if "doc_id" in docs.columns else F.lit(""), F.col("text")).alias("draw"),
     )
-    rows = rows.withColumn("draw", seeded_draw(seed, F.col("row.doc_id") if "doc_id" in docs.columns else F.lit(""), F.col("row.text")))
-    slim = materialize(rows.select("member", "size", "draw"))
-
-    totals = slim.groupBy("member").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(totals) > max_patterns:
+    slim = materialize(rows.select("own", "member", "text", "size", "draw"))
+    if sources is None:
+        slim, texts = _patterns(slim.drop("member"))
+        slim = materialize(slim)
+        shared = texts.where("shared").select("text", "member")  # as few as texts of several sources
+        rows = rows.drop("member").join(shared, "text", "left").withColumn("member", F.coalesce("member", "own"))
+    else:
+        texts = slim
+    fresh = texts.groupBy("member").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
+    if len(fresh) > max_patterns:
         raise ValueError(f"more than {max_patterns} sets of sources")
-    members = {r["member"]: json.loads(r["member"]) for r in totals}
+    units = {(r["member"], r["own"]): r["size"] for r in slim.groupBy("member", "own").agg(F.sum("size").alias("size")).collect()}
+
+    def of(text: str) -> list[str | None]:  # JSON arrays of source names, one a line
+        return [s for line in text.split("\n") if line for s in json.loads(line)]
+
+    members = {r["member"]: of(r["member"]) for r in fresh}
     names = sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, (s or "").encode()))
     at = {s: k for k, s in enumerate(names)}
-    found = sorted((sorted(at[s] for s in members[r["member"]]), r["size"], r["member"]) for r in totals)
-    sizes = [sum(n for m, n, _ in found if k in m) for k in range(len(names))]
+    found = sorted((sorted(at[s] for s in members[r["member"]]), r["member"], r["size"]) for r in fresh)
+    within = {(m, at[of(o)[0]] if o else None): (o, n) for (m, o), n in units.items()}
+    whole = {m: n for (m, k), (_, n) in within.items() if k is None}
+    words = lambda m, k: whole[m] if m in whole else within[m, k][1]
+    sizes = [sum(words(m, k) for ks, m, _ in found if k in ks) for k in range(len(names))]
     targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(names))], share, most)
-    flows = min_cost_flow([(frozenset(m), n) for m, n, _ in found], [round(t) for t in targets], [r * r for r in range(most)])
-    plan = [
-        (key, sizes[m[0]] if m else 0, float(targets[m[0]]) if m else 0.0, *(divmod(flow, n) if n else (0, 0)))
-        for (m, n, key), flow in zip(found, flows, strict=True)
-    ]
-    spark = docs.sparkSession
-    # one row for each pattern: at most max_patterns
-    plan = F.broadcast(spark.createDataFrame(plan, "member string, source_size long, target double, rounds long, rest long"))
-    last = F.broadcast(_last_draws(slim.join(plan, "member")))
-    known = rows.join(plan, "member").join(last, "member", "left")
+    patterns = [(n, {k: most * words(m, k) for k in ks}) for ks, m, n in found]
+    caps = None if sources is None else [most * n for n, _ in patterns]  # a document of several sources is taken `most` times in all
+    flows = min_cost_flow(patterns, [round(t) for t in targets], caps)
+    plan = []
+    for (ks, m, _), flow in zip(found, flows, strict=True):
+        for k in ks if m not in whole else ks[:1] or [None]:
+            o, n = within[m, None if m in whole else k]
+            taken = sum(flow.values()) if m in whole else flow.get(k, 0)
+            plan.append((m, o, sizes[k] if k is not None else 0, float(targets[k]) if k is not None else 0.0, *(divmod(taken, n) if n else (0, 0))))
+    # one row for each pattern and source of it: at most max_patterns times the sources
+    plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "member string, own string, source_size long, target double, rounds long, rest long"))
+    last = F.broadcast(_last_draws(slim.join(plan, ["member", "own"])))
+    known = rows.join(plan, ["member", "own"]).join(last, ["member", "own"], "left")
     again = F.when(F.col("draw") <= F.col("last"), F.col("size")).otherwise(0)
     return known.select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + again).alias("taken"))
 
 
 def _last_draws(planned: DataFrame) -> DataFrame:
-    """For each pattern whose `rest` words are taken once more: the last draw that still goes in.
+    """For each pattern and source whose `rest` words are taken once more: the last draw that still goes in.
 
     Words are totalled by slice of the hash range first, so only the documents of one slice are put in order.
     """
+    unit = ["member", "own"]
     open_ = planned.where("rest > 0").withColumn("slice", F.shiftright("draw", DRAW_BITS - SLICE_BITS))
-    ahead = Window.partitionBy("member").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = open_.groupBy("member", "slice", "rest").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy(*unit).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = open_.groupBy(*unit, "slice", "rest").agg(F.sum("size").alias("words"))
     slices = slices.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    edge = slices.where("before < rest AND rest <= before + words").select("member", "slice", "before")
-    within = Window.partitionBy("member").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
-    inside = open_.join(edge, ["member", "slice"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
+    edge = slices.where("before < rest AND rest <= before + words").select(*unit, "slice", "before")
+    within = Window.partitionBy(*unit).orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
+    inside = open_.join(edge, [*unit, "slice"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
     # the document at the border goes in when that comes nearer to the words asked for
     fits = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    got = inside.groupBy("member").agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.min("slice").alias("slice"))
+    got = inside.groupBy(*unit).agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.min("slice").alias("slice"))
     below = F.shiftleft(F.col("slice"), DRAW_BITS - SLICE_BITS) - 1
-    return materialize(got.select("member", F.coalesce("last", below).alias("last")))
-
-
-#: For documents of one source each, where the cheapest flow is the smaller of quota and twice the source's words.
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS draw
-  FROM documents),
-s AS (
-  SELECT source, sum(size) AS size, 2.0::DOUBLE * sum(size) AS cap,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
-  FROM d GROUP BY source),
-o AS (
-  SELECT cap / w AS ratio, sum(cap) OVER p AS caps, (SELECT sum(w) FROM s) - sum(w) OVER p AS w_left, lead(cap / w) OVER p AS next
-  FROM s WINDOW p AS (ORDER BY cap / w, source)
-  UNION ALL SELECT 0, 0, sum(w), min(cap / w) FROM s),
-u AS (
-  SELECT min(unit) AS unit
-  FROM (SELECT ratio, next, ((SELECT 1.5::DOUBLE * sum(size) FROM s) - caps) / w_left AS unit FROM o WHERE w_left > 0)
-  WHERE unit >= ratio AND unit <= next),
-t AS (SELECT source, size, least(cap, unit * w) AS target, CAST(least(round_even(least(cap, unit * w), 0), cap) AS BIGINT) AS flow FROM s, u),
-f AS (
-  SELECT d.*, t.size AS source_size, t.target, CASE WHEN t.size > 0 THEN flow // t.size ELSE 0 END AS rounds, CASE WHEN t.size > 0 THEN flow % t.size ELSE 0 END AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY draw RANGE UNBOUNDED PRECEDING) - d.size / 2 AS middle
-  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
-l AS (SELECT source, max(draw) AS last FROM f WHERE rest > 0 AND middle <= rest GROUP BY source)
-SELECT f.doc_id, CAST(f.size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
-       CAST(rounds * f.size + CASE WHEN f.draw <= l.last THEN f.size ELSE 0 END AS BIGINT) AS taken
-FROM f LEFT JOIN l ON l.source IS NOT DISTINCT FROM f.source
-"""
+    return materialize(got.select(*unit, F.coalesce("last", below).alias("last")))

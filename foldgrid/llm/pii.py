@@ -15,6 +15,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 from . import weak
 from .shared import materialize
 
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: The base patterns. Those of emails and addresses are tried only where they can begin or must pass, so that long
+#: runs of their characters are read once; the plain forms are in the tests.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -40,6 +44,8 @@ _ASSIGNED = re.compile(r"[=:]\s{0,2}[\"'`]?$")
 _ANNOUNCED = re.compile(r"(?i)(?:" + "|".join(ANNOUNCE) + r")\W{0,6}(?:is\W{1,3})?$")
 _PART = re.compile(r"[0-9]+")
 _OUTSIDE = re.compile(r"[^A-Za-z0-9_+/-]")
+_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
+_INSIDE = frozenset(_SIGNS)
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+")
 _WORDY = re.compile(r"[A-Za-z0-9]")
 _OPENS = re.compile(r"(?i)" + "|".join((*ANNOUNCE, "=", ":")))
@@ -72,11 +78,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Every @ with what can stand before it, back to the @ or the match before, and a domain after."""
+    floor, at = 0, text.find("@")
+    while at >= 0:
+        before = text[floor:at]
+        own = len(before) - len(before.rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if own else None
+        if domain:
+            yield at - own, domain.end()
+        floor = domain.end() if domain else at + 1
+        at = text.find("@", floor)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start: leftmost non-overlapping matches of each kind that pass its test."""
-    out = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out = [(0, a, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
             out.append((1, *m.span()))
@@ -104,38 +121,53 @@ def _openings(text: str) -> list[int]:
 
 
 def _led(text: str) -> set[tuple[int, int]]:
-    """Tokens of any length that follow an announcing word or an assignment; the "is" between them is none."""
-    out = set()
-    for end in _openings(text):
-        for m in _TOKEN.finditer(text, end):
-            a, b = m.span()
-            if a > end + REACH:
-                break
-            if a == end and not _OUTSIDE.match(text[a - 1]) or not _WORDY.search(m[0]):
-                continue  # the rest of a longer token, or signs only
+    """Tokens of any length that follow an announcing word or an assignment; the "is" between them is none. Only tokens that
+    start within REACH are read, so an opening inside a long token costs nothing."""
+    out, seen = set(), 0
+    for end in sorted(_openings(text)):
+        for a in range(max(end, seen), min(end + REACH + 1, len(text))):
+            seen = a + 1
+            if text[a] not in _INSIDE or (a and text[a - 1] in _INSIDE):
+                continue  # no token, or the rest of a longer one
             before = text[max(0, a - 32) : a]
             announced = _ANNOUNCED.search(before)
-            if announced and m[0].lower() == "is":
+            if not announced and not _ASSIGNED.search(before):
                 continue
-            if announced or _ASSIGNED.search(before):
-                out.add((a, b))
+            m = _TOKEN.match(text, a)
+            if _WORDY.search(m[0]) and not (announced and m[0].lower() == "is"):
+                out.add(m.span())
+    return out
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether no span of the sorted, merged list `taken` overlaps a to b."""
+    k = bisect_left(taken, (b, 0)) - 1
+    return k < 0 or taken[k][1] <= a
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
     return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Tokens of letters, digits, _ + / - apart from the base spans: those of SHORTEST or more with a digit, and all that
     an announcing word or an assignment leads to."""
-    taken, last = [(s, e) for _, s, e in base], 0
-    out = {(a, b) for a, b in _led(text) if not any(s < b and a < e for s, e in taken)}
+    taken, last = _merged([(s, e) for _, s, e in base]), 0
+    out = {(a, b) for a, b in _led(text) if _free(taken, a, b)}
     for m in _PART.finditer(text):
         if m.start() < last:
             continue
-        a = m.start()
-        while a > last and not _OUTSIDE.match(text[a - 1]):
-            a -= 1
-        end = _OUTSIDE.search(text, m.end())
+        before = text[last : m.start()]
+        tail = len(before) - len(before.rstrip(_SIGNS))
+        a, end = m.start() - tail, _OUTSIDE.search(text, m.end())
         last = end.start() if end else len(text)
-        if last - a >= SHORTEST and not any(s < last and a < e for s, e in taken):
+        if last - a >= SHORTEST and _free(taken, a, last):
             out.add((a, last))
     return sorted(out)
 

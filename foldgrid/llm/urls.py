@@ -1,5 +1,5 @@
-"""URL filters over time: dated list entries become validity intervals, and an as-of join finds for every capture the
-entries that were active when it was fetched.
+"""URL filters over time: a dated entry is valid until the next one of its pattern, and an as-of join finds for every capture
+the entries that were active when it was fetched.
 
 An entry (pattern, listed_on, action) adds or removes a host or parent domain on a day. Of entries on one day, adds
 come before removals; the last one up to a day tells the state on that day, that day included. A capture is blocked
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Copies of the list, and shares into which the captures of a hot domain are dealt.
-SALTS = 16
+from .shared import materialize
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -25,28 +25,51 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, valid_from, valid_to (first day no longer; null: still active) of every time on the list."""
-    order = Window.partitionBy("pattern").orderBy("listed_on", "action")
-    clean = entries.select(F.lower("pattern").alias("pattern"), "listed_on", "action").dropna().distinct()
-    spans = clean.withColumn("valid_to", F.lead("listed_on").over(order)).where("action = 'add'")
-    return spans.where("valid_to IS NULL OR valid_to > listed_on").select("pattern", F.col("listed_on").alias("valid_from"), "valid_to")
+def entries_of(entries: DataFrame) -> DataFrame:
+    """pattern, listed_on, action: the list in lower case, each entry once."""
+    return entries.select(F.lower("pattern").alias("pattern"), "listed_on", "action").dropna().distinct()
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
-    """captures(url, fetched_on, ...) with host, blocked, pattern (the longest active) and listed_since."""
+def intervals(entries: DataFrame) -> DataFrame:
+    """pattern, valid_from, valid_to (first day no longer; null: still active) of every time on the list. An entry that
+    changes nothing, as from a list that is issued anew every day, starts no interval."""
+    order = Window.partitionBy("pattern").orderBy("listed_on", "action")
+    # the last entry of a day tells that day's state
+    daily = entries_of(entries).groupBy("pattern", "listed_on").agg(F.max("action").alias("action"))
+    changes = daily.withColumn("before", F.lag("action").over(order)).where("before IS NULL OR before != action")
+    spans = changes.withColumn("valid_to", F.lead("listed_on").over(order)).where("action = 'add'")
+    return spans.select("pattern", F.col("listed_on").alias("valid_from"), "valid_to")
+
+
+def as_of(days: DataFrame, entries: DataFrame) -> DataFrame:
+    """days(pattern, day), one row each, with the last entry up to the day (its own included), where that is an add: its date
+    is `listed_since`. Days and entries of a pattern pass in one line, so each is looked at once, however often it is listed."""
+    asked = days.select("pattern", "day", F.lit(1).alias("asks"), F.lit(None).cast("struct<listed_on:date,action:string>").alias("entry"))
+    said = entries_of(entries).select("pattern", F.col("listed_on").alias("day"), F.lit(0).alias("asks"), F.struct(F.col("listed_on").cast("date").alias("listed_on"), "action").alias("entry"))
+    line = Window.partitionBy("pattern").orderBy("day", "asks", "entry.action")
+    last = F.last("entry", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = asked.unionByName(said).withColumn("last", last).where("asks = 1 AND last.action = 'add'")
+    return found.select("pattern", "day", F.col("last.listed_on").alias("listed_since"))
+
+
+def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """captures(url, fetched_on, ...) with host, blocked, pattern (the longest active) and listed_since.
+
+    Hosts are reduced to those with a listed pattern first; what a pattern's state was on a day is found once for each of the
+    two, so neither a hot host or domain nor a list issued daily multiplies rows. Writes small tables on the way.
+    """
     rows = captures.select(F.struct("*").alias("row"), host(F.col("url")).alias("host"), F.col("fetched_on").alias("day"))
-    # one row for each host and day, whatever the number of captures, goes to the list
     asked = rows.where("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = asked.withColumn("pattern", F.explode(parents)).withColumn("salt", F.pmod(F.xxhash64("host", "day"), F.lit(salts)).cast("int"))
-    listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    active = asked.join(listed, ["pattern", "salt"]).where("valid_from <= day AND (valid_to IS NULL OR day < valid_to)")
-    longest = F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern"), F.col("valid_from"))).alias("best")
-    found = active.groupBy("host", "day").agg(longest).select(F.col("host").alias("h"), F.col("day").alias("d"), "best")
+    listed = materialize(entries_of(entries).select("pattern").distinct())
+    hosts = rows.where("host IS NOT NULL").select("host").distinct().withColumn("pattern", F.explode(parents)).join(listed, "pattern")
+    asked = materialize(asked.join(hosts, "host").select("host", "day", "pattern"))
+    state = materialize(as_of(asked.select("pattern", "day").distinct(), entries))
+    longest = F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern"), F.col("listed_since"))).alias("best")
+    found = materialize(asked.join(state, ["pattern", "day"]).groupBy("host", "day").agg(longest).select(F.col("host").alias("h"), F.col("day").alias("d"), "best"))
     joined = rows.join(found, (F.col("host") == F.col("h")) & (F.col("day") == F.col("d")), "left")
-    return joined.select("row.*", "host", F.col("best").isNotNull().alias("blocked"), "best.pattern", F.col("best.valid_from").alias("listed_since"))
+    return joined.select("row.*", "host", F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.listed_since")
 
 
 def demo_list(pages: DataFrame) -> DataFrame:

@@ -4,14 +4,17 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 from math import log
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foldgrid.llm import chat, decontaminate, graph, jaccard, language_model, lines, mixing, pii, quality, queries, tokens, urls, weak
@@ -200,6 +203,27 @@ def test_personal_data(spark, corpus):
     assert all("secret" in got[len(corpus) + 6 + k].spans for k in range(40))
 
 
+PIECES = ["1", "22", ".", "..", "@", "a", "b-c", "a.b", "_", "+", "%", " ", "256", "255.", "é", "-", "(", "4111 1111 1111 1111", "1.2.3.4", "x@y.z", "key=", "token"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_personal_data_base_is_the_plain_patterns(parts):
+    text = "".join(parts)
+    assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == brute_base(text)
+
+
+@pytest.mark.parametrize("piece", ["7", "a", "1.1.1.", "+1 1 1", "a@", "a.", "@", "key", "key=", "key ", "a1", "1-", "0x", "x@y."])
+def test_personal_data_of_long_runs(piece):
+    text = piece * (1_000_000 // len(piece)) + "@"
+    began = time.monotonic()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    for a, b in found[:100]:
+        pii.judge(text, a, b)
+    assert time.monotonic() - began < 8, piece
+
+
 def test_personal_data_candidates():
     def of(text):
         return [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))]
@@ -241,17 +265,66 @@ def test_water_fill():
 
 
 def test_flow_takes_fresh_words_first():
-    assert mixing.min_cost_flow([(frozenset([0]), 10), (frozenset([0, 1]), 10)], [15, 5], [0, 1]) == [10, 10]
-    assert mixing.min_cost_flow([(frozenset([0]), 10)], [15], [0, 1]) == [15]
-    assert sum(mixing.min_cost_flow([(frozenset([0]), 10), (frozenset([1]), 30)], [50, 20], [0, 1])) == 40
+    flow = mixing.min_cost_flow
+    assert flow([(10, {0: 20}), (10, {0: 20, 1: 20})], [15, 5]) == [{0: 10}, {0: 5, 1: 5}]
+    assert flow([(10, {0: 20})], [15]) == [{0: 15}] and flow([(10, {0: 20})], [50]) == [{0: 20}]
+    assert flow([(10, {0: 20}), (30, {1: 60})], [50, 20]) == [{0: 20}, {1: 20}]
+    assert flow([(10, {0: 20, 1: 20})], [20, 20], [20]) in ([{0: a, 1: 20 - a}] for a in range(21)) and flow([], [3]) == []
+
+
+def test_flow_against_all_flows():
+    rnd = random.Random(3)
+
+    def cost(words, taken):
+        return sum(sorted(c for n, c in mixing._levels(words, 1000) for _ in range(n))[:taken])
+
+    for _ in range(60):
+        patterns = [(rnd.randrange(0, 4), {s: rnd.randrange(0, 4) for s in rnd.sample(range(2), rnd.randrange(1, 3))}) for _ in range(3)]
+        quotas = [rnd.randrange(0, 7), rnd.randrange(0, 7)]
+        arcs = [(p, s, m if patterns[p][0] else 0) for p, (_, most) in enumerate(patterns) for s, m in most.items()]
+        best = None
+        for taken in product(*(range(m + 1) for _, _, m in arcs)):
+            of = [sum(t for t, (_, s, _) in zip(taken, arcs) if s == k) for k in range(2)]
+            if of[0] <= quotas[0] and of[1] <= quotas[1]:
+                own = (-sum(taken), sum(cost(w, sum(t for t, (q, _, _) in zip(taken, arcs) if q == p)) for p, (w, _) in enumerate(patterns)))
+                best = min(best or own, own)
+        got = mixing.min_cost_flow(patterns, quotas)
+        assert all(f[s] <= patterns[p][1][s] for p, f in enumerate(got) for s in f)
+        assert all(sum(f.get(k, 0) for f in got) <= quotas[k] for k in range(2))
+        assert (-sum(sum(f.values()) for f in got), sum(cost(w, sum(f.values())) for (w, _), f in zip(patterns, got))) == best
+
+
+def test_flow_of_many_patterns():
+    rnd = random.Random(5)
+    patterns = [(w, {s: 2 * w for s in rnd.sample(range(30), rnd.randrange(1, 6))}) for w in (rnd.randrange(1, 10_000) for _ in range(10_000))]
+    began = time.monotonic()
+    got = mixing.min_cost_flow(patterns, [rnd.randrange(1_000_000, 4_000_000) for _ in range(30)])
+    assert sum(sum(f.values()) for f in got) > 10_000_000 and time.monotonic() - began < 60
+
+
+def test_mixing_copies_across_sources(spark):
+    """Own words of a source go before those that other sources hold, too; each source's words come near its target."""
+    rnd = random.Random(21)
+    shared = [prose(rnd, 20) for _ in range(60)]
+    data = [(i, t, s) for i, (t, s) in enumerate([(t, s) for t in shared for s in ("a", "b")] + [(prose(rnd, 20), s) for s in "abc" for _ in range(150)] + [(prose(rnd, 20), None)] * 2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("member", F.lit("clash")).withColumn("own", F.lit(0))
+    got = mixing.mix(docs, share=0.9).select("row.*", F.col("size").alias("n"), "target", "taken").collect()
+    assert len(got) == len(data) and all(r.taken in (0, r.n, 2 * r.n) for r in got)
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 40
+    taken = {k: sum(r.taken for r in got if (r.text in shared) == k) for k in (False, True)}
+    fresh = 20 * (450 + 2)
+    # sources that don't need a second taking of their words take no copy a second time
+    assert taken[True] <= sum(r.taken for r in got) - min(fresh, taken[False]) and taken[False] > taken[True]
 
 
 def test_mixing(spark):
     rnd = random.Random(2)
     data = [(i, prose(rnd, rnd.randrange(0, 40)), None if i % 7 == 0 else f"s{i % 7}") for i in range(2000)] + [(5, None, "s1"), (5, None, "s1")]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    got = mixing.mix(docs, F.array("source")).select("row.*", F.col("size").alias("n"), "source_size", "target", "taken").collect()
-    assert len(got) == len(data) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, F.array("source")).select("row.*", F.col("size").alias("n"), "source_size", "target", "taken").collect()))
+    got = mixing.mix(docs).select("row.*", F.col("size").alias("n"), "source_size", "target", "taken").collect()
+    assert len(got) == len(data) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).select("row.*", F.col("size").alias("n"), "source_size", "target", "taken").collect()))
     by = defaultdict(list)
     for r in got:
         assert r.n == len(WORD.findall(r.text or "")) and r.taken in (0, r.n, 2 * r.n)
@@ -273,14 +346,15 @@ def test_mixing_overlapping_sources(spark):
 
 
 def edits(pattern, text):
-    row = list(range(len(pattern) + 1))
-    best = row[-1]
-    for c in text:
-        new = [0]
+    """Fewest edits that turn the pattern into a part of the text, and the first such part: (edits, start, stop)."""
+    row = [(i, 0) for i in range(len(pattern) + 1)]
+    best = (*row[-1], 0)
+    for k, c in enumerate(text):
+        new = [(0, k + 1)]
         for i, p in enumerate(pattern):
-            new.append(min(row[i] + (p != c), row[i + 1] + 1, new[i] + 1))
+            new.append(min((row[i][0] + (p != c), row[i][1]), (row[i + 1][0] + 1, row[i + 1][1]), (new[i][0] + 1, new[i][1])))
         row = new
-        best = min(best, row[-1])
+        best = min(best, (*row[-1], k + 1))
     return best
 
 
@@ -298,14 +372,18 @@ def test_decontamination(spark):
     texts = [None, "", prose(rnd, 60), item[0], f"{prose(rnd, 30)} {item[1].upper()} {prose(rnd, 30)}", "a tiny   one!", f"{item[2]}\n{item[3]}"]
     texts += [f"{prose(rnd, rnd.randrange(30))} {damaged(item[k % 6], n)} {prose(rnd, rnd.randrange(30))}" for k, n in enumerate([1, 3, 5, 6, 7, 9, 12, 14, 20, 30])]
     folded = lambda t: "".join(c.lower() for c in t or "" if c.isalnum())
-    want = set()
+    want, spots = set(), {}
     for i, t in enumerate(texts):
+        own = [n for n, c in enumerate(t or "") if c.isalnum()]
         for k, x in enumerate(map(folded, item)):
-            if x and edits(x, folded(t)) <= (int(0.1 * len(x)) if len(x) >= 16 else 0):
+            n, a, b = edits(x, folded(t)) if x else (1, 0, 0)
+            if x and n <= (int(0.1 * len(x)) if len(x) >= 16 else 0):
                 want.add((i, k))
+                spots[i, k] = (own[a], own[b - 1] + 1, n)
     docs = docs_of(spark, texts).withColumn("hits", F.lit(1)).withColumn("n", F.lit(2))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench).collect()}
-    assert got == want and len(want) > 8
+    hits = decontaminate.hits(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == want and len(want) > 8
+    assert {(r.doc_id, r.item_id): (r.start, r.stop, r.edits) for r in hits} == spots
     assert {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench, max_chars=200).collect()} == want
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
