@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each on all that the one before it kept."""
+"""A corpus pipeline of five stages, each on all that the one before it kept.
+
+Null and empty texts and texts below ten words fail the quality rules and go in the first stage. Null ids and repeated rows
+are documents of their own, except that equal rows of one id and text count as copies in the third stage: one stays. Ties
+go by doc_id (nulls last), then by a hash of the text or row, so reruns agree. Extra columns are carried along; the last
+stage adds `size`, `source_size`, `target` and `taken`, in place of columns of these names. An empty table gives an empty
+result.
+"""
 
 from __future__ import annotations
 
@@ -31,8 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with `size` in words and the words `taken`, repeats counted."""
-    mixed = mixing.mix(docs, F.array("source")).where("taken > 0")
-    return mixed.select("row.*", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs).where("taken > 0")
+    added = ["size", "source_size", "target", "taken"]
+    return mixed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 STAGES = [
