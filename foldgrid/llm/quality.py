@@ -144,24 +144,23 @@ def fit(scored: DataFrame, votes: str = "votes") -> dict[int, float]:
     return dict(zip(codes.tolist(), model.posterior(patterns).tolist(), strict=True))
 
 
-def _quality(votes, posterior: dict[int, float]):  # noqa: ANN001, ANN202
-    """A lookup in a literal map of at most 3**8 entries, as many as patterns occur."""
-    if not posterior:
-        return F.lit(None).cast("double")
-    return F.element_at(F.create_map(*[F.lit(x) for pair in posterior.items() for x in pair]), votes)
+def _posteriors(df: DataFrame, posterior: dict[int, float]) -> DataFrame:
+    """votes, quality: at most 3**8 rows, as many as patterns occur."""
+    return F.broadcast(df.sparkSession.createDataFrame(sorted(posterior.items()), "votes long, quality double"))
 
 
 def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base figures, base_failed, quality (posterior) and kept for every row of documents."""
     stats = materialize(docs.select("doc_id", _stats(F.col("text")).alias("s")).select("doc_id", "s.*"))
-    quality = _quality(F.col("votes"), fit(stats))
-    out = stats.withColumn("quality", quality)
+    out = stats.join(_posteriors(docs, fit(stats)), "votes", "left")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("votes")
 
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of good quality with all their columns. Texts are read twice and never shuffled."""
+    """The rows of good quality with all their columns. Texts are read twice and never shuffled or written: their votes are
+    estimated in a first reading and found again in the second."""
     posterior = fit(docs.select(_stats(F.col("text")).alias("s")).select("s.votes"))
     judged = docs.select(F.struct("*").alias("row"), _stats(F.col("text")).alias("s"))
-    good = judged.where(~F.col("s.base_failed") & (_quality(F.col("s.votes"), posterior) >= threshold))
+    judged = judged.select("row", F.col("s.votes").alias("votes"), F.col("s.base_failed").alias("failed"))
+    good = judged.where("NOT failed").join(_posteriors(docs, posterior), "votes").where(F.col("quality") >= threshold)
     return good.select("row.*")
