@@ -147,12 +147,11 @@ def min_cost_flow(patterns: Sequence[tuple[int, dict[int, int]]], quotas: Sequen
 
 
 def _patterns(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slim with `member`, one row for each distinct text with member and size): the sources in which each text occurs."""
+    """(one row for each distinct text with member, its sources, and size; text and member of those of several sources)."""
     once = slim.groupBy("text", "own").agg(F.max("size").alias("size"))  # copies meet before the shuffle
     texts = once.groupBy("text").agg(F.array_sort(F.collect_list("own")).alias("of"), F.max("size").alias("size"))
     texts = materialize(texts.select("text", "size", F.array_join("of", "\n").alias("member"), (F.size("of") > 1).alias("shared")))
-    shared = texts.where("shared").select("text", "member")
-    return slim.join(shared, "text", "left").withColumn("member", F.coalesce("member", "own")), texts
+    return texts, materialize(texts.where("shared").select("text", "member"))
 
 
 def mix(
@@ -184,10 +183,9 @@ def mix(
     )
     slim = materialize(rows.select("own", "member", "text", "size", "draw"))
     if sources is None:
-        slim, texts = _patterns(slim.drop("member"))
-        slim = materialize(slim)
-        shared = texts.where("shared").select("text", "member")  # as few as texts of several sources
-        rows = rows.drop("member").join(shared, "text", "left").withColumn("member", F.coalesce("member", "own"))
+        texts, shared = _patterns(slim)
+        # `shared` is written, so Spark knows its size and sends it to the rows while it is small
+        slim, rows = (x.drop("member").join(shared, "text", "left").withColumn("member", F.coalesce("member", "own")) for x in (slim, rows))
     else:
         texts = slim
     fresh = texts.groupBy("member").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()

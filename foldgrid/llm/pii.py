@@ -1,11 +1,15 @@
 """Personal data by weak supervision.
 
-Fixed patterns give the base spans (email, ip, card, phone), which always stay. Beside them, tokens that no pattern knows
-are candidates if they are long and have a digit, or follow an announcing word or an assignment: labelers by pattern,
-gazetteer and context vote on each, expectation-maximisation estimates how reliable the labelers are (those of exact
-forms have stated odds), and a logistic classifier of the span's own shape, formats and surroundings, trained on the
-posteriors, decides which candidates are secrets. Votes and features have few values, so what is estimated
-over all candidates of all texts are counts of their combinations; texts and spans never go to the driver.
+Fixed patterns give the base spans (email, ip, card, phone), which always stay. Beside them stand candidates of three kinds:
+
+- secrets: tokens that no pattern knows, if they are long and have a digit, or follow an announcing word or an assignment;
+- names: one to three capitalised words after a title or an introduction, or two and more that begin with a given name;
+- addresses: house numbers with capitalised words and a word for a street, in the usual orders of four languages.
+
+For each kind, labelers by pattern, gazetteer and context vote on every candidate, expectation-maximisation estimates how
+reliable they are (those of exact forms have stated odds), and a logistic classifier of the span's own shape, formats and
+surroundings, trained on the posteriors, decides which candidates are spans. Votes and features have few values, so what is
+estimated over all candidates of all texts are counts of their combinations; texts and spans never go to the driver.
 
 Null texts count as empty. Each row is judged by its text (and the corpus-wide estimates), so null or repeated ids and
 extra columns change nothing, and repeated rows give the same spans. Positions are code points, ends exclusive. An
@@ -33,7 +37,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "name", "address")
 
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|[0-9a-f]{16,}|[0-9A-F]{16,}|eyJ[\w-]{10,}|sk-[\w-]{16,}")
 _NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
@@ -65,9 +69,43 @@ FEATURES = (
     "digits_third", "long", "upper_only", "lower_only", "letters", "many_switches", "assigned", "announced", "quoted", "dashes",
     "key_format", "national_format", "digit", "announced_value",
 )
-_SCHEMA = "struct<base:array<struct<k:int,s:int,e:int>>,more:array<struct<s:int,e:int,votes:long,shape:int>>>"
+#: Gazetteers of names and addresses (English, German, French, Spanish).
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra")
+INTRODUCED = (
+    "my name is", "name", "signed", "contact", "attn", "attention", "regards", "sincerely", "dear", "mein name ist", "ich heiße", "grüße", "je m'appelle",
+    "nom", "cordialement", "me llamo", "mi nombre es", "nombre", "atentamente",
+)
+GIVEN = (
+    "Alice", "Andrea", "Andreas", "Anna", "Anne", "Antonio", "Carlos", "Carmen", "Charles", "Christian", "Claire", "Claudia", "Daniel", "David", "Elena",
+    "Elizabeth", "Emily", "Emma", "Francisco", "Hans", "Isabel", "James", "Jan", "Javier", "Jean", "Jennifer", "John", "Jose", "José", "Juan", "Julia", "Julie",
+    "Karl", "Katharina", "Laura", "Linda", "Lucia", "Luis", "Manuel", "Maria", "María", "Marie", "Mark", "Martin", "Mary", "Michael", "Michel", "Miguel", "Nicolas",
+    "Patricia", "Paul", "Peter", "Philippe", "Pierre", "Robert", "Sabine", "Sarah", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "William", "Wolfgang",
+)
+NO_NAMES = (
+    "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday",
+    "Thursday", "Friday", "Saturday", "Sunday", "The", "This", "That", "Reader", "Readers", "Sir", "Madam", "Customer", "Customers", "Team", "All", "Us", "Me",
+)
+STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Way", "Place", "Square", "Terrace")
+_CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]{1,24}"
+_FULL = re.compile(rf"{_CAPITAL}(?: {_CAPITAL}){{0,2}}(?!\w)")
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?={_CAPITAL})")
+_INTRO = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(INTRODUCED)})[:,]?\s{{1,2}})(?={_CAPITAL})")
+_GIVEN = re.compile(rf"(?<!\w)(?=(?:{'|'.join(GIVEN)}) {_CAPITAL})")
+_ADDRESS = re.compile(
+    rf"(?<![\w.])[0-9]{{1,5}}[a-z]? (?:{_CAPITAL} ){{1,3}}(?:{'|'.join(STREETS)})(?!\w)"
+    rf"|(?<!\w){_CAPITAL[:-6]}{{0,24}}(?:straße|strasse|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?(?!\w)"
+    rf"|(?<![\w.])[0-9]{{1,4}},? (?:rue|avenue|boulevard|place|chemin) (?:(?:de|du|des|la|le) ){{0,2}}{_CAPITAL}"
+    rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|los) ){{0,2}}{_CAPITAL},? [0-9]{{1,4}}(?!\w)"
+)
+_LIVES = re.compile(r"(?i)(?:address|adresse|dirección|lives? at|living at|ship to|deliver(?:ed)? to|wohnhaft|wohnt|habite|vive en|domicilio)\W{0,3}(?:is\W|in\W|au\W|en\W)?$")
+_POSTCODE = re.compile(r"[,;]?\s{1,2}(?:[A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}|(?:[A-Z]{2} |[A-Z][\w-]{1,20},? (?:[A-Z]{2} )?)?[0-9]{4,5})(?![0-9])")
+NAME_LABELERS = ("titled", "introduced", "given", "full", "beside", "no_name")
+ADDRESS_LABELERS = ("announced", "postcode", "number", "beside", "year")
+#: Characters around a candidate within which another span of personal data speaks for it.
+BESIDE = 60
+_SCHEMA = "struct<base:array<struct<k:int,s:int,e:int>>,more:array<struct<k:int,s:int,e:int,votes:long,shape:int>>>"
 _SPAN = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-_MORE = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("votes", pa.int64()), ("shape", pa.int32())])
+_MORE = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("votes", pa.int64()), ("shape", pa.int32())])
 
 
 def luhn(digits: str) -> bool:
@@ -198,25 +236,68 @@ def judge(text: str, a: int, b: int) -> tuple[list[int], int]:
     return votes, sum(1 << k for k, x in enumerate(shape) if x)
 
 
+def _near(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a span of the sorted, merged list begins or ends within BESIDE characters of a to b."""
+    return not _free(spans, max(0, a - BESIDE), b + BESIDE)
+
+
+def names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[int], int]]:
+    """(start, end, votes, features) of the candidates for names. taken: the base spans, sorted and merged."""
+    found: dict[tuple[int, int], list[bool]] = {}
+    for k, opening in enumerate((_TITLED, _INTRO, _GIVEN)):
+        for m in opening.finditer(text):
+            full = _FULL.match(text, m.end())
+            if full and _free(taken, *full.span()):
+                found.setdefault(full.span(), [False] * 3)[k] = True
+    out = []
+    for (a, b), (titled, introduced, _) in sorted(found.items()):
+        words = text[a:b].split(" ")
+        given, beside, no_name = words[0] in GIVEN, _near(taken, a, b), any(w in NO_NAMES for w in words)
+        votes = [int(titled), int(introduced), int(given), 1 if len(words) > 1 else 0, int(beside), -1 if no_name else 0]
+        shape = (titled, introduced, given, len(words) > 1, len(words) > 2, beside, no_name)
+        out.append((a, b, votes, sum(1 << k for k, x in enumerate(shape) if x)))
+    return out
+
+
+def addresses(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[int], int]]:
+    """(start, end, votes, features) of the candidates for addresses."""
+    out = []
+    for m in _ADDRESS.finditer(text):
+        a, b = m.span()
+        if not _free(taken, a, b):
+            continue
+        number = re.search(r"[0-9]+", m[0])[0]
+        year = 1900 <= int(number) <= 2099 and m[0].startswith(number)
+        announced, postcode, beside = bool(_LIVES.search(text[max(0, a - 32) : a])), bool(_POSTCODE.match(text, b)), _near(taken, a, b)
+        votes = [int(announced), int(postcode), -1 if int(number) == 0 else 1, int(beside), -1 if year else 0]
+        shape = (announced, postcode, beside, year, m[0][0].isdigit(), len(m[0]) > 24)
+        out.append((a, b, votes, sum(1 << k for k, x in enumerate(shape) if x)))
+    return out
+
+
 def _scan(col: pa.Array) -> pa.Array:
     base, more = [], []
     for x in col:
         text = x.as_py() or ""
         own = base_spans(text)
-        spans = candidates(text, own)
-        judged = [judge(text, a, b) for a, b in spans]
-        codes = weak.encode(np.array([v for v, _ in judged])).tolist() if judged else []
+        taken = _merged([(s, e) for _, s, e in own])
+        judged = [(4, a, b, *judge(text, a, b)) for a, b in candidates(text, own)]
+        judged += [(5, *c) for c in names(text, taken)] + [(6, *c) for c in addresses(text, taken)]
         base.append([{"k": k, "s": s, "e": e} for k, s, e in own])
-        more.append([{"s": a, "e": b, "votes": c, "shape": f} for (a, b), c, (_, f) in zip(spans, codes, judged, strict=True)])
+        more.append([{"k": k, "s": a, "e": b, "votes": int(weak.encode(np.array([v]))[0]), "shape": f} for k, a, b, v, f in judged])
     return pa.StructArray.from_arrays([pa.array(base, pa.list_(_SPAN)), pa.array(more, pa.list_(_MORE))], ["base", "more"])
 
 
+def _bits(shapes: np.ndarray) -> np.ndarray:
+    return (shapes[:, None] >> np.arange(len(FEATURES))) & 1
+
+
 def train(shapes: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Logistic regression on feature bits and a constant, against soft labels, by Newton steps on weighted combinations.
 
     The ridge weighs as much as so many candidates, so that rare features count in large inputs, too.
     """
-    x = np.column_stack([np.ones(len(shapes)), (shapes[:, None] >> np.arange(len(FEATURES))) & 1])
+    x = np.column_stack([np.ones(len(shapes)), _bits(shapes)])
     w, share, ridge = np.zeros(x.shape[1]), weight / weight.sum(), ridge / weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -227,37 +308,53 @@ def train(shapes: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def secret_shapes(scanned: DataFrame) -> list[int]:
-    """The feature combinations that the trained classifier takes for secrets, from counts over all candidates.
+#: By kind: labelers, starting odds, labelers whose odds stay, share of true candidates to start from. Names and addresses are
+#: candidates by their forms already, so most are true; a title is known to speak for a name, a word that is none against it.
+_PRIOR = [[0.30, 0.65, 0.05], [0.03, 0.55, 0.42]]
+_TITLE = [[0.001, 0.9985, 0.0005], [0.001, 0.579, 0.42]]
+_NO = [[0.60, 0.3999, 0.0001], [0.002, 0.9979, 0.0001]]
+MODELS = {
+    4: (LABELERS, START, EXACT, 0.5),
+    5: (NAME_LABELERS, np.array([_TITLE] + [_PRIOR] * 4 + [_NO]), (0, 5), 0.8),
+    6: (ADDRESS_LABELERS, np.array([_PRIOR] * 4 + [_NO]), (4,), 0.9),
+}
+
+
+def accepted_shapes(scanned: DataFrame) -> list[int]:
+    """The kinds and feature combinations (kind << 16 | features) that the trained classifiers take for spans, from counts over
+    all candidates.
 
-    At most 3**7 * 2**14 combinations of votes and features can occur, whatever the number of texts.
+    At most 3**7 * 2**14 combinations of votes and features of a kind can occur, whatever the number of texts.
     """
-    seen = scanned.select(F.inline("scan.more")).groupBy("votes", "shape").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "shape").collect()
-    if not seen:
-        return []
-    codes, shapes, n = (np.array([r[k] for r in seen], np.int64) for k in range(3))
-    patterns, at = np.unique(codes, return_inverse=True)
-    votes = weak.decode(patterns, len(LABELERS))
-    model = weak.fit(votes, np.bincount(at, n), share=0.5, start=START, known=EXACT)
-    w = train(shapes, model.posterior(votes)[at], n.astype(float))
-    every = np.unique(shapes)
-    bits = (every[:, None] >> np.arange(len(FEATURES))) & 1
-    return every[w[0] + bits @ w[1:] > 0].tolist()
+    counts = scanned.select(F.inline("scan.more")).groupBy("k", "votes", "shape").agg(F.count(F.lit(1)).alias("n"))
+    seen, out = counts.orderBy("k", "votes", "shape").collect(), []
+    for kind, (labelers, start, known, share) in MODELS.items():
+        own = [r for r in seen if r["k"] == kind]
+        if not own:
+            continue
+        codes, shapes, n = (np.array([r[c] for r in own], np.int64) for c in ("votes", "shape", "n"))
+        patterns, at = np.unique(codes, return_inverse=True)
+        votes = weak.decode(patterns, len(labelers))
+        model = weak.fit(votes, np.bincount(at, n), share=share, start=start, known=known)
+        w = train(shapes, model.posterior(votes)[at], n.astype(float))
+        every = np.unique(shapes)
+        out += (kind << 16 | every[w[0] + _bits(every) @ w[1:] > 0]).tolist()
+    return out
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans for every row."""
     scan = F.arrow_udf(_scan, _SCHEMA).asNondeterministic()
     scanned = materialize(docs.select("doc_id", scan(F.col("text")).alias("scan")))
-    accepted = F.array(*[F.lit(s) for s in secret_shapes(scanned)]).cast("array<int>")
+    accepted = F.array(*[F.lit(s) for s in accepted_shapes(scanned)]).cast("array<int>")
     names = F.array(*[F.lit(k) for k in KINDS])
     count = lambda k: F.size(F.filter("scan.base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
-    secrets = F.filter("scan.more", lambda x: F.array_contains(accepted, x["shape"]))
-    secrets = F.transform(secrets, lambda x: F.struct(F.lit(len(KINDS) - 1).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    more = F.filter("scan.more", lambda x: F.array_contains(accepted, F.shiftleft(x["k"], 16).bitwiseOR(x["shape"])))
+    more = F.array_sort(F.transform(more, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
     return scanned.select(
         "doc_id",
         *[count(k) for k in range(4)],
         F.sha2(line(F.col("scan.base")), 256).alias("base_sha256"),
-        line(F.concat("scan.base", secrets)).alias("spans"),
+        line(F.concat("scan.base", more)).alias("spans"),
     )

@@ -203,6 +203,23 @@ def test_personal_data(spark, corpus):
     assert all("secret" in got[len(corpus) + 6 + k].spans for k in range(40))
 
 
+def test_personal_data_names_and_addresses(spark):
+    """Precision and recall of names and addresses on planted spans."""
+    rnd = random.Random(14)
+    family = lambda: rnd.choice("BCDFGHKLMNPRSTW") + "".join(rnd.choices("aeilnorst", k=rnd.randrange(4, 9)))
+    names = [lambda: ("Dear ", f"{rnd.choice(pii.GIVEN)} {family()}", ","), lambda: ("My name is ", f"{family()} {family()}", "."), lambda: ("said Dr. ", family(), " then"), lambda: ("by ", f"{rnd.choice(pii.GIVEN)} {family()}", " again"), lambda: ("Name: ", f"{family()} {family()}", ", a.b@c.de")]
+    places = [lambda: ("lives at ", f"{rnd.randrange(1, 900)} {family()} Street", ", Hilltown 90210"), lambda: ("to ", f"{family()}straße {rnd.randrange(1, 99)}", " in"), lambda: ("Adresse: ", f"{rnd.randrange(1, 99)} rue de {family()}", " et"), lambda: ("en ", f"Calle de {family()}, {rnd.randrange(1, 99)}", " y")]
+    planted = [("name", make()) for make in names for _ in range(20)] + [("address", make()) for make in places for _ in range(20)]
+    texts = [f"{prose(rnd, 8)} {a}{x}{b} {prose(rnd, 8)}" for _, (a, x, b) in planted]
+    clean = [f"{prose(rnd, 6).capitalize()}. {family()} {prose(rnd, 4)} in {rnd.choice(pii.NO_NAMES[:12])} {rnd.randrange(1950, 2020)}. Dear Readers, {prose(rnd, 3)}" for _ in range(200)]
+    hit, wrong, missed = 0, 0, []
+    for r in pii.find(docs_of(spark, texts + clean)).collect():
+        got = {(k, (texts + clean)[r.doc_id][int(a) : int(b)]) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k in ("name", "address", "secret")}
+        want = {(planted[r.doc_id][0], planted[r.doc_id][1][1])} if r.doc_id < len(planted) else set()
+        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + list(want - got)
+    assert hit >= 0.95 * len(planted) and wrong <= 0.05 * len(planted), missed
+
+
 PIECES = ["1", "22", ".", "..", "@", "a", "b-c", "a.b", "_", "+", "%", " ", "256", "255.", "é", "-", "(", "4111 1111 1111 1111", "1.2.3.4", "x@y.z", "key=", "token"]
 
 
@@ -213,12 +230,13 @@ def test_personal_data_base_is_the_plain_patterns(parts):
     assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == brute_base(text)
 
 
-@pytest.mark.parametrize("piece", ["7", "a", "1.1.1.", "+1 1 1", "a@", "a.", "@", "key", "key=", "key ", "a1", "1-", "0x", "x@y."])
+@pytest.mark.parametrize("piece", ["7", "a", "1.1.1.", "+1 1 1", "a@", "a.", "@", "key", "key=", "key ", "a1", "1-", "0x", "x@y.", "Mr Ab ", "Anna Bo ", "12 Ab ", "Ab"])
 def test_personal_data_of_long_runs(piece):
     text = piece * (1_000_000 // len(piece)) + "@"
     began = time.monotonic()
     base = pii.base_spans(text)
     found = pii.candidates(text, base)
+    pii.names(text, pii._merged([x[1:] for x in base])), pii.addresses(text, pii._merged([x[1:] for x in base]))
     for a, b in found[:100]:
         pii.judge(text, a, b)
     assert time.monotonic() - began < 8, piece
