@@ -88,15 +88,16 @@ NO_NAMES = (
 STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Way", "Place", "Square", "Terrace")
 _CAPITAL = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]{1,24}"
 _FULL = re.compile(rf"{_CAPITAL}(?: {_CAPITAL}){{0,2}}(?!\w)")
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?={_CAPITAL})")
-_INTRO = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(INTRODUCED)})[:,]?\s{{1,2}})(?={_CAPITAL})")
-_GIVEN = re.compile(rf"(?<!\w)(?=(?:{'|'.join(GIVEN)}) {_CAPITAL})")
-_ADDRESS = re.compile(
-    rf"(?<![\w.])[0-9]{{1,5}}[a-z]? (?:{_CAPITAL} ){{1,3}}(?:{'|'.join(STREETS)})(?!\w)"
-    rf"|(?<!\w){_CAPITAL[:-6]}{{0,24}}(?:straße|strasse|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?(?!\w)"
-    rf"|(?<![\w.])[0-9]{{1,4}},? (?:rue|avenue|boulevard|place|chemin) (?:(?:de|du|des|la|le) ){{0,2}}{_CAPITAL}"
-    rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|los) ){{0,2}}{_CAPITAL},? [0-9]{{1,4}}(?!\w)"
+# Each begins with a set of first letters, which is quick to look for; what may stand before is checked apart.
+_TITLED = re.compile(rf"(?:{'|'.join(TITLES)})\.? (?={_CAPITAL})")
+_INTRO = re.compile(rf"(?i:(?:{'|'.join(INTRODUCED)})[:,]?\s{{1,2}})(?={_CAPITAL})")
+_GIVEN = re.compile(rf"(?=[{''.join(sorted({g[0] for g in GIVEN}))}])(?=(?:{'|'.join(GIVEN)}) {_CAPITAL})")
+_HOUSE_FIRST = re.compile(
+    rf"[0-9]{{1,5}}(?:[a-z]? (?:{_CAPITAL} ){{1,3}}(?:{'|'.join(STREETS)})(?!\w)|,? (?:rue|avenue|boulevard|place|chemin) (?:(?:de|du|des|la|le) ){{0,2}}{_CAPITAL})"
 )
+_STREET_FIRST = re.compile(rf"(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|los) ){{0,2}}{_CAPITAL},? [0-9]{{1,4}}(?!\w)")
+_STREET_ENDS = ("straße ", "strasse ", "weg ", "platz ", "allee ", "gasse ")
+_ONE_WORD = re.compile(rf"{_CAPITAL[:-6]}{{0,24}}(?:{'|'.join(x.strip() for x in _STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)")
 _LIVES = re.compile(r"(?i)(?:address|adresse|dirección|lives? at|living at|ship to|deliver(?:ed)? to|wohnhaft|wohnt|habite|vive en|domicilio)\W{0,3}(?:is\W|in\W|au\W|en\W)?$")
 _POSTCODE = re.compile(r"[,;]?\s{1,2}(?:[A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}|(?:[A-Z]{2} |[A-Z][\w-]{1,20},? (?:[A-Z]{2} )?)?[0-9]{4,5})(?![0-9])")
 NAME_LABELERS = ("titled", "introduced", "given", "full", "beside", "no_name")
@@ -244,8 +245,12 @@ def _near(spans: list[tuple[int, int]], a: int, b: int) -> bool:
 def names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[int], int]]:
     """(start, end, votes, features) of the candidates for names. taken: the base spans, sorted and merged."""
     found: dict[tuple[int, int], list[bool]] = {}
+    low = text.lower()
+    introduced = any(w in low for w in INTRODUCED)  # hardly any text has one
     for k, opening in enumerate((_TITLED, _INTRO, _GIVEN)):
-        for m in opening.finditer(text):
+        for m in opening.finditer(text) if introduced or opening is not _INTRO else ():
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+                continue
             full = _FULL.match(text, m.end())
             if full and _free(taken, *full.span()):
                 found.setdefault(full.span(), [False] * 3)[k] = True
@@ -262,8 +267,13 @@ def names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[
 def addresses(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[int], int]]:
     """(start, end, votes, features) of the candidates for addresses."""
     out = []
-    for m in _ADDRESS.finditer(text):
+    found = [*_HOUSE_FIRST.finditer(text), *_STREET_FIRST.finditer(text)]
+    if any(w in text for w in _STREET_ENDS):
+        found += _ONE_WORD.finditer(text)
+    for m in sorted(found, key=lambda m: m.span()):
         a, b = m.span()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "._"):
+            continue
         if not _free(taken, a, b):
             continue
         number = re.search(r"[0-9]+", m[0])[0]
