@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """The shared folder that spark.checkpoint.dir names. Where none is set, a temporary one on a local master, and an error on a
+    cluster, whose machines don't share their folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -25,6 +28,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def single_row(df: DataFrame) -> DataFrame:
+    """A frame of one row at most; running it over more fails."""
+    held = df.groupBy().agg(F.collect_list(F.struct(*df.columns)).alias("r"))
+    several = F.raise_error(F.lit("one row expected, got several")).cast(held.schema["r"].dataType)
+    return held.select(F.inline(F.when(F.size("r") > 1, several).otherwise(F.col("r"))))
+
+
 def seeded(item: Column, seed: int) -> Column:
     """A hash that orders items at random, the same on every run and in any SQL engine."""
     return F.md5(F.concat_ws("|", item.cast("string"), F.lit(str(seed))))
@@ -56,9 +66,6 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str]) -> DataFrame
     return ranked.withColumn("_rank", F.col("_r") + F.col("_before")).drop("_part", "_p", "_r", "_before", *[f"_g{k}" for k in range(len(group))])
 
 
-def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, salts: int = 32) -> DataFrame:
-    """The first n rows of each group with their `rank`: first the best n of each of `salts` shares, then of those."""
-    share = F.pmod(F.xxhash64(*[c for c in df.columns if c not in group]), F.lit(salts))
-    some = df.withColumn("_salt", share).withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)))
-    some = some.where(F.col("_r") <= n).drop("_salt", "_r")
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
+def top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group with their `rank`. Spark keeps the best n of each task before the shuffle."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)

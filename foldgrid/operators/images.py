@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import single_row
+
 #: Triangle, channel and name of each ablation.
 ABLATIONS = (("upper", "r", "vdw_attractive"), ("upper", "g", "vdw_repulsive"), ("upper", "b", "distance"), ("lower", "r", "es_attractive"), ("lower", "g", "es_repulsive"), ("lower", "b", "hydrophobicity"))
 # Channel means and deviations by which pictures are standardised.
@@ -81,11 +83,11 @@ def square_only(pixels: DataFrame) -> DataFrame:
 def ablate(pixels: DataFrame, means: DataFrame) -> DataFrame:
     """Six variants of every square image: one triangle of one channel as it is, all else the mean, rounded half to even.
 
-    means: one row (r, g, b); the diagonal always gets the mean.
+    means: one row (r, g, b), several are an error; the diagonal always gets the mean.
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("triangle"), F.lit(c).alias("channel"), F.lit(n).alias("feature")) for t, c, n in ABLATIONS])).alias("k")
-    mean = means.select(*[F.least(F.greatest(F.bround(c, 0), F.lit(0)), F.lit(255)).cast("int").alias(f"mean_{c}") for c in "rgb"]).limit(1)
-    rows = square_only(pixels).select("*", kinds).crossJoin(F.broadcast(mean))
+    mean = means.select(*[F.least(F.greatest(F.bround(c, 0), F.lit(0)), F.lit(255)).cast("int").alias(f"mean_{c}") for c in "rgb"])
+    rows = square_only(pixels).select("*", kinds).crossJoin(F.broadcast(single_row(mean)))
     inside = F.when(F.col("k.triangle") == "upper", F.col("col") > F.col("row")).otherwise(F.col("col") < F.col("row"))
     return rows.select(
         "image_id", F.col("k.feature").alias("feature"), "row", "col", *[F.when(inside & (F.col("k.channel") == c), F.col(c)).otherwise(F.col(f"mean_{c}")).alias(c) for c in "rgb"]

@@ -144,8 +144,7 @@ def assemble_map_v1(maps: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def pack_pixels(pixels: DataFrame) -> DataFrame:
-    """image_id, height, width, data (rows of RGB bytes) of each image. One image is one row."""
-    rgb = F.struct("row", "col", F.concat(*[F.unhex(F.lpad(F.hex(c), 2, "0")) for c in ("r", "g", "b")]).alias("b"))
-    rows = pixels.groupBy("image_id").agg(F.array_sort(F.collect_list(rgb)).alias("p"), (F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    data = F.aggregate("p", F.lit("").cast("binary"), lambda s, x: F.concat(s, x["b"]))
-    return rows.select("image_id", "height", "width", data.alias("data"))
+    """image_id, height, width, data (rows of blue, green and red bytes, as in Spark's image struct). One image is one row."""
+    bgr = F.struct("row", "col", F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")]).alias("b"))
+    rows = pixels.groupBy("image_id").agg(F.array_sort(F.collect_list(bgr)).alias("p"), (F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return rows.select("image_id", "height", "width", F.unhex(F.array_join(F.transform("p", lambda x: x["b"]), "")).alias("data"))

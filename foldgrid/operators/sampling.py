@@ -101,7 +101,8 @@ def resample_balanced(train: DataFrame, n: int, label: str = "label", item: str
     ranked = grouped_rank(train, [label], [item]).withColumn("_name", F.col(label).cast("string")).join(index, "_name")
     classes = index.agg(F.count(F.lit(1)).alias("_classes"))
     sizes = ranked.groupBy("label_idx").agg(F.max("_n").alias("_size"))
-    pick = lambda salt, of: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), of)
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.lit(str(seed)), F.lit(str(salt)))), 1, 15), 16, 10)
+    pick = lambda salt, of: drawn(salt).cast("long") % of
     draws = train.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(classes))
     draws = draws.withColumn("label_idx", pick(1, F.col("_classes")).cast("int")).join(sizes, "label_idx").withColumn("_rank", pick(2, F.col("_size")) + 1)
     return draws.join(ranked, ["label_idx", "_rank"]).select("draw", item, label)

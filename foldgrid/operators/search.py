@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .common import single_row
 
 #: Decimals of a score: ties then don't depend on the order of summation.
 DECIMALS = 9
@@ -16,8 +17,8 @@ _HITS = "query string, target string, score double"
 
 
 def cosine_query(emb: DataFrame, query: DataFrame) -> DataFrame:
-    """(query, target, score) of one query vector against every item; the query is a single row."""
-    one = query.select(F.col("item_id").alias("query"), F.col("vec").alias("qvec")).limit(1)
+    """(query, target, score) of one query vector against every item; a query of several rows is an error."""
+    one = single_row(query.select(F.col("item_id").alias("query"), F.col("vec").alias("qvec")))
     pairs = emb.crossJoin(F.broadcast(one))
     return pairs.select("query", F.col("item_id").alias("target"), F.round(vectors.cosine("qvec", "vec"), DECIMALS).alias("score"))
 

@@ -207,21 +207,21 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     """Supplier and part of each line as a pair of domains, scores from tax and discount."""
     rows = S.table(spark, d, "lineitem")
     name = lambda c, m: F.concat(F.lit("x/d"), F.lpad((F.col(c) % m).cast("string"), 6, "0"), F.lit(".ent"))
-    return rows.select(name("l_suppkey", 50).alias("a"), name("l_partkey", 60).alias("b"), (F.col("l_tax") * 10).alias("s1"), (F.col("l_discount") * 10).alias("s2"), F.col("l_quantity").alias("n"))
+    return rows.select(name("l_suppkey", 50).alias("a"), name("l_partkey", 60).alias("b"), (F.col("l_tax") * 10).alias("s1"), (F.col("l_discount") * 10).alias("s2"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"))
 
 
 _ALIGNED_SQL = """al AS (
-  SELECT 'd' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 6, '0') AS a, 'd' || lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS b, l_tax * 10 AS s1, l_discount * 10 AS s2, l_quantity AS n FROM lineitem)"""
+  SELECT 'd' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 6, '0') AS a, 'd' || lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS b, l_tax * 10 AS s1, l_discount * 10 AS s2, l_orderkey * 8 + l_linenumber AS n FROM lineitem)"""
 
 
 @query(
     "foldseek_top_k",
     f"""WITH {_ALIGNED_SQL}, g AS (SELECT a AS query, b AS target, max(s1) AS score, min(n) AS line_no FROM al GROUP BY 1, 2)
-SELECT query, round(score, 6) AS score, rank FROM (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, line_no) AS rank FROM g WHERE query != target) WHERE rank <= 5""",
+SELECT query, target, round(score, 6) AS score, rank FROM (SELECT query, target, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, line_no) AS rank FROM g WHERE query != target) WHERE rank <= 5""",
 )
 def foldseek_top_k(spark: SparkSession, d: str) -> DataFrame:
     rows = _aligned(spark, d).select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("s1").cast("string").alias("score"), F.col("n").alias("line_no"))
-    return _rounded(results.foldseek_hits(rows, 5), "score").select("query", "score", "rank")
+    return _rounded(results.foldseek_hits(rows, 5), "score").select("query", "target", "score", "rank")
 
 
 @query(
@@ -241,13 +241,13 @@ def usalign_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "usalign_v1_list",
-    f"""WITH {_ALIGNED_SQL}, g AS (SELECT a AS query, max(s1) AS score, b AS target FROM al GROUP BY 1, 3),
-k AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC) + 1 AS rank FROM g)
-SELECT query, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5 UNION ALL SELECT DISTINCT a, CAST(NULL AS DOUBLE), 1 FROM al""",
+    f"""WITH {_ALIGNED_SQL}, g AS (SELECT a AS query, max(s1) AS score, b AS target, min(n) AS line_no FROM al GROUP BY 1, 3),
+k AS (SELECT query, target, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, line_no) + 1 AS rank FROM g)
+SELECT query, target, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5 UNION ALL SELECT DISTINCT a, a, CAST(NULL AS DOUBLE), 1 FROM al""",
 )
 def usalign_v1_list(spark: SparkSession, d: str) -> DataFrame:
     rows = _aligned(spark, d).select(ids.stem(F.col("a")).alias("query"), ids.stem(F.col("b")).alias("target"), F.col("s1").alias("score"), F.col("n").alias("line_no"))
-    return _rounded(hits.usalign_v1_list(hits.best_score(rows), 5), "score").select("query", "score", "rank")
+    return _rounded(hits.usalign_v1_list(hits.best_score(rows), 5), "score").select("query", "target", "score", "rank")
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -561,7 +561,13 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sampling.with_weights(_brands(spark, d)), "weight")
 
 
-@query("resample_balanced")
+@query(
+    "resample_balanced",
+    """WITH c AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_idx, count(*) OVER () AS classes FROM (SELECT DISTINCT p_brand AS label FROM part)),
+r AS (SELECT p_partkey AS id, label, label_idx, row_number() OVER (PARTITION BY label ORDER BY p_partkey) AS rank, count(*) OVER (PARTITION BY label) AS size FROM part JOIN c ON c.label = p_brand),
+d AS (SELECT draw, CAST('0x' || md5(draw || '|0|1')[1:15] AS BIGINT) AS a, CAST('0x' || md5(draw || '|0|2')[1:15] AS BIGINT) AS b FROM (SELECT unnest(range(0, (SELECT count(*) // 2 FROM part))) AS draw))
+SELECT draw, id, label FROM d JOIN r ON r.label_idx = a % (SELECT any_value(classes) FROM c) AND r.rank = b % r.size + 1""",
+)
 def resample_balanced(spark: SparkSession, d: str) -> DataFrame:
     rows = _brands(spark, d)
     return sampling.resample_balanced(rows, rows.count() // 2)
@@ -626,7 +632,15 @@ def select_chain(spark: SparkSession, d: str) -> DataFrame:
     return filters.select_chain(_pdb_atoms(spark, d), "A").groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"))
 
 
-@query("peptide_sequence")
+@query(
+    "peptide_sequence",
+    f"""WITH {S.RESIDUES_SQL},
+p AS (SELECT structure_id, res_idx, aa, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM residues),
+g AS (SELECT *, CASE WHEN sqrt(pow(lag(x) OVER o + 2 - x, 2) + pow(lag(y) OVER o - y, 2) + pow(lag(z) OVER o - z, 2)) <= 20 THEN 0 ELSE 1 END AS new FROM p WINDOW o AS (PARTITION BY structure_id ORDER BY res_idx)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY structure_id ORDER BY res_idx) AS run FROM g),
+k AS (SELECT *, count(*) OVER (PARTITION BY structure_id, run) AS size FROM r)
+SELECT 'd' || structure_id AS structure_id, string_agg(aa, '' ORDER BY res_idx) AS sequence FROM k WHERE size > 1 GROUP BY structure_id""",
+)
 def peptide_sequence(spark: SparkSession, d: str) -> DataFrame:
     return maps.peptide_sequence(_pdb_atoms(spark, d), 20.0)
 
@@ -758,18 +772,23 @@ def filter_min_image(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_min_image(_pictures(spark, d), 40).select("path", F.col("image.width").cast("long").alias("side"))
 
 
-@query("pad_to_size", f"WITH {S.RESIDUES_SQL} SELECT structure_id || '.png' AS path, 48 AS height, 48 AS width, 48 * 48 * 3 AS bytes FROM sizes")
+@query(
+    "pad_to_size",
+    f"""WITH {_PIXELS_SQL}, z AS (SELECT image_id, n, (48 - n) // 2 AS lead, row, col, printf('%02X%02X%02X', b, g, r) AS h FROM px JOIN sizes ON structure_id = image_id),
+e AS (SELECT structure_id, unnest(range(0, 48)) AS row FROM sizes), f AS (SELECT structure_id, row, unnest(range(0, 48)) AS col FROM e)
+SELECT f.structure_id || '.png' AS path, 48 AS height, 48 AS width, md5(string_agg(coalesce(z.h, '808080'), '' ORDER BY f.row, f.col)) AS bytes
+FROM f LEFT JOIN z ON z.image_id = f.structure_id AND z.row + greatest(z.lead, 0) = f.row AND z.col + greatest(z.lead, 0) = f.col GROUP BY f.structure_id""",
+)
 def pad_to_size(spark: SparkSession, d: str) -> DataFrame:
-    return images.pad_to_size(_pictures(spark, d), 48).select("path", "height", "width", F.octet_length("data").alias("bytes"))
+    return images.pad_to_size(_pictures(spark, d), 48).select("path", "height", "width", F.md5(F.hex("data")).alias("bytes"))
 
 
-@query("image_channel_means", f"WITH {_PIXELS_SQL} SELECT round(avg(r), 6) AS b, round(avg(g), 6) AS g, round(avg(b), 6) AS r FROM px")
+@query("image_channel_means", f"WITH {_PIXELS_SQL} SELECT round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM px")
 def image_channel_means(spark: SparkSession, d: str) -> DataFrame:
-    """The packed pictures hold red first where the image source has blue: the outer channels come out swapped."""
     return _rounded(images.image_channel_means(_pictures(spark, d)), "r", "g", "b")
 
 
-@query("image_pixels", f"WITH {_PIXELS_SQL} SELECT image_id || '.png' AS image_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, b AS r, g, r AS b FROM px")
+@query("image_pixels", f"WITH {_PIXELS_SQL} SELECT image_id || '.png' AS image_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, r, g, b FROM px")
 def image_pixels(spark: SparkSession, d: str) -> DataFrame:
     return images.to_pixels(_pictures(spark, d))
 
