@@ -207,11 +207,11 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     """Supplier and part of each line as a pair of domains, scores from tax and discount."""
     rows = S.table(spark, d, "lineitem")
     name = lambda c, m: F.concat(F.lit("x/d"), F.lpad((F.col(c) % m).cast("string"), 6, "0"), F.lit(".ent"))
-    return rows.select(name("l_suppkey", 50).alias("a"), name("l_partkey", 60).alias("b"), (F.col("l_tax") * 10).alias("s1"), (F.col("l_discount") * 10).alias("s2"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"))
+    return rows.select(name("l_suppkey", 50).alias("a"), name("l_partkey", 60).alias("b"), (F.col("l_tax") * 10).alias("s1"), (F.col("l_discount") * 10).alias("s2"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("n"))
 
 
 _ALIGNED_SQL = """al AS (
-  SELECT 'd' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 6, '0') AS a, 'd' || lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS b, l_tax * 10 AS s1, l_discount * 10 AS s2, l_orderkey * 8 + l_linenumber AS n FROM lineitem)"""
+  SELECT 'd' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 6, '0') AS a, 'd' || lpad(CAST(l_partkey % 60 AS VARCHAR), 6, '0') AS b, l_tax * 10 AS s1, l_discount * 10 AS s2, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS n FROM lineitem)"""
 
 
 @query(

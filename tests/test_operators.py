@@ -208,7 +208,7 @@ def test_assemble_against_arrays(spark):
         got[r.row, r.col] = (r.r, r.g, r.b)
     assert (got == want).all()
     packed = maps.pack_pixels(pixels).first()
-    assert (np.frombuffer(packed.data, np.uint8).reshape(packed.height, packed.width, 3) == want).all()
+    assert (np.frombuffer(packed.data, np.uint8).reshape(packed.height, packed.width, 3)[:, :, ::-1] == want).all()  # blue first
     turned = maps.rotate(maps.rotate(pixels.withColumn("n", F.lit(n)))).select("row", "col", "r").exceptAll(pixels.select("row", "col", "r"))
     assert turned.isEmpty()
 
@@ -340,3 +340,22 @@ def test_ablation(spark):
             assert (r.r, r.g, r.b) == (value[r.row, r.col][0] if r.col > r.row else 0, 2, 255)
     exact = images.channel_means(pixels).first()
     assert exact.g == pytest.approx((sum(x[4] for x in square) + 6) / 19)
+
+
+def test_single_rows(spark):
+    emb = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, vec array<double>")
+    assert search.cosine_query(emb, emb.where("item_id = 'a'")).count() == 2 and search.cosine_query(emb, emb.limit(0)).count() == 0
+    with pytest.raises(Exception, match="one row expected"):
+        search.cosine_query(emb, emb).collect()
+    pixels = spark.createDataFrame([("p", 0, 0, 1, 2, 3)], "image_id string, row int, col int, r int, g int, b int")
+    with pytest.raises(Exception, match="one row expected"):
+        images.ablate(pixels, spark.createDataFrame([(1.0, 1.0, 1.0), (2.0, 2.0, 2.0)], "r double, g double, b double")).collect()
+
+
+def test_pictures_are_blue_first(spark):
+    pixels = spark.createDataFrame([("p", r, c, r, 10 + c, 200) for r in range(2) for c in range(3)], "image_id string, row int, col int, r int, g int, b int")
+    picture = maps.pack_pixels(pixels).first()
+    assert (picture.height, picture.width) == (2, 3) and bytes(picture.data) == bytes(x for r in range(2) for c in range(3) for x in (200, 10 + c, r))
+    whole = maps.pack_pixels(pixels).selectExpr("image_id AS path", "struct(height, width, 3 AS nChannels, data) AS image")
+    back = {tuple(x) for x in images.to_pixels(whole).collect()}
+    assert back == {tuple(x) for x in pixels.collect()}

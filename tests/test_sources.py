@@ -138,3 +138,10 @@ def test_images(spark, tmp_path):
     got = {r.item_id.rsplit("/", 1)[1]: r.vec for r in emb.collect()}
     want = images.standardize(images.pad_array(pictures["d1"], 8)).mean(axis=(1, 2))
     assert got["d1.png"] == pytest.approx(list(want), rel=1e-5)
+
+
+def test_fasta_keeps_the_last(spark):
+    rows = [(1, "1ABC_A", "d1", "a.1.1.1", "ZZ"), (2, "1ABC_A", "d1", "a.1.1.1", "AA"), (3, "2ABC_A", "d2", "a.1.1.1", "MM")]
+    df = spark.createDataFrame(rows, "line int, PDBAndChainId string, SCOPeID string, SCOPeFamily string, PDBSequence string")
+    of = lambda order: {r.value.split("\n")[0]: r.value.split("\n")[1] for r in text.fasta(df, order).collect()}
+    assert of("line") == {">1ABC_A|d1|a.1.1.1": "AA", ">2ABC_A|d2|a.1.1.1": "MM"} and of(None)[">1ABC_A|d1|a.1.1.1"] == "ZZ"
