@@ -615,6 +615,34 @@ def test_jaccard_components(spark, corpus, size, percent, large):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, size, percent)
 
 
+def test_jaccard_second_pass_alone_finds_all_links(spark, corpus, monkeypatch):
+    """Where the first pass finds no link and passes over all candidates, the second finds the same components."""
+
+    def first(filed, sets, percent):
+        none = spark.createDataFrame([], "a long, b long")
+        return none, sets.select("key", F.pmod("key", F.lit(1)).alias("span"))
+
+    monkeypatch.setattr(jaccard, "_first_links", first)
+    rnd, texts = random.Random(16), list(corpus)
+    base = prose(rnd, 60).split()
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 5)):
+            w[rnd.randrange(60)] = f"e{rnd.randrange(9)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 4, 85)]
+
+
+def test_jaccard_overlaps():
+    rng = np.random.default_rng(2)
+    toks = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [len(set(toks[a].tolist()) & set(toks[b].tolist())) for a, b in zip(i, j)]
+    assert jaccard._overlaps(toks, i, j).tolist() == want
+    assert [int(jaccard._overlaps(toks, i[k : k + 1], j[k : k + 1])[0]) for k in range(50)] == want[:50]
+
+
 def test_jaccard_keeps_one(spark, corpus):
     texts = corpus
     docs = docs_of(spark, texts).withColumn("root", F.lit("clash"))
@@ -643,6 +671,48 @@ def test_components(spark):
     assert got == {i: find(i) for a, b in pairs if a != b for i in (a, b)}
 
 
+# --- odd tables
+
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+BY_ROW = {
+    "quality": lambda d, s: quality.score(d),
+    "language model": lambda d, s: language_model.score(d),
+    "personal data": lambda d, s: pii.find(d),
+    "mixing": lambda d, s: mixing.mix(d).select("row.doc_id", "taken"),
+    "tokens": lambda d, s: tokens.count_tokens(d, BPE),
+    "lines": lambda d, s: lines.dedup(d).select("row.doc_id", "kept_text"),
+    "jaccard": lambda d, s: jaccard.join_components(d),
+}
+
+
+@pytest.mark.parametrize("name", BY_ROW)
+def test_empty_tables_null_ids_repeated_rows_and_clashing_columns(spark, name):
+    rnd = random.Random(19)
+    long = prose(rnd, 20_000)
+    data = [(1, "a b c d e", "s"), (1, "a b c d e", "s"), (None, "a b c d e", None), (None, None, None), (None, None, None), (2, "", "t"), (3, long, "t"), (3, long, "t"), (4, "x", "t")]
+    clash = ["scan", "spans", "n_tokens", "key", "n", "size", "row", "votes", "draw", "member", "own", "taken", "h", "k", "block", "bucket", "root", "place", "label", "quality", "kept_text", "lines"]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").select("*", *[F.lit(f"clash {c}").alias(c) for c in clash])
+    got = BY_ROW[name](docs, spark)
+    rows = [r.asDict() for r in got.collect()]
+    assert len(rows) == len(data)
+    for k in (1, 3):
+        one, two = (str(r) for r in rows if r["doc_id"] == k)
+        assert one == two
+    assert BY_ROW[name](docs.limit(0), spark).count() == 0
+
+
+def test_filters_on_empty_and_clashing(spark):
+    docs = docs_of(spark, []).withColumn("place", F.lit(1)).withColumn("gone_id", F.lit(2)).withColumn("votes", F.lit(3)).withColumn("row", F.lit(4))
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for f in (quality.filter_documents, lines.dedup_documents, jaccard.keep_one, lambda d: decontaminate.clean(d, bench)):
+        assert f(docs).columns == docs.columns and f(docs).count() == 0
+    one = docs_of(spark, ["a b c d e f", "a b c d e f", "q"]).withColumn("place", F.lit(1)).withColumn("gone_id", F.lit(2)).withColumn("row", F.lit(4))
+    assert jaccard.keep_one(one).count() == 2
+    talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(talk).count() == 0
+
+
 # --- queries and pipeline
 
 
