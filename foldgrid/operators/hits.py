@@ -6,17 +6,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
     """pairs(a, b, tm1, tm2, line_no) as directed hits: a to b with tm1, b to a with tm2.
 
-    A hit given more than once keeps its last score and its first place.
+    A hit given more than once keeps its last score and its first place. Lines are numbers, or structs that sort as lines do.
     """
-    line = F.col("line_no") * 2
+    numbers = isinstance(pairs.schema["line_no"].dataType, NumericType)
+    line = lambda side: F.col("line_no") * 2 + side if numbers else F.struct("line_no", F.lit(side).alias("side"))
     two = F.array(
-        F.struct(F.col("a").alias("query"), F.col("b").alias("target"), F.col("tm1").alias("score"), line.alias("line_no")),
-        F.struct(F.col("b").alias("query"), F.col("a").alias("target"), F.col("tm2").alias("score"), (line + 1).alias("line_no")),
+        F.struct(F.col("a").alias("query"), F.col("b").alias("target"), F.col("tm1").alias("score"), line(0).alias("line_no")),
+        F.struct(F.col("b").alias("query"), F.col("a").alias("target"), F.col("tm2").alias("score"), line(1).alias("line_no")),
     )
     directed = pairs.select(F.inline(two))
     return directed.groupBy("query", "target").agg(F.max_by("score", "line_no").alias("score"), F.min("line_no").alias("line_no"))

@@ -131,6 +131,16 @@ def triage_queries(spark: SparkSession, d: str) -> DataFrame:
     return filters.triage_queries(metrics.query_metrics(_hits(spark, d), S.labels(spark, d), 5)).select("query", "value", "verdict")
 
 
+@query(
+    "triage_queries_v1",
+    f"""WITH {S.LABELS_SQL}, {S.NEAR_SQL}, t AS (
+  SELECT n.query, count(*) FILTER (WHERE q.fold = t.fold) AS tp FROM near n JOIN labels q ON q.id = n.query LEFT JOIN labels t ON t.id = n.target GROUP BY 1)
+SELECT query, CAST(tp AS INTEGER) AS tp, CASE tp WHEN 1 THEN 'bad' ELSE 'good' END AS verdict FROM t WHERE tp IN (1, 5)""",
+)
+def triage_queries_v1(spark: SparkSession, d: str) -> DataFrame:
+    return filters.triage_queries_v1(metrics.query_metrics_v1(S.near_hits(spark, d), S.labels(spark, d), 5), 5).select("query", "tp", "verdict")
+
+
 @query("relevant_counts", f"WITH {_COS} SELECT level, value, r FROM r")
 def relevant_counts(spark: SparkSession, d: str) -> DataFrame:
     return metrics.relevant_counts(S.labels(spark, d))
@@ -197,10 +207,14 @@ def wide_results_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(results.read_search_results(spark, path), "score").select("query", "target", "score", "rank")
 
 
-@query("similarity_report", f"""WITH {S.NEAR_SQL} SELECT query, '{{"' || query || '":[["' || min_by(target, rank) || '",1.0]' AS head, count(*) AS n FROM near GROUP BY query""")
+@query(
+    "similarity_report",
+    f"""WITH {S.NEAR_SQL} SELECT '{{"' || query || '":[' || string_agg('["' || target || '",' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY rank) || ']}}' AS value FROM near GROUP BY query""",
+)
 def similarity_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = results.similarity_report(S.near_hits(spark, d))
-    return rows.select(F.regexp_extract("value", r'^\{"([^"]*)"', 1).alias("query"), F.regexp_extract("value", r"^[^\]]*\]", 0).alias("head"), (F.regexp_count("value", F.lit(r"\],")) + 1).cast("long").alias("n"))
+    path = f"{scratch_dir(spark)}/report/{uuid.uuid4().hex}"
+    results.write_similarity_report(S.near_hits(spark, d), path)
+    return spark.read.text(path)
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -220,23 +234,22 @@ _ALIGNED_SQL = """al AS (
 SELECT query, target, round(score, 6) AS score, rank FROM (SELECT query, target, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, line_no) AS rank FROM g WHERE query != target) WHERE rank <= 5""",
 )
 def foldseek_top_k(spark: SparkSession, d: str) -> DataFrame:
-    rows = _aligned(spark, d).select(F.col("a").alias("query"), F.col("b").alias("target"), F.col("s1").cast("string").alias("score"), F.col("n").alias("line_no"))
-    return _rounded(results.foldseek_hits(rows, 5), "score").select("query", "target", "score", "rank")
+    path = f"{scratch_dir(spark)}/foldseek/{uuid.uuid4().hex}"
+    _aligned(spark, d).orderBy("n").select("a", "b", "s1").write.csv(path, sep="\t")
+    return _rounded(results.read_foldseek(spark, path, 5), "score").select("query", "target", "score", "rank")
 
 
 @query(
     "usalign_top_k",
-    f"""WITH {_ALIGNED_SQL}, u AS (
-  SELECT a, b, max(s1) AS tm1, max(s2) AS tm2 FROM al WHERE a < b GROUP BY 1, 2),
-g AS (SELECT a AS query, b AS target, tm1 AS score FROM u UNION ALL SELECT b, a, tm2 FROM u)
-SELECT query, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC) AS rank FROM g) WHERE rank <= 5""",
+    f"""WITH {_ALIGNED_SQL}, u AS (SELECT a AS query, b AS target, s1 AS score, 2 * n AS line FROM al UNION ALL SELECT b, a, s2, 2 * n + 1 FROM al),
+g AS (SELECT query, target, max_by(score, line) AS score, min(line) AS line FROM u GROUP BY 1, 2)
+SELECT query, target, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, line) AS rank FROM g) WHERE rank <= 5""",
 )
 def usalign_top_k(spark: SparkSession, d: str) -> DataFrame:
-    once = _aligned(spark, d).where("a < b").groupBy("a", "b").agg(F.max("s1").alias("tm1"), F.max("s2").alias("tm2"))
-    pairs = once.select(F.concat("a", F.lit(":A")).alias("#PDBchain1"), F.concat("b", F.lit(":B")).alias("PDBchain2"), F.col("tm1").alias("TM1"), F.col("tm2").alias("TM2"))
     path = f"{scratch_dir(spark)}/usalign/{uuid.uuid4().hex}"
-    pairs.write.csv(path, sep="\t", header=True)
-    return _rounded(results.read_usalign(spark, path, 5), "score").select("query", "score", "rank")
+    rows = _aligned(spark, d).orderBy("n")
+    rows.select(F.concat("a", F.lit(":A")).alias("#PDBchain1"), F.concat("b", F.lit(":B")).alias("PDBchain2"), F.col("s1").alias("TM1"), F.col("s2").alias("TM2")).write.csv(path, sep="\t", header=True)
+    return _rounded(results.read_usalign(spark, path, 5), "score").select("query", "target", "score", "rank")
 
 
 @query(
@@ -267,7 +280,7 @@ rn AS (SELECT 'd' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS sup, CASE WHEN
 
 @query("gtalign_hits", f"WITH {_REPORT_SQL} SELECT sup AS query, CAST(n - 1 AS INTEGER) AS rank, target FROM rn WHERE n BETWEEN 2 AND 6")
 def gtalign_hits(spark: SparkSession, d: str) -> DataFrame:
-    return results.parse_gtalign(_reports(spark, d), 5).select("query", "rank", "target")
+    return results.read_gtalign(spark, S.named_files(_reports(spark, d)), 5).select("query", "rank", "target")
 
 
 @query(
@@ -276,7 +289,7 @@ def gtalign_hits(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN target = '' THEN '' ELSE upper(substr(target, 2, 4)) || '_' || upper(substr(target, 6, 1)) END AS target FROM rn WHERE n <= 5""",
 )
 def gtalign_v1_hits(spark: SparkSession, d: str) -> DataFrame:
-    return results.parse_gtalign_v1(_reports(spark, d), 5)
+    return results.gtalign_v1_list(spark, S.named_files(_reports(spark, d)), 5)
 
 
 @query("embeddings_round_trip", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
@@ -475,8 +488,10 @@ def annotations_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fasta", f"""WITH {_ANNOTATED_SQL} SELECT '>' || "PDBId" || '_' || upper(substr("SCOPeID", 6, 1)) || '|' || "SCOPeID" || '|' || "SCOPeFamily" AS header, max(seq) AS sequence FROM an GROUP BY 1""")
 def fasta(spark: SparkSession, d: str) -> DataFrame:
-    rows = text.fasta(_annotated(spark, d))
-    return rows.select(F.substring_index("value", "\n", 1).alias("header"), F.substring_index("value", "\n", -1).alias("sequence"))
+    path = f"{scratch_dir(spark)}/fasta/{uuid.uuid4().hex}"
+    text.write_fasta(_annotated(spark, d), path)
+    rows = spark.read.text(path, lineSep=">").where("value != ''").select(F.split("value", "\n").alias("v"))
+    return rows.select(F.concat(F.lit(">"), F.col("v")[0]).alias("header"), F.col("v")[1].alias("sequence"))
 
 
 @query("entry_facts", """SELECT event_id, CASE WHEN event_id % 3 != 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS disulfide_bonds, CASE WHEN event_id % 3 != 0 THEN 'EM' END AS experimental_method FROM events""")
@@ -604,13 +619,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return maps.residue_pairs(S.residues(spark, d))
 
 
-def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
-    """Residues of the stand-in as lines of structure files (nitrogen, alpha carbon, carbon), parsed."""
+def _pdb_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Residues of the stand-in as lines of structure files (nitrogen, alpha carbon, carbon)."""
     rows = S.residues(spark, d).withColumn("res", chemistry.to_three_letter(F.col("aa")))
     line = lambda name, k: F.format_string(f"ATOM  %5d  {name:<3s} %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("res_idx") * 3 + k, "res", F.when(F.col("structure_id") % 20 == 0, "A").otherwise("B"), F.col("res_idx"), F.col("x") + k, "y", "z", F.lit(1.0), F.lit(0.0))
     atoms = F.array(*[F.struct((F.col("res_idx") * 3 + k).cast("long").alias("line_no"), line(n, k).alias("line")) for k, n in enumerate(("N", "CA", "C"))])
-    lines = rows.select(F.concat(F.lit("in/d"), F.col("structure_id").cast("string"), F.lit(".ent")).alias("path"), F.inline(atoms))
-    return structures.parse_atoms(lines)
+    return rows.select(F.concat(F.lit("in/d"), F.col("structure_id").cast("string"), F.lit(".ent")).alias("path"), F.inline(atoms))
+
+
+def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
+    return structures.parse_atoms(_pdb_lines(spark, d))
 
 
 @query(
@@ -618,7 +636,8 @@ def _pdb_atoms(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, res_idx, aa, round(x + 1, 3) AS x, round(z, 3) AS z FROM residues",
 )
 def parse_structures(spark: SparkSession, d: str) -> DataFrame:
-    rows = maps.residue_index(filters.select_chain(_pdb_atoms(spark, d)))
+    atoms = structures.read_structures(spark, S.named_files(_pdb_lines(spark, d)))
+    rows = maps.residue_index(filters.select_chain(atoms))
     return rows.select("structure_id", "res_idx", "aa", F.round("x", 3).alias("x"), F.round("z", 3).alias("z"))
 
 
@@ -793,6 +812,17 @@ def image_pixels(spark: SparkSession, d: str) -> DataFrame:
     return images.to_pixels(_pictures(spark, d))
 
 
+@query(
+    "image_files",
+    f"""WITH {_PIXELS_SQL} SELECT image_id || '.png' AS path, CAST(max(row) + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width,
+md5(string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY row, col)) AS bytes FROM px GROUP BY image_id""",
+)
+def image_files(spark: SparkSession, d: str) -> DataFrame:
+    """The maps after a way through picture files."""
+    rows = structures.read_images(spark, S.picture_files(_pictures(spark, d)))
+    return rows.select(ids.basename(F.col("path")).alias("path"), "image.height", "image.width", F.md5(F.hex("image.data")).alias("bytes"))
+
+
 @query("embed_images")
 def embed_images(spark: SparkSession, d: str) -> DataFrame:
     emb = search.embed(_pictures(spark, d), lambda x: x.reshape(len(x), 3, 8, -1).mean(axis=3).reshape(len(x), -1), "channel bands", 64)

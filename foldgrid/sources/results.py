@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -40,6 +40,12 @@ def gtalign_v1_list(spark: SparkSession, path: str, k: int) -> DataFrame:
     return parse_gtalign_v1(read_lines(spark, path, "*.out"), k)
 
 
+def appearance() -> Column:
+    """Where a line of a text source stands: file, block and line within, so files are in order of their names however Spark
+    packs them into tasks. For a select() straight on the source."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def usalign_hits(pairs: DataFrame, k: int) -> DataFrame:
     """k best hits of pairs(a, b, tm1, tm2, line_no) in both directions."""
     return H.top_k_aligner(H.both_directions(pairs), k)
@@ -47,7 +53,7 @@ def usalign_hits(pairs: DataFrame, k: int) -> DataFrame:
 
 def read_usalign(spark: SparkSession, path: str, k: int) -> DataFrame:
     """A headed TSV of chain pairs with the scores of either side."""
-    rows = spark.read.csv(path, sep="\t", header=True).withColumn("line_no", F.monotonically_increasing_id())
+    rows = spark.read.csv(path, sep="\t", header=True).select("*", appearance().alias("line_no"))
     a, b = ids.usalign_id(F.col("`#PDBchain1`")), ids.usalign_id(F.col("PDBchain2"))
     return usalign_hits(rows.select(a.alias("a"), b.alias("b"), F.col("TM1").try_cast("double").alias("tm1"), F.col("TM2").try_cast("double").alias("tm2"), "line_no"), k)
 
@@ -59,7 +65,7 @@ def foldseek_hits(rows: DataFrame, k: int) -> DataFrame:
 
 
 def read_foldseek(spark: SparkSession, path: str, k: int) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", schema="query string, target string, score string").withColumn("line_no", F.monotonically_increasing_id())
+    rows = spark.read.csv(path, sep="\t", schema="query string, target string, score string").select("*", appearance().alias("line_no"))
     return foldseek_hits(rows, k)
 
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.common import scratch_dir
 from .operators.filters import LEVELS as LEVELS
 from .operators.filters import with_levels
+from .sources.files import write_files
 
 STAGES = ["click", "view", "purchase", "error", "login"]
 AA = "ARNDCQEGHILKMFPSTWYV"
@@ -181,6 +186,37 @@ PREDICTIONS_SQL = """p AS (
 c AS (SELECT id, label, list_position(s, list_max(s)) - 1 AS pred FROM p)"""
 
 
+def named_files(lines: DataFrame) -> str:
+    """lines(path, line_no, line) written as the files that they name; their folder."""
+    folder = f"{scratch_dir(lines.sparkSession)}/files/{uuid.uuid4().hex}"
+    numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    body = F.concat(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"), F.lit("\n"))
+    write_files(lines.groupBy("path").agg(body.alias("content")), folder)
+    return folder
+
+
+def png(height: int, width: int, bgr: bytes) -> bytes:
+    """A picture file of rows of blue, green and red bytes."""
+    rgb = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1]
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1)
+    block = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + block(b"IHDR", head) + block(b"IDAT", zlib.compress(raw.tobytes())) + block(b"IEND", b"")
+
+
+def picture_files(pictures: DataFrame) -> str:
+    """Pictures (path, image) written as PNG files; their folder."""
+    folder = f"{scratch_dir(pictures.sparkSession)}/pictures/{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [png(r["height"], r["width"], r["data"]) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["path", "content"])
+
+    write_files(pictures.select("path", "image").mapInArrow(run, "path string, content binary"), folder)
+    return folder
+
+
 def text_files(lines: DataFrame, column: str = "value") -> str:
     """Lines written as text files to the shared folder; their path."""
     path = f"{scratch_dir(lines.sparkSession)}/text/{uuid.uuid4().hex}"

@@ -53,6 +53,8 @@ def test_means_comparison_and_triage(spark):
     table = metrics.compare_methods({"a": metrics.mean_metrics(a), "b": metrics.mean_metrics(b)}).collect()
     assert {(r["metric"], r["method"]): r["class"] for r in table}["patk", "a"] == 0.5 and len(table) == 6
     assert [r.verdict for r in filters.triage_queries(b, "class").collect()] == ["bad"]
+    older = spark.createDataFrame([("a", "fold", 1), ("b", "fold", 2), ("c", "fold", 5), ("d", "family", 5), ("e", "fold", 0)], "query string, level string, tp int")
+    assert {(r.query, r.verdict) for r in filters.triage_queries_v1(older, 5).collect()} == {("a", "bad"), ("c", "good")}
     assert metrics.distinct_per_column(labels).first()["class"] == 2 and metrics.distinct_per_column(labels, True).first()["class"] == 2
     assert [r.c for r in metrics.unknown_names(["a", "zz"], labels.select(F.col("class").alias("c")), "c").collect()] == ["zz"]
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldgrid.operators import filters, images, joins, maps, search
-from foldgrid.sources import results, structures, text
+from foldgrid.sources import files, results, structures, text
 
 
 def write(path, content):
@@ -87,6 +87,29 @@ def test_aligners(spark, tmp_path):
     assert [(r.target, r.score) for r in found] == [("d1a7ia2", 0.6), ("d9a7ia2", None)]
 
 
+def test_lines_of_several_files_in_order(spark, tmp_path):
+    """The larger file is read first, the one of the smaller name comes first."""
+    write(tmp_path / "fs/a.tsv", "d1\td2\t0.5\n")
+    write(tmp_path / "fs/b.tsv", "".join(f"d1\td{n}\t0.5\n" for n in range(3, 40)))
+    found = results.read_foldseek(spark, str(tmp_path / "fs"), 50).orderBy("rank").collect()
+    assert [r.target for r in found] == [f"d{n}" for n in range(2, 40)]
+    head = "#PDBchain1\tPDBchain2\tTM1\tTM2\n"
+    write(tmp_path / "us/a.tsv", head + "d1:A\td2:A\t0.4\t0.4\n")
+    write(tmp_path / "us/b.tsv", head + "d1:A\td3:A\t0.3\t0.3\nd1:A\td3:A\t0.4\t0.2\nd2:A\td1:A\t0.1\t0.4\n")
+    hits = [(r.query, r.target, r.score) for r in results.read_usalign(spark, str(tmp_path / "us"), 5).orderBy("query", "rank").collect()]
+    assert hits == [("d1", "d2", 0.4), ("d1", "d3", 0.4), ("d2", "d1", 0.1), ("d3", "d1", 0.2)]
+
+
+def test_written_files(spark, tmp_path):
+    rows = [("deep/a.txt", b"one"), ("b.txt", b""), ("c.txt", None)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    for folder in (str(tmp_path / "f"), f"file://{tmp_path}/f"):
+        assert files.write_files(df, folder) == 3
+    assert (tmp_path / "f/deep/a.txt").read_bytes() == b"one" and (tmp_path / "f/c.txt").read_bytes() == b""
+    assert sum(p.is_file() for p in (tmp_path / "f").rglob("*")) == 3
+    assert files.write_files(df.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_results(spark, tmp_path):
     hits = spark.createDataFrame([("a", "a", 1.0, 1), ("a", 'b"x', 0.25, 2)], "query string, target string, score double, rank int")
     path = str(tmp_path / "wide")
