@@ -5,6 +5,8 @@ frame_atoms(structure_id, frame, kind, res_idx, atom_idx, x, y, z, q, sigma, eps
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import chemistry as C
 from ..functions import constants as K
+from .common import materialize
 
 FRAME = ["structure_id", "frame"]
 TERMS = ("vdw_att", "vdw_rep", "es_att", "es_rep")
@@ -83,78 +86,223 @@ def frame_counts(frame_atoms: DataFrame) -> DataFrame:
     return frame_atoms.groupBy("structure_id").agg(F.count_distinct("frame").alias("n_frames"))
 
 
-#: Atom pairs that a task holds at once.
-CELLS = 1_000_000
+#: Atom pairs that a task holds at once, and atoms beyond which a frame is split.
+CELLS, CROWD = 1_000_000, 4096
 _FIELDS = ("x", "y", "z", "q", "sigma", "epsilon")
+_ATOM = ["res_idx", *_FIELDS]
 
 
-def _terms(a: dict, b: dict, strict: bool) -> tuple[np.ndarray, ...]:
-    """Attractive, repulsive and Coulomb terms of every atom of a with every atom of b, 0 where they are too close; and
-    whether they count."""
-    d = [a[c][:, None] - b[c][None, :] for c in "xyz"]
-    r = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    ok = r > K.CLOSEST if strict else r >= K.CLOSEST
+def _terms(a: np.ndarray, b: np.ndarray, strict: np.ndarray | bool) -> tuple[np.ndarray, ...]:
+    """Attractive, repulsive and Coulomb terms of atoms with atoms (rows of _FIELDS), 0 where they are too close; and whether they count."""
+    d = a[:3] - b[:3]
+    r = np.sqrt((d * d).sum(axis=0))
+    ok = np.where(strict, r > K.CLOSEST, r >= K.CLOSEST)
     r = np.where(ok, r, 1.0)
-    s2 = ((a["sigma"][:, None] + b["sigma"][None, :]) / 2 / r) ** 2
+    s2 = ((a[4] + b[4]) / 2 / r) ** 2
     s6 = s2 * s2 * s2
-    deep = np.where(ok & (r <= K.LJ_CUTOFF), 4 * np.sqrt(a["epsilon"][:, None] * b["epsilon"][None, :]), 0.0)
-    return -deep * s6, deep * s6 * s6, np.where(ok, K.COULOMB * a["q"][:, None] * b["q"][None, :] / r, 0.0), ok
-
-
-def _stretches(size: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Runs of residues whose atoms times `width` stay within CELLS (one residue at least)."""
-    out, first, held = [], 0, 0
-    for k, n in enumerate(size):
-        if held and (held + n) * width > CELLS:
-            out.append((first, k))
-            first, held = k, 0
-        held += n
-    return [*out, (first, len(size))] if len(size) else out
-
-
-def _one_frame(subtract: bool, schema: pa.Schema):  # noqa: ANN202
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        col = {c: table[c].to_numpy() for c in ("res_idx", "atom_idx", *_FIELDS)}
-        protein = pc.equal(table["kind"], "protein").to_numpy()
-        order = np.flatnonzero(protein)[np.lexsort((col["atom_idx"][protein], col["res_idx"][protein]))]
-        atoms, water = {c: col[c][order] for c in _FIELDS}, {c: col[c][~protein] for c in _FIELDS}
-        residues, first, size = np.unique(col["res_idx"][order], return_index=True, return_counts=True)
-        n = len(residues)
-        solvent, found = np.zeros((2, n)), []
-        for lo, hi in _stretches(size, max(len(order), len(water["x"]))):
-            own = {c: v[first[lo] : first[hi - 1] + size[hi - 1]] for c, v in atoms.items()}
-            starts = first[lo:hi] - first[lo]
-            add = lambda m: np.add.reduceat(np.add.reduceat(m, starts, axis=0), first, axis=1)  # noqa: E731, B023
-            att, rep, es, ok = _terms(own, atoms, False)
-            sums = [add(x) for x in (att, rep, np.minimum(es, 0), np.maximum(es, 0))]
-            i, j = np.nonzero(np.triu(add(ok.astype(np.int64)), lo + 1))
-            found.append((i + lo, j, *(m[i, j] / (size[i + lo] * size[j]) for m in sums)))
-            if subtract and len(water["x"]):
-                att, rep, es, _ = _terms(own, water, True)
-                for k, m in enumerate((att + rep, es)):
-                    solvent[k, lo:hi] = np.add.reduceat(m.sum(axis=1), starts) / size[lo:hi]
-        i, j, *values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
-        for k, at in ((0, 0), (2, 1)):
-            values[k] = values[k] - (solvent[at, i] + solvent[at, j]) / 2
-        columns = [residues[i] if n else i, residues[j] if n else j, *values]
-        same = [pa.array([x.as_py()] * len(i), f.type) for x, f in zip(key, schema, strict=False)]
-        return pa.Table.from_arrays([*same, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
+    deep = np.where(ok & (r <= K.LJ_CUTOFF), 4 * np.sqrt(a[5] * b[5]), 0.0)
+    return -deep * s6, deep * s6 * s6, np.where(ok, K.COULOMB * a[3] * b[3] / r, 0.0), ok
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ... for count[k] places, in a row."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _stretches(cost: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of items whose costs stay within CELLS (one item at least)."""
+    total, first = np.cumsum(cost), 0
+    while first < len(cost):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + CELLS, side="right")))
+        yield first, last
+        first = last
+
+
+class _Residues:
+    """Atoms in order of frame and residue, with the bounds of residues and frames."""
+
+    def __init__(self, frame: np.ndarray, residue: np.ndarray) -> None:
+        new = (np.diff(frame, prepend=-1) != 0) | (np.diff(residue, prepend=residue[:1] - 1) != 0) if len(frame) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(self.first, append=len(frame))
+        self.name, self.frame = residue[self.first], frame[self.first]
+        self.of = np.cumsum(new) - 1
+
+
+def _pair_sums(own: np.ndarray, mine: _Residues, atoms: np.ndarray, all_: _Residues) -> tuple[np.ndarray, ...]:
+    """Residue of own, residue of atoms, and sums of the terms over the atom pairs that count, of all pairs in one frame of a residue
+    with a later one. Pairs of many frames, or a stretch of one, are made in one go."""
+    least = min(all_.name.min(initial=0), mine.name.min(initial=0))
+    span = np.int64(max(all_.name.max(initial=0), mine.name.max(initial=0)) - least + 1)
+    later = np.searchsorted(all_.frame * span + (all_.name - least), mine.frame * span + (mine.name - least), side="right")
+    hi = np.searchsorted(all_.frame, mine.frame, side="right")
+    begin = np.append(all_.first, atoms.shape[1])
+    count = np.repeat(begin[hi] - begin[later], mine.size)
+    found = []
+    for first, last in _stretches(count):
+        a = np.repeat(np.arange(first, last), count[first:last])
+        b = _spread(np.repeat(begin[later], mine.size)[first:last], count[first:last])
+        att, rep, es, ok = _terms(own[:, a], atoms[:, b], False)
+        code = mine.of[a] * np.int64(len(all_.first)) + all_.of[b]
+        new = np.flatnonzero(np.diff(code, prepend=-1))
+        if not len(new):
+            continue
+        sums = [np.add.reduceat(x, new) for x in (ok.astype(np.int64), att, rep, np.minimum(es, 0), np.maximum(es, 0))]
+        found.append((code[new], *sums))
+    if not found:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 4
+    code, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(code, kind="stable")  # one pair of residues stands once for each atom of the first
+    new = np.flatnonzero(np.diff(code[order], prepend=-1))
+    sums = [np.add.reduceat(x[order], new) for x in sums]
+    met = sums[0] > 0
+    i, j = np.divmod(code[order][new][met], len(all_.first))
+    return i, j, *(x[met] for x in sums[1:])
+
+
+def _solvent_sums(own: np.ndarray, mine: _Residues, water: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of van der Waals and Coulomb terms of each residue with the solvent (in order of its frames)."""
+    lo, hi = (np.repeat(np.searchsorted(frame, mine.frame, side=side), mine.size) for side in ("left", "right"))
+    out = np.zeros((2, own.shape[1]))
+    for first, last in _stretches(hi - lo):
+        n = (hi - lo)[first:last]
+        a, b = np.repeat(np.arange(first, last), n), _spread(lo[first:last], n)
+        att, rep, es, _ = _terms(own[:, a], water[:, b], True)
+        for k, x in enumerate((att + rep, es)):
+            out[k, first:last] = np.bincount(a - first, x, last - first)
+    return tuple(np.add.reduceat(x, mine.first) if len(mine.first) else x[:0] for x in out)
+
+
+def _sorted_frames(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of equal leading columns out of sorted batches, many in one table, with each row's group number."""
+    held: list[pa.RecordBatch] = []
+
+    def number(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for c in range(keys):
+            col = table.column(c).combine_chunks()
+            col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+            new[1:] |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        group = number(table)
+        done = int(np.searchsorted(group, group[-1]))
+        if done:
+            yield table.slice(0, done), group[:done]
+        held = table.slice(done).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, number(table)
+
+
+def _matrix(table: pa.Table, rows: np.ndarray) -> np.ndarray:
+    return np.array([table[c].to_numpy()[rows] for c in _FIELDS], np.float64).reshape(len(_FIELDS), len(rows))
+
+
+def _whole_frames(subtract: bool, schema: pa.Schema):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _sorted_frames(batches, 2):
+            role = table["role"].to_numpy()
+            protein, solvent = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            atoms, res = _matrix(table, protein), _Residues(group[protein], table["res_idx"].to_numpy()[protein])
+            i, j, *values = _pair_sums(atoms, res, atoms, res)
+            values = [x / (res.size[i] * res.size[j]) for x in values]
+            if subtract:
+                for k, x in zip((0, 2), _solvent_sums(atoms, res, _matrix(table, solvent), group[solvent]), strict=True):
+                    mean = x / res.size
+                    values[k] = values[k] - (mean[i] + mean[j]) / 2
+            same = pa.array(protein[res.first[i]])
+            columns = [*(table[c].take(same).combine_chunks() for c in FRAME), res.name[i], res.name[j], *values]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _stretch(schema: pa.Schema):  # noqa: ANN202
+    """Sums of one stretch of residues at a time: its own atoms come first and are held, the frame's others come in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, own, mine = None, [], None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = list(zip(*[table[c].to_pylist() for c in (*FRAME, "stretch", "role")], strict=True))
+            first = 0
+            while first < len(marks):
+                last = first + 1
+                while last < len(marks) and marks[last] == marks[first]:
+                    last += 1
+                part, mark = table.slice(first, last - first), marks[first]
+                first = last
+                if mark[:3] != key:
+                    key, held, own = mark[:3], [], None
+                if mark[3] == 0:
+                    held.append(part)
+                    continue
+                if not held:  # no residue falls to this stretch
+                    continue
+                if own is None:
+                    whole = pa.concat_tables(held)
+                    own = _matrix(whole, np.arange(len(whole)))
+                    mine = _Residues(np.zeros(len(whole), np.int64), whole["res_idx"].to_numpy())
+                other, rows = np.zeros(len(part), np.int64), _matrix(part, np.arange(len(part)))
+                if mark[3] == 1:
+                    res = _Residues(other, part["res_idx"].to_numpy())
+                    i, j, *values = _pair_sums(own, mine, rows, res)
+                    i, j = mine.name[i], res.name[j]
+                else:
+                    vdw, es = _solvent_sums(own, mine, rows, other)
+                    i, values = mine.name, [vdw, np.zeros(len(vdw)), es, np.zeros(len(vdw))]
+                    j = np.full(len(i), -1)
+                same = [pa.array([v] * len(i), f.type) for v, f in zip(mark[:2], schema, strict=False)]
+                kinds = list(schema)[2:]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([mark[3] == 2] * len(i)), *(pa.array(c, f.type) for c, f in zip((i, j, *values), kinds[1:], strict=True))], schema=schema)
+
+    return run
+
+
+def _split_frames(atoms: DataFrame, large: DataFrame, subtract: bool, schema: str) -> DataFrame:
+    """Energies of frames that are too large for a task: each stretch of residues is one, and what needs two of them is joined."""
+    atoms = atoms.join(large, FRAME).withColumn("_n", F.ceil(F.col("size") / CROWD).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("stretch")
+    protein = atoms.where("role = 0")
+    mine = protein.select(*FRAME, F.pmod("res_idx", "_n").cast("int").alias("stretch"), F.lit(0).alias("role"), "atom_idx", *_ATOM)
+    others = atoms.select(*FRAME, every, (F.col("role") + 1).alias("role"), "atom_idx", *_ATOM)
+    line = [*FRAME, "stretch"]
+    rows = mine.unionByName(others).repartition(*line).sortWithinPartitions(*line, "role", "res_idx", "atom_idx").drop("atom_idx")
+    first, last = schema.split(", i int", 1)
+    parts = materialize(rows.mapInArrow(_stretch(to_arrow_schema(StructType.fromDDL(f"{first}, wet boolean, i int{last}"))), f"{first}, wet boolean, i int{last}"))
+    sizes = protein.groupBy(*FRAME, "res_idx").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda r: sizes.select(*FRAME, F.col("res_idx").alias(r), F.col("n").alias(f"n_{r}"))
+    sums = parts.where("NOT wet").groupBy(*FRAME, "i", "j").agg(*[F.sum(t).alias(t) for t in TERMS]).join(size("i"), [*FRAME, "i"]).join(size("j"), [*FRAME, "j"])
+    pairs = sums.select(*FRAME, "i", "j", *[(F.col(t) / (F.col("n_i") * F.col("n_j"))).alias(t) for t in TERMS])
+    if not subtract:
+        return pairs
+    wet = parts.where("wet").groupBy(*FRAME, "i").agg(F.sum("vdw_att").alias("v"), F.sum("es_att").alias("e")).join(size("i"), [*FRAME, "i"])
+    return subtract_solvent(pairs, wet.select(*FRAME, F.col("i").alias("res_idx"), (F.col("v") / F.col("n_i")).alias("vdw_solv"), (F.col("e") / F.col("n_i")).alias("es_solv")))
+
+
 def frame_energies(frame_atoms: DataFrame, subtract: bool = True) -> DataFrame:
     """Residue-pair energies of each frame by array arithmetic: what atom_pair_energies(), residue_pair_energy(),
     residue_solvent_energies() and subtract_solvent() give together.
 
-    One frame is one group: its atoms must fit a task, its atom pairs needn't, as they are taken in stretches.
+    Frames lie sorted in their partitions, and all whole frames of a batch are taken together by segments. A frame of more than CROWD
+    atoms is split by residues into stretches that are tasks of their own; such a task holds its stretch and one batch of the
+    frame's other atoms. Runs a job that counts the atoms of each frame.
     """
     kinds = dict(frame_atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame {kinds['frame']}, i int, j int, " + ", ".join(f"{t} double" for t in TERMS)
-    columns = ["structure_id", "frame", "kind", "res_idx", "atom_idx", "x", "y", "z", "q", "sigma", "epsilon"]
-    chosen = frame_atoms.select(*[F.col(c).cast("double") if c in _FIELDS else F.col(c) for c in columns])
-    types = to_arrow_schema(StructType.fromDDL(schema))
-    return chosen.groupBy("structure_id", "frame").applyInArrow(_one_frame(subtract, types), schema)
+    role = F.when(F.col("kind") == "protein", 0).otherwise(1).alias("role")
+    chosen = frame_atoms.select(*FRAME, role, "res_idx", "atom_idx", *[F.col(c).cast("double") for c in _FIELDS])
+    sizes = materialize(frame_atoms.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD))
+    split = not sizes.isEmpty()
+    small = chosen.join(sizes, FRAME, "left_anti") if split else chosen
+    small = small.repartition(*FRAME).sortWithinPartitions(*FRAME, "role", "res_idx", "atom_idx").drop("atom_idx")
+    whole = small.mapInArrow(_whole_frames(subtract, to_arrow_schema(StructType.fromDDL(schema))), schema)
+    return whole.unionByName(_split_frames(chosen, sizes, subtract, schema)) if split else whole
 
 
 def energy_stats(log: DataFrame, unsteady: float = 0.05) -> DataFrame:

@@ -79,6 +79,32 @@ def test_blocks_equal_plain_search(spark):
     assert search.cosine_blocks(emb, 2, 3, queries=emb.where("item_id = 'i1'")).select("query").distinct().count() == 1
 
 
+@pytest.mark.parametrize("size", [11, 40, 1000])
+def test_pruned_search_equals_plain_search(spark, size):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6))
+    vec = [[float(x) for x in centres[i % 12] + 0.05 * rng.normal(size=6)] for i in range(240)]
+    vec[100:150] = [vec[0]] * 50  # one vector many times over
+    data = [(f"i{k}", "m", v) for k, v in enumerate(vec)] + [("zero", "m", [0.0] * 6), ("tiny", "m", [1e-9] * 6), ("opposite", "m", [-x for x in vec[0]]), ("none", "m", None)]
+    data += [data[3], data[120]]  # repeated rows
+    emb = spark.createDataFrame(data, "item_id string, model string, vec array<float>")
+    plain = search.top_k(search.cosine_blocks(emb.where("vec IS NOT NULL"), 5, 1), 5)
+    key = lambda df: sorted((r.query, r.rank, r.target, round(r.score, 7)) for r in df.collect())
+    assert key(search.top_k(search.pruned_hits(emb, 5, size), 5)) == key(plain)
+    if size < 1000:
+        assert key(search.search_all(emb.where("vec IS NOT NULL"), 5, rows_a_block=4 * size)) == key(plain)
+
+
+def test_pruned_search_skips_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    data = [(f"i{k}", "m", [float(x) for x in centres[k % 40] + 0.02 * rng.normal(size=16)]) for k in range(2000)]
+    emb = spark.createDataFrame(data, "item_id string, model string, vec array<float>")
+    r = search.pruning_report(emb, 5, 50).first()
+    assert r.blocks >= 40 and r.compared < 0.3 * r.pairs and r.asked < 0.25 * r.possible
+    assert search.pruned_hits(emb.limit(0), 5).collect() == []
+
+
 def test_ties_go_by_name(spark):
     rows = spark.createDataFrame([("q", "b", 0.5), ("q", "a", 0.5), ("q", "c", 0.9)], "query string, target string, score double")
     assert [r.target for r in search.top_k(rows, 2).orderBy("rank").collect()] == ["c", "a"]
@@ -278,6 +304,33 @@ def test_frame_energies_equal_joins(spark):
     assert mean.vdw_att == pytest.approx((b["s0", 0, 0, 1].vdw_att + b["s0", 1, 0, 1].vdw_att) / 2)
 
 
+@pytest.mark.parametrize("crowd", [4, 11, 25])
+def test_large_frames_are_split(spark, monkeypatch, crowd):
+    monkeypatch.setattr(energies, "CROWD", crowd)
+    monkeypatch.setattr(energies, "CELLS", 40)
+    atoms = frame_atoms(spark, 3).union(frame_atoms(spark, 4, 9, 2).withColumn("structure_id", F.lit("small"))).union(frame_atoms(spark, 5, 0, 3).withColumn("structure_id", F.lit("wet")))
+    for subtract in (True, False):
+        key = lambda r: (r.structure_id, r.frame, r.i, r.j)
+        pairs = energies.residue_pair_energy(energies.atom_pair_energies(atoms), atoms)
+        plain = energies.subtract_solvent(pairs, energies.residue_solvent_energies(atoms)) if subtract else pairs
+        a, b = ({key(r): r for r in df.collect()} for df in (plain, energies.frame_energies(atoms, subtract)))
+        assert a.keys() == b.keys() and len(a) > 60
+        assert all(a[k][t] == pytest.approx(b[k][t], rel=1e-9, abs=1e-9) for k in a for t in energies.TERMS)
+
+
+def test_frame_of_thirty_thousand_atoms(spark):
+    n = 30_000
+    rows = spark.range(n).select(
+        F.lit("s").alias("structure_id"), F.lit(0).alias("frame"), F.when(F.col("id") < 40, "protein").otherwise("solvent").alias("kind"), F.expr("int(id div 10)").alias("res_idx"), F.col("id").cast("int").alias("atom_idx"),
+        *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 100.0).alias(k) for k in "xyz"], F.lit(0.1).alias("q"), F.lit(0.3).alias("sigma"), F.lit(0.4).alias("epsilon"),
+    )
+    got = {(r.i, r.j): r for r in energies.frame_energies(rows).collect()}
+    pairs = energies.residue_pair_energy(energies.atom_pair_energies(rows), rows)
+    want = {(r.i, r.j): r for r in energies.subtract_solvent(pairs, energies.residue_solvent_energies(rows)).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    assert all(got[k][t] == pytest.approx(want[k][t], rel=1e-7, abs=1e-9) for k in got for t in energies.TERMS)
+
+
 def test_energy_log(spark):
     log = lambda stage, values: [("r", stage, k + 1, 0.5 * (k + 1), float(e), 10) for k, e in enumerate(values)]
     data = log("npt", [-100, 50, -100, -50]) + log("nvt", [-100, -10]) + log("production", [-100.0] * 9 + [-10.0] + [-600.0])
