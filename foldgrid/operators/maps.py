@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,27 +56,67 @@ def peptide_sequence(atoms: DataFrame, max_cn: float = 1.8) -> DataFrame:
     )
 
 
+#: Residue pairs that one stretch of a chain makes at most, about.
+PAIRS = 2_000_000
+
+
+_SPOT = ("res_idx", "aa", "x", "y", "z")
+
+
+def _chain_pairs(residues: DataFrame) -> DataFrame:
+    """(structure_id, n, k, j, a, and an array for each column of a residue) for all pairs of places k < j of each structure.
+
+    The arrays are the structure's residues in order, a the one at place k. A chain is one row; its pairs are made of it in as many
+    stretches as they fill, dealt out as tasks of their own, and no pair is joined with anything. Runs a job for the length of the
+    longest chain.
+    """
+    chains = residues.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct(*_SPOT))).alias("chain"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    part_of = lambda c: F.transform("chain", lambda r: r[c]).alias(c)
+    longest = residues.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest * longest <= 2 * PAIRS:  # dealt by structure alone, what follows by structure needs no exchange of pairs
+        dealt = chains.withColumns({"parts": F.lit(1), "part": F.lit(0)})
+    else:
+        parts = F.ceil(F.col("n") * F.col("n") / (2 * PAIRS)).cast("int")
+        stretches = chains.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        # by number: Spark would put what is small before it grows into a few tasks
+        dealt = stretches.repartition(int(residues.sparkSession.conf.get("spark.sql.shuffle.partitions")), "structure_id", "part")
+    dealt = dealt.select("structure_id", F.col("n").cast("int").alias("n"), "parts", "part", *[part_of(c) for c in _SPOT])
+    # every parts-th residue, so stretches have about as many pairs each
+    starts = F.explode(F.sequence(F.col("part"), F.greatest(F.col("n") - 1, F.col("part")), F.col("parts"))).alias("k")
+    begun = dealt.select("structure_id", "n", *_SPOT, starts).where(F.col("k") < F.col("n") - 1)
+    begun = begun.select("*", F.struct(*[F.get(c, F.col("k")).alias(c) for c in _SPOT]).alias("a"))
+    return begun.select("*", F.explode(F.sequence(F.col("k") + 1, F.col("n") - 1)).alias("j"))
+
+
+def _at(place: Column) -> Column:
+    """The residue at a place of a chain."""
+    return F.struct(*[F.get(c, place).alias(c) for c in _SPOT])
+
+
 def residue_pairs(residues: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(structure_id, i, j, aa_i, aa_j, dist) for all i < j of each structure. One shuffle by structure; long chains are
-    split by Spark's skew handling, as both sides come from exchanges."""
-    spot = F.struct("x", "y", "z")
-    a = residues.select("structure_id", F.col("res_idx").alias("i"), F.col("aa").alias("aa_i"), spot.alias("a"))
-    b = residues.select("structure_id", F.col("res_idx").alias("j"), F.col("aa").alias("aa_j"), spot.alias("b"))
-    pairs = a.join(b, "structure_id").where("i < j")
-    return pairs.select("structure_id", "i", "j", "aa_i", "aa_j", C.distance(F.col("a"), F.col("b"), scale).alias("dist"))
+    """(structure_id, i, j, aa_i, aa_j, dist) for all i < j of each structure. One shuffle by structure, of residues; a chain must fit
+    a row, its pairs needn't fit a task. Residues that share a number make no pair."""
+    a, b = F.col("a"), _at(F.col("j"))
+    pairs = _chain_pairs(residues).select("structure_id", a["res_idx"].alias("i"), b["res_idx"].alias("j"), a["aa"].alias("aa_i"), b["aa"].alias("aa_j"), C.distance(a, b, scale).alias("dist"))
+    return pairs.where("i < j")
 
 
 def with_hydrophobicity(pairs: DataFrame, cutoff: float = 10.0) -> DataFrame:
     return pairs.withColumn("hydro", C.hydrophobicity_delta(F.col("aa_i"), F.col("aa_j"), F.col("dist"), cutoff))
 
 
-def contact_maps_v1(pairs: DataFrame, sizes: DataFrame, cutoff: float = 15.0) -> DataFrame:
-    """Pairs with hydro, charge and polarity of the older version, where residues touch when their own distance or the
-    one at the rotated place is below the cutoff, and a missing distance counts as 0. sizes: structure_id, n."""
-    d = pairs.join(sizes, "structure_id").withColumn("dist", F.coalesce("dist", F.lit(0.0)))
-    turned = d.select("structure_id", (F.col("n") - 1 - F.col("j")).alias("i"), (F.col("n") - 1 - F.col("i")).alias("j"), F.col("dist").alias("turned"))
+def contact_maps_v1(residues: DataFrame, cutoff: float = 15.0) -> DataFrame:
+    """Pairs (structure_id, i, j, aa_i, aa_j, dist) with hydro, charge and polarity of the older version, where residues touch when their
+    own distance or the one at the rotated place is below the cutoff, and a missing distance counts as 0.
+
+    residues: of residue_index(), numbered from 0 without gaps. The rotated place of (i, j) in a chain of n is (n - 1 - j, n - 1 - i): its
+    residues are read from the chain by position.
+    """
+    far = lambda c: _at(F.col("n") - 1 - F.col(c))
+    a, b = F.col("a"), _at(F.col("j"))
+    known = lambda x, y: F.coalesce(C.distance(x, y), F.lit(0.0))
+    out = _chain_pairs(residues).select("structure_id", F.col("k").alias("i"), "j", a["aa"].alias("aa_i"), b["aa"].alias("aa_j"), known(a, b).alias("dist"), known(far("j"), far("k")).alias("turned"))
     near = F.least("dist", "turned")
-    out = d.join(turned, ["structure_id", "i", "j"])
     for name, f in (("hydro", C.hydrophobicity_delta), ("charge", C.charge_pair), ("polarity", C.polarity_pair)):
         out = out.withColumn(name, f(F.col("aa_i"), F.col("aa_j"), near, cutoff))
     return out.drop("turned")
@@ -86,6 +130,12 @@ def channel_ranges(pairs: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     return pairs.groupBy("structure_id").agg(*ends)
 
 
+def _with_structures(pairs: DataFrame, structures: DataFrame) -> DataFrame:
+    """Pairs with what is known of their structure. Each task looks its structures up: Spark takes pairs made of chains for as small as
+    the chains and would broadcast them."""
+    return pairs.join(structures.hint("shuffle_hash"), "structure_id")
+
+
 def _byte(x: Column, lo: Column, hi: Column) -> Column:
     """0 to 255 between the ends, cut to a whole number; 0 where the ends are equal."""
     return F.when(hi > lo, F.floor((x - lo) * (1 / (hi - lo) * 255)).cast("int")).otherwise(0)
@@ -93,7 +143,7 @@ def _byte(x: Column, lo: Column, hi: Column) -> Column:
 
 def normalize_maps(pairs: DataFrame, channels: tuple[str, ...] = UPPER + LOWER) -> DataFrame:
     """Pairs with each channel as 0..255 and bg_<channel>, the value of the map's empty cells."""
-    ranged = pairs.join(channel_ranges(pairs, channels), "structure_id")
+    ranged = _with_structures(pairs, channel_ranges(pairs, channels))
     for c in channels:
         lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
         ranged = ranged.withColumn(c, _byte(F.coalesce(F.col(c), F.lit(0.0)), lo, hi)).withColumn(f"bg_{c}", _byte(F.lit(0.0), lo, hi))
@@ -102,7 +152,7 @@ def normalize_maps(pairs: DataFrame, channels: tuple[str, ...] = UPPER + LOWER)
 
 def normalize_maps_v1(pairs: DataFrame, channels: tuple[str, ...] = ("dist", "hydro")) -> DataFrame:
     """Pairs with each channel divided by the width of its range, the minimum not taken off."""
-    ranged = pairs.join(channel_ranges(pairs, channels), "structure_id")
+    ranged = _with_structures(pairs, channel_ranges(pairs, channels))
     for c in channels:
         width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
         ranged = ranged.withColumn(c, F.when(width != 0, F.col(c) / width).otherwise(F.col(c)))
@@ -114,23 +164,100 @@ def rotate(df: DataFrame, n: str = "n") -> DataFrame:
     return df.withColumns({"row": F.col(n) - 1 - F.col("row"), "col": F.col(n) - 1 - F.col("col")})
 
 
+#: Side of a tile of a map: maps of usual chains are one tile.
+TILE = 256
+_PIXELS = ("row", "col", "r", "g", "b")
+_SIDES = (UPPER, LOWER)
+_NONE = -1
+
+
+def _filled_tiles(side: int) -> Callable:
+    """Pixels of whole tiles out of rows sorted by structure, tile and head: a tile's head has its map's size, and the backgrounds where
+    they are known beforehand, else those of the first pair hold."""
+
+    def fill(table: pa.Table) -> pa.RecordBatch:
+        top, left, size = (table[c].to_numpy() for c in ("top", "left", "size"))
+        head = np.flatnonzero(size > 0)
+        tile, more = np.cumsum(size > 0) - 1, np.diff(head, append=len(size)) > 1
+        high, wide = (np.minimum(side, size[head] - c[head]).astype(np.int64) for c in (top, left))
+        begin = np.concatenate(([0], np.cumsum(high * wide)))
+        of = np.repeat(np.arange(len(head)), high * wide)
+        row, column = np.divmod(np.arange(begin[-1]) - begin[of], wide[of])
+        out = np.zeros((3, len(of)), np.int32)
+        for k in (0, 1):
+            at, v, ground = (table[f"{c}{k}"].to_numpy() for c in ("at", "v", "bg"))
+            own = np.where((ground[head] < 0) & more, ground[np.minimum(head + 1, len(size) - 1)], ground[head])
+            packed = np.maximum(own, 0)[of]
+            cells = np.flatnonzero(at >= 0)
+            r, c = np.divmod(at[cells], side)
+            packed[begin[tile[cells]] + r * wide[tile[cells]] + c] = v[cells]
+            for n in range(3):
+                out[n] += (packed >> (16 - 8 * n)) & 255
+        same = table["structure_id"].combine_chunks().take(pa.array(head[of]))
+        place = (row + top[head][of], column + left[head][of])
+        columns = [same.combine_chunks() if isinstance(same, pa.ChunkedArray) else same, *(pa.array(x.astype(np.int32)) for x in (*place, *(out & 255)))]
+        return pa.RecordBatch.from_arrays(columns, ["image_id", *_PIXELS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(3).to_numpy() > 0)
+            if len(heads):
+                done = [*held, batch.slice(0, heads[-1])]
+                if sum(b.num_rows for b in done):
+                    yield fill(pa.Table.from_batches(done))
+                held = [batch.slice(heads[-1])]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield fill(pa.Table.from_batches(held))
+
+    return run
+
+
+def _packed(names: list[str]) -> Column:
+    """Three values modulo 256 as one whole number."""
+    byte = lambda c: F.pmod(F.coalesce(c, F.lit(0)), F.lit(256)).cast("int")
+    return byte(names[0]) * 65_536 + byte(names[1]) * 256 + byte(names[2])
+
+
 def assemble_map(normalized: DataFrame, sizes: DataFrame) -> DataFrame:
     """pixels(image_id, row, col, r, g, b) of the whole square: the first three channels in place plus the other three
     turned by half a turn, modulo 256. normalized: of normalize_maps(); sizes: structure_id, n.
 
-    A cell gets the pair's value where its pair stands and the map's background elsewhere, on both of the added sides.
+    A cell gets the pair's value where its pair stands and the map's background elsewhere, on both of the added sides. Maps are
+    filled by tiles: each pair goes to the tiles of its two cells, in place and turned, which is the one exchange of pairs and one
+    row where both lie in one tile. Backgrounds come with the pairs; they are looked up for maps of several tiles, of which some may have
+    no pair. Runs a job to see whether there are such.
     """
-    back = normalized.groupBy("structure_id").agg(*[F.first(f"bg_{c}").alias(f"bg_{c}") for c in UPPER + LOWER])
-    side = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    grid = sizes.where("n > 0").select("structure_id", "n", side(F.col("n")).alias("row")).select("*", side(F.col("n")).alias("col"))
-    grid = grid.join(back, "structure_id", "left")
-    up = normalized.select("structure_id", F.col("i").alias("row"), F.col("j").alias("col"), *UPPER)
-    low = normalized.select("structure_id", F.col("i").alias("row"), F.col("j").alias("col"), *LOWER).join(sizes, "structure_id")
-    low = rotate(low).drop("n")
-    cells = grid.join(up, ["structure_id", "row", "col"], "left").join(low, ["structure_id", "row", "col"], "left")
-    value = lambda c: F.coalesce(c, f"bg_{c}", F.lit(0))
-    add = lambda a, b: ((value(a) + value(b)) % 256).cast("int")
-    return cells.select(F.col("structure_id").alias("image_id"), "row", "col", *[add(a, b).alias(k) for a, b, k in zip(UPPER, LOWER, "rgb", strict=True)])
+    known = sizes.where("n > 0").select("structure_id", F.col("n").cast("int").alias("n"))
+    grounds = [_packed([f"bg_{c}" for c in side]).alias(f"bg{k}") for k, side in enumerate(_SIDES)]
+    edges = lambda: F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(TILE)))
+    tiles = known.select("*", edges().alias("top")).select("*", edges().alias("left"))
+    none = F.lit(_NONE)
+    if known.where(F.col("n") > TILE).isEmpty():
+        tiles = tiles.withColumns({f"bg{k}": none for k in (0, 1)})
+    else:
+        first = normalized.select("structure_id", *grounds).groupBy("structure_id").agg(*[F.first(f"bg{k}").alias(f"bg{k}") for k in (0, 1)])
+        tiles = tiles.join(first, "structure_id", "left").fillna(0, ["bg0", "bg1"])
+    tiles = tiles.select("structure_id", "top", "left", F.col("n").alias("size"), *[none.alias(f"{c}{k}") for k in (0, 1) for c in ("at", "v")], "bg0", "bg1")
+
+    i, j, last = F.col("i"), F.col("j"), F.col("n") - 1
+    edge = lambda x: (x - x % TILE).cast("int")
+    inside = lambda r, c: (r % TILE * TILE + c % TILE).cast("int")
+    spots = ((i, j), (last - i, last - j))
+    pairs = _with_structures(normalized, known).select("structure_id", *[f(*spots[k]).alias(f"{n}{k}") for k in (0, 1) for n, f in (("top", lambda r, _: edge(r)), ("left", lambda _, c: edge(c)), ("at", inside))], *[_packed(list(side)).alias(f"v{k}") for k, side in enumerate(_SIDES)], *grounds)
+
+    def part(k: int, both: bool) -> Column:
+        at = [F.col(f"at{n}") if both or n == k else none for n in (0, 1)]
+        return F.struct(F.col(f"top{k}").alias("top"), F.col(f"left{k}").alias("left"), *[a.alias(f"at{n}") for n, a in enumerate(at)])
+
+    one = (F.col("top0") == F.col("top1")) & (F.col("left0") == F.col("left1"))
+    sent = pairs.select("structure_id", "v0", "v1", "bg0", "bg1", F.inline(F.when(one, F.array(part(0, True))).otherwise(F.array(part(0, False), part(1, False)))))
+    sent = sent.select("structure_id", "top", "left", F.lit(0).alias("size"), "at0", "v0", "at1", "v1", "bg0", "bg1")
+    line = ["structure_id", "top", "left"]
+    rows = tiles.unionByName(sent).repartition(*line).sortWithinPartitions(*line, F.col("size").desc())
+    return rows.mapInArrow(_filled_tiles(TILE), f"image_id {dict(normalized.dtypes)['structure_id']}, " + ", ".join(f"{c} int" for c in _PIXELS))
 
 
 def assemble_map_v1(maps: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import materialize
 from ..operators import energies, filters, maps, metrics, sampling, search
 
 
@@ -21,7 +22,9 @@ def build_maps(residues: DataFrame, frame_atoms: DataFrame, low: int = 20, high:
     atoms = frame_atoms.join(sizes, "structure_id", "left_semi")
     pairs = maps.with_hydrophobicity(maps.residue_pairs(kept), cutoff)
     mean = energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms))
-    return maps.assemble_map(maps.normalize_maps(pairs.join(mean, ["structure_id", "i", "j"], "left")), sizes)
+    # written, as ranges, backgrounds and cells all come from them
+    channels = materialize(pairs.join(mean, ["structure_id", "i", "j"], "left"))
+    return maps.assemble_map(maps.normalize_maps(channels), sizes)
 
 
 def training_lists(ids: DataFrame, annotations: DataFrame, level: str, n: int, share: float, excluded: list[str], item: str = "id", seed: int = 42) -> DataFrame:

@@ -241,6 +241,50 @@ def test_assemble_against_arrays(spark):
     assert turned.isEmpty()
 
 
+@pytest.mark.parametrize("tile", [2, 3, 64])
+def test_tiles_of_odd_maps(spark, monkeypatch, tile):
+    """A map with missing pairs, one of a single residue, one without pairs, one of no residue, and two of several tiles."""
+    monkeypatch.setattr(maps, "TILE", tile)
+    rnd, names = np.random.default_rng(7), maps.UPPER + maps.LOWER
+    rows, sizes = [], {"sparse": 7, "one": 1, "bare": 3, "void": 0, "a": 9, "b": 8}
+    for s in ("sparse", "a", "b"):
+        cells = [(i, j) for i in range(sizes[s]) for j in range(i + 1, sizes[s])]
+        for i, j in cells[:: 5 if s == "sparse" else 1]:
+            rows.append((s, i, j, *[int(x) for x in rnd.integers(0, 256, 6)], *[10 * k + len(s) for k in range(6)]))
+    normalized = spark.createDataFrame(rows, "structure_id string, i int, j int, " + ", ".join(f"{c} int" for c in names) + ", " + ", ".join(f"bg_{c} int" for c in names))
+    got = {(r.image_id, r.row, r.col): (r.r, r.g, r.b) for r in maps.assemble_map(normalized, spark.createDataFrame(list(sizes.items()), "structure_id string, n int")).collect()}
+    want = {}
+    for s, n in sizes.items():
+        known = [r for r in rows if r[0] == s]
+        square = np.zeros((6, n, n), np.int64) + (np.array([10 * k + len(s) for k in range(6)]) if known else np.zeros(6, np.int64))[:, None, None]
+        for _, i, j, *v in known:
+            square[:, i, j] = v[:6]
+        total = (square[:3] + np.rot90(square[3:], 2, axes=(1, 2))) % 256
+        want |= {(s, i, j): tuple(total[:, i, j].tolist()) for i in range(n) for j in range(n)}
+    assert got == want
+
+
+def test_one_exchange_of_cells(spark):
+    channels = {c: np.arange(10.0) for c in maps.UPPER + maps.LOWER}
+    normalized = maps.normalize_maps(pairs_of(spark, 5, [], **channels))
+    plan = maps.assemble_map(normalized, spark.createDataFrame([("s", 5)], "structure_id string, n int"))._jdf.queryExecution().executedPlan().toString()
+    cells = [line for line in plan.split("\n") if "Exchange" in line and "top#" in line]
+    assert len(cells) == 1
+
+
+def test_long_chains_are_many_tasks(spark, monkeypatch):
+    n = 1500
+    residues = spark.range(n).select(F.lit("s").alias("structure_id"), F.col("id").cast("int").alias("res_idx"), F.lit("A").alias("aa"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(500)) / 10.0).alias(c) for c in "xyz"])
+    whole = maps.residue_pairs(residues)
+    sums = lambda df: df.agg(F.count(F.lit(1)), F.sum("i"), F.sum("j"), F.round(F.sum("dist"), 3)).first()
+    want = sums(whole)
+    assert want[0] == n * (n - 1) // 2
+    monkeypatch.setattr(maps, "PAIRS", 20_000)
+    split = maps.residue_pairs(residues)
+    assert sums(split) == want and split.select(F.spark_partition_id().alias("p"), "i").groupBy("p").count().count() > 1
+    assert "Join" not in split._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contact_maps_v1_against_arrays(spark):
     rng = np.random.default_rng(2)
     n, letters = 12, "ARNDCQEGHILK"
@@ -251,7 +295,7 @@ def test_contact_maps_v1_against_arrays(spark):
     square = low + np.rot90(low, 2)
     positive, negative = set("RHK"), set("DE")
     sizes = spark.createDataFrame([("s", n)], "structure_id string, n int")
-    touched = maps.contact_maps_v1(maps.residue_pairs(residues), sizes, 15.0)
+    touched = maps.contact_maps_v1(residues, 15.0)
     for r in touched.collect():
         a, b = letters[r.i], letters[r.j]
         near = square[r.i, r.j] < 15 or square[r.j, r.i] < 15
