@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it: lambdas have no common subexpressions."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raised, lambda x: x / total)
+    ended = lambda s, top: F.struct(s.alias("s"), top.alias("top"))
+    raised = let(let(scores, lambda s: ended(s, F.array_max(s))), lambda t: F.transform(t["s"], lambda x: F.exp(x - t["top"])))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x)
+    return let(let(raised, lambda r: ended(r, total(r))), lambda t: F.transform(t["s"], lambda x: x / t["top"]))

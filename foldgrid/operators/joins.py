@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +61,55 @@ def in_classification(listed: DataFrame, domains: DataFrame, files: DataFrame) -
     return files.join(sids, ids.stem(files["path"]) == sids["_sid"], "left_semi")
 
 
+#: Names that stand for a range when ranges are cut.
+_DRAWN = 64
+
+
+def _cuts(keys: DataFrame, parts: int) -> list[str]:
+    """Keys that cut all keys into about `parts` equal ranges, from a bounded sample in the order of a hash."""
+    drawn = sorted(r[0] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(_DRAWN * parts).collect())
+    return sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+
+
+def _held_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted names and prefixes in one go: the prefixes of the name at hand lie on a stack, each one the beginning of the next."""
+    now, stack = None, []
+    for batch in batches:
+        paths, found = [], []
+        for part, key, path in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if part != now:
+                now, stack = part, []
+            while stack and not key.startswith(stack[-1]):
+                stack.pop()
+            if path is None:
+                if not stack or stack[-1] != key:
+                    stack.append(key)
+            else:
+                paths += [path] * len(stack)
+                found += stack
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], ["path", "prefix"])
+
+
 def match_prefix(files: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(path, prefix) of every file whose name starts with a prefix: one equi-join on the beginnings of the lengths that
-    prefixes have, up to the longest name's, so no pair of names is compared."""
+    """(path, prefix) of every file whose name starts with a prefix (not empty), by merging sorted names and prefixes.
+
+    Names and prefixes are one row each in the shuffle, dealt out by ranges; a range starts with the prefixes before it that its
+    first key begins with. Equal names of many files are told apart by path, so they fill many ranges. Null paths and
+    prefixes match nothing; repeated prefixes count once, repeated paths as often as they occur. Runs a job that draws the ranges.
+    """
+    spark = files.sparkSession
     name = ids.basename(F.col("path"))
-    longest = files.agg(F.max(F.length(name)).alias("longest"))
-    lengths = prefixes.select(F.length("prefix").alias("n")).where("n > 0").distinct()
-    sizes = lengths.join(F.broadcast(longest), F.col("n") <= F.col("longest")).agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    begun = files.crossJoin(F.broadcast(sizes)).select("path", name.alias("name"), F.explode("sizes").alias("n")).where(F.length("name") >= F.col("n"))
-    begun = begun.select("path", F.expr("substring(name, 1, n)").alias("prefix"))
-    return begun.join(prefixes.select("prefix").distinct(), "prefix")
+    end = F.lit("\0")
+    names = files.where(F.col("path").isNotNull()).select(F.concat(name, end, "path").alias("key"), "path")
+    known = prefixes.where("prefix != ''").select(F.col("prefix").alias("key")).distinct()
+    cuts = _cuts(names, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda c: c <= F.col("key")))
+    starts = spark.createDataFrame(list(enumerate(cuts, 1)), "part int, first string")
+    begun = starts.select("part", "first", F.explode(F.sequence(F.lit(1), F.length("first"))).alias("n")).select("part", F.expr("substring(first, 1, n)").alias("key"))
+    none = F.lit(None).cast("string").alias("path")
+    held = begun.join(known, "key").select("part", "key", none)
+    rows = names.select(part.alias("part"), "key", "path").unionByName(known.select(part.alias("part"), "key", none)).unionByName(held)
+    return rows.repartition("part").sortWithinPartitions("part", "key", F.col("path").asc_nulls_first()).mapInArrow(_held_prefixes, "path string, prefix string")
 
 
 def unmatched_prefixes(matches: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax
-from .common import grouped_rank
 
 
 def with_prediction(predictions: DataFrame) -> DataFrame:
@@ -47,14 +46,35 @@ def classification_report(predictions: DataFrame) -> DataFrame:
     return rows.select(F.col("class").cast("string"), *three, "support").unionByName(totals)
 
 
+#: Parts of a doubling of scores.
+PARTS = 256
+
+
+def _part(score: Column) -> Column:
+    """Number of a range of scores, greater for greater scores: by the logarithm, so that small scores are told apart as well. Nulls
+    are least and NaN is greatest, as in Spark's order."""
+    size = F.log2(1 + F.abs(score) * (1 << 20)) * PARTS
+    part = F.when(score < 0, -F.ceil(size)).otherwise(F.floor(size))
+    top = 1 << 40
+    return F.when(score.isNull(), F.lit(-top)).when(F.isnan(score), F.lit(top)).otherwise(F.greatest(F.least(part, F.lit(top - 1)), F.lit(1 - top))).cast("long")
+
+
 def auc_ovr(predictions: DataFrame) -> DataFrame:
-    """One-vs-rest AUC of each class with tie-averaged ranks; null for classes without rows on both sides."""
+    """One-vs-rest AUC of each class with tie-averaged ranks; null for classes without rows on both sides.
+
+    Scores are counted by (class, score) first, in each task and then together, so equal scores are one row however many there are.
+    Counts by range of scores put in line give the rows before each range; the distinct scores of a range are ranked among
+    themselves. No score is written or sampled, and a class is many tasks' work.
+    """
     scores = predictions.select("label", F.posexplode("probs").alias("class", "score"))
-    ranked = grouped_rank(scores, ["class"], ["score"])
-    ties = ranked.groupBy("class", "score").agg(
-        F.avg("_rank").alias("rank"), F.count_if(F.col("label") == F.col("class")).alias("pos"), F.count(F.lit(1)).alias("n")
-    )
-    sums = ties.groupBy("class").agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    hit = F.count_if(F.col("label") == F.col("class"))
+    counts = scores.groupBy("class", "score").agg(hit.alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("part", _part(F.col("score")))
+    line = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("class", "part").agg(F.sum("n").alias("_n")).select("class", "part", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("before"))
+    within = Window.partitionBy("class", "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts.hint("shuffle_hash"), ["class", "part"])
+    rank = F.col("before") + F.col("_before") + (F.col("n") + 1) / 2  # of equal scores, the mean of their ranks
+    sums = ranked.groupBy("class").agg(F.sum(rank * F.col("pos")).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("pos")
     auc = (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)
     return sums.select("class", F.when((F.col("pos") > 0) & (neg > 0), auc).alias("auc"), F.col("pos").alias("support"))

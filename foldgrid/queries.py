@@ -962,7 +962,7 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(reports.classification_report(S.predictions(spark, d)), "precision", "recall", "f1")
 
 
-_AUC_SQL = f"""{S.PREDICTIONS_SQL}, s AS (SELECT label, unnest(range(0, 10)) AS class, unnest(probs) AS score FROM p),
+_AUC_SQL = f"""{S.PREDICTIONS_SQL}, s AS (SELECT label, unnest(range(0, len(probs))) AS class, unnest(probs) AS score FROM p),
 rk AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS r FROM s),
 au AS (SELECT class, count(*) FILTER (WHERE label = class) AS pos, count(*) AS n, sum(r) FILTER (WHERE label = class) AS rs FROM rk GROUP BY 1),
 av AS (SELECT CAST(class AS INTEGER) AS class, CASE WHEN pos > 0 AND pos < n THEN (rs - pos * (pos + 1) / 2) / (pos * (n - pos)) END AS auc, pos AS support FROM au)"""

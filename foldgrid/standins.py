@@ -173,16 +173,26 @@ DOMAINS_SQL = """domains AS (
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as predictions: the softmax of the first ten components, five times over, against the label."""
-    from .functions.vectors import softmax
+    """Embeddings as predictions: the softmax of five times their cosines to the mean vector of each label, against the label's number."""
+    from .functions.vectors import cosine, softmax
 
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("id"), "label", softmax(F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x.cast("double") * 5, 6))).alias("probs"))
-
-
-PREDICTIONS_SQL = """p AS (
-  SELECT vec_id AS id, label, list_transform(s, lambda x: exp(x) / list_sum(list_transform(s, lambda y: exp(y)))) AS probs, s
-  FROM (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: round(CAST(x AS DOUBLE) * 5, 6)) AS s FROM embeddings)),
+    means = rows.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("mean"))
+    listed = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("means"))  # a row, as many vectors as labels
+    scores = F.transform("means", lambda m: F.round(5 * cosine(m["mean"], F.col("embedding")), 6))
+    number = (F.array_position(F.transform("means", lambda m: m["label"]), F.col("label")) - 1).cast("int")
+    return rows.crossJoin(F.broadcast(listed)).select(F.col("vec_id").alias("id"), number.alias("label"), softmax(scores).alias("probs"))
+
+
+PREDICTIONS_SQL = """lm AS (
+  SELECT label, list(x ORDER BY k) AS mean FROM (
+    SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2) GROUP BY 1),
+ln AS (SELECT label, mean, row_number() OVER (ORDER BY label) - 1 AS number FROM lm),
+p AS (
+  SELECT id, label, list_transform(s, lambda x: exp(x) / list_sum(list_transform(s, lambda y: exp(y)))) AS probs, s
+  FROM (SELECT e.vec_id AS id, CAST(any_value(own.number) AS INTEGER) AS label, list(round(5 * list_cosine_similarity(ln.mean, CAST(e.embedding AS DOUBLE[])), 6) ORDER BY ln.number) AS s
+        FROM embeddings e JOIN ln own ON own.label = e.label, ln GROUP BY e.vec_id)),
 c AS (SELECT id, label, list_position(s, list_max(s)) - 1 AS pred FROM p)"""
 
 

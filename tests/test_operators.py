@@ -202,6 +202,18 @@ def test_first_label_and_images(spark):
     assert {r.target: r.asset for r in found.collect()} == {"d1": "b/d1.png", "d9": None}
 
 
+def test_prefixes_equal_plain_ones(spark):
+    rnd = np.random.default_rng(2)
+    word = lambda: "".join(rnd.choice(list("ab\u00e9"), rnd.integers(0, 6)).tolist())
+    paths = [f"{word()}/{word()}" for _ in range(300)] + ["x/aa"] * 40 + [f"{k}/abab" for k in range(60)] + [None, "", "ab"]
+    prefixes = sorted({word() for _ in range(60)}) + ["a", "a", None, "abab"]
+    got = joins.match_prefix(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
+    want = [(p, q) for p in paths if p is not None for q in {q for q in prefixes if q} if p.split("/")[-1].startswith(q)]
+    assert sorted((r.path, r.prefix) for r in got.collect()) == sorted(want)
+    empty = joins.match_prefix(spark.createDataFrame([], "path string"), spark.createDataFrame([("a",)], "prefix string"))
+    assert empty.collect() == []
+
+
 # --- maps
 
 
@@ -407,6 +419,19 @@ def test_report_and_auc(spark):
         assert r.auc == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]))
 
 
+def test_auc_of_odd_scores(spark):
+    """Ties of a third of all rows, negative, tiny and huge scores, nulls and NaN, a class without rows of its own."""
+    rnd = np.random.default_rng(5)
+    pool = [0.0, -0.0, 1e-30, -1e-30, 1e300, -1e300, float("inf"), float("-inf"), 0.25, 0.25, 0.25, -0.7, None, float("nan")]
+    data = [(i, int(rnd.integers(0, 3)), [pool[rnd.integers(0, len(pool))] if i % 3 else 0.25 for _ in range(4)]) for i in range(150)]
+    order = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    got = {r["class"]: r for r in reports.auc_ovr(spark.createDataFrame(data, "id int, label int, probs array<double>")).collect()}
+    for c in range(3):
+        pos, neg = ([order(p[c]) for _, l, p in data if (l == c) == side] for side in (True, False))
+        assert got[c].auc == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])) and got[c].support == len(pos)
+    assert got[3].auc is None
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(1)
     data = [(str(i), [float(x) for x in rng.normal(size=3) * 0.01 + 5 * (i % 2)]) for i in range(40)]
