@@ -14,6 +14,7 @@ from .operators import energies, filters, hits, images, joins, maps, metrics, re
 from .operators.common import scratch_dir
 from .plans import jobs
 from .sources import results, structures, text
+from .streaming import files as arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -642,6 +643,19 @@ def parse_structures(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("structure_id", "res_idx", "aa", F.round("x", 3).alias("x"), F.round("z", 3).alias("z"))
 
 
+@query("new_structures", f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, CAST(structure_id % 2 AS INTEGER) AS batch, string_agg(aa, '' ORDER BY res_idx) AS sequence, CAST(count(*) AS INTEGER) AS n FROM residues GROUP BY structure_id")
+def new_structures(spark: SparkSession, d: str) -> DataFrame:
+    """Structure files that arrive in two waves; each call of the stream parses what is new."""
+    base = f"{scratch_dir(spark)}/arrivals/{uuid.uuid4().hex}"
+    lines = _pdb_lines(spark, d)
+    number = F.regexp_extract("path", r"d(\d+)", 1).cast("long")
+    for wave in (0, 1):
+        S.named_files(lines.where(number % 2 == wave), f"{base}/files")
+        stream = arrivals.stream_lines(spark, f"{base}/files", "*.ent")
+        found = arrivals.process_new(stream, lambda rows: maps.sequence(maps.residue_index(structures.parse_atoms(rows))), f"{base}/out", f"{base}/checkpoint")
+    return found.select("structure_id", F.col("batch").cast("int").alias("batch"), "sequence", "n")
+
+
 @query("sequences", f"WITH {S.RESIDUES_SQL} SELECT structure_id, string_agg(aa, '' ORDER BY res_idx) AS sequence, CAST(count(*) AS INTEGER) AS n FROM residues GROUP BY 1")
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     return maps.sequence(S.residues(spark, d))

@@ -196,9 +196,9 @@ p AS (
 c AS (SELECT id, label, list_position(s, list_max(s)) - 1 AS pred FROM p)"""
 
 
-def named_files(lines: DataFrame) -> str:
-    """lines(path, line_no, line) written as the files that they name; their folder."""
-    folder = f"{scratch_dir(lines.sparkSession)}/files/{uuid.uuid4().hex}"
+def named_files(lines: DataFrame, folder: str | None = None) -> str:
+    """lines(path, line_no, line) written as the files that they name, below a folder (a new one unless given); the folder."""
+    folder = folder or f"{scratch_dir(lines.sparkSession)}/files/{uuid.uuid4().hex}"
     numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     body = F.concat(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"), F.lit("\n"))
     write_files(lines.groupBy("path").agg(body.alias("content")), folder)
