@@ -4,8 +4,9 @@ The sorted nested field paths of a record, hashed, are its schema fingerprint; t
 mapping (LAYOUTS), which names where turns, roles and texts stand. Control strings inside texts are escaped
 reversibly: a `<`, any backslashes and a `|` get one backslash more, so no text can hold a marker of the template.
 
-A null text or a missing one is empty. A record that isn't JSON, or whose fingerprint no layout has, gets null turns
-and a null layout. Each record is converted alone: null or repeated ids, repeated records and extra columns change
+A null text or a missing one is empty. Content given as a list of parts of type and text is the texts, joined. A record that
+isn't JSON, that is nested too deep to read, that holds half of a surrogate pair, or whose fingerprint no layout has, gets null
+turns and a null layout; unknown_layouts() counts these by fingerprint. Each record is converted alone: null or repeated ids, repeated records and extra columns change
 nothing; an empty table gives an empty result. Extra fields change the fingerprint, so a layout lists those it allows.
 """
 
@@ -31,6 +32,7 @@ _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + "\n
 class Layout:
     """Where a record keeps its turns. fields: (role, path) in order; or each: a path of a list, with role and text keys.
 
+    parts: the text is a list of parts, or a plain text where that is optional, and each part has its text under this key.
     joined: after the text at a path, and an empty line, comes the text at another path, unless that is empty.
     """
 
@@ -39,6 +41,7 @@ class Layout:
     each: str = ""
     role: str = ""
     text: str = ""
+    parts: str = ""
     roles: dict[str, str] = field(default_factory=dict, hash=False)
     optional: tuple[str, ...] = ()
     joined: dict[str, str] = field(default_factory=dict, hash=False)
@@ -46,7 +49,8 @@ class Layout:
     def path_sets(self) -> list[frozenset[str]]:
         """The sets of paths under which this layout is known: with and without each optional path."""
         if self.each:
-            needed = {f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"}
+            text = {f"{self.each}[].{self.text}[].{k}" for k in (self.parts, "type")} if self.parts else {f"{self.each}[].{self.text}"}
+            needed = {f"{self.each}[].{self.role}", *text}
         else:
             needed = {p for _, p in self.fields}
         sets = [needed - set(self.optional) | set(x) for n in range(len(self.optional) + 1) for x in combinations(self.optional, n)]
@@ -55,6 +59,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("messages", each="messages", role="role", text="content", optional=("id", "messages[].name")),
+    Layout("messages of parts", each="messages", role="role", text="content", parts="text", optional=("id", "messages[].name", "messages[].content")),
     Layout("nested messages", each="data.messages", role="role", text="content", optional=("id",)),
     Layout("shares", each="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}, optional=("id", "conversations[].weight")),
     Layout("prompt", fields=(("user", "prompt"), ("assistant", "response")), optional=("id",)),
@@ -99,10 +104,14 @@ def _text(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _joined(value: object, key: str) -> str:
+    return "".join(_text(_at(p, key)) for p in value) if key and isinstance(value, list) else _text(value)
+
+
 def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
     if layout.each:
         rows = _at(record, layout.each) or []
-        return [(layout.roles.get(r := _text(_at(x, layout.role)), r), _text(_at(x, layout.text))) for x in rows]
+        return [(layout.roles.get(r := _text(_at(x, layout.role)), r), _joined(_at(x, layout.text), layout.parts)) for x in rows]
     out = []
     for role, p in layout.fields:
         if p not in layout.optional or _has(record, p):
@@ -142,19 +151,44 @@ _RENDERED = "struct<layout:string,formatted:string,mask:array<struct<start:int,s
 _MASK = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+def _read(record: str | None) -> tuple[dict | None, str | None]:
+    """A record and its fingerprint; null where it isn't an object that can be read and written."""
+    try:
+        value = json.loads(record or "")
+        found = fingerprint(paths(value)) if isinstance(value, dict) else None
+        json.dumps(value, ensure_ascii=False).encode()  # half of a surrogate pair has no bytes
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
+        return None, None
+    return (value, found) if found else (None, None)
+
+
+def _converted(record: str | None, known: dict[str, Layout]) -> tuple:
+    value, found = _read(record)
+    layout = known.get(found) if found else None
+    if layout is None:
+        return None, None, None
+    text, mask = render(turns_of(value, layout))
+    return layout.name, text, [{"start": a, "stop": b} for a, b in mask]
+
+
+def unknown_layouts(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """fingerprint, n: how many records no layout knows, by their fingerprint; null for those that can't be read as an object."""
+
+    def unknown(col: pa.Array) -> pa.Array:
+        known = registry(layouts)
+        read = [_read(x.as_py())[1] for x in col]
+        return pa.array(["" if f in known else f or "?" for f in read], pa.string())
+
+    found = records.select(F.arrow_udf(unknown, "string").asNondeterministic()(F.col(record)).alias("f")).where("f != ''")
+    return found.groupBy(F.when(F.col("f") != "?", F.col("f")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def format_record(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """struct(layout, formatted, mask) of a JSON record."""
 
     def convert(col: pa.Array) -> pa.Array:
-        known, out = registry(layouts), []
-        for x in col:
-            try:
-                value = json.loads(x.as_py() or "")
-            except ValueError:
-                value = None
-            layout = known.get(fingerprint(paths(value))) if isinstance(value, dict) else None
-            text, mask = render(turns_of(value, layout)) if layout else (None, None)
-            out.append((layout and layout.name, text, mask and [{"start": a, "stop": b} for a, b in mask]))
+        known = registry(layouts)
+        out = [_converted(x.as_py(), known) for x in col]
         columns = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] if r[2] is not None else [] for r in out], _MASK)]
         return pa.StructArray.from_arrays(columns, ["layout", "formatted", "mask"])
 

@@ -193,6 +193,21 @@ def _finder(texts: list[str | None], rate: float, q: int):  # noqa: ANN202
     return F.arrow_udf(find, _HITS).asNondeterministic()
 
 
+_FOUND = "array<struct<item_id:long,start:long,stop:long,edits:long>>"
+_FOUND_ARROW = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "stop", "edits")]))
+
+
+def _named_finder(chunk: list[tuple], rate: float, q: int):  # noqa: ANN202
+    """As _finder, with the items' ids, which go with their texts to the workers."""
+    items, ids = _Lazy([t for _, t in chunk], rate, q), [i for i, _ in chunk]
+
+    def find(col: pa.Array) -> pa.Array:
+        rows = [r for _, _, data, offsets in text_chunks(col) for r in items.search(data, offsets)]
+        return pa.array([[{"item_id": ids[h.pop("item")], **h} for h in r] for r in rows], _FOUND_ARROW)
+
+    return F.arrow_udf(find, _FOUND).asNondeterministic()
+
+
 def _passes(items: DataFrame, max_chars: int) -> list[DataFrame]:
     """The items in passes of about `max_chars` characters at most (one item at least)."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -212,9 +227,7 @@ def hits(docs: DataFrame, items: DataFrame, rate: float = 0.1, q: int = 8, max_c
     out, passes = None, _passes(items, max_chars)
     for some in passes:
         chunk = _collected(some)
-        found = docs.select("doc_id", F.explode(_finder([t for _, t in chunk], rate, q)(F.col("text"))).alias("h"))
-        ids = F.array(*[F.lit(i).cast("long") for i, _ in chunk]) if chunk else F.array().cast("array<long>")
-        part = found.select("doc_id", F.get(ids, F.col("h.item")).alias("item_id"), F.col("h.start").cast("long").alias("start"), F.col("h.stop").cast("long").alias("stop"), F.col("h.edits").cast("long").alias("edits"))
+        part = docs.select("doc_id", F.inline(_named_finder(chunk, rate, q)(F.col("text"))))
         part = materialize(part) if len(passes) > 1 else part
         out = part if out is None else out.union(part)
     return out
