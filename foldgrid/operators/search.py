@@ -19,8 +19,10 @@ DECIMALS = 9
 _HITS = "query string, target string, score double"
 #: Norm below which a vector counts as this long.
 SHORTEST = 1e-8
-#: Pivots and blocks of a search at most; larger blocks make up for it.
-MAX_PIVOTS, MAX_BLOCKS = 4096, 65_536
+#: Pivots and blocks of a search at most, rows of a block beyond which only the number of blocks makes it grow, scores held at once.
+MAX_PIVOTS, MAX_BLOCKS, MAX_ROWS, CELLS = 4096, 262_144, 8192, 2_000_000
+#: Rows of a block, as a multiple of the root of all rows.
+ROOT = 16
 #: Slack of angles and scores in bounds: rounding never hides a hit.
 _SLACK, _LEAST = 1e-6, 1e-8
 
@@ -124,13 +126,14 @@ def _raw(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
 
 
-def file_items(emb: DataFrame, rows_a_block: int = 1024) -> Filed:
+def file_items(emb: DataFrame, rows_a_block: int = 256) -> Filed:
     """Items with a vector, each with its nearest pivot; pivots are items in the order of a hash. A pivot that a third of the items
     stand at fills as many blocks as they need, as rows are dealt out by ranges of pivot, angle and item."""
     spark = emb.sparkSession
     items = emb.where(F.col("vec").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
     n = items.count()
-    size = max(rows_a_block, -(-n // MAX_BLOCKS))
+    # a vector is sent to the blocks it asks for, so blocks grow with the root of the rows, as long as they are small for a task
+    size = max(rows_a_block, min(MAX_ROWS, int(ROOT * n**0.5)), -(-n // MAX_BLOCKS))
     some = items.orderBy(F.xxhash64("item_id"), "item_id").limit(min(MAX_PIVOTS, -(-n // size))).select("vec").collect()
     pivots = np.array([r.vec for r in some], np.float64) if some else np.zeros((0, 1))
     pivots = _unit(pivots[np.sqrt((pivots * pivots).sum(axis=1)) >= SHORTEST])
@@ -207,6 +210,13 @@ def _vectors(raw: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
 
 
+def _slices(n: int, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of n rows that hold CELLS values at most, of `width` each (one row at least)."""
+    step = max(1, CELLS // max(1, width))
+    for first in range(0, n, step):
+        yield first, min(n, first + step)
+
+
 def _by_blocks(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", *columns)
 
@@ -217,9 +227,10 @@ def _asked(pivots: np.ndarray, blocks: np.ndarray, k: int, count: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, (_, ids, raw) in _by_block(batches, 3):
             unit = _vectors(raw)
-            scores = np.round(unit @ unit.T, DECIMALS)
             n = len(unit)
-            floor = np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(n, -2.0)
+            floor = np.full(n, -2.0)
+            for lo, hi in _slices(n, n) if n >= k else ():
+                floor[lo:hi] = np.partition(np.round(unit[lo:hi] @ unit.T, DECIMALS), n - k, axis=1)[:, n - k]
             for block, rows in _wanted(unit, floor, pivots, blocks):
                 if count:
                     yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([block]), pa.array([len(rows)])], ["own", "block", "asked"])
@@ -248,16 +259,18 @@ def _answers(k: int):  # noqa: ANN202
                     names = np.array(pa.concat_arrays([h[0] for h in held]).to_pylist(), object)
                     order = np.argsort(names.astype(str), kind="stable")
                     names, targets = names[order], np.concatenate([h[1] for h in held])[order]
-                scores = np.round(_vectors(part.column(4)) @ targets.T, DECIMALS)
-                row, col = _best(scores, k)
-                good = scores[row, col] >= part.column(5).to_numpy()[row]
-                row, col = row[good], col[good]
-                yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(row)), pa.array(names[col], pa.string()), pa.array(scores[row, col])], ["query", "target", "score"])
+                asked, floor = _vectors(part.column(4)), part.column(5).to_numpy()
+                for a, b in _slices(len(asked), len(targets)):
+                    scores = np.round(asked[a:b] @ targets.T, DECIMALS)
+                    row, col = _best(scores, k)
+                    good = scores[row, col] >= floor[a:b][row]
+                    row, col = row[good], col[good]
+                    yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(row + a)), pa.array(names[col], pa.string()), pa.array(scores[row, col])], ["query", "target", "score"])
 
     return run
 
 
-def pruned_hits(emb: DataFrame, k: int, rows_a_block: int = 1024) -> DataFrame:
+def pruned_hits(emb: DataFrame, k: int, rows_a_block: int = 256) -> DataFrame:
     """(query, target, score) that hold the k best targets of every item, itself included: the same rows by top_k() as of cosine_blocks().
 
     Items are filed by their nearest pivot, in blocks. A first round within each block gives its items a score that their k-th best
@@ -276,7 +289,7 @@ def pruned_hits(emb: DataFrame, k: int, rows_a_block: int = 1024) -> DataFrame:
     return both.mapInArrow(_answers(k), _HITS)
 
 
-def pruning_report(emb: DataFrame, k: int, rows_a_block: int = 1024) -> DataFrame:
+def pruning_report(emb: DataFrame, k: int, rows_a_block: int = 256) -> DataFrame:
     """One row: blocks, pairs of blocks, pairs compared, and the vectors sent to blocks (asked) of the vectors times blocks (possible)."""
     filed = file_items(emb, rows_a_block)
     n, items = len(filed.blocks), int(filed.blocks["n"].sum())
@@ -285,11 +298,11 @@ def pruning_report(emb: DataFrame, k: int, rows_a_block: int = 1024) -> DataFram
     return counts.select(F.lit(n).alias("blocks"), F.lit(n * n).alias("pairs"), "compared", "asked", F.lit(items * n).alias("possible"))
 
 
-def search_all(emb: DataFrame, k: int, blocks: int | None = None, rows_a_block: int = 4096) -> DataFrame:
-    """The k best targets of every item, itself included. What fits one block is one product; more is searched by pruned blocks,
-    unless a number of blocks is given."""
-    if blocks is None and emb.limit(rows_a_block + 1).count() > rows_a_block:
-        return top_k(pruned_hits(emb, k, rows_a_block // 4), k)
+def search_all(emb: DataFrame, k: int, blocks: int | None = None, one_block: int = 4096) -> DataFrame:
+    """The k best targets of every item, itself included. Up to `one_block` items are one product; more are searched by pruned
+    blocks, unless a number of blocks is given."""
+    if blocks is None and emb.limit(one_block + 1).count() > one_block:
+        return top_k(pruned_hits(emb, k), k)
     return top_k(cosine_blocks(emb, k, blocks or 1), k)
 
 

@@ -73,7 +73,7 @@ def search_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cosine_top_k", f"WITH {S.HITS_SQL} SELECT query, target, round(score, 6) AS score, rank FROM hits")
 def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.top_k(search.pruned_hits(S.embeddings(spark, d), 6, 256), 6)
+    hits = search.top_k(search.pruned_hits(S.embeddings(spark, d), 6), 6)
     return _rounded(hits, "score").select("query", "target", "score", "rank")
 
 

@@ -80,7 +80,8 @@ def test_blocks_equal_plain_search(spark):
 
 
 @pytest.mark.parametrize("size", [11, 40, 1000])
-def test_pruned_search_equals_plain_search(spark, size):
+def test_pruned_search_equals_plain_search(spark, monkeypatch, size):
+    monkeypatch.setattr(search, "ROOT", 0)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 6))
     vec = [[float(x) for x in centres[i % 12] + 0.05 * rng.normal(size=6)] for i in range(240)]
@@ -92,10 +93,11 @@ def test_pruned_search_equals_plain_search(spark, size):
     key = lambda df: sorted((r.query, r.rank, r.target, round(r.score, 7)) for r in df.collect())
     assert key(search.top_k(search.pruned_hits(emb, 5, size), 5)) == key(plain)
     if size < 1000:
-        assert key(search.search_all(emb.where("vec IS NOT NULL"), 5, rows_a_block=4 * size)) == key(plain)
+        assert key(search.search_all(emb, 5, one_block=100)) == key(plain)
 
 
-def test_pruned_search_skips_blocks(spark):
+def test_pruned_search_skips_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROOT", 0)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
     data = [(f"i{k}", "m", [float(x) for x in centres[k % 40] + 0.02 * rng.normal(size=16)]) for k in range(2000)]
