@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .common import materialize, single_row
+from .common import grouped_rank, materialize, single_row
 
 #: Decimals of a score: ties then don't depend on the order of summation.
 DECIMALS = 9
@@ -128,8 +128,8 @@ def _raw(x: np.ndarray) -> pa.Array:
 
 def file_items(emb: DataFrame, rows_a_block: int = 256) -> Filed:
     """Items with a vector, each with its nearest pivot; pivots are items in the order of a hash. A pivot that a third of the items
-    stand at fills as many blocks as they need, as rows are dealt out by ranges of pivot, angle and item."""
-    spark = emb.sparkSession
+    stand at fills as many blocks as they need: blocks are ranks by angle, then item, which many tasks count together. Whatever the
+    partitions, there are as many blocks as pivots and full blocks together, at most."""
     items = emb.where(F.col("vec").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
     n = items.count()
     # a vector is sent to the blocks it asks for, so blocks grow with the root of the rows, as long as they are small for a task
@@ -149,24 +149,9 @@ def file_items(emb: DataFrame, rows_a_block: int = 256) -> Filed:
             angle = np.where(file < 0, 0.0, angle.min(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), _raw(unit), pa.array(file), pa.array(angle)], ["item_id", "v", "pivot", "angle"])
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nth = 0
-        for batch in batches:
-            file = batch.column(2).to_numpy()
-            ends = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
-            block = np.zeros(len(file), np.int64)
-            for lo, hi in zip(ends, ends[1:], strict=False):
-                own = nth + np.arange(hi - lo) // size
-                block[lo:hi] = own
-                nth = int(own[-1]) + 1 if hi > lo else nth
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], ["item_id", "v", "pivot", "angle", "nth"])
-
-    line = ["pivot", "angle", "item_id"]
     filed = items.mapInArrow(nearest, "item_id string, v binary, pivot int, angle double")
-    filed = filed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *line).sortWithinPartitions(*line)
-    filed = filed.mapInArrow(numbered, "item_id string, v binary, pivot int, angle double, nth long")
-    # written, as ranges are drawn from a sample and may differ when they are drawn again
-    rows = materialize(filed.withColumn("block", F.spark_partition_id() * F.lit(1 << 32) + F.col("nth")).drop("nth"))
+    ranked = grouped_rank(filed, ["pivot"], ["angle", "item_id"])
+    rows = materialize(ranked.select((F.col("pivot") * F.lit(1 << 32) + F.floor((F.col("_rank") - 1) / size)).alias("block"), "item_id", "v", "pivot", "angle"))
     ends = rows.groupBy("block", "pivot").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("block").collect()
     blocks = np.array([tuple(r) for r in ends], [("block", np.int64), ("pivot", np.int64), ("lo", float), ("hi", float), ("n", np.int64)])
     return Filed(rows.select("block", "item_id", "v"), pivots, blocks)
