@@ -233,6 +233,7 @@ def records(rows: DataFrame) -> DataFrame:
         return F.when((at > 0) & (F.length(user) > at + 1), split).otherwise(json_of(**first, instruction=user, output=answer))
 
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    parts = F.transform("t", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
     name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     shares = F.transform("t", lambda x: F.struct(name(x["role"]).alias("from"), x["text"].alias("value")))
     plain = ~F.exists("t", lambda x: x["role"].isin("human", "gpt"))  # names that shares give to other roles
@@ -246,6 +247,7 @@ def records(rows: DataFrame) -> DataFrame:
         .when(roles == "system,user,assistant", instruction(text(1), text(2), system=text(0)))
         .when(kind(3, 1), json_of(data=F.struct(messages.alias("messages"))))
         .when(kind(3, 2) & plain, json_of(conversations=shares))
+        .when(kind(6, 3), json_of(messages=parts))
         .otherwise(json_of(messages=messages))
         .alias("record"),
     )
