@@ -116,8 +116,9 @@ def unmatched_prefixes(matches: DataFrame, prefixes: DataFrame) -> DataFrame:
     return prefixes.select("prefix").distinct().join(matches, "prefix", "left_anti")
 
 
-def annotate(structures: DataFrame, cla: DataFrame, entry: DataFrame, go: DataFrame, uniprot: DataFrame) -> DataFrame:
-    """The 20-column annotation of structures(sid, path, image, sequence); what a source lacks is empty.
+def annotate(structures: DataFrame, cla: DataFrame, entry: DataFrame, go: DataFrame, uniprot: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 20-column annotation of structures(sid, path, image, sequence); what a source lacks is empty. Columns of structures named in
+    `keep`, such as a place in a list, follow.
 
     cla(sid, sccs); entry(pdb_id, json), go(pdb_id, body), uniprot(pdb_id, json): pre-fetched answers by PDB id.
     """
@@ -149,7 +150,7 @@ def annotate(structures: DataFrame, cla: DataFrame, entry: DataFrame, go: DataFr
         "PDBeGOAnnotation": blank(F.col("_body")),
         "PDBSequence": F.col("sequence"),
     }
-    return s.select(*[c.alias(k) for k, c in columns.items()])
+    return s.select(*[c.alias(k) for k, c in columns.items()], *keep)
 
 
 def resolve_assets(hits: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Reports on predictions(id, label, probs), and clusters of embeddings."""
+"""Reports on predictions(id, label, probs)."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,20 +81,3 @@ def auc_ovr(predictions: DataFrame) -> DataFrame:
 def auc_means(auc: DataFrame) -> DataFrame:
     rows = auc.where("auc IS NOT NULL")
     return rows.agg(F.avg("auc").alias("macro"), (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("weighted"))
-
-
-def cluster(emb: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(item_id, cluster) and (cluster, centre) of k-means over embeddings(item_id, vec)."""
-    rows = emb.select("item_id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed).fit(rows)
-    centres = emb.sparkSession.createDataFrame([(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    return model.transform(rows).select("item_id", F.col("prediction").alias("cluster")), centres
-
-
-def cluster_sizes(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
-def first_of_clusters(assigned: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("cluster").orderBy("item_id")
-    return assigned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

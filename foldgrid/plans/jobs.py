@@ -15,13 +15,15 @@ def evaluate_search(emb: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     return metrics.mean_metrics(metrics.query_metrics(hits, labels, k))
 
 
-def build_maps(residues: DataFrame, frame_atoms: DataFrame, low: int = 20, high: int = 200, cutoff: float = 10.0) -> DataFrame:
-    """Pixels of every structure of acceptable length: distances, hydrophobicity and frame-averaged energies."""
+def build_maps(residues: DataFrame, frame_atoms: DataFrame, low: int = 20, high: int = 200, cutoff: float = 10.0, digits: int = 6) -> DataFrame:
+    """Pixels of every structure of acceptable length: distances, hydrophobicity and frame-averaged energies. Energies are rounded to
+    `digits` places, so that pixels don't depend on the order in which terms were added."""
     sizes = filters.filter_length(residues.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "n", low, high)
     kept = residues.join(sizes, "structure_id", "left_semi")
     atoms = frame_atoms.join(sizes, "structure_id", "left_semi")
     pairs = maps.with_hydrophobicity(maps.residue_pairs(kept), cutoff)
     mean = energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms))
+    mean = mean.withColumns({t: F.round(t, digits) for t in energies.TERMS})
     # written, as ranges, backgrounds and cells all come from them
     channels = materialize(pairs.join(mean, ["structure_id", "i", "j"], "left"))
     return maps.assemble_map(maps.normalize_maps(channels), sizes)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import standins as S
 from .functions import chemistry, facts, ids, vectors
-from .operators import energies, filters, hits, images, joins, maps, metrics, reports, sampling, search
+from .operators import clusters, energies, filters, hits, images, joins, maps, metrics, reports, sampling, search
 from .operators.common import scratch_dir
 from .plans import jobs
 from .sources import results, structures, text
@@ -463,7 +463,7 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
     )
     uniprot = by_pdb.where("k % 2 = 0").select("pdb_id", F.format_string('{"entries":[{"rcsb_uniprot_feature":[%s{"type":"OTHER"}]},{"rcsb_uniprot_feature":[{"type":"TRANSMEMBRANE_REGION"}]}]}', F.repeat(F.lit('{"type":"TRANSMEMBRANE_REGION"},'), (F.col("k") % 3).cast("int"))).alias("json"))
     go = by_pdb.where("k % 5 = 0").select("pdb_id", F.lit("{}").alias("body"))
-    return joins.annotate(own, rows.select("sid", "sccs"), entry, go, uniprot)
+    return joins.annotate(own, rows.select("sid", "sccs"), entry, go, uniprot, keep=("p_partkey",))
 
 
 _ANNOTATED_SQL = f"""{S.DOMAINS_SQL}, g AS (SELECT upper(substr(sid, 2, 4)) AS pdb, min(p_partkey) AS k FROM domains GROUP BY 1),
@@ -484,14 +484,14 @@ def annotate(spark: SparkSession, d: str) -> DataFrame:
 @query("annotations_round_trip", f"""WITH {_ANNOTATED_SQL} SELECT "SCOPeID", "SCOPeFamily", "PDBSequenceLength", "PDBDisulfideBond", "PDBIsTransmembrane" FROM an""")
 def annotations_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/annotations/{uuid.uuid4().hex}"
-    text.write_annotations(_annotated(spark, d), path)
+    text.write_annotations(_annotated(spark, d).drop("p_partkey"), path)
     return text.read_annotations(spark, path, "SCOPeFamily").select("SCOPeID", "SCOPeFamily", "PDBSequenceLength", "PDBDisulfideBond", "PDBIsTransmembrane")
 
 
-@query("fasta", f"""WITH {_ANNOTATED_SQL} SELECT '>' || "PDBId" || '_' || upper(substr("SCOPeID", 6, 1)) || '|' || "SCOPeID" || '|' || "SCOPeFamily" AS header, max(seq) AS sequence FROM an GROUP BY 1""")
+@query("fasta", f"""WITH {_ANNOTATED_SQL} SELECT '>' || "PDBId" || '_' || upper(substr("SCOPeID", 6, 1)) || '|' || "SCOPeID" || '|' || "SCOPeFamily" AS header, arg_max(seq, p_partkey) AS sequence FROM an GROUP BY 1""")
 def fasta(spark: SparkSession, d: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/fasta/{uuid.uuid4().hex}"
-    text.write_fasta(_annotated(spark, d), path)
+    text.write_fasta(_annotated(spark, d), path, "p_partkey")
     rows = spark.read.text(path, lineSep=">").where("value != ''").select(F.split("value", "\n").alias("v"))
     return rows.select(F.concat(F.lit(">"), F.col("v")[0]).alias("header"), F.col("v")[1].alias("sequence"))
 
@@ -661,9 +661,20 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return maps.sequence(S.residues(spark, d))
 
 
-@query("select_chain", f"WITH {S.RESIDUES_SQL} SELECT 'd' || structure_id AS structure_id, 3 * count(*) AS atoms FROM residues WHERE structure_id % 20 = 0 GROUP BY 1")
+#: Atoms of the stand-in's structure files, chain A where the number divides by 20.
+_ATOMS_SQL = f"""{S.RESIDUES_SQL},
+atoms AS (SELECT structure_id, CASE WHEN structure_id % 20 = 0 THEN 'A' ELSE 'B' END AS chain, CAST(res_idx AS INTEGER) AS res_seq, aa, unnest(['N', 'CA', 'C']) AS atom_name,
+  round(x, 3) + unnest([0, 1, 2]) AS x, round(y, 3) AS y, round(z, 3) AS z FROM residues)"""
+
+
+def _atom_rows(atoms: DataFrame) -> DataFrame:
+    aa = chemistry.to_one_letter(F.col("res_name"))
+    return _rounded(atoms.select("structure_id", "chain", "res_seq", aa.alias("aa"), "atom_name", "x", "y", "z"), "x", "y", "z")
+
+
+@query("select_chain", f"WITH {_ATOMS_SQL} SELECT 'd' || structure_id AS structure_id, chain, res_seq, aa, atom_name, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM atoms WHERE chain = 'A'")
 def select_chain(spark: SparkSession, d: str) -> DataFrame:
-    return filters.select_chain(_pdb_atoms(spark, d), "A").groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"))
+    return _atom_rows(filters.select_chain(_pdb_atoms(spark, d), "A"))
 
 
 @query(
@@ -679,12 +690,12 @@ def peptide_sequence(spark: SparkSession, d: str) -> DataFrame:
     return maps.peptide_sequence(_pdb_atoms(spark, d), 20.0)
 
 
-@query("extract_listed_chains", f"WITH {S.RESIDUES_SQL} SELECT 'x' || structure_id AS structure_id, 3 * count(*) AS atoms FROM residues WHERE structure_id % 40 = 0 GROUP BY 1")
+@query("extract_listed_chains", f"WITH {_ATOMS_SQL} SELECT 'x' || structure_id AS structure_id, chain, res_seq, aa, atom_name, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM atoms WHERE structure_id % 40 = 0")
 def extract_listed_chains(spark: SparkSession, d: str) -> DataFrame:
     atoms = _pdb_atoms(spark, d)
     number = F.substring("structure_id", 2, 20)
     listed = atoms.where(number.cast("long") % 40 == 0).select(F.col("structure_id").alias("pdb_id"), F.lit("A").alias("chain"), F.concat(F.lit("x"), number).alias("sid"))
-    return joins.extract_listed_chains(listed, atoms).groupBy("structure_id").agg(F.count(F.lit(1)).alias("atoms"))
+    return _atom_rows(joins.extract_listed_chains(listed, atoms))
 
 
 @query("residue_codes", f"SELECT p_partkey, substr('{S.AA}', CAST(p_partkey % 20 + 1 AS INTEGER), 1) AS one, substr('{S.AA}', CAST(p_partkey % 20 + 1 AS INTEGER), 1) AS back, CASE WHEN p_partkey % 2 = 0 THEN 'M' END AS modified, CASE WHEN p_partkey % 2 = 0 THEN 'SD' ELSE 'SE' END AS atom FROM part")
@@ -750,8 +761,7 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
     return maps.assemble_map(maps.normalize_maps(pairs), sizes)
 
 
-_PIXELS_SQL = f"""{_CHEM_SQL},
-ch AS (SELECT structure_id, i, j, dist, hydro, -dist AS va, dist * 2 - 9 AS vr, -hydro AS ea, dist - hydro AS er FROM chem),
+_CELLS_SQL = """
 lg AS (SELECT structure_id, i, j, unnest(['va', 'vr', 'dist', 'ea', 'er', 'hydro']) AS c, unnest([va, vr, dist, ea, er, hydro]) AS v FROM ch),
 rg AS (SELECT structure_id, c, least(min(v), 0) AS lo, greatest(max(v), 0) AS hi FROM lg GROUP BY 1, 2),
 grid AS (SELECT structure_id, n, r, unnest(range(0, n)) AS k FROM (SELECT structure_id, n, unnest(range(0, n)) AS r FROM sizes)),
@@ -762,6 +772,10 @@ px AS (SELECT a.structure_id AS image_id, a.r AS row, a.k AS col,
   FROM (SELECT structure_id, r, k, c, b FROM full_ WHERE c IN ('va', 'vr', 'dist') UNION ALL SELECT structure_id, n - 1 - r, n - 1 - k, c, b FROM full_ WHERE c IN ('ea', 'er', 'hydro')) a GROUP BY 1, 2, 3)"""
 
 
+_PIXELS_SQL = f"""{_CHEM_SQL},
+ch AS (SELECT structure_id, i, j, dist, hydro, -dist AS va, dist * 2 - 9 AS vr, -hydro AS ea, dist - hydro AS er FROM chem),{_CELLS_SQL}"""
+
+
 @query("assemble_map", f"WITH {_PIXELS_SQL} SELECT * FROM px")
 def assemble_map(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d)
@@ -856,10 +870,13 @@ _TERMS = ", ".join(f"round({t}, 6) AS {t}" for t in energies.TERMS)
 
 @query(
     "atom_pair_energies",
-    f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, count(*) AS pairs, round(sum(vdw_att), 4) AS vdw_att, round(sum(CASE WHEN es > 0 THEN es ELSE 0 END), 4) AS es_rep FROM ap WHERE other = 'protein' AND r >= 0.1 GROUP BY 1, 2",
+    f"""WITH {S.ATOMS_SQL}, t AS (SELECT structure_id, frame, i, j, round(r, 6) AS r, round(vdw_att, 6) AS vdw_att, round(vdw_rep, 6) AS vdw_rep,
+  round(least(es, 0), 6) AS es_att, round(greatest(es, 0), 6) AS es_rep FROM ap WHERE other = 'protein' AND r >= 0.1)
+SELECT structure_id, frame, i, j, r, {', '.join(f'CASE WHEN {t} = 0 THEN 0 ELSE {t} END AS {t}' for t in energies.TERMS)} FROM t""",
 )
 def atom_pair_energies(spark: SparkSession, d: str) -> DataFrame:
-    return _atom_pairs(spark, d).groupBy("structure_id", "frame").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("vdw_att"), 4).alias("vdw_att"), F.round(F.sum("es_rep"), 4).alias("es_rep"))
+    rows = _rounded(_atom_pairs(spark, d), "r", *energies.TERMS)
+    return rows.withColumns({t: F.when(F.col(t) == 0, 0.0).otherwise(F.col(t)) for t in energies.TERMS})  # no negative zeros
 
 
 @query("residue_pair_energy", f"WITH {S.ATOMS_SQL} SELECT structure_id, frame, i, j, {_TERMS} FROM pe")
@@ -890,7 +907,13 @@ def frame_average(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms)), *energies.TERMS)
 
 
-@query("build_maps")
+_BUILT_SQL = f"""{S.ATOMS_SQL},
+mean AS (SELECT structure_id, i, j, {', '.join(f'round(sum({t}) / 3, 6) AS {t}' for t in energies.TERMS)} FROM pn GROUP BY 1, 2, 3), {_CHEM_SQL},
+ch AS (SELECT c.structure_id, c.i, c.j, dist, hydro, vdw_att AS va, vdw_rep AS vr, es_att AS ea, es_rep AS er FROM chem c
+  JOIN sizes z ON z.structure_id = c.structure_id AND n BETWEEN 20 AND 200 LEFT JOIN mean m ON m.structure_id = c.structure_id AND m.i = c.i AND m.j = c.j),{_CELLS_SQL}"""
+
+
+@query("build_maps", f"WITH {_BUILT_SQL} SELECT * FROM px")
 def build_maps(spark: SparkSession, d: str) -> DataFrame:
     """The whole job from residues and frames to pixels."""
     return jobs.build_maps(S.residues(spark, d), S.frame_atoms(spark, d))
@@ -993,6 +1016,51 @@ def auc_means(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.round("macro", 5).alias("macro"), F.round("weighted", 5).alias("weighted"))
 
 
-@query("cluster")
+def _clusters_sql(k: int, seed: int = 42, steps: int = 5, rounds: int = 2) -> str:
+    """The steps of k-means written out: draws, their weights, the thinning, and each move of the centres."""
+    near = "min(CAST(e.vv - 2 * list_inner_product(e.v, c.v) + c.vv AS HUGEINT) * 1048576 + c.n)"
+    with_norm = "list_inner_product(v, v) AS vv"
+    parts = [
+        f"""w0 AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings),
+e AS MATERIALIZED (SELECT *, {with_norm} FROM w0),
+d0 AS MATERIALIZED (SELECT id, v, vv, 0 AS n FROM e ORDER BY md5(id || '|0|{seed}'), id LIMIT 1)"""
+    ]
+    for r in range(1, rounds + 1):
+        draw = f"(CAST('0x' || substr(md5(id || '|{r}|{seed}'), 1, 13) AS BIGINT) + 1) / CAST({1 << 52} AS DOUBLE)"
+        parts.append(f"""g{r} AS (SELECT e.id, e.v, e.vv, CAST(min(e.vv - 2 * list_inner_product(e.v, c.v) + c.vv) AS DOUBLE) AS d FROM e, d{r - 1} c GROUP BY ALL),
+h{r} AS (SELECT id, v, vv, row_number() OVER (ORDER BY -ln({draw}) / d, id) AS n FROM g{r} WHERE d > 0),
+d{r} AS MATERIALIZED (SELECT * FROM d{r - 1} UNION ALL SELECT id, v, vv, n + {2 * k * (r - 1)} AS n FROM h{r} WHERE n <= {2 * k})""")
+    last = f"d{rounds}"
+    parts.append(f"""wt AS (SELECT CAST(code % 1048576 AS BIGINT) AS n, count(*) AS weight FROM (SELECT e.id, {near} AS code FROM e, {last} c GROUP BY e.id) GROUP BY 1),
+u AS (SELECT c.*, coalesce(weight, 0) AS weight FROM {last} c LEFT JOIN wt USING (n)),
+s1 AS MATERIALIZED (SELECT v, vv, n FROM u ORDER BY weight DESC, n LIMIT 1),
+m1 AS MATERIALIZED (SELECT u.*, CAST(u.vv - 2 * list_inner_product(u.v, s.v) + s.vv AS HUGEINT) AS d FROM u, s1 s)""")
+    for i in range(2, k + 1):
+        parts.append(f"""s{i} AS MATERIALIZED (SELECT v, vv, n FROM m{i - 1} WHERE weight * d > 0 ORDER BY weight * d DESC, n LIMIT 1),
+m{i} AS MATERIALIZED (SELECT m.* REPLACE (least(m.d, CAST(m.vv - 2 * list_inner_product(m.v, s.v) + s.vv AS HUGEINT)) AS d) FROM m{i - 1} m, s{i} s)""")
+    parts.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT v, vv, {i - 1} AS n FROM s{i}" for i in range(1, k + 1)) + ")")
+    for r in range(steps + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT e.id, any_value(e.v) AS v, CAST({near} % 1048576 AS INTEGER) AS n FROM e, c{r} c GROUP BY e.id)")
+        if r < steps:
+            parts.append(f"""x{r} AS (SELECT n, pos, floor(sum(x) / count(*)) AS x FROM (SELECT n, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{r}) GROUP BY 1, 2),
+y{r} AS (SELECT n, list(x ORDER BY pos) AS v FROM x{r} GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT coalesce(y.v, c.v) AS v, CASE WHEN y.v IS NULL THEN c.vv ELSE list_inner_product(y.v, y.v) END AS vv, c.n FROM c{r} c LEFT JOIN y{r} y USING (n))""")
+    return ",\n".join(parts) + f",\nassigned AS (SELECT id AS item_id, n AS cluster FROM a{steps})"
+
+
+_CLUSTERS_SQL = _clusters_sql(10)
+
+
+@query("cluster", f"WITH {_CLUSTERS_SQL} SELECT item_id, cluster FROM assigned")
 def cluster(spark: SparkSession, d: str) -> DataFrame:
-    return reports.cluster(S.embeddings(spark, d), 10)[0]
+    return clusters.cluster(S.embeddings(spark, d), 10, steps=5)[0]
+
+
+@query("cluster_sizes", f"WITH {_CLUSTERS_SQL} SELECT cluster, count(*) AS n FROM assigned GROUP BY 1")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_sizes(cluster(spark, d))
+
+
+@query("first_of_clusters", f"WITH {_CLUSTERS_SQL} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY item_id) AS INTEGER) AS place FROM assigned) WHERE place <= 3")
+def first_of_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.first_of_clusters(cluster(spark, d), 3)

@@ -48,15 +48,15 @@ def write_annotations(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True, quote="", emptyValue="", mode="overwrite")
 
 
-def fasta(df: DataFrame, order: str | None = None) -> DataFrame:
-    """value: header and sequence of each annotated row. Of equal headers the last row's sequence stays by the column `order`, or
-    the greatest sequence where rows have no order."""
+def fasta(df: DataFrame, order: str) -> DataFrame:
+    """value: header and sequence of each annotated row. Of equal headers the sequence of the row that is last by the column `order`
+    stays; of several last ones, the greatest."""
     header = F.concat(F.lit(">"), F.col("PDBAndChainId"), F.lit("|"), F.col("SCOPeID"), F.lit("|"), F.col("SCOPeFamily"))
-    one = df.groupBy(header.alias("h")).agg((F.max_by("PDBSequence", order) if order else F.max("PDBSequence")).alias("s"))
+    one = df.groupBy(header.alias("h")).agg(F.max_by("PDBSequence", F.struct(order, "PDBSequence")).alias("s"))
     return one.select(F.concat("h", F.lit("\n"), "s").alias("value"))
 
 
-def write_fasta(df: DataFrame, path: str, order: str | None = None) -> None:
+def write_fasta(df: DataFrame, path: str, order: str) -> None:
     fasta(df, order).write.text(path)
 
 

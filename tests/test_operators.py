@@ -1,10 +1,14 @@
 """Operators on tiny fixtures with hand-worked answers, array twins and properties."""
 
+import hashlib
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldgrid.operators import energies, filters, hits, images, joins, maps, metrics, reports, sampling, search
+from foldgrid.operators import clusters, energies, filters, hits, images, joins, maps, metrics, reports, sampling, search
 from foldgrid.operators.common import grouped_rank
 
 LABELS = "id string, class string, fold string, superfamily string, family string"
@@ -434,13 +438,64 @@ def test_auc_of_odd_scores(spark):
     assert got[3].auc is None
 
 
+def brute_clusters(data, k, seed, steps, scale=1024):
+    """The rules of clusters.cluster, item by item."""
+    def md5(i, r):
+        return hashlib.md5(f"{i}|{r}|{seed}".encode()).hexdigest()
+
+    def d2(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    items = [(i, tuple(math.floor(x * scale) for x in v)) for i, v in data]
+    centres = [min(items, key=lambda t: (md5(t[0], 0), t[0]))[1]]
+    for r in (1, 2):
+        far = [(min(d2(v, c) for c in centres), i, v) for i, v in items]
+        drawn = sorted((-math.log((int(md5(i, r)[:13], 16) + 1) / 2**52) / d, i, v) for d, i, v in far if d)
+        centres += [v for _, _, v in drawn[: 2 * k]]
+    near = lambda v, cs: min(range(len(cs)), key=lambda n: (d2(v, cs[n]), n))
+    weight = Counter(near(v, centres) for _, v in items)
+    kept = [max(range(len(centres)), key=lambda n: (weight[n], -n))]
+    while len(kept) < k:
+        worth = [weight[n] * min(d2(c, centres[j]) for j in kept) for n, c in enumerate(centres)]
+        if not max(worth):
+            break
+        kept.append(worth.index(max(worth)))
+    centres = [centres[n] for n in kept]
+    for _ in range(steps):
+        place = [near(v, centres) for _, v in items]
+        for n in range(len(centres)):
+            if mine := [v for (_, v), p in zip(items, place) if p == n]:
+                centres[n] = tuple(sum(x) // len(mine) for x in zip(*mine))
+    return Counter((i, near(v, centres)) for i, v in items), centres
+
+
+CLUSTERED = "item_id string, vec array<float>"
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(1)
-    data = [(str(i), [float(x) for x in rng.normal(size=3) * 0.01 + 5 * (i % 2)]) for i in range(40)]
-    assigned, centres = reports.cluster(spark.createDataFrame(data, "item_id string, vec array<float>"), 2)
-    groups = {r.item_id: r.cluster for r in assigned.collect()}
-    assert len({groups[str(i)] for i in range(0, 40, 2)}) == 1 and groups["0"] != groups["1"] and centres.count() == 2
-    assert sum(r.n for r in reports.cluster_sizes(assigned).collect()) == 40 and reports.first_of_clusters(assigned, 3).count() == 6
+    data = [(str(i), [float(np.float32(x)) for x in rng.normal(size=3) * 0.3 + 5 * (i % 4)]) for i in range(120)] + [("7", [1.0, 2.0, 3.0])] * 3
+    want, centres = brute_clusters(data, 4, 42, 6)
+    for parts in (1, 5):
+        assigned, got = clusters.cluster(spark.createDataFrame(data, CLUSTERED).repartition(parts), 4, steps=6)
+        assert Counter((r.item_id, r.cluster) for r in assigned.collect()) == want
+        assert {r.cluster: r.centre for r in got.collect()} == {n: [x / 1024 for x in c] for n, c in enumerate(centres)}
+    groups = {r.item_id: r.cluster for r in assigned.where("item_id != '7'").collect()}
+    assert [len({groups[str(i)] for i in range(a, 120, 4) if i != 7}) for a in range(4)] == [1] * 4 and len(set(groups.values())) == 4
+    assert sum(r.n for r in clusters.cluster_sizes(assigned).collect()) == 123 and clusters.first_of_clusters(assigned, 3).count() == 12
+
+
+def test_clusters_of_odd_tables(spark):
+    none = spark.createDataFrame([("a", None), ("b", []), ("c", [1.0, None]), ("d", [float("nan"), 1.0]), ("e", [float("inf"), 1.0])], CLUSTERED)
+    assigned, centres = clusters.cluster(none, 3)
+    assert assigned.count() == centres.count() == 0 and assigned.columns == ["item_id", "cluster"]
+    same = spark.createDataFrame([("a", [1.0, 2.0])] * 3 + [(None, [1.0, 2.0]), ("b", [9.0, 9.0])], CLUSTERED)
+    assigned, centres = clusters.cluster(same, 3)
+    assert centres.count() == 2 and Counter(r.cluster for r in assigned.collect()) == {0: 4, 1: 1}
+    with pytest.raises(Exception, match="other lengths"):
+        clusters.cluster(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], CLUSTERED), 1)
+    with pytest.raises(ValueError, match="too large"):
+        clusters.cluster(spark.createDataFrame([("a", [1e9])], CLUSTERED), 1)
 
 
 # --- images

@@ -40,7 +40,7 @@ def test_annotations(spark, tmp_path):
     assert got["d1a3wa3"].SCOPeFold == "c.49" and got["d1a3wa3"].PDBSequenceLength == 3 and got["short"].PDBDepositDate is None
     with pytest.raises(ValueError, match="no column nope"):
         text.read_annotations(spark, path, "nope")
-    text.write_fasta(rows, str(tmp_path / "f"))
+    text.write_fasta(rows, str(tmp_path / "f"), "SCOPeID")
     lines = [r.value for r in spark.read.text(str(tmp_path / "f")).collect()]
     assert ">1A3W_A|d1a3wa3|c.49.1.1" in lines and "MKV" in lines
 
@@ -164,7 +164,7 @@ def test_images(spark, tmp_path):
 
 
 def test_fasta_keeps_the_last(spark):
-    rows = [(1, "1ABC_A", "d1", "a.1.1.1", "ZZ"), (2, "1ABC_A", "d1", "a.1.1.1", "AA"), (3, "2ABC_A", "d2", "a.1.1.1", "MM")]
+    rows = [(1, "1ABC_A", "d1", "a.1.1.1", "ZZ"), (2, "1ABC_A", "d1", "a.1.1.1", "AA"), (2, "1ABC_A", "d1", "a.1.1.1", "AB"), (3, "2ABC_A", "d2", "a.1.1.1", "MM")]
     df = spark.createDataFrame(rows, "line int, PDBAndChainId string, SCOPeID string, SCOPeFamily string, PDBSequence string")
     of = lambda order: {r.value.split("\n")[0]: r.value.split("\n")[1] for r in text.fasta(df, order).collect()}
-    assert of("line") == {">1ABC_A|d1|a.1.1.1": "AA", ">2ABC_A|d2|a.1.1.1": "MM"} and of(None)[">1ABC_A|d1|a.1.1.1"] == "ZZ"
+    assert of("line") == {">1ABC_A|d1|a.1.1.1": "AB", ">2ABC_A|d2|a.1.1.1": "MM"}
