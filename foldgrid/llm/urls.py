@@ -1,12 +1,15 @@
-"""URL filters over time: a dated entry is valid until the next one of its pattern, and an as-of join finds for every capture
-the entries that were active when it was fetched.
-
-An entry (pattern, listed_on, action) adds or removes a host or parent domain on a day. Of entries on one day, adds
-come before removals; the last one up to a day tells the state on that day, that day included. A capture is blocked
-when its host or any parent domain of it is on the list then; the longest such pattern is reported.
-
-Null or malformed URLs have no host and are never blocked, nor are captures without a date. Entries with a null
-pattern, date or action are passed over. Repeated captures and entries, null ids and other columns change nothing; an
+"""URL filters over time: dated list entries become validity intervals, and an as-of join evaluates every capture against the
+intervals that were open when it was fetched.
+
+An entry (pattern, listed_on, action) adds or removes a host or parent domain at a time, a date or a timestamp. Of entries of one
+time, adds come before removals. An interval starts with an add that finds the pattern off the list and ends with the next removal,
+whose own time is outside; an entry that changes nothing, as from a list issued anew every day, starts none. A capture is blocked
+when an interval of its host or of any parent domain of it holds its fetch time; the longest such pattern is reported, with the
+start of its interval as `listed_since`.
+
+Null or malformed URLs have no host and are never blocked, nor are captures without a time. Entries with a null pattern, time or
+action, or another action than add or remove, are passed over. Repeated captures and entries and null ids change nothing. The
+columns `host`, `blocked`, `pattern` and `listed_since` take the place of captures' columns of these names; other columns stay. An
 empty list blocks nothing, no captures give no rows. Hosts are compared in lower case, without port, user or end dot.
 """
 
@@ -27,48 +30,64 @@ def host(url: Column) -> Column:
 
 def entries_of(entries: DataFrame) -> DataFrame:
     """pattern, listed_on, action: the list in lower case, each entry once."""
-    return entries.select(F.lower("pattern").alias("pattern"), "listed_on", "action").dropna().distinct()
+    rows = entries.select(F.lower("pattern").alias("pattern"), "listed_on", F.lower("action").alias("action"))
+    return rows.dropna().where(F.col("action").isin("add", "remove")).distinct()
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, valid_from, valid_to (first day no longer; null: still active) of every time on the list. An entry that
-    changes nothing, as from a list that is issued anew every day, starts no interval."""
-    order = Window.partitionBy("pattern").orderBy("listed_on", "action")
-    # the last entry of a day tells that day's state
-    daily = entries_of(entries).groupBy("pattern", "listed_on").agg(F.max("action").alias("action"))
-    changes = daily.withColumn("before", F.lag("action").over(order)).where("before IS NULL OR before != action")
+    """pattern, valid_from, valid_to (first time no longer; null: still active) of every time on the list."""
+    order = Window.partitionBy("pattern").orderBy("listed_on")
+    # of one time, the last entry tells the state
+    states = entries_of(entries).groupBy("pattern", "listed_on").agg(F.max("action").alias("action"))
+    changes = states.withColumn("before", F.lag("action").over(order)).where("before IS NULL OR before != action")
     spans = changes.withColumn("valid_to", F.lead("listed_on").over(order)).where("action = 'add'")
     return spans.select("pattern", F.col("listed_on").alias("valid_from"), "valid_to")
 
 
-def as_of(days: DataFrame, entries: DataFrame) -> DataFrame:
-    """days(pattern, day), one row each, with the last entry up to the day (its own included), where that is an add: its date
-    is `listed_since`. Days and entries of a pattern pass in one line, so each is looked at once, however often it is listed."""
-    asked = days.select("pattern", "day", F.lit(1).alias("asks"), F.lit(None).cast("struct<listed_on:date,action:string>").alias("entry"))
-    said = entries_of(entries).select("pattern", F.col("listed_on").alias("day"), F.lit(0).alias("asks"), F.struct(F.col("listed_on").cast("date").alias("listed_on"), "action").alias("entry"))
-    line = Window.partitionBy("pattern").orderBy("day", "asks", "entry.action")
-    last = F.last("entry", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = asked.unionByName(said).withColumn("last", last).where("asks = 1 AND last.action = 'add'")
-    return found.select("pattern", "day", F.col("last.listed_on").alias("listed_since"))
+def as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """asked(pattern, time), one row each, that fall into an interval of their pattern, with its start as `listed_since`.
+
+    Times are cut into ranges (months of dates, hours of timestamps). What is open at the start of a range comes from one line of a
+    pattern's ranges; the times and starts within a range are put in line by themselves, so a pattern that is asked for at any
+    number of times is many tasks' work.
+    """
+    dates = dict(asked.dtypes)["time"] == "date"
+    part = F.date_trunc("month" if dates else "hour", "time")
+    span = F.struct("valid_from", "valid_to")
+    empty = F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType)
+    starts = spans.select("pattern", F.col("valid_from").alias("time"), F.lit(0).alias("asks"), span.alias("span"))
+    rows = asked.select("pattern", "time", F.lit(1).alias("asks"), empty.alias("span")).unionByName(starts).withColumn("part", part)
+    line = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("pattern", "part").agg(F.max("span").alias("latest"))
+    ranges = ranges.select("pattern", "part", F.last("latest", ignorenulls=True).over(line).alias("open"))
+    within = Window.partitionBy("pattern", "part").orderBy("time", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last("span", ignorenulls=True).over(within)
+    found = rows.withColumn("latest", latest).where("asks = 1").join(ranges, ["pattern", "part"])
+    found = found.withColumn("last", F.coalesce("latest", "open")).where("last IS NOT NULL AND (last.valid_to IS NULL OR time < last.valid_to)")
+    return found.select("pattern", "time", F.col("last.valid_from").alias("listed_since"))
+
+
+ADDED = ("host", "blocked", "pattern", "listed_since")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(url, fetched_on, ...) with host, blocked, pattern (the longest active) and listed_since.
 
-    Hosts are reduced to those with a listed pattern first; what a pattern's state was on a day is found once for each of the
+    Hosts are reduced to those with a listed pattern first; what a pattern's state was at a time is found once for each of the
     two, so neither a hot host or domain nor a list issued daily multiplies rows. Writes small tables on the way.
     """
-    rows = captures.select(F.struct("*").alias("row"), host(F.col("url")).alias("host"), F.col("fetched_on").alias("day"))
-    asked = rows.where("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
+    kept = ["`" + c.replace("`", "``") + "`" for c in captures.columns if c.lower() not in ADDED]
+    rows = captures.select(F.struct(*kept).alias("row"), host(F.col("url")).alias("host"), F.col("fetched_on").alias("time"))
+    asked = rows.where("host IS NOT NULL AND time IS NOT NULL").select("host", "time").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    listed = materialize(entries_of(entries).select("pattern").distinct())
-    hosts = rows.where("host IS NOT NULL").select("host").distinct().withColumn("pattern", F.explode(parents)).join(listed, "pattern")
-    asked = materialize(asked.join(hosts, "host").select("host", "day", "pattern"))
-    state = materialize(as_of(asked.select("pattern", "day").distinct(), entries))
+    spans = materialize(intervals(entries))
+    hosts = rows.where("host IS NOT NULL").select("host").distinct().withColumn("pattern", F.explode(parents)).join(spans.select("pattern").distinct(), "pattern")
+    asked = materialize(asked.join(hosts, "host").select("host", "time", "pattern"))
+    state = materialize(as_of(asked.select("pattern", "time").distinct(), spans))
     longest = F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern"), F.col("listed_since"))).alias("best")
-    found = materialize(asked.join(state, ["pattern", "day"]).groupBy("host", "day").agg(longest).select(F.col("host").alias("h"), F.col("day").alias("d"), "best"))
-    joined = rows.join(found, (F.col("host") == F.col("h")) & (F.col("day") == F.col("d")), "left")
+    found = materialize(asked.join(state, ["pattern", "time"]).groupBy("host", "time").agg(longest).select(F.col("host").alias("h"), F.col("time").alias("t"), "best"))
+    joined = rows.join(found, (F.col("host") == F.col("h")) & (F.col("time") == F.col("t")), "left")
     return joined.select("row.*", "host", F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.listed_since")
 
 
@@ -115,10 +134,14 @@ entries AS (
   UNION SELECT host, first + 11 + len, 'add' FROM k WHERE a < 8 AND b < 8 AND d < 8
   UNION SELECT parent, 200, 'add' FROM k WHERE e = 0
   UNION SELECT parent, 210, 'remove' FROM k WHERE e = 0),
+states AS (SELECT pattern, day, max(action) AS action FROM entries GROUP BY 1, 2),
+changes AS (
+  SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY pattern ORDER BY day) AS before FROM states)
+  WHERE before IS NULL OR before != action),
 spans AS (
   SELECT pattern, action, DATE '2024-01-01' + day AS valid_from,
-         lead(DATE '2024-01-01' + day) OVER (PARTITION BY pattern ORDER BY day, action) AS valid_to
-  FROM entries),
+         lead(DATE '2024-01-01' + day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to
+  FROM changes),
 hit AS (
   SELECT c.host, c.fetched_on, s.pattern, s.valid_from,
          row_number() OVER (PARTITION BY c.host, c.fetched_on ORDER BY length(s.pattern) DESC) AS n

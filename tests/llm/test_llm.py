@@ -528,6 +528,50 @@ def test_url_intervals(spark):
     assert urls.evaluate(caps, entries.limit(0)).where("blocked").count() == 0 and urls.evaluate(caps.limit(0), entries).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_urls_against_brute_force(spark, kind):
+    from datetime import datetime, timedelta
+
+    rnd, start = random.Random(8), datetime(2024, 1, 1)
+    at = lambda: start + (timedelta(days=rnd.randrange(120)) if kind == "date" else timedelta(minutes=rnd.randrange(600)))
+    entries = [(rnd.choice(["com", "bad.com", "a.bad.com", "x.org"]), at(), rnd.choice(["add", "remove", "add", "seen"])) for _ in range(60)]
+    entries += [("daily.net", start + timedelta(days=n), "add") for n in range(90)]
+    urls_ = ["http://a.bad.com/x", "http://bad.com", "http://c.com", "http://x.org", "http://daily.net", "http://y.net", None]
+    caps = [(n % 50 if n % 7 else None, rnd.choice(urls_), at() if n % 11 else None, "mine", "theirs") for n in range(400)]
+
+    def spans(pattern):
+        on, out = None, []
+        for t, action in sorted({(t, a) for p, t, a in entries if p == pattern and a != "seen"}):
+            # an add and a removal of one time: the removal is last
+            if action == "add" and on is None and (pattern, t, "remove") not in entries:
+                on = t
+            elif action == "remove" and on is not None:
+                out.append((on, t))
+                on = None
+        return out + ([(on, datetime.max)] if on else [])
+
+    listed = {p: spans(p) for p in {e[0] for e in entries}}
+
+    def brute(url, when):
+        name = url and url.split("/")[2]
+        for i in range(name.count(".") + 1 if name and when else 0):
+            p = ".".join(name.split(".")[i:])
+            for a, b in listed.get(p, []):
+                if a <= when < b:
+                    return True, p, a
+        return False, None, None
+
+    cast = f"cast(listed_on as {kind}) listed_on"
+    said = spark.createDataFrame(entries, "pattern string, listed_on timestamp, action string").selectExpr("pattern", cast, "action")
+    asked = spark.createDataFrame(caps, "page_id long, url string, fetched_on timestamp, Host string, pattern string").withColumn("fetched_on", F.col("fetched_on").cast(kind))
+    got = urls.evaluate(asked, said)
+    assert got.columns == ["page_id", "url", "fetched_on", "host", "blocked", "pattern", "listed_since"]
+    plain = lambda t: t and datetime(t.year, t.month, t.day, getattr(t, "hour", 0), getattr(t, "minute", 0))
+    seen = Counter((r.page_id, r.url, plain(r.fetched_on), r.blocked, r.pattern, plain(r.listed_since)) for r in got.collect())
+    assert seen == Counter((i, u, t, *brute(u, t)) for i, u, t, _, _ in caps)
+    assert {plain(r.listed_since) for r in got.where("pattern = 'daily.net'").collect()} == {start}
+
+
 # --- lines
 
 
