@@ -762,7 +762,7 @@ def test_filters_on_empty_and_clashing(spark):
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
