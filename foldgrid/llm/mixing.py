@@ -4,12 +4,14 @@ Documents that belong to the same sources form a pattern: by default, the source
 copies of one text in several sources belong to all of them. The flow sends words from patterns to source quotas; a
 pattern's words cost nothing the first time they are taken and more each further time, so fresh words go first and a
 source draws on texts that it shares with others only as far as its own don't do. What the flow takes of a pattern is then
-filled with documents in a seeded order. Only totals by pattern reach the driver: one row for each set of sources that
-occurs, refused beyond `max_patterns`.
+filled with documents in a seeded order; those that would go beyond are passed over for later, smaller ones, and the one
+document left that best fills the rest comes last. Only totals by pattern reach the driver: one row for each set of sources that occurs, refused beyond
+`max_patterns`.
 
 Null texts count as empty (0 words): nothing is taken of them. A null source is a source of its own, last in order.
 Rows are taken as they come: repeated rows are documents of their own. Rows of equal doc_id and text have the same draw and
-are taken all or none, whichever comes nearer to the words asked for. An empty table gives an empty result.
+are taken all or none. Of documents that fill what is left equally well, the first drawn goes in. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .shared import WORD, materialize
 
 #: Bits of a document's draw, and of the slices of the draws in which a pattern's words are totalled first.
 DRAW_BITS, SLICE_BITS = 60, 12
+#: How often documents that don't fit are passed over; what is left after that is less than one of the documents passed over.
+ROUNDS = 4
 
 
 def seeded_draw(seed: int, doc_id: Column, text: Column) -> Column:
@@ -216,27 +220,70 @@ def mix(
             plan.append((m, o, sizes[k] if k is not None else 0, float(targets[k]) if k is not None else 0.0, *(divmod(taken, n) if n else (0, 0))))
     # one row for each pattern and source of it: at most max_patterns times the sources
     plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "member string, own string, source_size long, target double, rounds long, rest long"))
-    last = F.broadcast(_last_draws(slim.join(plan, ["member", "own"])))
-    known = rows.join(plan, ["member", "own"]).join(last, ["member", "own"], "left")
-    again = F.when(F.col("draw") <= F.col("last"), F.col("size")).otherwise(0)
+    stretches, fillers = _choose(slim.join(plan, ["member", "own"]).where("rest > 0"))
+    known = rows.join(plan, ["member", "own"]).join(F.broadcast(stretches), ["member", "own"], "left").join(F.broadcast(fillers), ["member", "own"], "left")
+    again = F.when(_within("draw", "size") | (F.col("draw") == F.col("filler")), F.col("size")).otherwise(0)
     return known.select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + again).alias("taken"))
 
 
-def _last_draws(planned: DataFrame) -> DataFrame:
-    """For each pattern and source whose `rest` words are taken once more: the last draw that still goes in.
+_UNIT = ["member", "own"]
+_STRETCH = "member string, own string, stretches array<struct<after: long, until: long, most: long>>"
+
+
+def _within(draw: str, size: str) -> Column:
+    """Whether a document is in one of the stretches of its unit."""
+    inside = lambda x: (F.col(draw) > x["after"]) & (F.col(draw) < x["until"]) & (F.col(size) <= x["most"])
+    return F.coalesce(F.exists("stretches", inside), F.lit(False))
+
+
+def _choose(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each pattern and source whose `rest` words are taken once more: stretches of draws with the greatest size taken
+    in each, and the draw of one more document (`filler`), if it brings the words nearer to what was asked.
+
+    A stretch ends before the first document that would go beyond; the next starts after it, with documents no larger
+    than what is left. The driver holds a row for each pattern and source, as it does for the plan.
+    """
+    spark = planned.sparkSession
+    asked = {(r["member"], r["own"]): r["rest"] for r in planned.select(*_UNIT, "rest").distinct().collect()}
+    gap, after, stretches = dict(asked), dict.fromkeys(asked, -1), {u: [] for u in asked}
+    open_ = set(asked)
+    for _ in range(ROUNDS):
+        if not open_:
+            break
+        found = {(r["member"], r["own"]): r for r in _border(planned, [(*u, after[u], gap[u]) for u in sorted(open_)]).collect()}
+        for u in list(open_):
+            r = found.get(u)
+            if r is not None:
+                stretches[u].append((after[u], 1 << DRAW_BITS if r["border"] is None else r["border"], gap[u]))
+                gap[u] -= r["filled"]
+            if r is None or r["border"] is None or not gap[u]:
+                open_.discard(u)
+            else:
+                after[u] = r["border"]
+    chosen = spark.createDataFrame([(*u, s) for u, s in stretches.items()], _STRETCH)
+    gaps = spark.createDataFrame([(*u, g) for u, g in gap.items() if g], "member string, own string, gap long")
+    left = planned.join(F.broadcast(gaps), _UNIT).join(F.broadcast(chosen), _UNIT).where(~_within("draw", "size"))
+    copies = left.groupBy(*_UNIT, "draw", "gap").agg(F.sum("size").alias("words"))  # of one draw, so taken together
+    miss = F.abs(F.col("words") - F.col("gap"))
+    return chosen, materialize(copies.where(miss < F.col("gap")).groupBy(*_UNIT).agg(F.min_by("draw", F.struct(miss, "draw")).alias("filler")))
+
+
+def _border(planned: DataFrame, state: list[tuple[str, str, int, int]]) -> DataFrame:
+    """member, own, the first draw later than `after` that with those before it goes beyond `gap` (null: none), and the words
+    before it, of documents no larger than `gap`.
 
     Words are totalled by slice of the hash range first, so only the documents of one slice are put in order.
     """
-    unit = ["member", "own"]
-    open_ = planned.where("rest > 0").withColumn("slice", F.shiftright("draw", DRAW_BITS - SLICE_BITS))
-    ahead = Window.partitionBy(*unit).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = open_.groupBy(*unit, "slice", "rest").agg(F.sum("size").alias("words"))
+    state = F.broadcast(planned.sparkSession.createDataFrame(state, "member string, own string, after long, gap long"))
+    open_ = planned.select(*_UNIT, "draw", "size").join(state, _UNIT).where("size BETWEEN 1 AND gap AND draw > after")
+    open_ = open_.withColumn("slice", F.shiftright("draw", DRAW_BITS - SLICE_BITS))
+    ahead = Window.partitionBy(*_UNIT).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = open_.groupBy(*_UNIT, "slice", "gap").agg(F.sum("size").alias("words"))
     slices = slices.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    edge = slices.where("before < rest AND rest <= before + words").select(*unit, "slice", "before")
-    within = Window.partitionBy(*unit).orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
-    inside = open_.join(edge, [*unit, "slice"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
-    # the document at the border goes in when that comes nearer to the words asked for
-    fits = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    got = inside.groupBy(*unit).agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.min("slice").alias("slice"))
-    below = F.shiftleft(F.col("slice"), DRAW_BITS - SLICE_BITS) - 1
-    return materialize(got.select(*unit, F.coalesce("last", below).alias("last")))
+    edge = slices.where("before <= gap AND gap < before + words").select(*_UNIT, "slice", "before")
+    within = Window.partitionBy(*_UNIT).orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
+    inside = open_.join(edge, [*_UNIT, "slice"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
+    beyond = F.col("upto") > F.col("gap")
+    borders = inside.groupBy(*_UNIT).agg(F.min(F.when(beyond, F.col("draw"))).alias("border"), F.coalesce(F.max(F.when(~beyond, F.col("upto"))), F.max("before")).alias("upto"))
+    totals = slices.groupBy(*_UNIT).agg(F.sum("words").alias("words"))
+    return totals.join(borders, _UNIT, "left").select(*_UNIT, "border", F.coalesce("upto", "words").alias("filled"))
