@@ -54,7 +54,8 @@ def random_split(df: DataFrame, share: float, item: str = "id", seed: int = 0, n
 
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
-    """label, label_idx: 0-based place of each class name in order. One row a class."""
+    """label, label_idx: 0-based place of each class name in order. One row a class, put in line by one task: its work grows
+    with the number of classes, not of rows."""
     names = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
     return names.withColumn("label_idx", F.row_number().over(Window.orderBy("label")) - 1)
 
