@@ -45,13 +45,41 @@ def pad_to_size(images: DataFrame, size: int = 200, fill: int = 128) -> DataFram
     return flat.mapInArrow(run, "path string, height int, width int, data binary")
 
 
+#: Pixels that a task hands on at once, about.
+PIXELS = 500_000
+
+
+def unpack_pixels(images: DataFrame) -> DataFrame:
+    """pixels(image_id, row, col, r, g, b) of images(image_id, height, width, data) of three channels, blue first."""
+
+    def some(ids: pa.Array, heights: list[int], widths: list[int], data: list[bytes]) -> pa.RecordBatch:
+        size = np.array(heights, np.int64) * np.array(widths, np.int64)
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        row, col = np.divmod(at, np.array(widths, np.int64)[of])
+        bgr = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 3)
+        columns = [pa.array(x.astype(np.int32)) for x in (row, col, bgr[:, 2], bgr[:, 1], bgr[:, 0])]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *columns], ["image_id", "row", "col", "r", "g", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, wide = (batch.column(c).to_pylist() for c in (1, 2))
+            first, held = 0, 0
+            for k, (h, w) in enumerate(zip(high, wide, strict=True)):
+                held += h * w
+                if held >= PIXELS or k + 1 == len(high):
+                    part = slice(first, k + 1)
+                    yield some(batch.column(0)[part], high[part], wide[part], batch.column(3)[part].to_pylist())
+                    first, held = k + 1, 0
+
+    flat = images.select("image_id", "height", "width", "data")
+    return flat.mapInArrow(run, f"image_id {dict(flat.dtypes)['image_id']}, row int, col int, r int, g int, b int")
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
     """pixels(image_id, row, col, r, g, b) of images(path, image) with three channels."""
-    at = F.posexplode(F.sequence(F.lit(0), F.col("image.height") * F.col("image.width") - 1)).alias("p", "_")
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("image.data"), F.col("p") * 3 + 1 + k, F.lit(1))), 16, 10).cast("int")
-    rows = images.where("image.nChannels = 3").select(F.col("path").alias("image_id"), "image", at)
-    place = {"row": F.floor(F.col("p") / F.col("image.width")).cast("int"), "col": (F.col("p") % F.col("image.width")).cast("int")}
-    return rows.select("image_id", *[c.alias(k) for k, c in place.items()], byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    whole = images.where("image.nChannels = 3").select(F.col("path").alias("image_id"), "image.height", "image.width", "image.data")
+    return unpack_pixels(whole)
 
 
 def channel_means(pixels: DataFrame) -> DataFrame:
@@ -92,3 +120,27 @@ def ablate(pixels: DataFrame, means: DataFrame) -> DataFrame:
     return rows.select(
         "image_id", F.col("k.feature").alias("feature"), "row", "col", *[F.when(inside & (F.col("k.channel") == c), F.col(c)).otherwise(F.col(f"mean_{c}")).alias(c) for c in "rgb"]
     )
+
+
+def ablate_images(images: DataFrame, means: DataFrame) -> DataFrame:
+    """The same variants of whole images(image_id, height, width, data), as (image_id, feature, height, width, data), blue first."""
+    mean = means.select(*[F.least(F.greatest(F.bround(c, 0), F.lit(0)), F.lit(255)).cast("int").alias(f"mean_{c}") for c in "rgb"])
+    rows = images.where("height = width").select("image_id", "height", "data").crossJoin(F.broadcast(single_row(mean)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides, ground = batch.column(1).to_pylist(), [batch.column(f"mean_{c}")[0].as_py() for c in "bgr"]
+            for triangle, channel, feature in ABLATIONS:
+                k, data = "bgr".index(channel), []
+                for n, body in zip(sides, batch.column(2), strict=True):
+                    out = np.empty((n, n, 3), np.uint8)
+                    out[:] = ground
+                    inside = np.triu(np.ones((n, n), bool), 1) if triangle == "upper" else np.tril(np.ones((n, n), bool), -1)
+                    own = np.frombuffer(body.as_buffer(), np.uint8).reshape(n, n, 3)
+                    out[:, :, k][inside] = own[:, :, k][inside]
+                    data.append(out.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([feature] * len(data)), batch.column(1), batch.column(1), pa.array(data, pa.binary())], ["image_id", "feature", "height", "width", "data"])
+
+    return rows.mapInArrow(run, f"image_id {dict(images.dtypes)['image_id']}, feature string, height int, width int, data binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as C
+from ..functions import constants as K
+from .common import materialize
 
 RESIDUE = ("structure_id", "chain", "res_seq", "icode")
 #: The two sets of channels of the second map version: the upper triangle's and the rotated one's.
@@ -105,12 +108,12 @@ def with_hydrophobicity(pairs: DataFrame, cutoff: float = 10.0) -> DataFrame:
     return pairs.withColumn("hydro", C.hydrophobicity_delta(F.col("aa_i"), F.col("aa_j"), F.col("dist"), cutoff))
 
 
-def contact_maps_v1(residues: DataFrame, cutoff: float = 15.0) -> DataFrame:
+def contact_maps_v1(residues: DataFrame, cutoff: float = 15.0, turned: bool = False) -> DataFrame:
     """Pairs (structure_id, i, j, aa_i, aa_j, dist) with hydro, charge and polarity of the older version, where residues touch when their
     own distance or the one at the rotated place is below the cutoff, and a missing distance counts as 0.
 
     residues: of residue_index(), numbered from 0 without gaps. The rotated place of (i, j) in a chain of n is (n - 1 - j, n - 1 - i): its
-    residues are read from the chain by position.
+    residues are read from the chain by position. `turned` keeps the distance there as a column of that name.
     """
     far = lambda c: _at(F.col("n") - 1 - F.col(c))
     a, b = F.col("a"), _at(F.col("j"))
@@ -119,7 +122,7 @@ def contact_maps_v1(residues: DataFrame, cutoff: float = 15.0) -> DataFrame:
     near = F.least("dist", "turned")
     for name, f in (("hydro", C.hydrophobicity_delta), ("charge", C.charge_pair), ("polarity", C.polarity_pair)):
         out = out.withColumn(name, f(F.col("aa_i"), F.col("aa_j"), near, cutoff))
-    return out.drop("turned")
+    return out if turned else out.drop("turned")
 
 
 def channel_ranges(pairs: DataFrame, channels: tuple[str, ...]) -> DataFrame:
@@ -151,10 +154,12 @@ def normalize_maps(pairs: DataFrame, channels: tuple[str, ...] = UPPER + LOWER)
 
 
 def normalize_maps_v1(pairs: DataFrame, channels: tuple[str, ...] = ("dist", "hydro")) -> DataFrame:
-    """Pairs with each channel divided by the width of its range, the minimum not taken off."""
+    """Pairs with each channel divided by the width of its range, the minimum not taken off; `turned`, if there, by that of dist."""
     ranged = _with_structures(pairs, channel_ranges(pairs, channels))
     for c in channels:
         width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        if c == "dist" and "turned" in pairs.columns:
+            ranged = ranged.withColumn("turned", F.when(width != 0, F.col("turned") / width).otherwise(F.col("turned")))
         ranged = ranged.withColumn(c, F.when(width != 0, F.col(c) / width).otherwise(F.col(c)))
     return ranged.drop(*[f"{e}_{c}" for c in channels for e in ("lo", "hi")])
 
@@ -260,9 +265,105 @@ def assemble_map(normalized: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.mapInArrow(_filled_tiles(TILE), f"image_id {dict(normalized.dtypes)['structure_id']}, " + ", ".join(f"{c} int" for c in _PIXELS))
 
 
+#: Side of the largest map that a task makes in one piece; longer chains go by pairs and tiles.
+WHOLE = 512
+#: Bytes of pictures that a task hands on at once, about.
+HELD = 8_000_000
+_ENERGIES = ("vdw_att", "vdw_rep", "es_att", "es_rep")
+#: Energies of a map made of its distances and hydrophobicities, as columns or as arrays.
+Derive = Callable[[Any, Any], dict[str, Any]]
+
+
+def _square(values: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """A channel's whole map of 0..255: the values where the pairs stand, the background elsewhere."""
+    known = np.nan_to_num(values[upper], nan=0.0)
+    lo, hi = min(known.min(initial=0.0), 0.0), max(known.max(initial=0.0), 0.0)
+    out = np.zeros(upper.shape, np.int64)
+    if hi > lo:
+        scale = 1 / (hi - lo) * 255
+        out[:] = np.floor((0.0 - lo) * scale)
+        out[upper] = np.floor((known - lo) * scale)
+    return out
+
+
+def _picture(n: int, residues: pa.StructArray, energies: pa.StructArray | None, derive: Derive | None, cutoff: float) -> bytes:
+    """Rows of blue, green and red bytes of one map."""
+    at = residues.field("res_idx").to_numpy(zero_copy_only=False)
+    place = np.empty((4, n))
+    water = np.array([K.HYDROPHOBICITY.get(a, np.nan) for a in residues.field("aa").to_pylist()], np.float64)
+    for k, values in enumerate((*(residues.field(c).to_numpy(zero_copy_only=False) for c in "xyz"), np.abs(water))):
+        place[k, at] = values
+    apart = place[:, :, None] - place[:, None, :]
+    upper = np.triu(np.ones((n, n), bool), 1)
+    dist = np.sqrt(apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2])
+    hydro = np.where(dist < cutoff, np.nan_to_num(np.abs(apart[3]), nan=0.0), 0.0)
+    channels = {"dist": dist, "hydro": hydro}
+    if derive:
+        channels |= derive(dist, hydro)
+    else:
+        known = energies is not None and len(energies) > 0
+        i, j = (energies.field(c).to_numpy(zero_copy_only=False) for c in "ij") if known else (np.zeros(0, int),) * 2
+        inside = (i >= 0) & (i < j) & (j < n)
+        for c in _ENERGIES:
+            channels[c] = np.zeros((n, n))
+            if known:
+                channels[c][i[inside], j[inside]] = energies.field(c).to_numpy(zero_copy_only=False)[inside]
+    sides = [np.dstack([_square(channels[c], upper) for c in side[::-1]]) for side in _SIDES]
+    return ((sides[0] + sides[1][::-1, ::-1]) & 255).astype(np.uint8).tobytes()
+
+
+def map_images(residues: DataFrame, energies: DataFrame | None = None, derive: Derive | None = None, cutoff: float = 10.0) -> DataFrame:
+    """images(image_id, height, width, data) of all structures, rows of blue, green and red bytes: what residue_pairs(),
+    with_hydrophobicity(), normalize_maps(), assemble_map() and pack_pixels() give together.
+
+    residues: of residue_index(), numbered from 0 without gaps. energies(structure_id, i, j, and the four terms; missing pairs are 0) or
+    `derive`, which makes the terms of distance and hydrophobicity. A map is made in one piece of its chain's row, so nothing but residues
+    and energies is exchanged; chains of more than WHOLE residues go by pairs and tiles. Runs a job for the longest chain.
+    """
+    longest = residues.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    spot = F.collect_list(F.struct(F.col("res_idx").cast("int").alias("res_idx"), "aa", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    chains = residues.groupBy("structure_id").agg(spot.alias("chain"), F.count(F.lit(1)).cast("int").alias("n"))
+    small = chains.where(F.col("n") <= WHOLE) if longest > WHOLE else chains
+    given = energies is not None
+    if given:
+        cells = F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.col(c).cast("double").alias(c) for c in _ENERGIES]))
+        small = small.join(energies.groupBy("structure_id").agg(cells.alias("cells")), "structure_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chain, sides = batch.column("chain"), batch.column("n").to_pylist()
+            met = [x.values if x.is_valid else None for x in batch.column("cells")] if given else [None] * len(sides)
+            data: list[bytes] = []
+            held, last = 0, len(sides) - 1
+            for k, (n, x, y) in enumerate(zip(sides, chain, met, strict=True)):
+                data.append(_picture(n, x.values, y, derive, cutoff))
+                held += len(data[-1])
+                if held >= HELD or k == last:
+                    part = slice(k + 1 - len(data), k + 1)
+                    yield pa.RecordBatch.from_arrays([batch.column("structure_id")[part], batch.column("n")[part], batch.column("n")[part], pa.array(data, pa.binary())], ["image_id", "height", "width", "data"])
+                    data, held = [], 0
+
+    images = small.mapInArrow(run, f"image_id {dict(residues.dtypes)['structure_id']}, height int, width int, data binary")
+    if longest <= WHOLE:
+        return images
+    sizes = chains.where(F.col("n") > WHOLE).select("structure_id", "n")
+    pairs = with_hydrophobicity(residue_pairs(residues.join(sizes, "structure_id", "left_semi")), cutoff)
+    if derive:
+        pairs = pairs.withColumns(derive(F.col("dist"), F.col("hydro")))
+    elif given:
+        pairs = materialize(pairs.join(energies.select("structure_id", "i", "j", *_ENERGIES), ["structure_id", "i", "j"], "left"))
+    else:
+        pairs = pairs.withColumns({c: F.lit(0.0) for c in _ENERGIES})
+    return images.unionByName(pack_pixels(assemble_map(normalize_maps(pairs), sizes)))
+
+
 def assemble_map_v1(maps: DataFrame, sizes: DataFrame) -> DataFrame:
     """cells(image_id, row, col, dist, hydro, charge) of the older version: distances below the diagonal in place and
-    above it at the rotated place; the other channels on both sides. maps: of contact_maps_v1(), scaled."""
+    above it at the rotated place; the other channels on both sides. maps: of contact_maps_v1(), scaled. Where each pair comes with
+    the distance at its rotated place (`turned`), nothing is exchanged."""
+    if "turned" in maps.columns:
+        side = lambda row, col, dist: F.struct(F.col(row).alias("row"), F.col(col).alias("col"), F.col(dist).alias("dist"), "hydro", "charge")
+        return maps.select(F.col("structure_id").alias("image_id"), F.inline(F.array(side("j", "i", "dist"), side("i", "j", "turned"))))
     below = maps.select("structure_id", F.col("j").alias("row"), F.col("i").alias("col"), "dist", "hydro", "charge")
     above = maps.select("structure_id", F.col("i").alias("row"), F.col("j").alias("col"), "hydro", "charge")
     turned = rotate(below.join(sizes, "structure_id")).select("structure_id", "row", "col", "dist")

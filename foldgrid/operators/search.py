@@ -291,6 +291,10 @@ def search_all(emb: DataFrame, k: int, blocks: int | None = None, one_block: int
     return top_k(cosine_blocks(emb, k, blocks or 1), k)
 
 
+#: Numbers of padded pictures that a task holds at once, about.
+IMAGE_FLOATS = 4_000_000
+
+
 def embed(images: DataFrame, embedder, model: str, size: int = 200) -> DataFrame:  # noqa: ANN001
     """embeddings of images(path, image struct): padded, scaled, standardised, then `embedder` on batches.
 
@@ -298,11 +302,10 @@ def embed(images: DataFrame, embedder, model: str, size: int = 200) -> DataFrame
     """
     from .images import pad_array, standardize
 
+    few = max(1, IMAGE_FLOATS // (3 * size * size))
+
     def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            rows = batch.to_pylist()
-            if not rows:
-                continue
+        for rows in (batch.slice(k, few).to_pylist() for batch in batches for k in range(0, batch.num_rows, few)):
             pictures = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"]) for r in rows]
             x = np.stack([standardize(pad_array(p[:, :, ::-1] if p.shape[2] == 3 else np.repeat(p[:, :, :1], 3, axis=2), size)) for p in pictures])
             out = np.asarray(embedder(x), np.float32)

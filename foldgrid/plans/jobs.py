@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import materialize
-from ..operators import energies, filters, maps, metrics, sampling, search
+from ..operators import energies, filters, images, maps, metrics, sampling, search
 
 
 def evaluate_search(emb: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
@@ -21,12 +20,9 @@ def build_maps(residues: DataFrame, frame_atoms: DataFrame, low: int = 20, high:
     sizes = filters.filter_length(residues.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "n", low, high)
     kept = residues.join(sizes, "structure_id", "left_semi")
     atoms = frame_atoms.join(sizes, "structure_id", "left_semi")
-    pairs = maps.with_hydrophobicity(maps.residue_pairs(kept), cutoff)
     mean = energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms))
     mean = mean.withColumns({t: F.round(t, digits) for t in energies.TERMS})
-    # written, as ranges, backgrounds and cells all come from them
-    channels = materialize(pairs.join(mean, ["structure_id", "i", "j"], "left"))
-    return maps.assemble_map(maps.normalize_maps(channels), sizes)
+    return images.unpack_pixels(maps.map_images(kept, energies=mean, cutoff=cutoff))
 
 
 def training_lists(ids: DataFrame, annotations: DataFrame, level: str, n: int, share: float, excluded: list[str], item: str = "id", seed: int = 42) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -227,6 +228,25 @@ def picture_files(pictures: DataFrame) -> str:
     return folder
 
 
+def pixel_digests(variants: DataFrame) -> DataFrame:
+    """image_id, feature, n, rgb of variants(image_id, feature, height, width, data): number of pixels and MD5 of their values as text."""
+
+    def digest(data: bytes) -> str:
+        blue, green, red = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32).T
+        codes, of = np.unique((red << 16) + (green << 8) + blue, return_inverse=True)
+        names = [f"{c >> 16},{c >> 8 & 255},{c & 255}" for c in codes.tolist()]
+        return hashlib.md5(";".join([names[k] for k in of.tolist()]).encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [h * w for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [digest(x.as_py()) for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(found, pa.string())], ["image_id", "feature", "n", "rgb"])
+
+    rows = variants.select("image_id", "feature", "height", "width", "data")
+    return rows.mapInArrow(run, f"image_id {dict(rows.dtypes)['image_id']}, feature string, n long, rgb string")
+
+
 def text_files(lines: DataFrame, column: str = "value") -> str:
     """Lines written as text files to the shared folder; their path."""
     path = f"{scratch_dir(lines.sparkSession)}/text/{uuid.uuid4().hex}"

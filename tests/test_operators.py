@@ -282,6 +282,48 @@ def test_tiles_of_odd_maps(spark, monkeypatch, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("whole, held", [(512, 8_000_000), (6, 100)])
+@pytest.mark.parametrize("kind", ["derive", "energies", "none"])
+def test_map_images_equal_pairs_and_tiles(spark, monkeypatch, whole, held, kind):
+    """Chains of 1, 5, 6 and 9 residues, with an unknown letter, a missing place and missing energies, whole and by pairs."""
+    monkeypatch.setattr(maps, "WHOLE", whole), monkeypatch.setattr(maps, "HELD", held)
+    rng, sides = np.random.default_rng(3), {1: 1, 2: 5, 3: 6, 4: 9}
+    rows = [(s, i, None if i == 3 else "ARNDCQWFI"[i], *(None if s == 4 and i == 2 else float(x) for x in rng.random(3) * 9)) for s, n in sides.items() for i in range(n)]
+    residues = spark.createDataFrame(rows, "structure_id long, res_idx int, aa string, x double, y double, z double")
+    cells = [(s, i, j, *map(float, rng.normal(size=4))) for s, n in sides.items() for i in range(n) for j in range(i + 1, n) if s != 3 and (i + j) % 3]
+    energies = spark.createDataFrame(cells, "structure_id long, i int, j int, vdw_att double, vdw_rep double, es_att double, es_rep double")
+    rules = lambda dist, hydro: {"vdw_att": -dist, "vdw_rep": dist * 2 - 9, "es_att": -hydro, "es_rep": dist - hydro}
+    pairs = maps.with_hydrophobicity(maps.residue_pairs(residues))
+    if kind == "derive":
+        pairs = pairs.withColumns(rules(F.col("dist"), F.col("hydro")))
+    elif kind == "energies":
+        pairs = pairs.join(energies, ["structure_id", "i", "j"], "left")
+    else:
+        pairs = pairs.withColumns({c: F.lit(0.0) for c in ("vdw_att", "vdw_rep", "es_att", "es_rep")})
+    want = maps.pack_pixels(maps.assemble_map(maps.normalize_maps(pairs), residues.groupBy("structure_id").agg(F.count(F.lit(1)).cast("int").alias("n"))))
+    got = maps.map_images(residues, energies if kind == "energies" else None, rules if kind == "derive" else None)
+    as_rows = lambda df: {(r.image_id, r.height, r.width, bytes(r.data)) for r in df.collect()}
+    assert as_rows(got) == as_rows(want) and got.count() == 4
+    assert {tuple(r) for r in images.unpack_pixels(got).collect()} == {tuple(r) for r in images.to_pixels(got.select(F.col("image_id").cast("string").alias("path"), F.struct("height", "width", F.lit(3).alias("nChannels"), "data").alias("image"))).withColumn("image_id", F.col("image_id").cast("long")).collect()}
+    pixels, means = images.unpack_pixels(got), spark.createDataFrame([(7.5, 300.0, -4.0)], "r double, g double, b double")
+    plain = {(r.image_id, r.feature, r.row, r.col): (r.r, r.g, r.b) for r in images.ablate(pixels, means).collect()}
+    for r in images.ablate_images(got, means).collect():
+        square = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)[:, :, ::-1]
+        assert all(plain.pop((r.image_id, r.feature, i, j)) == tuple(square[i, j]) for i in range(r.height) for j in range(r.width))
+    assert not plain
+
+
+def test_turned_distances_need_no_join(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, "ARNDCQEGHILK"[i], *map(float, rng.random(3) * 25)) for s, n in (("a", 2), ("b", 9), ("c", 12)) for i in range(n)]
+    residues = spark.createDataFrame(rows, "structure_id string, res_idx int, aa string, x double, y double, z double")
+    sizes = residues.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"))
+    for scale in (lambda x: x, lambda x: maps.normalize_maps_v1(x)):
+        as_rows = lambda df: {tuple(r) for r in df.select("image_id", "row", "col", F.round("dist", 9), "hydro", "charge").collect()}
+        want = as_rows(maps.assemble_map_v1(scale(maps.contact_maps_v1(residues)), sizes))
+        assert as_rows(maps.assemble_map_v1(scale(maps.contact_maps_v1(residues, turned=True)), sizes)) == want and len(want) == 2 + 72 + 132
+
+
 def test_one_exchange_of_cells(spark):
     channels = {c: np.arange(10.0) for c in maps.UPPER + maps.LOWER}
     normalized = maps.normalize_maps(pairs_of(spark, 5, [], **channels))
