@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -40,10 +40,22 @@ def gtalign_v1_list(spark: SparkSession, path: str, k: int) -> DataFrame:
     return parse_gtalign_v1(read_lines(spark, path, "*.out"), k)
 
 
-def appearance() -> Column:
-    """Where a line of a text source stands: file, block and line within, so files are in order of their names however Spark
-    packs them into tasks. For a select() straight on the source."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+#: Lines of a file block beyond which their numbers would run into the next one's.
+_LINES = 1 << 33
+
+
+def with_appearance(rows: DataFrame) -> DataFrame:
+    """Rows of a text source with `line_no`, a number that puts files in order of their names, then blocks and lines as they stand,
+    however Spark packs them into tasks. Straight on the source; reads it once more for the names of its files.
+
+    A number, as sums over groups with a struct of names would have to sort all rows.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    blocks = rows.select(block.alias("_block")).distinct()
+    order = blocks.select("_block", (F.row_number().over(Window.orderBy("_block")) - 1).cast("long").alias("_nth"))
+    numbered = rows.select("*", block.alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    joined = numbered.join(F.broadcast(order), "_block")  # a row a block of files, as many as tasks
+    return joined.withColumn("line_no", F.col("_nth") * _LINES + F.col("_id") % _LINES).drop("_block", "_nth", "_id")
 
 
 def usalign_hits(pairs: DataFrame, k: int) -> DataFrame:
@@ -53,7 +65,7 @@ def usalign_hits(pairs: DataFrame, k: int) -> DataFrame:
 
 def read_usalign(spark: SparkSession, path: str, k: int) -> DataFrame:
     """A headed TSV of chain pairs with the scores of either side."""
-    rows = spark.read.csv(path, sep="\t", header=True).select("*", appearance().alias("line_no"))
+    rows = with_appearance(spark.read.csv(path, sep="\t", header=True))
     a, b = ids.usalign_id(F.col("`#PDBchain1`")), ids.usalign_id(F.col("PDBchain2"))
     return usalign_hits(rows.select(a.alias("a"), b.alias("b"), F.col("TM1").try_cast("double").alias("tm1"), F.col("TM2").try_cast("double").alias("tm2"), "line_no"), k)
 
@@ -65,7 +77,7 @@ def foldseek_hits(rows: DataFrame, k: int) -> DataFrame:
 
 
 def read_foldseek(spark: SparkSession, path: str, k: int) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", schema="query string, target string, score string").select("*", appearance().alias("line_no"))
+    rows = with_appearance(spark.read.csv(path, sep="\t", schema="query string, target string, score string"))
     return foldseek_hits(rows, k)
 
 

@@ -168,3 +168,13 @@ def test_fasta_keeps_the_last(spark):
     df = spark.createDataFrame(rows, "line int, PDBAndChainId string, SCOPeID string, SCOPeFamily string, PDBSequence string")
     of = lambda order: {r.value.split("\n")[0]: r.value.split("\n")[1] for r in text.fasta(df, order).collect()}
     assert of("line") == {">1ABC_A|d1|a.1.1.1": "AB", ">2ABC_A|d2|a.1.1.1": "MM"}
+
+
+def test_aligner_lines_are_numbers(spark, tmp_path):
+    """Sums over lines of many pairs go by hash: a line's place held as names would make each task sort them."""
+    head = "#PDBchain1\tPDBchain2\tTM1\tTM2\n"
+    write(tmp_path / "us/a.tsv", head + "d1:A\td2:A\t0.4\t0.4\n")
+    write(tmp_path / "fs/a.tsv", "d1\td2\t0.5\n")
+    for df in (results.read_usalign(spark, str(tmp_path / "us"), 5), results.read_foldseek(spark, str(tmp_path / "fs"), 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
