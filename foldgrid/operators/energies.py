@@ -32,20 +32,38 @@ def _pair_terms(joined: DataFrame) -> DataFrame:
     return joined.withColumns({"es_att": F.when(F.col("es") > 0, 0.0).otherwise(F.col("es")), "es_rep": F.when(F.col("es") > 0, F.col("es")).otherwise(0.0)})
 
 
-def _atoms(frame_atoms: DataFrame, name: str, residue: str) -> DataFrame:
-    atom = F.struct("x", "y", "z", "q", "sigma", "epsilon", "atom_idx")
-    return frame_atoms.select(*FRAME, F.col("res_idx").alias(residue), atom.alias(name))
+def _residues(atoms: DataFrame) -> DataFrame:
+    """One row a frame, which must fit it: `residues`, an array of the protein's residues (res_idx, atoms), and `others`, its solvent and
+    ions. Atoms are exchanged once, by frame, and what is summed by frame or within it afterwards needs no further exchange."""
+    atom, protein = F.struct("x", "y", "z", "q", "sigma", "epsilon"), F.col("kind") == "protein"
+    dealt = atoms.select(*FRAME, F.when(protein, F.col("res_idx")).alias("res_idx"), protein.alias("_p"), atom.alias("_atom")).repartition(*FRAME)
+    each = dealt.groupBy(*FRAME, "_p", "res_idx").agg(F.collect_list("_atom").alias("atoms"))
+    residue = F.when(F.col("_p"), F.struct("res_idx", "atoms"))
+    return each.groupBy(*FRAME).agg(F.collect_list(residue).alias("residues"), F.flatten(F.collect_list(F.when(~F.col("_p"), F.col("atoms")))).alias("others"))
 
 
-def atom_pair_energies(frame_atoms: DataFrame) -> DataFrame:
-    """(structure_id, frame, i, j, r, terms) of atom pairs of different protein residues, i < j, no closer than 0.1 nm."""
-    protein = frame_atoms.where("kind = 'protein'")
-    pairs = _atoms(protein, "a", "i").join(_atoms(protein, "b", "j"), FRAME).where("i < j")
-    return _pair_terms(pairs).where(F.col("r") >= K.CLOSEST).select(*FRAME, "i", "j", "r", *TERMS)
+def atom_pair_energies(frame_atoms: DataFrame, sizes: bool = False) -> DataFrame:
+    """(structure_id, frame, i, j, r, terms) of atom pairs of different protein residues, i < j, no closer than 0.1 nm.
+
+    Pairs are made of a frame's row, so atoms are exchanged once, by frame, and joined with nothing. `sizes` adds the numbers of
+    atoms of both residues, n_i and n_j.
+    """
+    frames = _residues(frame_atoms.where("kind = 'protein'"))
+    one = frames.select(*FRAME, "residues", F.explode("residues").alias("_i"))
+    two = one.select(*FRAME, "_i", F.explode("residues").alias("_j")).where("_i.res_idx < _j.res_idx")
+    two = two.select(*FRAME, F.col("_i.res_idx").alias("i"), F.col("_j.res_idx").alias("j"), F.col("_i.atoms").alias("_a"), F.col("_j.atoms").alias("_b"))
+    counts = [F.size("_a").cast("long").alias("n_i"), F.size("_b").cast("long").alias("n_j")] if sizes else []
+    known = ["n_i", "n_j"] if sizes else []
+    pairs = two.select(*FRAME, "i", "j", *counts, "_b", F.explode("_a").alias("a")).select(*FRAME, "i", "j", *known, "a", F.explode("_b").alias("b"))
+    return _pair_terms(pairs).where(F.col("r") >= K.CLOSEST).select(*FRAME, "i", "j", "r", *TERMS, *known)
 
 
 def residue_pair_energy(pairs: DataFrame, frame_atoms: DataFrame) -> DataFrame:
-    """Sums over the atom pairs of each residue pair, divided by the numbers of their atoms (skipped pairs included)."""
+    """Sums over the atom pairs of each residue pair, divided by the numbers of their atoms (skipped pairs included), which the pairs
+    bring along or which are joined."""
+    if "n_i" in pairs.columns:
+        sums = pairs.groupBy(*FRAME, "i", "j").agg(*[F.sum(t).alias(t) for t in TERMS], F.max("n_i").alias("n_i"), F.max("n_j").alias("n_j"))
+        return sums.select(*FRAME, "i", "j", *[(F.col(t) / (F.col("n_i") * F.col("n_j"))).alias(t) for t in TERMS])
     sizes = frame_atoms.where("kind = 'protein'").groupBy(*FRAME, "res_idx").agg(F.count(F.lit(1)).alias("size"))
     a = sizes.select(*FRAME, F.col("res_idx").alias("i"), F.col("size").alias("n_i"))
     b = sizes.select(*FRAME, F.col("res_idx").alias("j"), F.col("size").alias("n_j"))
@@ -57,22 +75,23 @@ def residue_pair_energy(pairs: DataFrame, frame_atoms: DataFrame) -> DataFrame:
 def residue_solvent_energies(frame_atoms: DataFrame) -> DataFrame:
     """(structure_id, frame, res_idx, vdw_solv, es_solv): protein atoms against solvent and ions beyond 0.1 nm, divided
     by the residue's atoms."""
-    protein = frame_atoms.where("kind = 'protein'")
-    pairs = _atoms(protein, "a", "res_idx").join(_atoms(frame_atoms.where("kind != 'protein'"), "b", "other"), FRAME)
-    terms = _pair_terms(pairs).where(F.col("r") > K.CLOSEST)
-    sums = terms.groupBy(*FRAME, "res_idx").agg(F.sum(F.col("vdw_att") + F.col("vdw_rep")).alias("vdw"), F.sum("es").alias("es"))
-    sizes = protein.groupBy(*FRAME, "res_idx").agg(F.count(F.lit(1)).alias("size"))
-    joined = sizes.join(sums, [*FRAME, "res_idx"], "left")
+    one = _residues(frame_atoms).select(*FRAME, "others", F.explode("residues").alias("_i"))
+    one = one.select(*FRAME, "others", F.col("_i.res_idx").alias("res_idx"), F.size("_i.atoms").alias("size"), F.explode("_i.atoms").alias("a"))
+    met = _pair_terms(one.select(*FRAME, "res_idx", "size", "a", F.explode_outer("others").alias("b")))
+    far = lambda c: F.sum(F.when(F.col("r") > K.CLOSEST, c))
+    sums = met.groupBy(*FRAME, "res_idx").agg(far(F.col("vdw_att") + F.col("vdw_rep")).alias("vdw"), far(F.col("es")).alias("es"), F.max("size").alias("size"))
     per = lambda c: F.coalesce(F.col(c) / F.col("size"), F.lit(0.0))
-    return joined.select(*FRAME, "res_idx", per("vdw").alias("vdw_solv"), per("es").alias("es_solv"))
+    return sums.select(*FRAME, "res_idx", per("vdw").alias("vdw_solv"), per("es").alias("es_solv"))
 
 
 def subtract_solvent(pair_energy: DataFrame, residue_energy: DataFrame) -> DataFrame:
-    """Attractive terms less the mean solvent energy of both residues."""
-    side = lambda r, s: residue_energy.select(*FRAME, F.col("res_idx").alias(r), F.col("vdw_solv").alias(f"v{s}"), F.col("es_solv").alias(f"e{s}"))
-    joined = pair_energy.join(side("i", 1), [*FRAME, "i"], "left").join(side("j", 2), [*FRAME, "j"], "left")
-    mean = lambda c: (F.coalesce(f"{c}1", F.lit(0.0)) + F.coalesce(f"{c}2", F.lit(0.0))) / 2
-    joined = joined.withColumns({"vdw_att": F.col("vdw_att") - mean("v"), "es_att": F.col("es_att") - mean("e")})
+    """Attractive terms less the mean solvent energy of both residues. residue_energy: one row a residue; they are looked up in their
+    frame, so what is dealt by frame isn't exchanged again."""
+    own = F.struct("res_idx", F.struct("vdw_solv", "es_solv"))
+    frames = residue_energy.where("res_idx IS NOT NULL").groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(own)).alias("_solv"))
+    joined = pair_energy.join(frames.hint("shuffle_hash"), FRAME, "left")
+    mean = lambda c: sum(F.coalesce(F.try_element_at("_solv", F.col(r))[c], F.lit(0.0)) for r in ("i", "j")) / 2
+    joined = joined.withColumns({"vdw_att": F.col("vdw_att") - mean("vdw_solv"), "es_att": F.col("es_att") - mean("es_solv")})
     return joined.select(*FRAME, "i", "j", *TERMS)
 
 

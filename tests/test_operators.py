@@ -582,3 +582,16 @@ def test_pictures_are_blue_first(spark):
     whole = maps.pack_pixels(pixels).selectExpr("image_id AS path", "struct(height, width, 3 AS nChannels, data) AS image")
     back = {tuple(x) for x in images.to_pixels(whole).collect()}
     assert back == {tuple(x) for x in pixels.collect()}
+
+
+def test_energies_exchange_atoms_alone(spark):
+    schema = "structure_id long, frame int, kind string, res_idx int, atom_idx int, x double, y double, z double, q double, sigma double, epsilon double"
+    atoms = spark.createDataFrame([(1, 0, "protein", k // 2, k, k / 5, 0.0, 0.0, 0.1, 0.3, 0.2) for k in range(6)], schema)
+    pairs = energies.residue_pair_energy(energies.atom_pair_energies(atoms, sizes=True), atoms)
+    plain = energies.residue_pair_energy(energies.atom_pair_energies(atoms), atoms)
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in plain.collect()} and pairs.count() == 3
+    # of new frames, as the plan of one that ran holds it twice
+    exchanges = lambda df: df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    solvent = energies.residue_solvent_energies(atoms)  # none: each residue has 0
+    assert {(r.vdw_solv, r.es_solv) for r in solvent.collect()} == {(0.0, 0.0)}
+    assert [exchanges(df) for df in (energies.atom_pair_energies(atoms), pairs, solvent, energies.subtract_solvent(pairs, solvent))] == [1, 1, 1, 2]
