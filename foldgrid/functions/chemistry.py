@@ -25,24 +25,31 @@ def standard_atom(res_name: Column, atom_name: Column) -> Column:
 
 def to_one_letter(res_name: Column) -> Column:
     """One letter for standard and modified residues; null for all others."""
-    return F.try_element_at(_map({v: k for k, v in K.RESIDUES.items()}), standard_name(res_name))
+    known = {v: k for k, v in K.RESIDUES.items()}
+    codes, name = _map(known | {m: known[v] for m, v in K.MODIFIED.items()}), F.trim(res_name)
+    return F.coalesce(F.try_element_at(codes, name), F.try_element_at(codes, F.upper(name)))  # mostly in upper case already
 
 
 def to_three_letter(aa: Column) -> Column:
-    return F.coalesce(F.try_element_at(_map(K.RESIDUES), F.upper(aa)), F.lit(K.UNKNOWN_RESIDUE))
+    return F.coalesce(F.try_element_at(_map(K.RESIDUES), aa), F.try_element_at(_map(K.RESIDUES), F.upper(aa)), F.lit(K.UNKNOWN_RESIDUE))
+
+
+def _by_letter(aa: Column, values: dict) -> Column:
+    """The value of a letter, found by its place: made for each residue of each pair, where a map's keys would be gone through."""
+    place = F.instr(F.lit("".join(values)), aa)
+    return F.when((F.length(aa) == 1) & (place > 0), F.get(F.array(*[F.lit(v) for v in values.values()]), place - 1))
 
 
 def hydrophobicity(aa: Column) -> Column:
-    return F.try_element_at(_map(K.HYDROPHOBICITY), aa)
+    return _by_letter(aa, K.HYDROPHOBICITY)
 
 
 def charge(aa: Column) -> Column:
-    known = {a: 1 if a in K.POSITIVE else -1 if a in K.NEGATIVE else K.NEUTRAL for a in K.RESIDUES}
-    return F.try_element_at(_map(known), aa)
+    return _by_letter(aa, {a: 1 if a in K.POSITIVE else -1 if a in K.NEGATIVE else K.NEUTRAL for a in K.RESIDUES})
 
 
 def polarity(aa: Column) -> Column:
-    return F.try_element_at(_map({a: int(a in K.HYDROPHILIC) for a in K.RESIDUES}), aa)
+    return _by_letter(aa, {a: int(a in K.HYDROPHILIC) for a in K.RESIDUES})
 
 
 def distance(a: Column, b: Column, scale: float = 1.0) -> Column:

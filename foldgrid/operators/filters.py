@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -55,8 +55,8 @@ def select_chain(atoms: DataFrame, chain: str = "first") -> DataFrame:
     """Atoms of one chain, or of the first chain of each structure in file order."""
     if chain != "first":
         return atoms.where(F.col("chain") == chain)
-    first = atoms.groupBy("structure_id").agg(F.min_by("chain", "line_no").alias("first_chain"))
-    return atoms.join(first, "structure_id").where("chain <=> first_chain").drop("first_chain")
+    first = F.min_by("chain", "line_no").over(Window.partitionBy("structure_id"))
+    return atoms.withColumn("first_chain", first).where("structure_id IS NOT NULL AND chain <=> first_chain").drop("first_chain")
 
 
 def letter_chains(df: DataFrame, sid: str = "sid") -> DataFrame:

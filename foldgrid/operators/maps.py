@@ -20,10 +20,13 @@ UPPER, LOWER = ("vdw_att", "vdw_rep", "dist"), ("es_att", "es_rep", "hydro")
 
 
 def best_altloc(atoms: DataFrame) -> DataFrame:
-    """One place for each atom: without alternate location, else the one of highest occupancy, else the first."""
+    """One place for each atom: without alternate location, else the one of highest occupancy, else the first. Atoms are dealt by
+    structure, so what follows by structure or within it needs no further exchange."""
     choice = F.struct((F.coalesce(F.trim("altloc"), F.lit("")) == "").cast("int"), F.coalesce("occupancy", F.lit(0.0)), -F.col("line_no"))
-    best = Window.partitionBy(*RESIDUE, "atom_name").orderBy(choice.desc())
-    return atoms.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b")
+    within = (*RESIDUE[1:], "atom_name")
+    line = Window.partitionBy(RESIDUE[0]).orderBy(*within, choice.desc())
+    before = F.lag(F.struct(*within)).over(line)
+    return atoms.withColumn("_b", before.eqNullSafe(F.struct(*within))).where("NOT _b").drop("_b")
 
 
 def residue_index(atoms: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -12,27 +12,55 @@ FIELDS = {"record": (1, 6), "atom_name": (13, 4), "altloc": (17, 1), "res_name":
 _TYPES = {"res_seq": "int", "x": "double", "y": "double", "z": "double", "occupancy": "double"}
 
 
-def parse_atoms(lines: DataFrame) -> DataFrame:
-    """atoms of lines(path, line_no, line): ATOM and HETATM lines of each file's first model."""
-    is_model, is_end = F.col("line").startswith("MODEL "), F.col("line").startswith("ENDMDL")
-    ends = lines.where(is_end).groupBy(F.col("path").alias("_path")).agg(F.min("line_no").alias("_end"))
-    atoms = lines.where(F.col("line").rlike("^(ATOM  |HETATM)")).join(ends, F.col("path") == F.col("_path"), "left")
-    models = lines.where(is_model).groupBy(F.col("path").alias("_path2")).agg(F.min_by(F.trim(F.substring("line", 7, 8)).try_cast("int"), "line_no").alias("model"))
-    atoms = atoms.where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))).join(models, F.col("path") == F.col("_path2"), "left")
+def _is_atom(line: Column) -> Column:
+    return line.startswith("ATOM  ") | line.startswith("HETATM")
+
+
+def _fields(atoms: DataFrame) -> DataFrame:
+    """atoms of lines(path, model, line_no, line)."""
     columns = {k: F.trim(F.substring("line", a, n)) for k, (a, n) in FIELDS.items()}
     columns = {k: c.try_cast(_TYPES[k]) if k in _TYPES else c for k, c in columns.items()}
     return atoms.select(ids.strip_structure_extension(F.col("path")).alias("structure_id"), F.coalesce("model", F.lit(1)).alias("model"), "line_no", *[c.alias(k) for k, c in columns.items()])
 
 
+def parse_atoms(lines: DataFrame) -> DataFrame:
+    """atoms of lines(path, line_no, line): ATOM and HETATM lines of each file's first model. Lines are read once and exchanged by file;
+    whole files are better taken by parse_files()."""
+    marks = F.col("line").startswith("MODEL "), F.col("line").startswith("ENDMDL")
+    file = Window.partitionBy("path")
+    number = F.trim(F.substring("line", 7, 8)).try_cast("int")
+    rows = lines.where(_is_atom(F.col("line")) | marks[0] | marks[1]).select(
+        "path", "line_no", "line", F.min(F.when(marks[1], F.col("line_no"))).over(file).alias("_end"), F.min_by(number, F.when(marks[0], F.col("line_no"))).over(file).alias("model")
+    )
+    return _fields(rows.where(_is_atom(F.col("line")) & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """The same of files(path, value), each whole in a row: its first model is cut out there, so nothing is exchanged or joined."""
+    begun = F.concat(F.lit("\n"), F.col("value"))
+    end, first = F.instr(begun, "\nENDMDL"), F.instr(begun, "\nMODEL ")
+    number = F.split(F.substring(F.col("value"), first + 6, F.lit(8)), r"\r?\n")[0]
+    model = F.when(first > 0, F.trim(number).try_cast("int")).alias("model")
+    cut = F.when(end > 0, F.substring(F.col("value"), F.lit(1), end - 2)).otherwise(F.col("value"))
+    lines = files.select("path", model, F.posexplode(F.split(cut, r"\r?\n")).alias("line_no", "line")).where(_is_atom(F.col("line")))
+    return _fields(lines.withColumn("line_no", F.col("line_no").cast("long")))
+
+
+def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """files(path, value) of small files, each read whole, as bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", F.col("content").cast("string").alias("value"))
+
+
 def read_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """lines(path, line_no, line) of small files, each read whole."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = read_files(spark, path, glob)
     return files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def read_structures(spark: SparkSession, path: str, extension: str = "ent") -> DataFrame:
     """atoms of every structure file below a folder."""
-    return parse_atoms(read_lines(spark, path, f"*.{extension}"))
+    return parse_files(read_files(spark, path, f"*.{extension}"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

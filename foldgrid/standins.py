@@ -197,13 +197,18 @@ p AS (
 c AS (SELECT id, label, list_position(s, list_max(s)) - 1 AS pred FROM p)"""
 
 
+def whole_files(files: DataFrame, folder: str | None = None) -> str:
+    """files(path, value) written below a folder (a new one unless given); the folder."""
+    folder = folder or f"{scratch_dir(files.sparkSession)}/files/{uuid.uuid4().hex}"
+    write_files(files.select("path", F.col("value").alias("content")), folder)
+    return folder
+
+
 def named_files(lines: DataFrame, folder: str | None = None) -> str:
-    """lines(path, line_no, line) written as the files that they name, below a folder (a new one unless given); the folder."""
-    folder = folder or f"{scratch_dir(lines.sparkSession)}/files/{uuid.uuid4().hex}"
+    """lines(path, line_no, line) written as the files that they name, as by whole_files()."""
     numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     body = F.concat(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"), F.lit("\n"))
-    write_files(lines.groupBy("path").agg(body.alias("content")), folder)
-    return folder
+    return whole_files(lines.groupBy("path").agg(body.alias("value")), folder)
 
 
 def png(height: int, width: int, bgr: bytes) -> bytes:

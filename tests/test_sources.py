@@ -178,3 +178,12 @@ def test_aligner_lines_are_numbers(spark, tmp_path):
     for df in (results.read_usalign(spark, str(tmp_path / "us"), 5), results.read_foldseek(spark, str(tmp_path / "fs"), 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_whole_files_as_their_lines(spark):
+    atom = lambda n: f"ATOM  {n:5d}  CA  MSE A{n:4d}    {n:8.3f}{1:8.3f}{2:8.3f}  1.00  0.00"
+    bodies = ["", "\n", "ENDMDL\n" + atom(1), atom(1) + "\n" + atom(2), f"MODEL 3\r\n{atom(1)}\r\nENDMDL\r\nMODEL 4\r\n{atom(2)}\r\nENDMDL\r\n", f"MODEL        7\n{atom(1)}\n{atom(2)}\nENDMDL", f"MODEL x\n{atom(1)}\nREMARK ENDMDL\n{atom(2)}"]
+    files = spark.createDataFrame([(f"a/d{k}.ent", b) for k, b in enumerate(bodies)], "path string, value string")
+    lines = spark.createDataFrame([(f"a/d{k}.ent", n, x) for k, b in enumerate(bodies) for n, x in enumerate(b.replace("\r", "").split("\n"))], "path string, line_no long, line string")
+    got, want = (sorted(f(x).collect(), key=str) for f, x in ((structures.parse_files, files), (structures.parse_atoms, lines)))
+    assert got == want and [(r.structure_id, r.model, r.res_seq) for r in got] == [("d3", 1, 1), ("d3", 1, 2), ("d4", 3, 1), ("d5", 7, 1), ("d5", 7, 2), ("d6", 1, 1), ("d6", 1, 2)]
