@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 def write_files(files: DataFrame, folder: str) -> int:
     """Write files(path string, content binary) below a folder that all machines share; how many there are.
 
-    Each is written under a name of its own and then moved into place, so a task that runs again leaves whole files. Of
+    Contents are written out of their batch one by one, none of it is copied. Each is written under a name of its own and then moved into place, so a task that runs again leaves whole files. Of
     a path given more than once, one content stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 target = posixpath.join(root, path)
                 part = posixpath.join(posixpath.dirname(target), f".{uuid.uuid4().hex}")
                 store.create_dir(posixpath.dirname(target), recursive=True)
                 with store.open_output_stream(part) as out:
-                    out.write(content or b"")
+                    if content.is_valid:
+                        out.write(content.as_buffer())
                 store.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 

@@ -187,3 +187,18 @@ def test_whole_files_as_their_lines(spark):
     lines = spark.createDataFrame([(f"a/d{k}.ent", n, x) for k, b in enumerate(bodies) for n, x in enumerate(b.replace("\r", "").split("\n"))], "path string, line_no long, line string")
     got, want = (sorted(f(x).collect(), key=str) for f, x in ((structures.parse_files, files), (structures.parse_atoms, lines)))
     assert got == want and [(r.structure_id, r.model, r.res_seq) for r in got] == [("d3", 1, 1), ("d3", 1, 2), ("d4", 3, 1), ("d5", 7, 1), ("d5", 7, 2), ("d6", 1, 1), ("d6", 1, 2)]
+
+
+def test_files_are_written_out_of_their_batch(spark, tmp_path):
+    rows = [(f"a/{k}.bin", bytes([k]) * k) for k in range(5)] + [("b/none.bin", None)]
+    assert files.write_files(spark.createDataFrame(rows, "path string, content binary").coalesce(1), f"file://{tmp_path}") == 6
+    assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*.bin")} == {p: c or b"" for p, c in rows}
+
+
+def test_reports_are_exchanged_as_lists(spark, tmp_path):
+    from foldgrid import queries
+
+    spark.createDataFrame([(k % 3, k) for k in range(12)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = queries._reports(spark, str(tmp_path))
+    assert {r.path: r.value.split("\n")[2] for r in rows.collect()} == {f"out/d{k:06d}.ent.out": f"{1:6d} {'none' if k == 0 else f'dir/d{k:06d}.ent'} Chn:A" for k in range(3)}
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
