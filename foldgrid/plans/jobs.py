@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import energies, filters, images, maps, metrics, sampling, search
 
 
@@ -21,7 +22,7 @@ def build_maps(residues: DataFrame, frame_atoms: DataFrame, low: int = 20, high:
     kept = residues.join(sizes, "structure_id", "left_semi")
     atoms = frame_atoms.join(sizes, "structure_id", "left_semi")
     mean = energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms))
-    mean = mean.withColumns({t: F.round(t, digits) for t in energies.TERMS})
+    mean = mean.withColumns({t: rounded(F.col(t), digits) for t in energies.TERMS})
     return images.unpack_pixels(maps.map_images(kept, energies=mean, cutoff=cutoff))
 
 

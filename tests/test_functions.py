@@ -1,8 +1,10 @@
 """Column functions on hand-worked cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from foldgrid.functions import chemistry, constants, facts, ids, vectors
+from foldgrid import queries
+from foldgrid.functions import chemistry, constants, facts, ids, numbers, vectors
 
 
 def one(spark, column, **values):
@@ -62,3 +64,15 @@ def test_facts(spark):
     regions = '{"entries":[{"rcsb_uniprot_feature":[{"type":"TRANSMEMBRANE_REGION"},{"x":1},{"type":"TRANSMEMBRANE_REGION"}]},{"rcsb_uniprot_feature":[{"type":"TRANSMEMBRANE_REGION"}]}]}'
     assert one(spark, facts.transmembrane_count(F.lit(regions))) == 2 and one(spark, facts.transmembrane_count(F.lit('{"entries":[]}'))) == 0
     assert one(spark, facts.transmembrane_count(F.lit(None).cast("string"))) is None
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(1)
+    halves = (rng.integers(-(10**9), 10**9, 20_000) * 10 + 5) / 1e7
+    values = np.concatenate([rng.normal(size=20_000), rng.normal(size=20_000) * 1e4, rng.normal(size=2000) * 1e15, rng.normal(size=2000) * 1e-6, halves, np.nextafter(halves, 1e9), np.nextafter(halves, -1e9), [0.0, -0.0, -1e-9, -5e-7, 5e-7, 999.9999995, 1e300, -1e300, np.nan, np.inf, -np.inf]])
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    for digits in (0, 3, 6):
+        odd = rows.where(~numbers.rounded(F.col("x"), digits).cast("string").eqNullSafe(F.round("x", digits).cast("string")))
+        assert odd.collect() == []
+    plan = queries._rounded(rows, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR" in plan.upper() and dict(queries._rounded(rows.select(F.col("x").cast("float").alias("x")), "x").dtypes) == {"x": "float"}
