@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,22 +104,40 @@ def frame_counts(frame_atoms: DataFrame) -> DataFrame:
     return frame_atoms.groupBy("structure_id").agg(F.count_distinct("frame").alias("n_frames"))
 
 
-#: Atom pairs that a task holds at once, and atoms beyond which a frame is split.
-CELLS, CROWD = 1_000_000, 4096
+#: Atom pairs that a task holds at once (few, so that their columns stay in a core's cache), and atoms beyond which a frame is split.
+CELLS, CROWD = 16_384, 4096
 _FIELDS = ("x", "y", "z", "q", "sigma", "epsilon")
 _ATOM = ["res_idx", *_FIELDS]
 
 
-def _terms(a: np.ndarray, b: np.ndarray, strict: np.ndarray | bool) -> tuple[np.ndarray, ...]:
-    """Attractive, repulsive and Coulomb terms of atoms with atoms (rows of _FIELDS), 0 where they are too close; and whether they count."""
-    d = a[:3] - b[:3]
-    r = np.sqrt((d * d).sum(axis=0))
-    ok = np.where(strict, r > K.CLOSEST, r >= K.CLOSEST)
-    r = np.where(ok, r, 1.0)
-    s2 = ((a[4] + b[4]) / 2 / r) ** 2
+def _terms(a: list[np.ndarray], b: list[np.ndarray], strict: bool) -> tuple[np.ndarray, ...]:
+    """Attractive, repulsive and Coulomb terms of atoms with atoms (columns of _FIELDS), 0 where they are too close; and whether they count."""
+    r = np.zeros(len(a[0]))
+    for m, n in zip(a[:3], b[:3], strict=True):
+        d = m - n
+        d *= d
+        r += d
+    np.sqrt(r, out=r)
+    ok = r > K.CLOSEST if strict else r >= K.CLOSEST
+    es = K.COULOMB * a[3]
+    es *= b[3]
+    near = ok & (r <= K.LJ_CUTOFF)
+    if not ok.all():
+        es[~ok], r[~ok] = 0.0, 1.0
+    es /= r
+    att, rep = np.zeros((2, len(r)))
+    near = np.flatnonzero(near)
+    s2 = (a[4].take(near) + b[4].take(near)) / 2 / r.take(near)
+    s2 *= s2
     s6 = s2 * s2 * s2
-    deep = np.where(ok & (r <= K.LJ_CUTOFF), 4 * np.sqrt(a[5] * b[5]), 0.0)
-    return -deep * s6, deep * s6 * s6, np.where(ok, K.COULOMB * a[3] * b[3] / r, 0.0), ok
+    deep = 4 * np.sqrt(a[5].take(near) * b[5].take(near)) * s6
+    att[near], rep[near] = -deep, deep * s6
+    return att, rep, es, ok
+
+
+def _met(own: np.ndarray, first: int, last: int, count: np.ndarray, atoms: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of own atoms first to last, each as often as it meets another, and of the atoms at b that they meet."""
+    return [np.repeat(x[first:last], count[first:last]) for x in own], [x.take(b) for x in atoms]
 
 
 def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -156,17 +173,16 @@ def _pair_sums(own: np.ndarray, mine: _Residues, atoms: np.ndarray, all_: _Resid
     later = np.searchsorted(all_.frame * span + (all_.name - least), mine.frame * span + (mine.name - least), side="right")
     hi = np.searchsorted(all_.frame, mine.frame, side="right")
     begin = np.append(all_.first, atoms.shape[1])
-    count = np.repeat(begin[hi] - begin[later], mine.size)
+    count, start = np.repeat(begin[hi] - begin[later], mine.size), np.repeat(begin[later], mine.size)
     found = []
     for first, last in _stretches(count):
-        a = np.repeat(np.arange(first, last), count[first:last])
-        b = _spread(np.repeat(begin[later], mine.size)[first:last], count[first:last])
-        att, rep, es, ok = _terms(own[:, a], atoms[:, b], False)
-        code = mine.of[a] * np.int64(len(all_.first)) + all_.of[b]
-        new = np.flatnonzero(np.diff(code, prepend=-1))
-        if not len(new):
+        b = _spread(start[first:last], count[first:last])
+        if not len(b):
             continue
-        sums = [np.add.reduceat(x, new) for x in (ok.astype(np.int64), att, rep, np.minimum(es, 0), np.maximum(es, 0))]
+        att, rep, es, ok = _terms(*_met(own, first, last, count, atoms, b), False)
+        code = np.repeat(mine.of[first:last] * np.int64(len(all_.first)), count[first:last]) + all_.of.take(b)
+        new = np.flatnonzero(np.diff(code, prepend=-1))
+        sums = [np.logical_or.reduceat(ok, new), *(np.add.reduceat(x, new) for x in (att, rep, np.minimum(es, 0), np.maximum(es, 0)))]
         found.append((code[new], *sums))
     if not found:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 4
@@ -182,27 +198,23 @@ def _pair_sums(own: np.ndarray, mine: _Residues, atoms: np.ndarray, all_: _Resid
 def _solvent_sums(own: np.ndarray, mine: _Residues, water: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of van der Waals and Coulomb terms of each residue with the solvent (in order of its frames)."""
     lo, hi = (np.repeat(np.searchsorted(frame, mine.frame, side=side), mine.size) for side in ("left", "right"))
-    out = np.zeros((2, own.shape[1]))
-    for first, last in _stretches(hi - lo):
-        n = (hi - lo)[first:last]
-        a, b = np.repeat(np.arange(first, last), n), _spread(lo[first:last], n)
-        att, rep, es, _ = _terms(own[:, a], water[:, b], True)
-        for k, x in enumerate((att + rep, es)):
-            out[k, first:last] = np.bincount(a - first, x, last - first)
+    out, count = np.zeros((2, own.shape[1])), hi - lo
+    for first, last in _stretches(count):
+        n = count[first:last]
+        att, rep, es, _ = _terms(*_met(own, first, last, count, water, _spread(lo[first:last], n)), True)
+        att += rep
+        some = np.flatnonzero(n)  # those that meet any
+        for k, x in enumerate((att, es)):
+            out[k, first + some] = np.add.reduceat(x, (np.cumsum(n) - n)[some]) if len(some) else 0.0
     return tuple(np.add.reduceat(x, mine.first) if len(mine.first) else x[:0] for x in out)
 
 
-def _sorted_frames(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of equal leading columns out of sorted batches, many in one table, with each row's group number."""
+def _sorted_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole frames out of sorted batches, many in one table, with each row's frame by number. A frame begins at each place 1."""
     held: list[pa.RecordBatch] = []
 
     def number(table: pa.Table) -> np.ndarray:
-        new = np.zeros(len(table), bool)
-        for c in range(keys):
-            col = table.column(c).combine_chunks()
-            col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-            new[1:] |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False)
-        return np.cumsum(new)
+        return np.cumsum(table["place"].to_numpy() == 1) - 1
 
     for batch in batches:
         if not batch.num_rows:
@@ -224,7 +236,7 @@ def _matrix(table: pa.Table, rows: np.ndarray) -> np.ndarray:
 
 def _whole_frames(subtract: bool, schema: pa.Schema):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _sorted_frames(batches, 2):
+        for table, group in _sorted_frames(batches):
             role = table["role"].to_numpy()
             protein, solvent = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             atoms, res = _matrix(table, protein), _Residues(group[protein], table["res_idx"].to_numpy()[protein])
@@ -288,10 +300,10 @@ def _split_frames(atoms: DataFrame, large: DataFrame, subtract: bool, schema: st
     atoms = atoms.join(large, FRAME).withColumn("_n", F.ceil(F.col("size") / CROWD).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("stretch")
     protein = atoms.where("role = 0")
-    mine = protein.select(*FRAME, F.pmod("res_idx", "_n").cast("int").alias("stretch"), F.lit(0).alias("role"), "atom_idx", *_ATOM)
-    others = atoms.select(*FRAME, every, (F.col("role") + 1).alias("role"), "atom_idx", *_ATOM)
+    mine = protein.select(*FRAME, F.pmod("res_idx", "_n").cast("int").alias("stretch"), F.lit(0).alias("role"), *_ATOM)
+    others = atoms.select(*FRAME, every, (F.col("role") + 1).alias("role"), *_ATOM)
     line = [*FRAME, "stretch"]
-    rows = mine.unionByName(others).repartition(*line).sortWithinPartitions(*line, "role", "res_idx", "atom_idx").drop("atom_idx")
+    rows = mine.unionByName(others).repartition(*line).sortWithinPartitions(*line, "role", *_ATOM)
     first, last = schema.split(", i int", 1)
     parts = materialize(rows.mapInArrow(_stretch(to_arrow_schema(StructType.fromDDL(f"{first}, wet boolean, i int{last}"))), f"{first}, wet boolean, i int{last}"))
     sizes = protein.groupBy(*FRAME, "res_idx").agg(F.count(F.lit(1)).alias("n"))
@@ -308,18 +320,19 @@ def frame_energies(frame_atoms: DataFrame, subtract: bool = True) -> DataFrame:
     """Residue-pair energies of each frame by array arithmetic: what atom_pair_energies(), residue_pair_energy(),
     residue_solvent_energies() and subtract_solvent() give together.
 
-    Frames lie sorted in their partitions, and all whole frames of a batch are taken together by segments. A frame of more than CROWD
+    Atoms lie in order of frame, residue and their own values, so sums don't depend on how they came and no number of an atom is read. All whole frames of a batch are taken together by segments. A frame of more than CROWD
     atoms is split by residues into stretches that are tasks of their own; such a task holds its stretch and one batch of the
     frame's other atoms. Runs a job that counts the atoms of each frame.
     """
     kinds = dict(frame_atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame {kinds['frame']}, i int, j int, " + ", ".join(f"{t} double" for t in TERMS)
     role = F.when(F.col("kind") == "protein", 0).otherwise(1).alias("role")
-    chosen = frame_atoms.select(*FRAME, role, "res_idx", "atom_idx", *[F.col(c).cast("double") for c in _FIELDS])
+    chosen = frame_atoms.select(*FRAME, role, "res_idx", *[F.col(c).cast("double") for c in _FIELDS])
     sizes = materialize(frame_atoms.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD))
     split = not sizes.isEmpty()
     small = chosen.join(sizes, FRAME, "left_anti") if split else chosen
-    small = small.repartition(*FRAME).sortWithinPartitions(*FRAME, "role", "res_idx", "atom_idx").drop("atom_idx")
+    place = F.row_number().over(Window.partitionBy(*FRAME).orderBy("role", *_ATOM))  # exchanges nothing where frames are together already
+    small = small.withColumn("place", place)
     whole = small.mapInArrow(_whole_frames(subtract, to_arrow_schema(StructType.fromDDL(schema))), schema)
     return whole.unionByName(_split_frames(chosen, sizes, subtract, schema)) if split else whole
 

@@ -408,6 +408,28 @@ def test_frame_energies_equal_joins(spark):
     assert mean.vdw_att == pytest.approx((b["s0", 0, 0, 1].vdw_att + b["s0", 1, 0, 1].vdw_att) / 2)
 
 
+def test_frames_that_lie_together_are_exchanged_once(spark):
+    atoms = frame_atoms(spark).drop("atom_idx")
+    twice = atoms.repartition("structure_id").withColumn("frame", F.explode(F.array("frame", F.col("frame") + 2)))
+    values = energies.frame_energies(twice)
+    assert values._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    key = lambda r: (r.structure_id, r.i, r.j)
+    plain = {(*key(r), r.frame): r[4:] for r in energies.frame_energies(atoms).collect()}
+    assert {(*key(r), r.frame): r[4:] for r in values.collect()} == plain | {(*k[:3], k[3] + 2): v for k, v in plain.items()}
+
+
+def test_sums_do_not_depend_on_stretches_or_order(spark, monkeypatch):
+    atoms = frame_atoms(spark, 7)
+    rows = lambda: {tuple(r) for r in energies.frame_energies(atoms.orderBy(F.rand())).collect()}
+    want = rows()
+    assert len(want) == 4 * 15 and rows() == want
+    renumbered = atoms.withColumn("atom_idx", -F.col("atom_idx"))
+    assert {tuple(r) for r in energies.frame_energies(renumbered).collect()} == want
+    monkeypatch.setattr(energies, "CELLS", 7)
+    got = {tuple(r[:4]): r[4:] for r in map(tuple, rows())}
+    assert got.keys() == {r[:4] for r in want} and all(got[r[:4]] == pytest.approx(r[4:], rel=1e-9, abs=1e-9) for r in want)
+
+
 @pytest.mark.parametrize("crowd", [4, 11, 25])
 def test_large_frames_are_split(spark, monkeypatch, crowd):
     monkeypatch.setattr(energies, "CROWD", crowd)
