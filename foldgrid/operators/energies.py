@@ -95,9 +95,10 @@ def subtract_solvent(pair_energy: DataFrame, residue_energy: DataFrame) -> DataF
 
 
 def frame_average(values: DataFrame, frames: DataFrame, columns: tuple[str, ...] = TERMS) -> DataFrame:
-    """Means over all frames of a structure (frames: structure_id, n_frames); a cell that a frame lacks counts as 0."""
+    """Means over all frames of a structure (frames: structure_id, n_frames); a cell that a frame lacks counts as 0. Counts are looked up:
+    sums, of which there are many more, needn't be sorted."""
     sums = values.groupBy("structure_id", "i", "j").agg(*[F.sum(c).alias(c) for c in columns])
-    return sums.join(frames, "structure_id").select("structure_id", "i", "j", *[(F.col(c) / F.col("n_frames")).alias(c) for c in columns])
+    return sums.join(frames.hint("shuffle_hash"), "structure_id").select("structure_id", "i", "j", *[(F.col(c) / F.col("n_frames")).alias(c) for c in columns])
 
 
 def frame_counts(frame_atoms: DataFrame) -> DataFrame:

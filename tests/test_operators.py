@@ -416,6 +416,11 @@ def test_frames_that_lie_together_are_exchanged_once(spark):
     key = lambda r: (r.structure_id, r.i, r.j)
     plain = {(*key(r), r.frame): r[4:] for r in energies.frame_energies(atoms).collect()}
     assert {(*key(r), r.frame): r[4:] for r in values.collect()} == plain | {(*k[:3], k[3] + 2): v for k, v in plain.items()}
+    mean = energies.frame_average(values, energies.frame_counts(twice))
+    assert "SortMergeJoin" not in mean._jdf.queryExecution().executedPlan().toString()
+    want = {key(r): r[3:] for r in energies.frame_average(energies.frame_energies(atoms), energies.frame_counts(atoms)).collect()}
+    got = {key(r): r[3:] for r in mean.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_sums_do_not_depend_on_stretches_or_order(spark, monkeypatch):
