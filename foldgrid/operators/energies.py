@@ -41,20 +41,32 @@ def _residues(atoms: DataFrame) -> DataFrame:
     return each.groupBy(*FRAME).agg(F.collect_list(residue).alias("residues"), F.flatten(F.collect_list(F.when(~F.col("_p"), F.col("atoms")))).alias("others"))
 
 
-def atom_pair_energies(frame_atoms: DataFrame, sizes: bool = False) -> DataFrame:
-    """(structure_id, frame, i, j, r, terms) of atom pairs of different protein residues, i < j, no closer than 0.1 nm.
-
-    Pairs are made of a frame's row, so atoms are exchanged once, by frame, and joined with nothing. `sizes` adds the numbers of
-    atoms of both residues, n_i and n_j.
-    """
+def _pairs_of_rows(frame_atoms: DataFrame) -> DataFrame:
+    """Atom pairs with their terms and the numbers of atoms of both residues, n_i and n_j, made of a frame's row, so what is summed by
+    frame or within it needs no further exchange."""
     frames = _residues(frame_atoms.where("kind = 'protein'"))
     one = frames.select(*FRAME, "residues", F.explode("residues").alias("_i"))
     two = one.select(*FRAME, "_i", F.explode("residues").alias("_j")).where("_i.res_idx < _j.res_idx")
     two = two.select(*FRAME, F.col("_i.res_idx").alias("i"), F.col("_j.res_idx").alias("j"), F.col("_i.atoms").alias("_a"), F.col("_j.atoms").alias("_b"))
-    counts = [F.size("_a").cast("long").alias("n_i"), F.size("_b").cast("long").alias("n_j")] if sizes else []
-    known = ["n_i", "n_j"] if sizes else []
-    pairs = two.select(*FRAME, "i", "j", *counts, "_b", F.explode("_a").alias("a")).select(*FRAME, "i", "j", *known, "a", F.explode("_b").alias("b"))
-    return _pair_terms(pairs).where(F.col("r") >= K.CLOSEST).select(*FRAME, "i", "j", "r", *TERMS, *known)
+    counts = [F.size("_a").cast("long").alias("n_i"), F.size("_b").cast("long").alias("n_j")]
+    pairs = two.select(*FRAME, "i", "j", *counts, "_b", F.explode("_a").alias("a")).select(*FRAME, "i", "j", "n_i", "n_j", "a", F.explode("_b").alias("b"))
+    return _pair_terms(pairs).where(F.col("r") >= K.CLOSEST).select(*FRAME, "i", "j", "r", *TERMS, "n_i", "n_j")
+
+
+def atom_pair_energies(frame_atoms: DataFrame, sizes: bool = False) -> DataFrame:
+    """(structure_id, frame, i, j, r, terms) of atom pairs of different protein residues, i < j, no closer than 0.1 nm.
+
+    Atoms are exchanged once, by frame, and joined with nothing; a task makes the pairs of many frames by array arithmetic, CELLS of them
+    at a time. `sizes` adds the numbers of atoms of both residues, n_i and n_j, and keeps the pairs dealt by frame for sums.
+    """
+    if sizes:
+        return _pairs_of_rows(frame_atoms)
+    kinds = dict(frame_atoms.dtypes)
+    schema = f"structure_id {kinds['structure_id']}, frame {kinds['frame']}, i {kinds['res_idx']}, j {kinds['res_idx']}, r double, " + ", ".join(f"{t} double" for t in TERMS)
+    met = frame_atoms.where("kind = 'protein' AND res_idx IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy(*FRAME).orderBy("res_idx"))
+    atoms = met.select(*FRAME, "res_idx", *[F.col(c).cast("double") for c in _FIELDS], place.alias("place"))
+    return atoms.mapInArrow(_atom_pairs(to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
 def residue_pair_energy(pairs: DataFrame, frame_atoms: DataFrame) -> DataFrame:
@@ -235,6 +247,46 @@ def _matrix(table: pa.Table, rows: np.ndarray) -> np.ndarray:
     return np.array([table[c].to_numpy()[rows] for c in _FIELDS], np.float64).reshape(len(_FIELDS), len(rows))
 
 
+def _atom_pairs(schema: pa.Schema):  # noqa: ANN202
+    """Rows of atom pairs, some CELLS at a time, with the terms as _pair_terms() has them, nulls and NaN included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _sorted_frames(batches):
+            atoms, res = _matrix(table, np.arange(len(table))), _Residues(group, table["res_idx"].to_numpy())
+            unknown = {c: table[c].is_null().to_numpy() for c in _FIELDS if table[c].null_count}
+            lost = [sum((unknown.get(c, np.zeros(len(table), bool)) for c in some), np.zeros(len(table), bool)) for some in (("q",), ("sigma", "epsilon"))]
+            same, name = [table[c].combine_chunks() for c in FRAME], res.name[res.of]
+            begin = np.append(res.first, len(table))[res.of + 1]  # of the next residue
+            count = np.searchsorted(group, group, side="right") - begin
+            for first, last in _stretches(count):
+                a, b = np.repeat(np.arange(first, last), count[first:last]), _spread(begin[first:last], count[first:last])
+                r = np.sqrt(sum((x.take(a) - x.take(b)) ** 2 for x in atoms[:3]))
+                if (r < K.CLOSEST).any():
+                    far = np.flatnonzero(~(r < K.CLOSEST))
+                    a, b, r = a[far], b[far], r[far]
+                if not len(r):
+                    continue
+                q, sigma, epsilon = ((x.take(a), x.take(b)) for x in atoms[3:])
+                near = r <= K.LJ_CUTOFF
+                with np.errstate(invalid="ignore", over="ignore"):
+                    s = (sigma[0] + sigma[1]) / 2 / r
+                    s6, deep = s * s * s * s * s * s, np.sqrt(epsilon[0] * epsilon[1]) * 4
+                    att, rep = np.where(near, -deep * s6, 0.0), np.where(near, deep * s6 * s6, 0.0)
+                    es = K.COULOMB * q[0] * q[1] / r
+                blank = [None] * 4
+                if unknown:
+                    without, shallow = (x[a] | x[b] for x in lost)
+                    es[without] = 0.0
+                    blank = [shallow & near, shallow & near, without, None]
+                apart = ~(es <= 0)
+                terms = (att, rep, np.where(apart, 0.0, es), np.where(apart, es, 0.0))
+                at = pa.array(a)
+                columns = [*(c.take(at) for c in same), *(pa.array(x, f.type) for x, f in zip((name[a], name[b], r), list(schema)[2:5], strict=True)), *(pa.array(x, mask=m) for x, m in zip(terms, blank, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
 def _whole_frames(subtract: bool, schema: pa.Schema):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _sorted_frames(batches):

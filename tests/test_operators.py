@@ -622,3 +622,16 @@ def test_energies_exchange_atoms_alone(spark):
     solvent = energies.residue_solvent_energies(atoms)  # none: each residue has 0
     assert {(r.vdw_solv, r.es_solv) for r in solvent.collect()} == {(0.0, 0.0)}
     assert [exchanges(df) for df in (energies.atom_pair_energies(atoms), pairs, solvent, energies.subtract_solvent(pairs, solvent))] == [1, 1, 1, 2]
+
+
+def test_atom_pairs_of_arrays_equal_those_of_rows(spark, monkeypatch):
+    odd = [(None, 0.0, 0.1), (0.1, None, 0.1), (0.1, 0.3, float("nan")), (float("nan"), 0.3, None), (0.0, 0.3, 0.4), (-0.0, 0.3, 0.4), (0.2, 0.3, -0.4)]
+    place = [(1.0, 0.0), (1.05, 0.0), (1.2, 3.0), (None, 0.0), (float("nan"), 0.0), (0.0, 0.7), (1.0, 0.9)]
+    rows = [("u", 0, "protein", k // 2 if k < 12 else None, k, place[k % 7][0], place[k % 7][1], 0.0, *odd[k % 7]) for k in range(14)]
+    atoms = frame_atoms(spark, 2).union(spark.createDataFrame(rows, frame_atoms(spark).schema)).union(frame_atoms(spark).limit(1).withColumn("structure_id", F.lit("alone")))
+    of = lambda df: sorted(str(tuple(r)) for r in df.drop("n_i", "n_j").collect())
+    want = of(energies.atom_pair_energies(atoms, sizes=True))
+    assert of(energies.atom_pair_energies(atoms)) == want and len([r for r in want if "'u'" in r]) > 20 and any("None" in r for r in want) and any("nan" in r for r in want)
+    monkeypatch.setattr(energies, "CELLS", 5)
+    assert of(energies.atom_pair_energies(atoms)) == want
+    assert energies.atom_pair_energies(atoms.limit(0)).collect() == []
