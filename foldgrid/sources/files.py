@@ -1,4 +1,4 @@
-"""Small files, one a row."""
+"""Small files, one a row: in a folder, or many of them packed in a few large ones."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,19 @@ def write_files(files: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+#: Bytes that a writer gathers, and a reader holds at once, of packed contents.
+PACK = 16_000_000
+
+
+def write_packed(files: DataFrame, folder: str) -> None:
+    """Add files(path string, content binary), each of a path of its own, to a folder as rows of Parquet files. A driver lists every file
+    that it reads, and keeps the list: millions of small ones don't fit it, the packs of them do."""
+    rows = files.select("path", F.col("content").cast("binary"))
+    rows.write.mode("append").option("compression", "zstd").option("parquet.block.size", PACK).parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """files(path, content) that write_packed() has put there."""
+    return spark.read.schema("path string, content binary").parquet(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from .files import read_packed
 
 #: First column and width of each field of an atom line.
 FIELDS = {"record": (1, 6), "atom_name": (13, 4), "altloc": (17, 1), "res_name": (18, 3), "chain": (22, 1), "res_seq": (23, 4), "icode": (27, 1), "x": (31, 8), "y": (39, 8), "z": (47, 8), "occupancy": (55, 6)}
@@ -63,6 +64,11 @@ def read_structures(spark: SparkSession, path: str, extension: str = "ent") -> D
     return parse_files(read_files(spark, path, f"*.{extension}"))
 
 
+def read_packed_structures(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of structure files that files.write_packed() has packed."""
+    return parse_files(read_packed(spark, folder).select("path", F.col("content").cast("string").alias("value")))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path and image struct (BGR) of every picture below a folder."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").option("dropInvalid", True).load(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators.common import scratch_dir
 from .operators.filters import LEVELS as LEVELS
 from .operators.filters import with_levels
-from .sources.files import write_files
+from .sources.files import write_files, write_packed
 
 STAGES = ["click", "view", "purchase", "error", "login"]
 AA = "ARNDCQEGHILKMFPSTWYV"
@@ -207,6 +207,13 @@ def whole_files(files: DataFrame, folder: str | None = None) -> str:
     return folder
 
 
+def packed_files(files: DataFrame, folder: str | None = None) -> str:
+    """The same as whole_files(), packed: files that are as many as structures."""
+    folder = folder or f"{scratch_dir(files.sparkSession)}/packed/{uuid.uuid4().hex}"
+    write_packed(files.select("path", F.col("value").alias("content")), folder)
+    return folder
+
+
 def named_files(lines: DataFrame, folder: str | None = None) -> str:
     """lines(path, line_no, line) written as the files that they name, as by whole_files()."""
     numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))

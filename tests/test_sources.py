@@ -202,3 +202,12 @@ def test_reports_are_exchanged_as_lists(spark, tmp_path):
     rows = queries._reports(spark, str(tmp_path))
     assert {r.path: r.value.split("\n")[2] for r in rows.collect()} == {f"out/d{k:06d}.ent.out": f"{1:6d} {'none' if k == 0 else f'dir/d{k:06d}.ent'} Chn:A" for k in range(3)}
     assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_structures_are_those_of_single_files(spark, tmp_path):
+    write(tmp_path / "s/deep/d1a3wa3.ent", ENT)
+    write(tmp_path / "s/d2.ent", ENT.replace("MODEL ", "REMARK"))
+    rows = [("deep/d1a3wa3.ent", ENT.encode()), ("d2.ent", ENT.replace("MODEL ", "REMARK").encode()), ("none.ent", None)]
+    files.write_packed(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "packs"))
+    got, want = (sorted(map(str, df.collect())) for df in (structures.read_packed_structures(spark, str(tmp_path / "packs")), structures.read_structures(spark, str(tmp_path / "s"))))
+    assert got == want and len(got) == 10
