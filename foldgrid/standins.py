@@ -214,13 +214,6 @@ def packed_files(files: DataFrame, folder: str | None = None) -> str:
     return folder
 
 
-def named_files(lines: DataFrame, folder: str | None = None) -> str:
-    """lines(path, line_no, line) written as the files that they name, as by whole_files()."""
-    numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    body = F.concat(F.array_join(F.transform(numbered, lambda x: x["line"]), "\n"), F.lit("\n"))
-    return whole_files(lines.groupBy("path").agg(body.alias("value")), folder)
-
-
 def png(height: int, width: int, bgr: bytes) -> bytes:
     """A picture file of rows of blue, green and red bytes."""
     rgb = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1]

@@ -25,6 +25,13 @@ def stream_lines(spark: SparkSession, folder: str, glob: str, files_a_batch: int
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def stream_packed(spark: SparkSession, folder: str, packs_a_batch: int = 1000) -> DataFrame:
+    """(path, content) of the files that sources.files.write_packed() adds to a folder, as a stream. The driver knows packs, not the files in
+    them, so arrivals may be many more than it could list."""
+    read = spark.readStream.schema("path string, content binary").option("pathGlobFilter", "*.parquet")
+    return read.option("maxFilesPerTrigger", packs_a_batch).option("maxFileAge", _EVER).parquet(folder)
+
+
 def process_new(stream: DataFrame, job: Callable[[DataFrame], DataFrame], output: str, checkpoint: str) -> DataFrame:
     """Run `job` on what the stream has that no earlier call with this checkpoint finished; all results so far, with their `batch`.
 

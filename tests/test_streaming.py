@@ -37,3 +37,18 @@ def test_each_file_once_also_after_failures(spark, tmp_path):
     assert sorted(set(names)) == ["a.txt", "c.txt", "d.txt", "e.txt", "f.txt"]
     assert {r.name: r.n for r in got.where("name > 'c.txt'").collect()} == {"d.txt": 1, "e.txt": 2, "f.txt": 1}
     assert len(names) == len(set(names)) and dict(done(got))["a.txt"] == 2
+
+
+def test_packed_arrivals_once(spark, tmp_path):
+    from foldgrid.sources.files import write_packed
+
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    put = lambda *rows: write_packed(spark.createDataFrame(rows, "path string, content binary").coalesce(1), folder)
+    count = lambda rows: rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    done = lambda: sorted((r.path, r.n) for r in files.process_new(files.stream_packed(spark, folder, 1), count, out, checkpoint).collect())
+    put(("a", b"1"), ("b", b"2")), put(("c", None))
+    first = [("a", 1), ("b", 1), ("c", 1)]
+    assert done() == first and done() == first
+    put(("d", b"3"))
+    assert done() == [*first, ("d", 1)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=0", "batch=1", "batch=2"]
