@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .files import read_packed
+from .files import PACK, read_packed
+from .pictures import MODES, decode_png
 
 #: First column and width of each field of an atom line.
 FIELDS = {"record": (1, 6), "atom_name": (13, 4), "altloc": (17, 1), "res_name": (18, 3), "chain": (22, 1), "res_seq": (23, 4), "icode": (27, 1), "x": (31, 8), "y": (39, 8), "z": (47, 8), "occupancy": (55, 6)}
@@ -73,3 +77,34 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path and image struct (BGR) of every picture below a folder."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").option("dropInvalid", True).load(path)
     return rows.select(F.col("image.origin").alias("path"), "image")
+
+
+_IMAGE = {"origin": pa.string(), "height": pa.int32(), "width": pa.int32(), "nChannels": pa.int32(), "mode": pa.int32(), "data": pa.binary()}
+
+
+def read_packed_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of PNG files that files.write_packed() has packed. What isn't one is an error."""
+
+    def some(paths: list[str], found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        high, wide, channels, data = zip(*found, strict=True)
+        columns = [paths, high, wide, channels, [MODES[n] for n in channels], data]
+        image = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(columns, _IMAGE.values(), strict=True)], list(_IMAGE))
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), image], ["path", "image"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, found, held = [], [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found.append(decode_png(content.as_py()))
+                except Exception as e:
+                    raise ValueError(f"{path}: {e}") from e
+                paths.append(path)
+                held += len(found[-1][3])
+                if held >= PACK:
+                    yield some(paths, found)
+                    paths, found, held = [], [], 0
+            if paths:
+                yield some(paths, found)
+
+    return read_packed(spark, folder).mapInArrow(run, "path string, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")

@@ -224,16 +224,14 @@ def png(height: int, width: int, bgr: bytes) -> bytes:
 
 
 def picture_files(pictures: DataFrame) -> str:
-    """Pictures (path, image) written as PNG files; their folder."""
-    folder = f"{scratch_dir(pictures.sparkSession)}/pictures/{uuid.uuid4().hex}"
+    """Pictures (path, image) written as PNG files, packed; their folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [png(r["height"], r["width"], r["data"]) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["path", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["path", "value"])
 
-    write_files(pictures.select("path", "image").mapInArrow(run, "path string, content binary"), folder)
-    return folder
+    return packed_files(pictures.select("path", "image").mapInArrow(run, "path string, value binary"))
 
 
 def pixel_digests(variants: DataFrame) -> DataFrame:

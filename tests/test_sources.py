@@ -204,6 +204,41 @@ def test_reports_are_exchanged_as_lists(spark, tmp_path):
     assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def filtered_png(picture, kind, filters):
+    """A PNG file of one filter a row, made by the definitions: what is left, above and above left is taken off."""
+    h, w, n = picture.shape
+    row, raw = picture.reshape(h, w * n).astype(int), []
+    for y in range(h):
+        line = []
+        for x in range(w * n):
+            a, b, c = row[y, x - n] if x >= n else 0, row[y - 1, x] if y else 0, row[y - 1, x - n] if y and x >= n else 0
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line.append((row[y, x] - (0, a, b, (a + b) // 2, near)[filters[y]]) % 256)
+        raw.append(bytes([filters[y], *line]))
+    block = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    body = zlib.compress(b"".join(raw))
+    return b"\x89PNG\r\n\x1a\n" + block(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + block(b"IDAT", body[:9]) + block(b"IDAT", body[9:]) + block(b"IEND", b"")
+
+
+def test_packed_pictures_are_those_of_single_files(spark, tmp_path):
+    """All kinds of samples and filters, as Spark's reader has them."""
+    rng = np.random.default_rng(3)
+    bodies = {f"k{kind}.png": filtered_png(rng.integers(0, 256, (7, 5, n), dtype=np.uint8), kind, [0, 1, 2, 3, 4, 3, 1]) for kind, n in ((0, 1), (2, 3), (4, 2), (6, 4))}
+    bodies |= {"first.png": filtered_png(rng.integers(0, 256, (2, 3, 3), dtype=np.uint8), 2, [4, 2]), "plain.png": filtered_png(rng.integers(0, 256, (2, 3, 3), dtype=np.uint8), 2, [0, 0])}
+    (tmp_path / "one").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / "one" / name).write_bytes(body)
+    packed = lambda rows: files.write_packed(spark.createDataFrame(rows, "path string, content binary").coalesce(1), str(tmp_path / "packs"))
+    packed(list(bodies.items())[:4]), packed(list(bodies.items())[4:])
+    of = lambda df: {r.path.rsplit("/", 1)[-1]: (*r.image[1:5], bytes(r.image.data)) for r in df.collect()}
+    got = structures.read_packed_images(spark, str(tmp_path / "packs"))
+    assert of(got) == of(structures.read_images(spark, str(tmp_path / "one"))) and len(of(got)) == 6
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 2
+    packed([("bad.png", b"GIF89a")])
+    with pytest.raises(Exception, match="bad.png: neither"):
+        structures.read_packed_images(spark, str(tmp_path / "packs")).collect()
+
+
 def test_packed_structures_are_those_of_single_files(spark, tmp_path):
     write(tmp_path / "s/deep/d1a3wa3.ent", ENT)
     write(tmp_path / "s/d2.ent", ENT.replace("MODEL ", "REMARK"))
