@@ -25,7 +25,8 @@ def _fields(atoms: DataFrame) -> DataFrame:
     """atoms of lines(path, model, line_no, line)."""
     columns = {k: F.trim(F.substring("line", a, n)) for k, (a, n) in FIELDS.items()}
     columns = {k: c.try_cast(_TYPES[k]) if k in _TYPES else c for k, c in columns.items()}
-    return atoms.select(ids.strip_structure_extension(F.col("path")).alias("structure_id"), F.coalesce("model", F.lit(1)).alias("model"), "line_no", *[c.alias(k) for k, c in columns.items()])
+    name = "structure_id" if "structure_id" in atoms.columns else ids.strip_structure_extension(F.col("path")).alias("structure_id")
+    return atoms.select(name, F.coalesce("model", F.lit(1)).alias("model"), "line_no", *[c.alias(k) for k, c in columns.items()])
 
 
 def parse_atoms(lines: DataFrame) -> DataFrame:
@@ -40,14 +41,17 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     return _fields(rows.where(_is_atom(F.col("line")) & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))))
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """The same of files(path, value), each whole in a row: its first model is cut out there, so nothing is exchanged or joined."""
+def parse_files(files: DataFrame, deal: bool = False) -> DataFrame:
+    """The same of files(path, value), each whole in a row: its first model is cut out there, so nothing is exchanged or joined. With `deal`
+    the files are dealt by structure beforehand, and what follows by structure needn't exchange atoms, which take more room."""
+    if deal:
+        files = files.withColumn("structure_id", ids.strip_structure_extension(F.col("path"))).repartition("structure_id")
     begun = F.concat(F.lit("\n"), F.col("value"))
     end, first = F.instr(begun, "\nENDMDL"), F.instr(begun, "\nMODEL ")
     number = F.split(F.substring(F.col("value"), first + 6, F.lit(8)), r"\r?\n")[0]
     model = F.when(first > 0, F.trim(number).try_cast("int")).alias("model")
     cut = F.when(end > 0, F.substring(F.col("value"), F.lit(1), end - 2)).otherwise(F.col("value"))
-    lines = files.select("path", model, F.posexplode(F.split(cut, r"\r?\n")).alias("line_no", "line")).where(_is_atom(F.col("line")))
+    lines = files.select("path", *(["structure_id"] if deal else []), model, F.posexplode(F.split(cut, r"\r?\n")).alias("line_no", "line")).where(_is_atom(F.col("line")))
     return _fields(lines.withColumn("line_no", F.col("line_no").cast("long")))
 
 
@@ -70,7 +74,7 @@ def read_structures(spark: SparkSession, path: str, extension: str = "ent") -> D
 
 def read_packed_structures(spark: SparkSession, folder: str) -> DataFrame:
     """The same of structure files that files.write_packed() has packed."""
-    return parse_files(read_packed(spark, folder).select("path", F.col("content").cast("string").alias("value")))
+    return parse_files(read_packed(spark, folder).select("path", F.col("content").cast("string").alias("value")), deal=True)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

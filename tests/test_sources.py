@@ -246,3 +246,11 @@ def test_packed_structures_are_those_of_single_files(spark, tmp_path):
     files.write_packed(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "packs"))
     got, want = (sorted(map(str, df.collect())) for df in (structures.read_packed_structures(spark, str(tmp_path / "packs")), structures.read_structures(spark, str(tmp_path / "s"))))
     assert got == want and len(got) == 10
+
+
+def test_packed_structures_are_exchanged_whole(spark, tmp_path):
+    files.write_packed(spark.createDataFrame([(f"d{k}.ent", ENT.encode()) for k in range(3)], "path string, content binary"), str(tmp_path / "packs"))
+    rows = maps.residue_index(filters.select_chain(structures.read_packed_structures(spark, str(tmp_path / "packs"))))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
+    assert {(r.structure_id, r.res_idx) for r in rows.collect()} == {(f"d{k}", 0) for k in range(3)}
